@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import byte_bpe, lang_ecoc
+from fidelis.llm import byte_bpe, host_paths, lang_ecoc, secret_links, zdict_toxicity
 from fidelis.llm._util import remainder, table
 
 
@@ -24,6 +24,27 @@ def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = host_paths.extract(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = secret_links.scan(docs, keep_text=False)
+    n = {k: F.size(F.filter("spans", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secret_links.BASE)}
+    base = F.sha2(secret_links.as_text(secret_links.base_only(F.col("spans"))), 256).alias("base_sha256")
+    return got.select("doc_id", *n.values(), base, secret_links.as_text(F.col("spans")).alias("spans"))
+
+
+def op9_zdict_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = zdict_toxicity.fit(docs, labels, remainder("doc_id", 4) != 2)
+    got = zdict_toxicity.score(docs, model)
+    return got.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = byte_bpe.round_trip(docs, bpe_path())
@@ -31,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_codes": op2_language_codes, "op10_byte_bpe": op10_byte_bpe}
+    return {f.__name__: f for f in (op2_language_codes, op5_host_paths, op6_secret_links, op9_zdict_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
