@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import byte_bpe, host_paths, lang_ecoc, secret_links, zdict_toxicity
+from fidelis.llm import byte_bpe, host_paths, lang_ecoc, secret_links, sigtree_join, zdict_toxicity
 from fidelis.llm._util import remainder, table
 
 
@@ -37,6 +37,11 @@ def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *n.values(), base, secret_links.as_text(F.col("spans")).alias("spans"))
 
 
+def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sigtree_join.join(docs, k=4, num=85, den=100)
+
+
 def op9_zdict_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -52,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_codes, op5_host_paths, op6_secret_links, op9_zdict_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_language_codes, op5_host_paths, op6_secret_links, op7_signature_trees, op9_zdict_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
