@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import byte_bpe, host_paths, lang_ecoc, secret_links, sigtree_join, zdict_toxicity
+from fidelis.llm import byte_bpe, host_paths, lang_ecoc, secret_links, sigtree_join, suffix_lm, zdict_toxicity
 from fidelis.llm._util import remainder, table
 
 
@@ -24,6 +24,12 @@ def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = suffix_lm.score(docs, remainder("doc_id", 10) != 0)
+    return got.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = host_paths.extract(table(spark, sf_dir, "pages"))
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -57,7 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_codes, op5_host_paths, op6_secret_links, op7_signature_trees, op9_zdict_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_language_codes, op4_suffix_tree, op5_host_paths, op6_secret_links, op7_signature_trees, op9_zdict_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
