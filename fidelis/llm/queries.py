@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import byte_bpe, host_paths, lang_ecoc, secret_links, sigtree_join, suffix_lm, zdict_toxicity
+from fidelis.llm import ann_tree, byte_bpe, cover_topk, host_paths, lang_ecoc, secret_links, sigtree_join, suffix_lm, zdict_toxicity
 from fidelis.llm._util import remainder, table
 
 
@@ -17,6 +17,10 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_tree.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = lang_ecoc.fit(docs, remainder("doc_id", 4) != 2)
@@ -24,6 +28,10 @@ def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_cover_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op4_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = suffix_lm.score(docs, remainder("doc_id", 10) != 0)
@@ -63,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_codes, op4_suffix_tree, op5_host_paths, op6_secret_links, op7_signature_trees, op9_zdict_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_kmeans_tree, op2_language_codes, op3_cover_trees, op4_suffix_tree, op5_host_paths, op6_secret_links, op7_signature_trees, op9_zdict_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
