@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fidelis.llm import ann_tree, byte_bpe, cover_topk, host_paths, lang_ecoc, secret_links, sigtree_join, suffix_lm, zdict_toxicity
+from fidelis.llm import ann_tree, byte_bpe, cover_topk, host_paths, lang_ecoc, secret_links, sigtree_join, soft_mix, suffix_lm, zdict_toxicity
 from fidelis.llm._util import remainder, table
 
 
@@ -56,6 +56,13 @@ def op7_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sigtree_join.join(docs, k=4, num=85, den=100)
 
 
+def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mix, rows = soft_mix.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+    shares = [F.col("_p")[i].alias(f"p_{d}") for i, d in enumerate(mix.domains)]
+    return rows.select("doc_id", F.col("_n").alias("n_tokens"), *shares, soft_mix.rate(mix.steps).alias("rate"))
+
+
 def op9_zdict_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -71,7 +78,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kmeans_tree, op2_language_codes, op3_cover_trees, op4_suffix_tree, op5_host_paths, op6_secret_links, op7_signature_trees, op9_zdict_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_kmeans_tree, op2_language_codes, op3_cover_trees, op4_suffix_tree, op5_host_paths, op6_secret_links, op7_signature_trees, op8_soft_mixing, op9_zdict_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
