@@ -153,7 +153,7 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, text: str = "text", key
     share = {y: min(base, base * rows // counts[y]) for y, rows in ((1, toxic_rows), (0, other_rows))}
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("toxic")), F.lit(base))
     some = one.where(((F.col("_y") == 1) & (draw < share[1])) | ((F.col("_y") == 0) & (draw < share[0])))
-    rows = df.where(F.length(F.col(text)).between(1, LONGEST)).join(some, key).select(F.col(text).alias("t"), "_y", draw.alias("d")).collect()
+    rows = df.where(F.length(F.col(text)).between(1, LONGEST)).join(F.broadcast(some), key).select(F.col(text).alias("t"), "_y", draw.alias("d")).collect()
     rows = sorted({(r.d, r._y, r.t) for r in rows})
     low = [(y, t.lower().encode("utf-8", "replace"), t) for _, y, t in rows]
 
