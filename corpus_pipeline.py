@@ -49,7 +49,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "clean" in mix.domains:
         least = F.when(F.col("posteriors")[mix.domains.index("clean")] >= 0.5, 1).otherwise(0)
     n = soft_mix.copies(F.col("rate"), "doc_id", least)
-    return got.withColumn("_copies", n).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    each = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return got.withColumn("_copy", F.explode(each)).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,6 +76,13 @@ def typical_tokens(docs: DataFrame, named: DataFrame, domains: dict[str, int], k
     return out
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns behind a generator of one row, so that later expressions read them instead of computing them again."""
+    kept = [c for c in df.columns if c not in columns]
+    one = df.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_one"))
+    return one.select(*kept, *[F.col(f"_one.{n}").alias(n) for n in columns])
+
+
 def features(docs: DataFrame, mix: Mix, text: str) -> DataFrame:
     """Adds _n (tokens) and _x (array of numbers, the last 1)."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -84,22 +91,24 @@ def features(docs: DataFrame, mix: Mix, text: str) -> DataFrame:
     def share(characters: str) -> Column:
         return F.sqrt((F.length(body) - F.length(F.translate(body, characters, ""))) / chars)
 
-    got = docs.withColumn("_t", tokens(text)).withColumn("_n", F.size("_t").cast("long"))
+    got = settled(docs, _t=tokens(text)).withColumn("_n", F.size("_t").cast("long"))
     n = F.greatest(F.col("_n"), F.lit(1))
     x = [F.log1p(F.col("_n").cast("double")), share(SYMBOLS), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.size(F.array_distinct("_t")) / n]
     for name in mix.domains:
         words = mix.typical.get(name) or [""]
         x.append(F.log1p(F.size(F.array_intersect("_t", F.array(*[F.lit(w) for w in words]))).cast("double")))
-    return got.withColumn("_x", F.array(*[c.cast("double") for c in x], F.lit(1.0))).drop("_t")
+    return settled(got, _x=F.array(*[c.cast("double") for c in x], F.lit(1.0))).drop("_t")
 
 
-def posterior(mix: Mix) -> Column:
-    """Array of the domains' posteriors: softmax of linear scores of _x."""
-    if len(mix.domains) < 2:
-        return F.array(*[F.lit(1.0)] * len(mix.domains)).cast("array<double>")
-    z = F.array(*[F.aggregate(F.zip_with("_x", F.array(*map(F.lit, map(float, w))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for w in mix.weights])
-    top = F.transform(z, lambda v: F.exp(v - F.array_max(z)))
-    return F.transform(top, lambda v: v / F.aggregate(top, F.lit(0.0), lambda s, u: s + u))
+def posterior(rows: DataFrame, mix: Mix) -> DataFrame:
+    """Adds _p, the array of the domains' posteriors: softmax of linear scores of _x."""
+    size = len(mix.domains)
+    if size < 2:
+        return rows.withColumn("_p", F.array(*[F.lit(1.0)] * size).cast("array<double>"))
+    z = [F.aggregate(F.zip_with("_x", F.array(*map(F.lit, map(float, w))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for w in mix.weights]
+    scored = settled(rows, _z=F.array(*z))
+    each = [F.lit(1.0) / sum((F.exp(F.col("_z")[j] - F.col("_z")[i]) for j in range(size)), F.lit(0.0)) for i in range(size)]
+    return settled(scored, _p=F.array(*each)).drop("_z")
 
 
 def discriminant(rows: DataFrame, domains: list[str], size: int) -> np.ndarray:
@@ -139,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     rows = written(features(docs, mix, text).select(key, "_n", "_x"), "features")
     if len(mix.domains) > 1:
         mix.weights = discriminant(rows.join(named, key).select("domain", "_x"), mix.domains, 5 + len(mix.domains))
-    table = written(rows.select(key, "_n", posterior(mix).alias("_p")), "posteriors")
+    table = written(posterior(rows, mix).select(key, "_n", "_p"), "posteriors")
     if not mix.domains:
         return mix, table
     size, sums = len(mix.domains), None
@@ -168,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 def rates(docs: DataFrame, mix: Mix, text: str = "text") -> DataFrame:
     """Adds n_tokens, posteriors (array, in the order of mix.domains) and rate to whole rows; nothing is joined."""
     kept = [c for c in docs.columns if c not in ("n_tokens", "posteriors", "rate")]
-    got = features(docs.select(*kept), mix, text).withColumn("_p", posterior(mix))
-    return got.select(*kept, F.col("_n").alias("n_tokens"), F.col("_p").alias("posteriors"), rate(mix.steps).alias("rate"))
+    got = settled(posterior(features(docs.select(*kept), mix, text), mix), rate=rate(mix.steps))
+    return got.select(*kept, F.col("_n").alias("n_tokens"), F.col("_p").alias("posteriors"), "rate")
 
 
 def copies(rate: Column, key: str, least: Column | None = None) -> Column:
