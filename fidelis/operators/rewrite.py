@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fidelis.operators import atoms
 from fidelis.operators.fidelity import Check
@@ -103,8 +104,8 @@ def asked(rows: DataFrame, provider: Callable[[], object], column: str = "prompt
                     errors.append(str(e))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=names)
 
-    schema = rows.schema.add("reply", "string").add("error", "string")
-    return rows.mapInArrow(run, schema)
+    more = [T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())]
+    return rows.mapInArrow(run, T.StructType(rows.schema.fields + more))
 
 
 PROMPT = "Rewrite the text without changing any fact.\nlanguage: {{lang}}\ninstructions: {{instructions}}\ntext:\n{{text}}\nReply as JSON with rewritten_text."
