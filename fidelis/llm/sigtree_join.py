@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from fidelis.llm._util import written
 from fidelis.llm.graph import components
 
-#: Members of a block, items of a leaf, children of a node; ids that are sent whole to executors at most.
-BLOCK, LEAF, FAN, SENT_IDS = 1024, 32, 4, 1_000_000
+#: Members of a block, items of a leaf, children of a node, bits of a bitmap for each shingle; rows of ids or
+#: keys that are sent whole to executors at most (8 MB and little more).
+BLOCK, LEAF, FAN, BITS, SENT_IDS = 1024, 32, 4, 4, 1_000_000
 #: A shingle in more than this share of the documents comes last in the order; at most HOT of them.
 SHARE, HOT = 0.001, 100_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)]
@@ -65,8 +66,8 @@ def shingles(text: str | None, k: int, known: dict) -> np.ndarray:
 
 
 def bitmap(sets: np.ndarray) -> np.ndarray:
-    """One bit or more for each member: a power of two of bits, at least 64."""
-    width = max(64, 1 << int(max(1, len(sets)) - 1).bit_length())
+    """BITS bits or more for each member: a power of two of bits, at least 64."""
+    width = max(64, 1 << int(max(1, BITS * len(sets)) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(sets & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -179,27 +180,39 @@ def block_pairs(left, right, num: int, den: int, best: bool) -> list[tuple[np.nd
     return [(np.minimum(a, b), np.maximum(a, b))]
 
 
-def _hot(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles of very many documents, found batch by batch; only the order depends on them, no result."""
+def _surveyed(rows: DataFrame, k: int) -> DataFrame:
+    """Written table of id, n, digest of every row, and (with n null) key, often: shingles that a batch holds
+    often. Only the order of shingles depends on the latter, no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, names = _Words(), ["id", "n", "digest", "key", "often"]
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                part = [shingles(t, k, known) for t in batch.column(0).slice(at, 4096).to_pylist()]
-                keys, n = np.unique(np.concatenate(part), return_counts=True)
-                often = n >= max(3, SHARE * len(part))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["key", "n"])
-
-    total = docs.count()
-    counts = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+                part = batch.slice(at, 4096)
+                sets = [shingles(t, k, known) for t in part.column(1).to_pylist()]
+                digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                none = pa.nulls(len(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), none, none], names=names)
+                keys, n = np.unique(np.concatenate(sets), return_counts=True)
+                often = n >= max(3, SHARE * len(sets))
+                keys, n = keys[often].view(np.int64), n[often].astype(np.int64)
+                none = pa.nulls(len(keys), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n)], names=names)
+
+    return written(rows.mapInArrow(run, "id bigint, n bigint, digest binary, key bigint, often bigint"), "survey")
+
+
+def _hot(survey: DataFrame) -> np.ndarray:
+    """Shingles of very many documents, sorted."""
+    total = survey.where("n IS NOT NULL").count()
+    counts = survey.where("n IS NULL").groupBy("key").agg(F.sum("often").alias("n"))
     often = counts.where(F.col("n") > max(20, SHARE * total)).orderBy(F.desc("n"), "key").limit(HOT)
     return np.sort(np.array([r.key for r in often.collect()], np.int64).view(np.uint64))
 
 
-def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def features(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """id, n, digest, prefix (shingles that come first), bits (bitmap)."""
-    sent = docs.sparkSession.sparkContext.broadcast(_hot(docs, k))
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot = _Words(), sent.value
@@ -211,21 +224,26 @@ def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     s = shingles(text, k, known)
                     n.append(len(s))
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    bits.append(bitmap(s).tobytes())
                     first = len(s) + (num * len(s) // -den) + 1 if len(s) else 0
                     if len(hot) and first:
                         where = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                         last = hot[where] == s
                         s = np.r_[s[~last], s[last]]
                     prefix.append(s[:first].view(np.int64))
-                    bits.append(bitmap(s).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "digest", "prefix", "bits"])
 
     return docs.mapInArrow(run, "id bigint, n bigint, digest binary, prefix array<bigint>, bits binary")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """A narrow table, broadcast only if its counted rows are few enough; else joined by shuffle."""
+    return F.broadcast(df) if df.count() <= SENT_IDS else df
+
+
 def _walked(groups: DataFrame, num: int, den: int, best: bool) -> DataFrame:
     """groups: key, i, j (blocks), side, id, n, bits, comp, dealt and sorted so that a group's rows follow
-    each other. Returns candidate pairs a, b."""
+    each other. Returns candidate pairs key, a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows):
@@ -236,7 +254,8 @@ def _walked(groups: DataFrame, num: int, den: int, best: bool) -> DataFrame:
             if sides[0] and (rows[0][1] == rows[0][2] or sides[1]):
                 for a, b in block_pairs(sides[0], sides[1], num, den, best):
                     for at in range(0, len(a), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], names=["a", "b"])
+                        x, y = a[at : at + 50_000], b[at : at + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), rows[0][0])), pa.array(x), pa.array(y)], names=["key", "a", "b"])
 
         rows, now = [], None
         for batch in batches:
@@ -251,16 +270,13 @@ def _walked(groups: DataFrame, num: int, den: int, best: bool) -> DataFrame:
 
     names = ["key", "i", "j", "side", "id", "n", "bits", "comp"]
     dealt = groups.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(run, "key bigint, a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets reach the similarity."""
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    if ids.count() <= SENT_IDS:
-        ids = F.broadcast(ids)
-
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
@@ -280,7 +296,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-    whole = written(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets, "id bigint, s binary"), "sets")
+    whole = written(docs.join(_sent(ids), "id", "left_semi").select("id", "text").mapInArrow(sets, "id bigint, s binary"), "sets")
     one = pairs.join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return two.select("a", "b", "sa", "sb").mapInArrow(check, "u bigint, v bigint")
@@ -290,23 +306,34 @@ def join(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_
     """doc_id, n_shingles, component_id: documents link when den * overlap >= num * union of their sets."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     docs = rows.where(F.col("id").isNotNull())
-    seen = written(features(rows, k, num, den), "features")
+    survey = _surveyed(rows, k)
+    seen = survey.where("n IS NOT NULL").select("id", "n", "digest")
     some = seen.where("n > 0 AND id IS NOT NULL")
     classes = written(some.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    reps = written(some.join(classes.select(F.col("rep").alias("id"), F.col("digest").alias("own")), "id").where("digest = own").drop("own").dropDuplicates(["id", "digest"]), "reps")
+    # of each class only the representative's set goes on
+    others = written(some.join(classes, "digest").where("id <> rep").select("id", "digest").distinct(), "others")
+    if some.groupBy("id").count().where("count > 1").limit(1).count():
+        reps = features(docs, _hot(survey), k, num, den).where("n > 0")
+        reps = reps.join(others, ["id", "digest"], "left_anti").dropDuplicates(["id", "digest"])
+    else:
+        reps = features(docs.join(_sent(others.select("id")), "id", "left_anti"), _hot(survey), k, num, den).where("n > 0")
+    reps = written(reps, "reps")
 
     keys = reps.select("id", F.explode("prefix").alias("key"))
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("least")).where("m > 1")
-    chosen = buckets.groupBy("m", "x", "least").agg(F.min("key").alias("key")).select("key", "m")
-    members = keys.join(chosen, "key")
+    chosen = written(buckets.groupBy("m", "x", "least").agg(F.min("key").alias("key")).select("key", "m"), "buckets")
+    members = keys.join(_sent(chosen), "key")
     members = written(members.join(reps.select("id", "n", "bits"), "id"), "members")
     block = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).cast("int")
 
     first = members.select("key", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), "id", "n", "bits", F.col("id").alias("comp"))
-    links = written(_verified(_walked(first, num, den, True), docs, k, num, den), "links")
+    likely = written(_walked(first, num, den, True), "likely")
+    links = written(_verified(likely, docs, k, num, den), "links")
     comps = written(components(links), "comps")
 
-    known = members.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    # a bucket of one block that gave no candidate has none
+    open_keys = likely.select("key").unionByName(chosen.where(F.col("m") > BLOCK).select("key")).distinct()
+    known = members.join(_sent(written(open_keys, "open")), "key").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     known = known.join(mixed, "key").withColumn("block", block).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
     # a member goes to the pair of its block with every block: once as the lower, once as the upper one
