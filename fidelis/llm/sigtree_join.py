@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from fidelis.llm._util import written
 from fidelis.llm.graph import components
 
-#: Members of a block, items of a leaf, children of a node, bits of a bitmap for each shingle; rows of ids or
-#: keys that are sent whole to executors at most (8 MB and little more).
-BLOCK, LEAF, FAN, BITS, SENT_IDS = 1024, 32, 4, 4, 1_000_000
-#: A shingle in more than this share of the documents comes last in the order; at most HOT of them.
-SHARE, HOT = 0.001, 100_000
+#: Members of a block, items of a leaf, children of a node; rows of ids or keys that are sent whole to
+#: executors at most (8 MB and little more).
+BLOCK, LEAF, FAN, SENT_IDS = 1024, 32, 4, 1_000_000
+#: A shingle that the batches count more often comes last in the order; at most HOT of them, the commonest.
+OFTEN, HOT = 30, 100_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)]
 
 
@@ -66,8 +66,11 @@ def shingles(text: str | None, k: int, known: dict) -> np.ndarray:
 
 
 def bitmap(sets: np.ndarray) -> np.ndarray:
-    """BITS bits or more for each member: a power of two of bits, at least 64."""
-    width = max(64, 1 << int(max(1, BITS * len(sets)) - 1).bit_length())
+    """A power of two of bits: four or more for each member of a small set, one or more for large ones; sets
+    that can reach a similarity of a half differ by one doubling at most."""
+    n = len(sets)
+    wanted = 4 * n if n <= 256 else 2 * n if n <= 1024 else n
+    width = max(64, 1 << int(max(1, wanted) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(sets & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -194,7 +197,7 @@ def _surveyed(rows: DataFrame, k: int) -> DataFrame:
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), none, none], names=names)
                 keys, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= max(3, SHARE * len(sets))
+                often = n >= 2
                 keys, n = keys[often].view(np.int64), n[often].astype(np.int64)
                 none = pa.nulls(len(keys), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n)], names=names)
@@ -204,9 +207,8 @@ def _surveyed(rows: DataFrame, k: int) -> DataFrame:
 
 def _hot(survey: DataFrame) -> np.ndarray:
     """Shingles of very many documents, sorted."""
-    total = survey.where("n IS NOT NULL").count()
     counts = survey.where("n IS NULL").groupBy("key").agg(F.sum("often").alias("n"))
-    often = counts.where(F.col("n") > max(20, SHARE * total)).orderBy(F.desc("n"), "key").limit(HOT)
+    often = counts.where(F.col("n") > OFTEN).orderBy(F.desc("n"), "key").limit(HOT)
     return np.sort(np.array([r.key for r in often.collect()], np.int64).view(np.uint64))
 
 
