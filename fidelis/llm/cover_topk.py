@@ -31,7 +31,7 @@ from fidelis.llm._util import written
 from fidelis.llm.vectors import best, firsts, groups, matrix, ranked, valid
 
 #: Cells, rows that pivots are chosen from, rows of a data block, points of a leaf, the base of the levels.
-CELLS, SAMPLE, BLOCK, LEAF, BASE = 24, 4000, 8192, 64, 1.3
+CELLS, SAMPLE, BLOCK, LEAF, BASE = 24, 4000, 8192, 512, 1.3
 #: Slack of bounds for rounding, in parts of the bound's terms.
 ROUND = 1e-9
 
