@@ -1,15 +1,16 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Tokens are lower-cased (A-Z) words between ASCII white space and one end a text. The root is the unigram
-model with 0.1 added to every count. Contexts of one and two words that reach `P_MIN` of the training
-tokens (so at most 1 / P_MIN of each length, whatever the corpus) are candidates; one is retained when
-its next-word distribution diverges from its longest retained suffix's by more than the cost of its
-parameters. Distributions are smoothed by absolute discounting into the suffix's, and every token is
+model with 0.1 added to every count. Runs of up to `DEPTH` words and a next one, all seen `LEAST` times in
+the training texts, are the candidates: an absolute count, so the tree grows with the corpus. A context is
+retained when its next-word distribution diverges from its longest retained suffix's by more than the cost
+of its parameters. Distributions are smoothed by absolute discounting into the suffix's, and every token is
 scored by the longest retained suffix of the words before it.
 
 Counts cover all training texts. Texts are dealt into chunks of about `CHUNK` characters, written once;
-word counts go back only to the chunks that hold the word (a word of a single chunk needs none), so no
-task holds the vocabulary and nothing that grows with it is broadcast.
+what is known of words and longer runs goes back by a join only to the chunks that hold them (a word of a
+single chunk that is too rare for a context needs none), so nothing that grows with the corpus is collected
+or broadcast and no task holds the vocabulary or the tree.
 
 Defined results: null text counts as empty (one token, the end); without training texts N and V are 0
 and every token is unknown; repeated rows count each; extra columns stay out.
@@ -29,9 +30,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from fidelis.llm._util import written
 
-#: Least share of a context in the training tokens, its least count, the discount, characters of a chunk.
-P_MIN, LEAST, DISCOUNT, CHUNK = 1e-5, 8, 0.75, 24_000_000
+#: Least count of a candidate, the discount, words of a context at most, characters of a chunk.
+LEAST, DISCOUNT, DEPTH, CHUNK = 8, 0.75, 4, 24_000_000
 END = b""
+#: Between two texts; a word too rare for a context is RARE less its count.
+BREAK, RARE = -1, -2
+LAID = "chunk bigint, kind int, key binary, add double, back double, id {}, train boolean, x binary"
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -65,9 +69,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tup
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:
-    """chunk, w, n: training count of every word in each chunk, 0 for words of other texts only."""
+    """chunk, w, n, e: training count of every word in each chunk, 0 for words of other texts only; e numbers the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = TaskContext.get().partitionId() << 32
         for chunk, rows in _runs(batches):
             own: dict[bytes, int] = {}
             for _, train, text in rows:
@@ -80,65 +85,181 @@ def word_counts(chunks: DataFrame) -> DataFrame:
             words, n = list(own), list(own.values())
             for at in range(0, len(words), 20_000):
                 part = words[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array(n[at : at + 20_000], pa.int64())], names=["chunk", "w", "n"])
+                numbers = pa.array(range(e, e + len(part)), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array(n[at : at + 20_000], pa.int64()), numbers], names=["chunk", "w", "n", "e"])
+                e += len(part)
 
-    return chunks.select("chunk", "train", "text").mapInArrow(run, "chunk bigint, w binary, n bigint")
+    return chunks.select("chunk", "train", "text").mapInArrow(run, "chunk bigint, w binary, n bigint, e bigint")
 
 
-def _grams(chunks: DataFrame, ids: dict[bytes, int], pairs: np.ndarray | None) -> DataFrame:
-    """key, n: training counts of pairs of frequent words (key a * M + b), or with the frequent pairs given
-    of triples both of whose pairs are frequent (key place of (a, b) * M + c)."""
-    sent, m = chunks.sparkSession.sparkContext.broadcast((ids, pairs)), len(ids)
+def _dealt(*tables: DataFrame) -> DataFrame:
+    """All rows of a chunk in one task: its dictionary (kind 0), what it is told (1), its texts (2)."""
+    rows = tables[0]
+    for other in tables[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, frequent = sent.value
-        for _, rows in _runs(batches):
-            kept, held = [], 0
-            counts: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def reduce(kept=kept, counts=counts):
-                k, n = np.unique(np.concatenate(kept), return_counts=True)
-                counts.append((k, n))
-                kept.clear()
-
-            for _, _, text in rows:
-                x = np.array([known.get(w, -1) for w in tokens(text)], np.int64)
-                a, b = x[:-1], x[1:]
-                key = np.where((a >= 0) & (b >= 0), a * m + b, -1)
-                if frequent is None:
-                    got = key[key >= 0]
-                elif len(key) > 1 and len(frequent):
-                    place = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
-                    fits = frequent[place] == key
-                    both = fits[:-1] & fits[1:]
-                    got = place[:-1][both] * m + x[2:][both]
-                else:
-                    continue
-                if len(got):
-                    kept.append(got)
-                    held += len(got)
-                if held > 4_000_000:
-                    reduce()
-                    held = 0
-            if kept:
-                reduce()
-            for k, n in counts:
-                for at in range(0, len(k), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 50_000]), pa.array(n[at : at + 50_000].astype(np.int64))], names=["key", "n"])
 
-    return chunks.where("train").select("chunk", "train", "text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+def _coded(chunks: DataFrame, total: DataFrame) -> DataFrame:
+    """Each chunk's dictionary (kind 0; key: numbers of its words of LEAST occurrences, x: their counts) and texts
+    (kind 2; x: places in the dictionary, RARE - count for other words)."""
+    kind = chunks.schema["id"].dataType.simpleString()
+    id_type, names = to_arrow_type(chunks.schema["id"].dataType), ["chunk", "kind", "key", "add", "back", "id", "train", "x"]
 
+    def batch(chunk, kinds, keys, ids, flags, xs):
+        n = len(xs)
+        none = pa.nulls(n, pa.float64())
+        columns = [pa.array([chunk] * n, pa.int64()), pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), none, none, pa.array(ids, id_type), pa.array(flags, pa.bool_()), pa.array(xs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in _runs(batches):
+            place: dict[bytes, int] = {}
+            told: list[tuple[int, int, int]] = []
+            docs, flags, parts, local = [], [], [], np.zeros(1024, np.int64)
+            for _, of, w, c, number, doc, train, text in rows:
+                if of == 0:
+                    told.append((place.setdefault(w, len(place)), c, -1 if number is None else number))
+                    continue
+                x = np.array([place.setdefault(t, len(place)) for t in tokens(text)], np.int32)
+                docs.append(doc)
+                flags.append(train)
+                parts.append(x)
+                if len(place) > len(local):
+                    local = np.r_[local, np.zeros(len(place), np.int64)]
+                if train:
+                    local += np.bincount(x, minlength=len(local))
+            if not docs:
+                continue
+            c, number = local[: len(place)].copy(), np.full(len(place), -1, np.int64)
+            if told:
+                where, value, of = (np.array(v, np.int64) for v in zip(*told, strict=True))
+                c[where], number[where] = value, of
+            del place, told
+            frequent = np.flatnonzero(number >= 0)
+            code = (RARE - c).astype(np.int32)
+            code[frequent] = np.arange(len(frequent))
+            yield batch(chunk, [0], [number[frequent].astype(">i8").tobytes()], [None], [None], [c[frequent].tobytes()])
+            for at in range(0, len(docs), 500):
+                some = [code[x].tobytes() for x in parts[at : at + 500]]
+                yield batch(chunk, [2] * len(some), [None] * len(some), docs[at : at + 500], flags[at : at + 500], some)
+
+    words = total.where("w IS NOT NULL").selectExpr("chunk", "0 AS kind", "w", "c", "number", f"CAST(NULL AS {kind}) AS id", "CAST(NULL AS boolean) AS train", "CAST(NULL AS string) AS text")
+    texts = chunks.selectExpr("chunk", "2 AS kind", "CAST(NULL AS binary) AS w", "CAST(NULL AS bigint) AS c", "CAST(NULL AS bigint) AS number", "id", "train", "text")
+    return written(_dealt(words, texts).mapInArrow(run, LAID.format(kind)), "codes")
+
+
+class Laid:
+    """A chunk's rows: numbers and counts of its dictionary, what it is told, and its texts end to end, each with
+    a BREAK after it."""
+
+    def __init__(self, rows: Iterator[tuple]):
+        self.number = self.count = np.zeros(0, np.int64)
+        self.keys, self.add, self.back, self.docs, self.flags = [], [], [], [], []
+        parts = []
+        for _, kind, key, add, back, doc, train, x in rows:
+            if kind == 0:
+                self.number, self.count = np.frombuffer(key, ">i8").astype(np.int64), np.frombuffer(x, np.int64)
+            elif kind == 1:
+                self.keys.append(key)
+                self.add.append(add)
+                self.back.append(back)
+            else:
+                self.docs.append(doc)
+                self.flags.append(train)
+                parts.append(np.frombuffer(x, np.int32))
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        gap = np.array([BREAK], np.int32)
+        self.x = np.concatenate([y for p in parts for y in (p, gap)]) if parts else np.zeros(0, np.int32)
+        self.m = max(1, len(self.number))
+
+    def places(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which told keys have so many words at least, and the place of each of those words in the dictionary."""
+        rows = np.array([i for i, k in enumerate(self.keys) if len(k) >= 8 * level], np.int64)
+        flat = np.frombuffer(b"".join(self.keys[i][8 * level - 8 : 8 * level] for i in rows), ">i8").astype(np.int64)
+        order = np.argsort(self.number)
+        return rows, order[np.searchsorted(self.number, flat, sorter=order)] if len(rows) else np.zeros(0, np.int64)
+
+
+def _found(known: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of keys among sorted known ones, -1 for others."""
+    if not len(known):
+        return np.full(len(key), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return np.where(known[at] == key, at, -1)
+
+
+def _grams(coded: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """chunk, key, n: training counts of pairs of frequent words in each chunk, or with the frequent pairs given of
+    runs of three to DEPTH + 1 words all of whose pairs are frequent; 0 for those of other texts only."""
+    depth, short = DEPTH, pairs is None
 
-def _collected(df: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts from a least count on: at most training tokens / least rows."""
-    rows = df.where(F.col("n") >= least).collect()
-    key, n = np.array([r.key for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
-    order = np.argsort(key)
-    return key[order], n[order]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in _runs(batches):
+            a = Laid(rows)
+            x, m = a.x.astype(np.int64), a.m
+            train = np.repeat(np.array(a.flags, bool), a.lengths + 1)
+            g = np.where(x >= 0, x, -1)
+            follows = (g[:-1] >= 0) & (g[1:] >= 0)
+            if not short:
+                first, second = a.places(1)[1], a.places(2)[1]
+                follows[follows] = _found(np.sort(first * m + second), (g[:-1] * m + g[1:])[follows]) >= 0
+            for level in range(2, 3 if short else depth + 2):
+                on = np.flatnonzero(follows & (g[:-1] >= 0)) + 1
+                if not len(on):
+                    break
+                key, at, of = np.unique(g[on - 1] * m + x[on], return_index=True, return_inverse=True)
+                if short or level > 2:
+                    n = np.bincount(of, train[on], len(key)).astype(np.int64)
+                    place = on[at]
+                    for i in range(0, len(key), 50_000):
+                        end = place[i : i + 50_000]
+                        words = a.number[x[end[:, None] + np.arange(1 - level, 1)]].astype(">i8")
+                        got = pa.Array.from_buffers(pa.binary(8 * level), len(end), [None, pa.py_buffer(words.tobytes())]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(end), chunk, np.int64)), got, pa.array(n[i : i + 50_000])], names=["chunk", "key", "n"])
+                g = np.full(len(x), -1, np.int64)
+                g[on] = of
+
+    told = [] if pairs is None else [pairs.select("chunk", F.lit(1).alias("kind"), "key")]
+    return _dealt(coded, *told).mapInArrow(run, "chunk bigint, key binary, n bigint")
+
+
+def _frequent(grams: DataFrame, name: str) -> DataFrame:
+    """chunk, key, c, one (in a single row of each key): runs of LEAST occurrences in the chunks that hold them."""
+    same = Window.partitionBy("key")
+    rows = grams.select("chunk", "key", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("one"))
+    return written(rows.where(F.col("c") >= LEAST), name)
+
+
+def grown(grams: DataFrame, whole: float) -> DataFrame:
+    """key, add, back: of all frequent runs (key: numbers of eight bytes, c) the discounted probability after a
+    retained context, and of retained contexts the mass left to the suffix; null for others."""
+    total = grams.select(F.col("key").alias("p"), F.col("c").alias("total"))
+    rows = grams.where("length(key) > 8").selectExpr("key", "c", "substring(key, 1, length(key) - 8) AS p", "substring(key, 9) AS s").join(total, "p")
+    rows = rows.withColumn("add", (F.col("c") - DISCOUNT) / F.col("total"))
+    states = rows.groupBy("p").agg(F.sum("add").alias("used"), F.sum("c").alias("seen"), F.count(F.lit(1)).alias("kinds"))
+    rows = written(rows.join(states.select("p", F.greatest(1 - F.col("used"), F.lit(1e-12)).alias("back"), "seen", "kinds"), "p"), "grams")
+    under = grams.where("length(key) = 8").select(F.col("key").alias("s"), ((F.col("c") + 0.1) / whole).alias("under"))
+    values = []
+    for level in range(2, DEPTH + 2):
+        mine = rows.where(F.length("key") == 8 * level).join(under, "s")
+        gain = F.sum(F.col("c") * F.log((F.col("add") + F.col("back") * F.col("under")) / F.col("under")))
+        states = mine.groupBy("p", "back", "seen", "kinds", "total").agg(gain.alias("gain"))
+        gain = F.col("gain") + F.greatest(F.col("total") - F.col("seen"), F.lit(0)) * F.log("back")
+        kept = written(states.where(gain > 0.5 * F.col("kinds") * F.log(F.greatest("total", F.lit(2)))).select("p", "back"), "states")
+        mine = mine.join(kept.select("p", F.lit(True).alias("on")), "p", "left")
+        now = written(mine.select("key", F.when(F.col("on"), F.col("add")).alias("add"), F.when(F.col("on"), F.col("add") + F.col("back") * F.col("under")).otherwise(F.col("under")).alias("under")), "probabilities")
+        none = F.lit(None).cast("double")
+        values += [now.where("add IS NOT NULL").select("key", "add", none.alias("back")), kept.select(F.col("p").alias("key"), none.alias("add"), "back")]
+        under = now.select(F.col("key").alias("s"), "under")
+    rows = values[0]
+    for other in values[1:]:
+        rows = rows.unionByName(other)
+    return rows.groupBy("key").agg(F.max("add").alias("add"), F.max("back").alias("back"))
 
 
 class Tree:
-    """Retained contexts. keys1/add1: explicit next words after one word; keys2/add2: after two."""
+    """The same tree of at most two words in memory, to compare with. keys1/add1: explicit next words after one word; keys2/add2: after two."""
 
     def __init__(self, m: int, counts: np.ndarray, root: np.ndarray, pairs, triples):
         self.m = m
@@ -196,69 +317,80 @@ def _probabilities(tree, x: np.ndarray, first: np.ndarray, p: np.ndarray) -> np.
     return p
 
 
-def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", p_min: float = P_MIN) -> DataFrame:
+def _scored(a: Laid, whole: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token of a chunk: its training count, its probability at the root and by its longest retained context."""
+    x, m = a.x.astype(np.int64), a.m
+    c = np.where(x >= 0, a.count[np.maximum(x, 0)] if len(a.count) else 0, RARE - x)
+    c = np.where(x == BREAK, 0, c)
+    root = (c + 0.1) / whole
+    p, g = root, np.where(x >= 0, x, -1)
+    add, back = (np.array([np.nan if v is None else v for v in of]) for of in (a.add, a.back))
+    sizes, node = np.array([len(k) // 8 for k in a.keys], np.int64), np.zeros(len(a.keys), np.int64)
+    known = np.zeros(0, np.int64)
+    for level in range(1, max([*sizes.tolist(), 0]) + 1):
+        rows, word = a.places(level)
+        before, on = g, np.zeros(0, bool)
+        if level == 1:
+            node[rows], size = word, m
+        else:
+            # nodes of this length: all told runs' starts
+            known, node[rows] = np.unique(node[rows] * m + word, return_inverse=True)
+            size = len(known)
+            g = np.full(len(x), -1, np.int64)
+            at = np.flatnonzero((before[:-1] >= 0) & (x[1:] >= 0)) + 1
+            g[at] = _found(known, before[at - 1] * m + x[at])
+        full = np.flatnonzero(sizes == level)
+        adds, backs = np.full(size, np.nan), np.full(size, np.nan)
+        adds[node[full]], backs[node[full]] = add[full], back[full]
+        if level > 1:
+            state = np.r_[-1, before[:-1]]
+            on = (state >= 0) & (x != BREAK)
+            left = np.where(on, mass[state], np.nan)  # noqa: F821 (of the level before)
+            own = np.where(g >= 0, np.nan_to_num(adds[g]) if size else 0, 0)
+            p = np.where(np.isnan(left), p, left * p + own)
+        mass = backs
+    return c, root, p
+
+
+def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of whole texts)."""
-    spark = df.sparkSession
     chunks = chunked(df, train, key, text)
     word = Window.partitionBy("w")
-    total = word_counts(chunks).select("chunk", "w", F.sum("n").over(word).alias("c"), F.count(F.lit(1)).over(word).alias("k"), F.row_number().over(word.orderBy("chunk")).alias("r"), "n")
+    total = word_counts(chunks).select("chunk", "w", F.sum("n").over(word).alias("c"), F.count(F.lit(1)).over(word).alias("k"), F.min("e").over(word).alias("number"), "e")
     # a word of one chunk: its chunk knows the count, so the word itself need not be kept
-    total = written(total.select("chunk", F.when((F.col("k") > 1) | (F.col("c") >= LEAST), F.col("w")).alias("w"), "c", "k", (F.col("r") == 1).alias("one")), "words")
+    often = F.col("c") >= LEAST
+    total = total.select("chunk", F.when((F.col("k") > 1) | often, F.col("w")).alias("w"), "c", F.when(often, F.col("number")).alias("number"), (F.col("number") == F.col("e")).alias("one"))
+    total = written(total, "words")
     size = total.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = size[0], size[1]
-
-    least = max(LEAST, p_min * n)
-    frequent = sorted((bytes(r.w), r.c) for r in total.where(F.col("one") & (F.col("c") >= least)).select("w", "c").collect())
-    ids, counts = {w: i for i, (w, _) in enumerate(frequent)}, np.array([c for _, c in frequent], np.int64)
     whole = n + 0.1 * (v + 1)
-    pairs = _collected(_grams(chunks, ids, None), least)
-    triples = _collected(_grams(chunks, ids, pairs[0]), least)
-    t = Tree(len(ids), counts, (counts + 0.1) / whole, pairs, triples)
-    sent = spark.sparkContext.broadcast((ids, (t.m, t.pairs, t.keys1, t.add1, t.back1, t.kept1, t.keys2, t.add2, t.back2, t.kept2)))
+
+    coded = _coded(chunks, total)
+    pairs = _frequent(_grams(coded), "pairs")
+    longer = _frequent(_grams(coded, pairs), "runs")
+    words = total.where("number IS NOT NULL").select("chunk", F.unhex(F.lpad(F.hex("number"), 16, "0")).alias("key"), "c", "one")
+    runs = words.unionByName(pairs).unionByName(longer)
+    tree = grown(runs.where("one").select("key", "c"), whole)
+    told = runs.select("chunk", "key").join(tree, "key").select("chunk", F.lit(1).alias("kind"), "key", "add", "back")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tree = sent.value
         for _, rows in _runs(batches):
-            place: dict[bytes, int] = {}
-            told: list[tuple[int, int]] = []
-            docs, flags, parts, local = [], [], [], np.zeros(1024, np.int64)
-            for _, kind, w, c, doc, is_train, body in rows:
-                if kind == 0:
-                    told.append((place.setdefault(w, len(place)), c))
-                    continue
-                x = np.array([place.setdefault(t, len(place)) for t in tokens(body)], np.int32)
-                docs.append(doc)
-                flags.append(is_train)
-                parts.append(x)
-                if len(place) > len(local):
-                    local = np.r_[local, np.zeros(len(place), np.int64)]
-                if is_train:
-                    local += np.bincount(x, minlength=len(local))
-            if not docs:
+            a = Laid(rows)
+            if not a.docs:
                 continue
-            c = local[: len(place)].copy()
-            if told:
-                where, value = zip(*told, strict=True)
-                c[list(where)] = value
-            number = np.array([known.get(w, -1) for w in place], np.int64)
-            root = (c + 0.1) / whole
-            for at in range(0, len(docs), 500):
-                some = parts[at : at + 500]
-                lengths = np.array([len(s) for s in some])
-                starts = np.r_[0, np.cumsum(lengths)[:-1]]
-                x = np.concatenate(some)
-                first = np.arange(len(x)) - np.repeat(starts, lengths)
-                base = np.add.reduceat(np.log10(root[x]), starts)
-                full = np.add.reduceat(np.log10(_probabilities(tree, number[x], first, root[x])), starts)
-                seen = np.add.reduceat((c[x] > 0).astype(np.int64), starts)
+            c, root, p = _scored(a, whole)
+            starts = np.r_[0, np.cumsum(a.lengths + 1)[:-1]]
+            inside = a.x != BREAK
+            base = np.add.reduceat(np.where(inside, np.log10(root), 0), starts)
+            full = np.add.reduceat(np.where(inside, np.log10(p), 0), starts)
+            seen = np.add.reduceat((c > 0).astype(np.int64), starts)
+            for at in range(0, len(a.docs), 5000):
+                to = slice(at, at + 5000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[at : at + 500], id_type), pa.array(flags[at : at + 500], pa.bool_()), pa.array(lengths.astype(np.int64)), pa.array(seen), pa.array([n] * len(some), pa.int64()), pa.array(base), pa.array(full)],
+                    [pa.array(a.docs[to], id_type), pa.array(a.flags[to], pa.bool_()), pa.array(a.lengths[to]), pa.array(seen[to]), pa.array([n] * len(seen[to]), pa.int64()), pa.array(base[to]), pa.array(full[to])],
                     names=names,
                 )
 
     id_type, names = to_arrow_type(chunks.schema["id"].dataType), [key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kind = chunks.schema["id"].dataType.simpleString()
-    slices = total.where("k > 1").selectExpr("chunk", "0 AS kind", "w", "c", f"CAST(NULL AS {kind}) AS id", "CAST(NULL AS boolean) AS train", "CAST(NULL AS string) AS text")
-    texts = chunks.selectExpr("chunk", "1 AS kind", "CAST(NULL AS binary) AS w", "CAST(NULL AS bigint) AS c", "id", "train", "text")
-    dealt = slices.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
-    return dealt.mapInArrow(run, f"`{key}` {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return _dealt(coded, told).mapInArrow(run, f"`{key}` {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

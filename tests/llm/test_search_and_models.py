@@ -165,3 +165,56 @@ def test_toxicity(spark):
     assert np.mean([got[i].predicted == (i % 4 == 0) for i in held]) >= 0.95
     assert got[400].score == got[401].score and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
     assert {r.score for r in zdict_toxicity.score(df, zdict_toxicity.fit(df, names.limit(0), F.lit(True))).collect()} == {0.0}
+
+
+def suffix_brute(rows, depth, least):
+    """log10 scores by the definition, all in dictionaries."""
+    toks = {i: [*t.encode().lower().split(), b""] for i, t in rows}
+    counts = {}
+    for i, x in toks.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            for size in range(1, depth + 2):
+                for j in range(len(x) - size + 1):
+                    g = tuple(x[j : j + size])
+                    counts[g] = counts.get(g, 0) + 1
+    n, v = sum(c for g, c in counts.items() if len(g) == 1), sum(len(g) == 1 for g in counts)
+    after = {}
+    for g, c in counts.items():
+        if len(g) > 1 and c >= least:
+            after.setdefault(g[:-1], {})[g[-1]] = c
+    kept = {}
+
+    def prob(ctx, w):
+        while ctx and ctx not in kept:
+            ctx = ctx[1:]
+        if not ctx:
+            return (counts.get((w,), 0) + 0.1) / (n + 0.1 * (v + 1))
+        add, back = kept[ctx]
+        return back * prob(ctx[1:], w) + add.get(w, 0)
+
+    for size in range(1, depth + 1):
+        new = {}
+        for ctx, following in after.items():
+            if len(ctx) == size:
+                total = counts[ctx]
+                add = {w: (c - suffix_lm.DISCOUNT) / total for w, c in following.items()}
+                back = max(1 - sum(add.values()), 1e-12)
+                under = {w: prob(ctx[1:], w) for w in following}
+                gain = sum(c * math.log((add[w] + back * under[w]) / under[w]) for w, c in following.items()) + (total - sum(following.values())) * math.log(back)
+                if gain > 0.5 * len(following) * math.log(max(total, 2)):
+                    new[ctx] = (add, back)
+        kept.update(new)
+    return {i: sum(math.log10(prob(tuple(x[max(0, j - depth) : j]), w)) for j, w in enumerate(x)) for i, x in toks.items()}, kept
+
+
+def test_suffix_tree_grows_with_the_corpus(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(suffix_lm, "CHUNK", 40_000)  # several chunks
+    rows = []
+    for i in range(700):  # 1.1 million tokens: 1e-5 of them is more than the least count
+        rows.append((i, " ".join(f"w{k}" for k in rng.integers(0, 20_000, 1600)) + (" alpha beta gamma delta epsilon" if i % 50 == 0 else " delta x" if i % 3 else " beta gamma y")))
+    df = spark.createDataFrame([(*r, "en", "s", "x") for r in rows], DOCS).repartition(3)
+    got = {r.doc_id: r.score for r in suffix_lm.score(df, remainder("doc_id", 10) != 0).collect()}
+    want, kept = suffix_brute(rows, suffix_lm.DEPTH, suffix_lm.LEAST)
+    assert max(map(len, kept)) > 2 and (b"alpha",) in kept  # 13 of 1.0 million training tokens, and contexts of over two words
+    assert got == {i: pytest.approx(w) for i, w in want.items()}
