@@ -1,9 +1,10 @@
 """Main text of web pages by consensus of each host's pages.
 
-Every page is read once to score its containers: the deepest element that holds most of the page's
-unlinked text, outside menus, adverts and the like, casts a vote for its generalised tag-class path
+Every page is read once to score its containers: the deepest element that holds all of the page's
+unlinked text outside menus, adverts and the like casts a vote for its generalised tag-class path
 (digits in classes become #). Votes are summed per host in Spark, and every page is extracted again
-with its host's winning path; a page without that path, or without text there, uses its own best.
+with its host's winning path; a page where that path lacks some of this text uses its own best, and all
+its text where no element holds it. The winner so decides about blocks that are mostly links.
 
 Defined results: null html is empty; a page without text gives an empty string; a null url forms a host
 of its own; repeated rows are extracted each; extra columns stay out of the result.
@@ -19,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Share of the unlinked text that the voted container must hold.
-COVER = 0.8
 #: Elements whose content is never text of the article, and names that say the same.
 SKIPPED = frozenset("head title nav header footer aside form script style noscript template svg iframe button select textarea object canvas dialog menu audio video map math label fieldset".split())
 RAW = frozenset("script style noscript template svg iframe textarea title math".split())
@@ -48,6 +47,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], int]], li
     words: list[str] = []
     links = [0]
     in_link = 0
+    titled = False  # a title is text though it is a link
     page = page or ""
 
     def flush() -> None:
@@ -64,7 +64,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], int]], li
         start = m.start() if m else n
         if start > at and not (stack and stack[-1][3]):
             words.append(page[at:start])
-            if in_link:
+            if in_link and not titled:
                 links[0] += start - at
         if not m:
             break
@@ -77,6 +77,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], int]], li
                 in_link = max(0, in_link - 1)
             if tag in BLOCKS or tag in SKIPPED:
                 flush()
+                titled = False
             if tag in HOLDERS and any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
                     pass
@@ -84,6 +85,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], int]], li
         if tag in BLOCKS or tag in SKIPPED:
             flush()
             in_link = 0
+            titled = tag == "h1"
         elif tag == "br":
             words.append(" ")
         elif tag == "a":
@@ -112,15 +114,19 @@ def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], int]], li
     return out, paths
 
 
+def unlinked(found: list[tuple[str, tuple[int, ...], int]]) -> int:
+    return sum(max(0, len(text) - 2 * links) for text, _, links in found)
+
+
 def best(found: list[tuple[str, tuple[int, ...], int]], paths: list[str]) -> tuple[str, int] | None:
-    """The deepest holder of most unlinked text: its path and that text's length."""
+    """The deepest holder of all unlinked text: its path and that text's length."""
     held: dict[int, int] = {}
     for text, chain, links in found:
         own = max(0, len(text) - 2 * links)
         for node in chain:
             held[node] = held.get(node, 0) + own
-    total = sum(max(0, len(t) - 2 * k) for t, _, k in found)
-    fits = [(len(paths[i].split(">")), -i) for i, v in held.items() if v >= COVER * total and v > 0]
+    total = unlinked(found)
+    fits = [(len(paths[i].split(">")), -i) for i, v in held.items() if v == total > 0]
     if not fits:
         return None
     i = -max(fits)[1]
@@ -128,17 +134,17 @@ def best(found: list[tuple[str, tuple[int, ...], int]], paths: list[str]) -> tup
 
 
 def text_of(page: str | None, path: str | None) -> str:
-    """The page's blocks under the path, else under its own best container, else all."""
+    """The page's blocks under the path if all unlinked text is there, else under its own best container, else all."""
     found, paths = blocks(page)
     if not found:
         return ""
     inside = {i for i, p in enumerate(paths) if p == path}
-    taken = [t for t, chain, _ in found if inside.intersection(chain)] if inside else []
-    if not taken:
+    taken = [block for block in found if inside.intersection(block[1])] if inside else []
+    if not taken or unlinked(taken) < unlinked(found):
         own = best(found, paths)
         inside = {i for i, p in enumerate(paths) if own and p == own[0]}
-        taken = [t for t, chain, _ in found if not own or inside.intersection(chain)]
-    return "\n".join(taken)
+        taken = [block for block in found if not own or inside.intersection(block[1])]
+    return "\n".join(text for text, _, _ in taken)
 
 
 def host(url: str) -> F.Column:

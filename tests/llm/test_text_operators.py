@@ -84,6 +84,19 @@ def test_pages(spark):
     assert html.unescape("&copy;") not in body
 
 
+def test_pages_keep_whole_articles(spark):
+    long = "long body text " * 60
+    nested = f"<article><h1><a href=/t>Title</a></h1><p>A lead.</p><div class=body><p>{long}</p></div><p>End note.</p></article>"
+    other = f"<article><p>Short.</p></article><div class=story><p>{long}</p></div>"
+    listed = f"<section><h2>Steps</h2><ul><li>{long}</li></ul></section>"
+    links = "<div class=x><a href=/1>one</a> <a href=/2>two</a></div>"
+    pages = [(i, "https://h.example/", PAGE.format(nested + links)) for i in range(3)] + [(3, "https://h.example/", PAGE.format(other)), (4, "https://l.example/", PAGE.format(listed))]
+    got = {r.page_id: r.text for r in host_paths.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    body = long.strip()
+    assert all(got[i] == f"Title\nA lead.\n{body}\nEnd note." for i in range(3))
+    assert got[3] == f"Short.\n{body}" and got[4] == f"Steps\n{body}"
+
+
 def near_texts(seed=2):
     rng = np.random.default_rng(seed)
     word = lambda: f"w{rng.integers(0, 4000)}"
