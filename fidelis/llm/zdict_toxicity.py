@@ -6,10 +6,12 @@ raw content because the trainer drops rare runs; the ordinary one gets the same
 so both are equally long. A text is cut into windows at word ends; the gain of a window is what the toxic
 dictionary saves over the ordinary one. Windows of some gain are looked at again word by word, each word
 after one fixed context. A logistic model over the counts of gains gives the score; its intercept is set
-so that the best threshold on labelled rows, scored by dictionaries of the other half of them, falls on 0.3.
+so that the best threshold on all labelled training rows falls on 0.3.
 
-Fitting takes at most about `toxic_rows` and `other_rows` labelled rows (by hash of the id) of up to
-`LONGEST` characters; scoring reads whole texts, window by window.
+Dictionaries and weights are fitted on at most about `toxic_rows` and `other_rows` labelled rows (by hash of
+the id) of up to `LONGEST` characters. The threshold is chosen from all labelled rows of any length, scored in
+Spark (those of the sample by dictionaries of its other half) and counted by label in bins of `BIN`. Scoring
+reads whole texts, window by window.
 
 Defined results: null and empty texts score like a text without windows; without labelled rows of both
 kinds every score is 0; several labels of a document count as toxic if one is; extra columns stay.
@@ -17,6 +19,7 @@ kinds every score is 0; several labels of a document count as toxic if one is; e
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +35,8 @@ THRESHOLD = 0.3
 TOXIC_ROWS, OTHER_ROWS, LONGEST = 1500, 3500, 100_000
 #: Bytes of a window before its last word ends, of an evidence run at least, of the ordinary dictionary.
 WINDOW, GRAM, ORDINARY = 64, 5, 16384
+#: Width of the bins in which labelled rows are counted for the threshold, labelled ids broadcast at most.
+BIN, SENT = 0.01, 1_000_000
 #: Word gains kept in a worker at most.
 KEPT = 200_000
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -169,17 +174,52 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, text: str = "text", key
         gains = Gains(*half)
         xs += [gains.of(t) for _, _, t in rest]
         ys += [y for y, *_ in rest]
-    contents, x, y = taught(low), np.array(xs), np.array(ys, float)
-    w = logistic(x, y)
-    z = x @ w[:-1] + w[-1]
-    order = np.sort(np.unique(z))
-    mids = np.r_[order[0] - 1, (order[1:] + order[:-1]) / 2] if len(order) > 1 else order
-    mids = mids[:: max(1, len(mids) // 2000)]
-    best = max(mids, key=lambda m: (round(2 * ((z >= m) & (y == 1)).sum() / max(1, (z >= m).sum() + y.sum()), 4), -abs(m)))
-    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - best
+    contents, w = taught(low), logistic(np.array(xs), np.array(ys, float))
+    own = {(d, _digest(t)): i % 2 for i, (d, _, t) in enumerate(rows)}
+    used = (contents, taught(halves[1]), taught(halves[0]))
+    texts = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"), draw.alias("_d"))
+    names = one.select(F.col(key).alias("_k"), "_y")
+    if sum(counts.values()) <= SENT:
+        texts = texts.join(F.broadcast(names.select("_k")), "_k", "left_semi")
+    bins = margins(texts, used, w, own).join(names, "_k").groupBy(F.floor(F.col("_z") / BIN).alias("bin"))
+    bins = bins.agg(F.min("_z").alias("least"), F.max("_z").alias("most"), F.count(F.when(F.col("_y") == 1, 1)).alias("toxic"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
+    w[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) - cut(bins)
     return (*contents, w)
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def margins(texts: DataFrame, contents, w: np.ndarray, own: dict[tuple[int, bytes], int]) -> DataFrame:
+    """texts: _k, _t, _d. _k, _z: the model's log odds, for rows of the sample (own: half of draw and text) by the
+    dictionaries of its other half. Texts aren't shuffled."""
+    sent = texts.sparkSession.sparkContext.broadcast((contents, w, own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contents, w, own = sent.value
+        gains, drawn = [Gains(*c) for c in contents], {d for d, _ in own}
+        for batch in batches:
+            z = []
+            for t, d in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                half = own.get((d, _digest(t))) if t and d in drawn else None
+                z.append(float(gains[0 if half is None else half + 1].of(t) @ w[:-1] + w[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.float64())], names=["_k", "_z"])
+
+    return texts.mapInArrow(run, T.StructType([texts.schema["_k"], T.StructField("_z", T.DoubleType())]))
+
+
+def cut(bins) -> float:
+    """The best threshold by F1 between bins (least, most, toxic, n) in order; among equals the nearest to 0."""
+    if not bins:
+        return 0.0
+    least, most, toxic, n = (np.array([b[c] for b in bins], float) for c in ("least", "most", "toxic", "n"))
+    at = np.r_[least[0] - 1, (least[1:] + most[:-1]) / 2] if len(bins) > 1 else least
+    caught, taken = toxic[::-1].cumsum()[::-1], n[::-1].cumsum()[::-1]
+    f1 = np.round(2 * caught / np.maximum(1, taken + toxic.sum()), 4)
+    return float(max(zip(f1, -abs(at), at, strict=True))[2])
+
+
 def score(df: DataFrame, model, text: str = "text") -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from the threshold on)."""
     sent = df.sparkSession.sparkContext.broadcast(model)

@@ -167,6 +167,32 @@ def test_toxicity(spark):
     assert {r.score for r in zdict_toxicity.score(df, zdict_toxicity.fit(df, names.limit(0), F.lit(True))).collect()} == {0.0}
 
 
+def test_toxicity_threshold_of_all_labels(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["".join(p) for p in rng.choice(["ta", "re", "mi", "no", "lu", "ke", "so", "pi"], (300, 3))]
+    kinds = []
+    for i in range(2000):  # the word once: a toxic text of the sample, but mostly an ordinary one of the corpus
+        toxic = i % 20 == 0
+        times = (1 if i % 140 == 0 else 4) if toxic else int(rng.random() < 0.025)
+        body = rng.choice(words, 100).tolist()
+        for j in range(times):
+            body[10 + 25 * j] = "grumbledork"
+        kinds.append((i, toxic, times, " ".join(body)))
+    # a label of a text that is longer than those of the sample counts for the threshold, too
+    long = zdict_toxicity.LONGEST // 5
+    df = spark.createDataFrame([(i, t) for i, _, _, t in kinds] + [(2000, " ".join(rng.choice(words, long)))], "doc_id long, text string")
+    names = spark.createDataFrame([(i, int(toxic)) for i, toxic, _, _ in kinds] + [(2000, 0)], "doc_id long, toxic int")
+    counted, own = [], zdict_toxicity.cut
+    monkeypatch.setattr(zdict_toxicity, "cut", lambda bins: counted.append(sum(b["n"] for b in bins)) or own(bins))
+    model = zdict_toxicity.fit(df, names, F.lit(True), toxic_rows=100, other_rows=100)
+    assert counted == [2001]
+    monkeypatch.setattr(zdict_toxicity, "SENT", 0)  # as with more labels than are broadcast
+    assert zdict_toxicity.fit(df, names, F.lit(True), toxic_rows=100, other_rows=100)[2].tolist() == model[2].tolist()
+    got = {r.doc_id: r.predicted for r in zdict_toxicity.score(df, model).collect()}
+    assert np.mean([got[i] for i, toxic, times, _ in kinds if not toxic and times]) < 0.2
+    assert np.mean([got[i] for i, toxic, times, _ in kinds if toxic and times > 1]) > 0.9
+
+
 def suffix_brute(rows, depth, least):
     """log10 scores by the definition, all in dictionaries."""
     toks = {i: [*t.encode().lower().split(), b""] for i, t in rows}
