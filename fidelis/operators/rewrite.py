@@ -1,7 +1,9 @@
 """Rewriting with a language model behind a small protocol: prompts, replies, the bounded repair loop.
 
-A provider has complete(prompt) -> str. Units are rewritten in parallel; a unit whose calls all fail keeps its
-text, and a document whose revision fails the gate after the repairs is given back as it was.
+A provider has complete(prompt) -> str. It is asked for each document's lock (atoms and claims) and a diagnosis, for
+each unit's new text, and for a review of each revision that passes the gate, whose verdicts on claims are hard
+violations. Units are rewritten in parallel; a unit whose calls all fail keeps its text, a lock, diagnosis or review
+that fails is left out, and a document whose revision fails gate or review after the repairs is given back as it was.
 """
 
 from __future__ import annotations
@@ -12,11 +14,11 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fidelis.operators import atoms
+from fidelis.operators import atoms, claims
 from fidelis.operators.fidelity import Check
 from fidelis.plans import segment
 from fidelis.plans.durable import durable
@@ -108,16 +110,71 @@ def asked(rows: DataFrame, provider: Callable[[], object], column: str = "prompt
     return rows.mapInArrow(run, T.StructType(rows.schema.fields + more))
 
 
-PROMPT = "Rewrite the text without changing any fact.\nlanguage: {{lang}}\ninstructions: {{instructions}}\ntext:\n{{text}}\nReply as JSON with rewritten_text."
-
-
-def rewritten(units: DataFrame, provider: Callable[[], object]) -> DataFrame:
-    """units: doc_id, block, text, instructions. New texts (doc_id, block, text) of units that got one; outer white
-    space is the old text's."""
-    prompt = F.lit(PROMPT)
-    for name, value in (("lang", F.lit("")), ("instructions", F.coalesce("instructions", F.lit(""))), ("text", F.col("text"))):
-        prompt = F.replace(prompt, F.lit("{{" + name + "}}"), value)
-    got = asked(units.withColumn("prompt", prompt), provider).withColumn("new", F.from_json("reply", "rewritten_text string")["rewritten_text"])
+PROMPT = (
+    "Rewrite the text without changing any fact.\nlanguage: {{lang}}\nissues: {{issues}}\nlocked: {{locked}}\nclaims: {{claims}}\n"
+    "instructions: {{instructions}}\ntext:\n{{text}}\nReply as JSON with rewritten_text."
+)
+LOCK_PROMPT = (
+    "List what must survive a rewriting of the text unchanged and is not listed yet: quantities in words, terms, methods, conditions, sources, "
+    "each as it stands in the text; and its claims, one statement each.\nlisted: {{locked}}\nglossary: {{glossary}}\ntext:\n{{text}}\n"
+    f"Reply as JSON with atoms (type, surface, context) and claims (kind: {', '.join(claims.CLAIM_KINDS)}; strength: {', '.join(claims.STRENGTHS)}; text)."
+)
+DIAGNOSIS_PROMPT = "Diagnose what makes the text read unnaturally.\ntext:\n{{text}}\nReply as JSON with issues."
+REVIEW_PROMPT = (
+    "Judge whether the revised text keeps each claim of the original.\nclaims:\n{{claims}}\noriginal:\n{{original}}\nrevised:\n{{text}}\n"
+    "Reply as JSON with claims (id, verdict: entailed, weakened, strengthened, contradicted, dropped or added_new; evidence), naturalness, academic, "
+    "decision and repair_instructions."
+)
+
+
+def prompted(template: str, **values: Column) -> Column:
+    """fill() by columns; nulls count as empty, and places that a value holds stay as they are."""
+    parts = re.split(r"\{\{(\w+)\}\}", template)
+    return F.concat(*[F.coalesce(values[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def enriched(normal: DataFrame, provider: Callable[[], object]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The lock with the model's atoms, its claims, and doc_id, locked (surfaces), claims, issues for prompts."""
+    lock = durable(atoms.extract(normal))
+    listed = lock.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "surface"))), lambda x: x["surface"]).alias("surfaces"))
+    rows = normal.join(listed, "doc_id", "left").where(F.length(F.trim("text")) > 0)
+    told = prompted(LOCK_PROMPT, locked=F.array_join("surfaces", "; "), glossary=F.array_join("glossary", "; "), text=F.col("text"))
+    replies = durable(claims.parsed(asked(rows.select("doc_id", told.alias("prompt")), provider).select("doc_id", "reply"), claims.LOCK_REPLY))
+    lock, registered = durable(claims.merged(lock, replies, normal)), durable(claims.claims(replies))
+    found = durable(asked(rows.select("doc_id", prompted(DIAGNOSIS_PROMPT, text=F.col("text")).alias("prompt")), provider).select("doc_id", F.get_json_object("reply", "$.issues").alias("issues")))
+    held = lock.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "surface"))), lambda x: x["surface"]).alias("locked"))
+    lines = registered.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "claim_id", "kind", "strength", "text"))), "\n").alias("claims"))
+    return lock, registered, durable(normal.select("doc_id").join(held, "doc_id", "left").join(lines, "doc_id", "left").join(found, "doc_id", "left"))
+
+
+def reviewed(original: DataFrame, revised: DataFrame, notes: DataFrame, provider: Callable[[], object]) -> DataFrame:
+    """doc_id, claim_id, verdict, evidence, advice: the judge's verdicts on the claims of the revised documents."""
+    rows = revised.select("doc_id", "text").join(original.select("doc_id", F.col("text").alias("original")), "doc_id").join(notes.select("doc_id", "claims"), "doc_id", "left")
+    told = prompted(REVIEW_PROMPT, claims=F.col("claims"), original=F.col("original"), text=F.col("text"))
+    # a text that is the original word for word keeps its claims
+    replies = asked(rows.where("text <> original").select("doc_id", told.alias("prompt")), provider).select("doc_id", "reply")
+    got = claims.parsed(replies, f"{claims.REVIEW_REPLY}, repair_instructions array<string>")
+    one = got.select("doc_id", F.array_join("reply.repair_instructions", "; ").alias("advice"), F.explode("reply.claims").alias("c"))
+    return one.select("doc_id", F.col("c.id").alias("claim_id"), F.lower(F.trim("c.verdict")).alias("verdict"), "c.evidence", "advice")
+
+
+def claim_violations(verdicts: DataFrame) -> DataFrame:
+    """The hard violations among verdicts, in the gate's columns."""
+    rows = claims.review_violations(verdicts).join(verdicts.groupBy("doc_id").agg(F.max("advice").alias("advice")), "doc_id")
+    detail = F.concat_ws(" ", "claim_id", "evidence", F.nullif("advice", F.lit("")))
+    return rows.select("doc_id", "rule", F.lit("hard").alias("severity"), detail.alias("detail"), F.lit("").alias("before"), F.lit("").alias("after"))
+
+
+def rewritten(units: DataFrame, provider: Callable[[], object], notes: DataFrame | None = None) -> DataFrame:
+    """units: doc_id, block, text, instructions; notes: doc_id, locked, claims, issues. New texts (doc_id, block, text)
+    of units that got one; outer white space is the old text's."""
+    none = F.lit("")
+    known = {"issues": none, "locked": none, "claims": none}
+    if notes is not None:
+        units = units.join(notes, "doc_id", "left")
+        known = {"issues": F.col("issues"), "locked": F.array_join(F.filter("locked", lambda x: F.contains(F.col("text"), x)), "; "), "claims": F.col("claims")}
+    prompt = prompted(PROMPT, lang=none, instructions=F.col("instructions"), text=F.col("text"), **known)
+    got = asked(units.select("doc_id", "block", "text", prompt.alias("prompt")), provider).withColumn("new", F.from_json("reply", "rewritten_text string")["rewritten_text"])
     lead, trail = F.regexp_extract("text", r"^\s*", 0), F.regexp_extract("text", r"\s*$", 0)
     return got.where(F.length(F.trim("new")) > 0).select("doc_id", "block", F.concat(lead, F.trim("new"), trail).alias("text"))
 
@@ -139,24 +196,34 @@ def affected(units: DataFrame, violations: DataFrame) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, provider: Callable[[], object], repairs: int = 2) -> DataFrame:
-    """doc_id, status (success, reverted), text, loops. Each round is written, as a provider's replies may differ."""
+    """doc_id, status (success, reverted), text, loops, unreviewed (claims of the lock that the last review names no
+    verdict for). Each round is written, as a provider's replies may differ."""
     normal = atoms.normal_documents(docs)
+    lock, registered, notes = enriched(normal, provider)
     parts = segment.blocks(normal)
     units = segment.units(parts).select("doc_id", "block", "text").withColumn("instructions", F.lit(""))
-    current = durable(rewritten(units, provider))
+    current = durable(rewritten(units, provider, notes))
     loops = normal.select("doc_id", F.lit(0).alias("loops"))
+    left = normal.select("doc_id")  # documents that changed since their last check
+    verdicts = None
     for turn in range(repairs + 1):
         revised = durable(segment.assembled(parts, current))
-        check = Check(docs, revised)
-        violations = durable(check.violations())
-        bad = violations.where("severity = 'hard'").select("doc_id").distinct()
+        violations = durable(Check(docs, revised, lock).violations())
+        failed = violations.where("severity = 'hard'").select("doc_id").distinct()
+        asked_now = durable(reviewed(normal, revised.join(left, "doc_id", "left_semi").join(failed, "doc_id", "left_anti"), notes, provider))
+        verdicts = asked_now if verdicts is None else durable(verdicts.join(left, "doc_id", "left_anti").unionByName(asked_now))
+        violations = durable(violations.unionByName(claim_violations(asked_now)))
+        bad = durable(violations.where("severity = 'hard'").select("doc_id").distinct())
         if turn == repairs or not bad.limit(1).count():
             break
         todo = affected(units.drop("instructions"), violations).join(instructions(violations), "doc_id")
-        new = rewritten(todo, provider)
+        new = durable(rewritten(todo, provider, notes))
         old = current.join(new.select("doc_id", "block"), ["doc_id", "block"], "left_anti")
         current = durable(old.unionByName(new))
         loops = durable(loops.join(bad.withColumn("again", F.lit(1)), "doc_id", "left").select("doc_id", (F.col("loops") + F.coalesce("again", F.lit(0))).alias("loops")))
-    out = normal.select("doc_id", F.col("text").alias("original")).join(revised, "doc_id").join(bad.withColumn("bad", F.lit(True)), "doc_id", "left").join(loops, "doc_id")
+        left = bad
+    silent = claims.unreviewed(registered, verdicts).groupBy("doc_id").agg(F.count(F.lit(1)).alias("unreviewed"))
+    out = normal.select("doc_id", F.col("text").alias("original")).join(revised, "doc_id").join(bad.withColumn("bad", F.lit(True)), "doc_id", "left").join(loops, "doc_id").join(silent, "doc_id", "left")
     failed = F.coalesce("bad", F.lit(False))
-    return out.select("doc_id", F.when(failed, "reverted").otherwise("success").alias("status"), F.when(failed, F.col("original")).otherwise(F.col("text")).alias("text"), "loops")
+    text = F.when(failed, F.col("original")).otherwise(F.col("text"))
+    return out.select("doc_id", F.when(failed, "reverted").otherwise("success").alias("status"), text.alias("text"), "loops", F.coalesce("unreviewed", F.lit(0)).alias("unreviewed"))

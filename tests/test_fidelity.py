@@ -120,6 +120,38 @@ def test_rewrite_repairs_and_reverts(spark):
     assert got[2].status == "reverted" and got[2].text.startswith("A lost cause") and got[2].loops == 2
 
 
+def test_rewrite_reviews_claims(spark):
+    text = "Training may raise output in 120 firms, about half of them small, as we found last year.\n"
+    say = lambda t: json.dumps({"rewritten_text": t})
+    fine = "In 120 firms, about half of them small, training may raise output, as found last year."
+    strong, lost = fine.replace("may raise", "raises"), fine.replace("about half", "many")
+    lock = json.dumps({"atoms": [{"type": "num", "surface": "about half", "context": ""}], "claims": [{"kind": "causal", "strength": "hedged", "text": "training may raise output"}]})
+    judge = lambda v: json.dumps({"claims": [{"id": "c001", "verdict": v, "evidence": "raises"}], "repair_instructions": ["hedge it"]})
+
+    class Provider:
+        def complete(self, prompt):
+            own = prompt[-400:]
+            if prompt.startswith("List what"):
+                return lock
+            if prompt.startswith("Judge"):
+                assert "c001 causal hedged training may raise output" in prompt
+                return judge("strengthened" if "raises" in own else "entailed")
+            if prompt.startswith("Diagnose"):
+                return json.dumps({"issues": ["stiff"]})
+            assert "stiff" in prompt and "about half" in prompt and "c001" in prompt
+            if "Never:" in prompt:
+                return say("Never: " + strong)
+            if "Vague:" in prompt:
+                return say("Vague: " + lost)
+            return say(fine if "claim_strength_shift" in prompt and "hedge it" in prompt else strong)
+
+    docs = spark.createDataFrame([(1, text), (2, "Never: " + text), (3, "Vague: " + text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in rewrite.rewrite(docs, Provider).collect()}
+    assert got[1].status == "success" and got[1].text.strip() == fine and got[1].loops == 1 and got[1].unreviewed == 0
+    assert got[2].status == "reverted" and got[2].text.startswith("Never: Training") and got[2].loops == 2
+    assert got[3].status == "reverted" and got[3].text.startswith("Vague: Training")
+
+
 def test_evaluation(spark):
     cases = spark.createDataFrame([("a", "A", 0.3, 4.0, 1.0, 0.3, 0.5), ("c", "C", 0.3, 1.0, 1.0, 0.3, 0.3)], "case_id string, variant string, edit double, density_before double, density_after double, cv_before double, cv_after double")
     got = {r.case_id: r for r in evalset.thresholds(cases).collect()}
