@@ -5,7 +5,8 @@ The toxic one adds the byte runs that toxic texts repeat and ordinary texts lack
 raw content because the trainer drops rare runs; the ordinary one gets the same bytes reversed instead,
 so both are equally long. A text is cut into windows at word ends; the gain of a window is what the toxic
 dictionary saves over the ordinary one. Windows of some gain are looked at again word by word, each word
-after one fixed context. A logistic model over the counts of gains gives the score; its intercept is set
+(of a long one the best of its overlapping pieces) after one fixed context. Text without spaces is cut into
+windows that overlap. A logistic model over the counts of gains gives the score; its intercept is set
 so that the best threshold on all labelled training rows falls on 0.3.
 
 Dictionaries and weights are fitted on at most about `toxic_rows` and `other_rows` labelled rows (by hash of
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 
 THRESHOLD = 0.3
 TOXIC_ROWS, OTHER_ROWS, LONGEST = 1500, 3500, 100_000
-#: Bytes of a window before its last word ends, of an evidence run at least, of the ordinary dictionary.
+#: Bytes of a window before its last word ends (also of a word's piece, and of the overlap of cuts inside words), of an evidence run at least, of the ordinary dictionary.
 WINDOW, GRAM, ORDINARY = 64, 5, 16384
 #: Width of the bins in which labelled rows are counted for the threshold, labelled ids broadcast at most.
 BIN, SENT = 0.01, 1_000_000
@@ -50,9 +51,11 @@ def windows(low: bytes) -> Iterator[bytes]:
     at, n = 0, len(low)
     while at < n:
         end = low.find(b" ", at + WINDOW)
-        end = min(n if end < 0 else end, at + 4 * WINDOW)
+        end = n if end < 0 else end
+        inside = end > at + 4 * WINDOW
+        end = min(end, at + 4 * WINDOW)
         yield low[at : end + 1]
-        at = end if end > at else end + 1
+        at = end - WINDOW * inside if end > at else end + 1
 
 
 def compressor(content: bytes):
@@ -114,8 +117,8 @@ class Gains:
         if got is None:
             if len(self.known) > KEPT:
                 self.known.clear()
-            x = self.context + w[:64]
-            got = self.known[w] = len(self.plain(x)) - len(self.toxic(x))
+            pieces = [w[i : i + WINDOW] for i in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2)]
+            got = self.known[w] = max(len(self.plain(x)) - len(self.toxic(x)) for x in (self.context + p for p in pieces))
         return got
 
     def of(self, text: str | None) -> np.ndarray:

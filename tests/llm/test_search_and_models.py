@@ -193,6 +193,18 @@ def test_toxicity_threshold_of_all_labels(spark, monkeypatch):
     assert np.mean([got[i] for i, toxic, times, _ in kinds if toxic and times > 1]) > 0.9
 
 
+def test_toxicity_in_text_without_spaces():
+    rng = np.random.default_rng(7)
+    plain = "".join(chr(c) for c in rng.integers(0x4E00, 0x5E00, 400))
+    bad = "坏得很的词语"
+    gains = zdict_toxicity.Gains(("好 话 " * 200).encode(), bad.encode())
+    for at in range(0, 300, 7):
+        text = (plain[:at] + bad + plain[at:]).encode()
+        assert any(bad.encode() in x for x in zdict_toxicity.windows(text)), at
+        assert max(gains.word(w) for x in zdict_toxicity.windows(text) for w in zdict_toxicity.words(x)) > 3, at
+    assert b"".join(zdict_toxicity.windows(b"ab " * 100)).replace(b" ", b"") == b"ab" * 100
+
+
 def suffix_brute(rows, depth, least):
     """log10 scores by the definition, all in dictionaries."""
     toks = {i: [*t.encode().lower().split(), b""] for i, t in rows}
