@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fidelis.llm._util import written
+from fidelis.llm._util import dropped, written
 
 #: Least count of a candidate, the discount, words of a context at most, characters of a chunk.
 LEAST, DISCOUNT, DEPTH, CHUNK = 8, 0.75, 4, 24_000_000
@@ -366,6 +366,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text")
     whole = n + 0.1 * (v + 1)
 
     coded = _coded(chunks, total)
+    dropped(chunks)
     pairs = _frequent(_grams(coded), "pairs")
     longer = _frequent(_grams(coded, pairs), "runs")
     words = total.where("number IS NOT NULL").select("chunk", F.unhex(F.lpad(F.hex("number"), 16, "0")).alias("key"), "c", "one")
