@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,5 +46,17 @@ def remainder(col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Runs of the batch's rows whose column (text or bytes) holds about size bytes at most; a larger value stands alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(lengths), 0
+    while at < batch.num_rows:
+        below = ends[at - 1] if at else 0
+        end = min(int(np.searchsorted(ends, below + size, "right")), at + rows, batch.num_rows)
+        end = max(end, at + 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

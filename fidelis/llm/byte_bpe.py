@@ -23,10 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from fidelis.llm._util import slices
+
 #: The split pattern of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces whose ids are kept in a worker at most; texts with a piece of more characters are encoded whole.
-KEPT, LONG = 1_200_000, 4096
+#: Bytes of the pieces and ids kept in a worker at most, besides so many of a piece's own; texts with a piece of more
+#: characters are encoded whole.
+KEPT, EACH, LONG = 24 << 20, 220, 4096
 _BESIDE, _BETWEEN = re.compile(r"\s | \s"), re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -86,13 +89,13 @@ class Coder:
 
         self.tokenizer, self.table = Tokenizer.from_str(model), table
         self.sizes = np.array([len(t) for t in table])
-        self.first, self.later = {}, {}
+        self.later, self.size = {}, 0
 
     def _learn(self, new: list[str], lead: str) -> dict[str, bytes]:
         """Packed ids of the pieces. Many go to the library as one text, which ends of bytes part again."""
         out = {}
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000] if lead else new[at : at + 1]
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000] if lead else new[at : at + 1]
             ids = np.array(self.tokenizer.encode_batch_fast([lead + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum([len(lead) + len(p.encode()) for p in part])
             cut = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
@@ -110,10 +113,11 @@ class Coder:
             return np.array(whole, "<u4").tobytes()
         known = self.later
         if missing := [p for p in set(rest) if p not in known]:
-            if len(known) > KEPT:
-                known = self.later = {}
-                missing = list(set(rest))
+            if self.size > KEPT:
+                known, self.size = {}, 0
+                self.later, missing = known, list(set(rest))
             known |= self._learn(missing, " ")
+            self.size += EACH * len(missing) + 2 * sum(map(len, missing))
         start = np.array(self.tokenizer.encode_batch_fast([head], add_special_tokens=False)[0].ids, "<u4").tobytes() if head else b""
         return start + b"".join(map(known.__getitem__, rest))
 
@@ -151,17 +155,17 @@ def _schema(df: DataFrame, added: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in names] + added)
 
 
-def _pass(df: DataFrame, added: list[T.StructField], sent, work) -> DataFrame:
-    """work(coder, batch) -> new columns, over Arrow batches."""
+def _pass(df: DataFrame, column: str, added: list[T.StructField], sent, work) -> DataFrame:
+    """work(coder, batch) -> new columns, over Arrow batches cut by the bytes of the text column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = sent.value  # lives as long as the worker, and so does the coder
         coder = state.get("coder") or state.setdefault("coder", Coder(state["model"], state["table"]))
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in slices(batch, place) if text else (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
                 yield _with(part, work(coder, part))
 
+    place, text = df.columns.index(column), df.schema[column].dataType == T.StringType()
     return df.mapInArrow(run, _schema(df, added))
 
 
@@ -180,7 +184,7 @@ def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False,
             out["spans"] = pa.array([[{"start": a, "end": b} for a, b in coder.spans(t)] for t in texts], kind)
         return out
 
-    return _pass(df, added, _sent(df, path, pattern), work)
+    return _pass(df, text, added, _sent(df, path, pattern), work)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", pattern: str = PATTERN) -> DataFrame:
@@ -192,7 +196,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", pattern: str = PATTERN) -
         text = [None if r is None else r.decode("utf-8", "replace") for r in raw]
         return {"decoded": pa.array(raw, pa.binary()), "decoded_text": pa.array(text, pa.string())}
 
-    return _pass(df, added, _sent(df, path, pattern), work)
+    return _pass(df, ids, added, _sent(df, path, pattern), work)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", pattern: str = PATTERN) -> DataFrame:
@@ -209,4 +213,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", pattern: str = PATT
         digest = [hashlib.sha256(coder.decode(p)).hexdigest() for p in packed]
         return {"ids_le": pa.array(packed, pa.binary()), "n_tokens": pa.array(count, pa.int64()), "decoded_sha256": pa.array(digest, pa.string())}
 
-    return _pass(df, added, _sent(df, path, pattern), work)
+    return _pass(df, text, added, _sent(df, path, pattern), work)

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fidelis.llm._util import slices
+
 #: Hashed n-gram buckets, and training rows of each language at most (in expectation).
 BUCKETS, PER_LANG = 1 << 13, 600
 #: Two best codewords whose probabilities differ by less are ambiguous.
@@ -125,7 +127,7 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", ke
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, t in ((str(n), t.as_py()) for n, t in zip(batch.column(0), batch.column(1), strict=True)):
                 x = grams(t)
                 at = np.flatnonzero(x).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at.tobytes()]), pa.array([x[at].tobytes()])], names=["lang", "at", "x"])
@@ -149,10 +151,12 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     names = {f.name for f in added}
     keep = [f for f in df.schema.fields if f.name not in names]
 
+    place = df.columns.index(text)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*sent.value)
         for batch in batches:
-            out = [m.predict(t) for t in batch.column(text).to_pylist()]
+            out = [m.predict(t) for part in slices(batch, place) for t in part.column(place).to_pylist()]
             new = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + new, names=[f.name for f in keep] + [f.name for f in added])
 

@@ -33,9 +33,27 @@ KINDS = {
 BASE = ["assign", "access", "hex"]
 #: Roles that complete a weak candidate's role.
 COMPLETES = {"name": ["secret"], "secret": ["name", "endpoint"], "endpoint": ["secret"]}
+#: Elements that a fold gathers before they are put aside, code points of a text's blocks.
+RUN, BLOCK = 128, 4096
 _SPAN = "array<struct<start:int,ord:int,end:int>>"
 
 
+def _runs(items: Column, size: int = RUN) -> Column:
+    """The array as an array of runs, so that a fold copies a run's result only."""
+    runs = F.ceil(F.size(items) / size).cast("int")
+    return F.when(runs > 0, F.transform(F.sequence(F.lit(0), runs - 1), lambda i: F.slice(items, i * size + 1, size))).otherwise(F.array())
+
+
+def _before(runs: Column, of, join, begin) -> Column:
+    """For each run what join() makes of begin and of() all runs before it."""
+    state = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, run: Column) -> Column:
+        return F.struct(join(acc["at"], of(run)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    return F.aggregate(runs, state, step, lambda a: a["out"])
+
+
 def found(text: Column, kind: str) -> Column:
     """Spans of a kind in order: what lies between matches and the matches themselves give the offsets."""
     pattern = KINDS[kind][1]
@@ -43,16 +61,24 @@ def found(text: Column, kind: str) -> Column:
     gaps = F.split(text, pattern, -1)
     order = list(KINDS).index(kind)
 
+    def one(h: Column, g: Column) -> Column:
+        keep = F.length(F.regexp_extract(h, pattern, 2)) >= 6 if kind == "assign" else F.lit(True)
+        return F.struct(F.length(g).alias("gap"), F.length(h).alias("hit"), keep.alias("keep"))
+
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"))
-        keep = F.length(F.regexp_extract(x["hit"], pattern, 2)) >= 6 if kind == "assign" else F.lit(True)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-
-    zipped = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    spans = F.aggregate(zipped, begin, step, lambda a: a["out"])
+        start = acc["at"] + x["gap"]
+        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + x["hit"]).alias("end"))
+        return F.struct((start + x["hit"]).alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def placed(runs: Column) -> Column:
+        total = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + x["gap"] + x["hit"])
+        begin = _before(runs, total, lambda a, b: a + b, F.lit(0))
+        none = F.array().cast(_SPAN)
+        return F.flatten(F.zip_with(runs, begin, lambda run, at: F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])))
+
+    # a variable of one element, so that the runs are made once
+    zipped = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), one)
+    spans = F.transform(F.array(zipped), lambda z: placed(_runs(z)))[0]
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
 
 
@@ -87,24 +113,23 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE, keep_text: bool = True) -> DataFrame:
-    """Adds spans: array of (start, ord, end), base and completed weak ones, ord as the order of KINDS.
+    """Adds spans (in place of a column of that name): array of (start, ord, end), base and completed weak ones, ord
+    as the order of KINDS.
 
     keep_text=False leaves the text out, so that nothing large is shuffled."""
-    made = ["row_key", "parts", "weak", "spans"]
-    df = df.drop(*made)
-    keyed = df.withColumn("row_key", _row(df, key, text)).withColumn("parts", parts(df, text))
-    kept = [c for c in df.columns if keep_text or c != text]
-    rows = written(keyed.select(*kept, "row_key", "parts"), "parts") if not keep_text else None
-    if rows is None:
+    kept = [c for c in df.columns if c != "spans" and (keep_text or c != text)]
+    # own names stand beside one struct of the given columns, so none can clash
+    keyed = df.select(F.struct(*kept).alias("given"), _row(df, key, text).alias("row_key"), parts(df, text).alias("parts"))
+    if keep_text:
         # only rows with weak candidates take part in the link; their spans come back by row key
         some = written(keyed.where(F.exists("parts", lambda p: p["ord"] >= len(BASE))).select("row_key", "parts").distinct(), "parts")
-        rows, links = keyed.select(*kept, "row_key", "parts"), linked(some, scope)
+        rows, links = keyed, linked(some, scope)
     else:
+        rows = written(keyed, "parts")
         links = linked(rows.select("row_key", "parts"), scope)
-    joined = rows.join(links, "row_key", "left")
     base = F.filter("parts", lambda p: p["ord"] < len(BASE))
     spans = F.array_sort(F.concat(base, F.coalesce(F.col("weak"), F.array().cast(_SPAN))))
-    return joined.withColumn("spans", spans).select(*kept, "spans")
+    return rows.join(links, "row_key", "left").select("given.*", spans.alias("spans"))
 
 
 def as_text(spans: Column) -> Column:
@@ -118,13 +143,32 @@ def base_only(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
-    """The text with every span replaced by the mask; overlapping spans become one."""
+    """The text with every span replaced by the mask; overlapping spans become one. spans are in order of start."""
+
+    def cuts(runs: Column) -> Column:
+        """Where a kept piece begins and ends, at each span that touches none before it."""
+        most = lambda run: F.aggregate(run, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+        begin = _before(runs, most, F.greatest, F.lit(0))
+        none = F.array().cast("array<struct<a:int,b:int>>")
+
+        def step(acc: Column, s: Column) -> Column:
+            piece = F.array(F.struct(acc["at"].alias("a"), s["start"].alias("b")))
+            more = F.when((s["start"] >= acc["at"]), F.concat(acc["out"], piece)).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+
+        return F.flatten(F.zip_with(runs, begin, lambda run, at: F.aggregate(run, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])))
+
+    def piece(blocks: Column, a: Column, b: Column) -> Column:
+        """Code points a to b, looked for in their blocks only."""
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        here = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        return F.when(b > a, F.substring(here, a - first * BLOCK + 1, b - a)).otherwise("")
+
+    end = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        more = F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(gap, F.lit(mask))).otherwise(F.lit("")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+    def rest(own: Column) -> Column:
+        kept = F.transform(cuts(_runs(spans)), lambda c: F.concat(piece(own, c["a"], c["b"]), F.lit(mask)))
+        return F.concat(F.array_join(kept, ""), piece(own, end, F.length(text)))
 
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = F.aggregate(spans, begin, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    return F.when(F.size(spans) > 0, F.transform(F.array(blocks), rest)[0]).otherwise(text)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm._util import written
+from fidelis.llm._util import slices, written
 from fidelis.llm.graph import components
 
 #: Members of a block, items of a leaf, children of a node; rows of ids or keys that are sent whole to
@@ -34,12 +34,14 @@ from fidelis.llm.graph import components
 BLOCK, LEAF, FAN, SENT_IDS = 1024, 32, 4, 1_000_000
 #: A shingle that the batches count more often comes last in the order; at most HOT of them, the commonest.
 OFTEN, HOT = 30, 100_000
+#: Word hashes kept in a worker, shingles of a block at most (a larger set stands in a block with few others).
+WORDS, BLOCK_SIZE = 150_000, 8_000_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)]
 
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > WORDS:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -190,8 +192,7 @@ def _surveyed(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, names = _Words(), ["id", "n", "digest", "key", "often"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for part in slices(batch, 1, 4096, 1 << 23):
                 sets = [shingles(t, k, known) for t in part.column(1).to_pylist()]
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 none = pa.nulls(len(sets), pa.int64())
@@ -219,8 +220,7 @@ def features(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hot = _Words(), sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1):
                 n, digest, prefix, bits = [], [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingles(text, k, known)
@@ -261,7 +261,7 @@ def _walked(groups: DataFrame, num: int, den: int, best: bool) -> DataFrame:
 
         rows, now = [], None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in (r for part in slices(batch, 6) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)):
                 if row[:3] != now:
                     if len(rows) > 1:
                         yield from pairs(rows)
@@ -282,8 +282,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            got = pa.array([shingles(t, k, known).tobytes() for t in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), got], names=["id", "s"])
+            for part in slices(batch, 1):
+                got = pa.array([shingles(t, k, known).tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), got], names=["id", "s"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,31 +314,37 @@ def join(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_
     some = seen.where("n > 0 AND id IS NOT NULL")
     classes = written(some.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     # of each class only the representative's set goes on
-    others = written(some.join(classes, "digest").where("id <> rep").select("id", "digest").distinct(), "others")
+    others = some.join(classes, "digest").where("id <> rep").select("id", "digest")
+    same = None
     if some.groupBy("id").count().where("count > 1").limit(1).count():
+        # the classes that rows of one id fall into are one vertex
+        several = some.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
+        same = written(some.join(several, "id").join(classes, "digest").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), "same")
         reps = features(docs, _hot(survey), k, num, den).where("n > 0")
-        reps = reps.join(others, ["id", "digest"], "left_anti").dropDuplicates(["id", "digest"])
+        reps = reps.join(written(others.distinct(), "others"), ["id", "digest"], "left_anti").dropDuplicates(["id", "digest"])
     else:
-        reps = features(docs.join(_sent(others.select("id")), "id", "left_anti"), _hot(survey), k, num, den).where("n > 0")
+        reps = features(docs.join(_sent(written(others.select("id"), "others")), "id", "left_anti"), _hot(survey), k, num, den).where("n > 0")
     reps = written(reps, "reps")
 
-    keys = reps.select("id", F.explode("prefix").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("least")).where("m > 1")
-    chosen = written(buckets.groupBy("m", "x", "least").agg(F.min("key").alias("key")).select("key", "m"), "buckets")
-    members = keys.join(_sent(chosen), "key")
+    keys = reps.select("id", "n", F.xxhash64("id", "digest").alias("h"), F.explode("prefix").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("h").alias("x"), F.min("id").alias("least"), F.sum("n").alias("size")).where("m > 1")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SIZE)).cast("int").alias("blocks")
+    chosen = written(buckets.groupBy("m", "x", "least").agg(F.min("key").alias("key"), F.first("size").alias("size")).select("key", blocks), "buckets")
+    members = keys.select("id", "key").join(_sent(chosen), "key")
     members = written(members.join(reps.select("id", "n", "bits"), "id"), "members")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).cast("int")
+    block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
 
     first = members.select("key", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), "id", "n", "bits", F.col("id").alias("comp"))
     likely = written(_walked(first, num, den, True), "likely")
-    links = written(_verified(likely, docs, k, num, den), "links")
+    links = _verified(likely, docs, k, num, den)
+    links = written(links if same is None else links.unionByName(same), "links")
     comps = written(components(links), "comps")
 
     # a bucket of one block that gave no candidate has none
-    open_keys = likely.select("key").unionByName(chosen.where(F.col("m") > BLOCK).select("key")).distinct()
+    open_keys = likely.select("key").unionByName(chosen.where("blocks > 1").select("key")).distinct()
     known = members.join(_sent(written(open_keys, "open")), "key").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    known = known.join(mixed, "key").withColumn("block", block).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    known = known.join(mixed, "key").withColumn("block", block)
     # a member goes to the pair of its block with every block: once as the lower, once as the upper one
     known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = known.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "n", "bits", "comp")

@@ -177,8 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 def rates(docs: DataFrame, mix: Mix, text: str = "text") -> DataFrame:
     """Adds n_tokens, posteriors (array, in the order of mix.domains) and rate to whole rows; nothing is joined."""
     kept = [c for c in docs.columns if c not in ("n_tokens", "posteriors", "rate")]
-    got = settled(posterior(features(docs.select(*kept), mix, text), mix), rate=rate(mix.steps))
-    return got.select(*kept, F.col("_n").alias("n_tokens"), F.col("_p").alias("posteriors"), "rate")
+    # own names stand beside one struct of the given columns, so none can clash
+    rows = docs.select(F.struct(*kept).alias("_given"), F.col(text).alias("_text"))
+    got = settled(posterior(features(rows, mix, "_text"), mix), rate=rate(mix.steps))
+    return got.select("_given.*", F.col("_n").alias("n_tokens"), F.col("_p").alias("posteriors"), "rate")
 
 
 def copies(rate: Column, key: str, least: Column | None = None) -> Column:
