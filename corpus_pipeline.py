@@ -21,14 +21,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word similarity 0.8 stays: that of the smallest id. Rows without
-    an id stay; of rows that repeat an id one stays."""
-    found = written(sigtree_join.join(docs.select("doc_id", "text"), k=5, num=4, den=5).select("doc_id", "component_id"), "groups")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    """One document of each group of five-word similarity 0.8 stays: that of the smallest id (rows without an id come
+    last, rows that repeat an id in an order of their own); documents without words all stay."""
+    odd = docs.where("doc_id IS NULL").limit(1).count() or docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not odd:
+        found = sigtree_join.join(docs.select("doc_id", "text"), k=5, num=4, den=5)
+        gone = written(found.where("component_id <> doc_id").select("doc_id"), "gone")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # ids that don't tell rows apart: each row gets a number, kept in a table
+    rows = written(docs.select(F.struct(*docs.columns).alias("given"), F.monotonically_increasing_id().alias("row")), "rows")
+    found = written(sigtree_join.join(rows.select("row", "given.text"), k=5, num=4, den=5, key="row"), "groups")
+    place = F.struct(F.col("given.doc_id").isNull().alias("none"), F.col("given.doc_id").alias("id"), "row")
+    first = rows.join(found, "row").where("n_shingles > 0").groupBy("component_id").agg(F.min(place)["row"].alias("row")).select("row")
+    return rows.join(first.unionByName(found.where("n_shingles = 0").select("row")), "row", "left_semi").select("given.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +55,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         least = F.when(F.col("posteriors")[mix.domains.index("clean")] >= 0.5, 1).otherwise(0)
     n = soft_mix.copies(F.col("rate"), "doc_id", least)
     each = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return got.withColumn("_copy", F.explode(each)).select(*docs.columns)
+    return got.select(F.struct(*docs.columns).alias("given"), F.explode(each)).select("given.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
