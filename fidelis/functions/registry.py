@@ -4,6 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: Full-width characters and what they stand for in values.
+WIDE, NARROW = "０１２３４５６７８９（）＜＞＝％：，", "0123456789()<>=%:,"
+#: Chinese digits, units within a section, and units that close one.
+DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+UNITS = {"十": 10, "百": 100, "千": 1000}
+BIG = {"万": 10_000, "亿": 100_000_000}
+
 NUMERIC = ["amount", "coefficient", "count", "date", "number", "p_value", "percent", "range", "significance"]
 DEDICATED = ["citation_numbered", "citation_ay", "url", "doi"]
 #: Kinds whose additions are no violation of their own.
@@ -18,38 +25,41 @@ class Pass:
     pattern: str
     form: str
     claim: int = 0
+    #: Characters one of which every match holds: where none occurs, the pass is skipped.
+    holds: str = ""
 
 
 # Patterns in order of precedence; the first to claim a character keeps it.
 _YEAR = r"(?:19|20)\d{2}"
 _LEFT = r"(?<![0-9A-Za-z.])"
 PASSES = [
-    Pass("url", r"""https?://[^\s<>（）()【】{}"'，。；、！？]+""", "url"),
-    Pass("doi", r"(?i)(?:doi\s*[:：]?\s*|https?://(?:dx\.)?doi\.org/)\s*(10\.\d{4,9}/[^\s，。；）)】]+)", "doi", 1),
-    Pass("citation_numbered", r"\[(\d{1,3}(?:\s*[,，]\s*\d{1,3})*)\]", "cites"),
-    Pass("citation_ay", rf"([一-鿿]{{2,4}}?)(?:等)?\s*[（(]\s*({_YEAR})\s*[）)]", "cite_ay"),
-    Pass("citation_ay", rf"([A-Z][A-Za-z&.\- ]{{1,40}}?)\s*[（(]\s*({_YEAR})\s*[）)]", "cite_ay"),
-    Pass("citation_ay", rf"\(([A-Z][A-Za-z&.\- ]{{0,40}}?),\s*({_YEAR})\)", "cite_ay"),
-    Pass("significance", r"在\s*([0-9]+(?:\.[0-9]+)?)\s*%\s*的?水平(?:上)?\s*显著", "sig"),
-    Pass("percent", r"百分之\s*([0-9]+(?:\.[0-9]+)?)", "pct"),
-    Pass("percent", r"([0-9]+(?:\.[0-9]+)?)\s*[%％]", "pct"),
+    Pass("url", r"""https?://[^\s<>（）()【】{}"'，。；、！？]+""", "url", holds="/"),
+    Pass("doi", r"(?i)(?:doi\s*[:：]?\s*|https?://(?:dx\.)?doi\.org/)\s*(10\.\d{4,9}/[^\s，。；）)】]+)", "doi", 1, holds="/"),
+    Pass("citation_numbered", r"\[(\d{1,3}(?:\s*[,，]\s*\d{1,3})*)\]", "cites", holds="["),
+    Pass("citation_ay", rf"([一-鿿]{{2,4}}?)(?:等)?\s*[（(]\s*({_YEAR})\s*[）)]", "cite_ay", holds="(（"),
+    Pass("citation_ay", rf"([A-Z][A-Za-z&.\- ]{{1,40}}?)\s*[（(]\s*({_YEAR})\s*[）)]", "cite_ay", holds="(（"),
+    Pass("citation_ay", rf"\(([A-Z][A-Za-z&.\- ]{{0,40}}?),\s*({_YEAR})\)", "cite_ay", holds="(（"),
+    Pass("significance", r"在\s*([0-9]+(?:\.[0-9]+)?)\s*%\s*的?水平(?:上)?\s*显著", "sig", holds="在"),
+    Pass("percent", r"百分之\s*([0-9]+(?:\.[0-9]+)?)", "pct", holds="百"),
+    Pass("percent", r"([0-9]+(?:\.[0-9]+)?)\s*[%％]", "pct", holds="%％"),
     Pass("percent", r"(?:占比|比例|份额|percent(?:age)?|proportion)\s*(?:为|是|of|:|：)?\s*(0\.[0-9]+)", "pct_share"),
-    Pass("amount", r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(万|亿)?\s*(万元|亿元|美元|人民币|元)", "amount"),
-    Pass("date", rf"{_LEFT}({_YEAR})-([01][0-9])-([0-3][0-9])(?!\d)", "iso"),
+    Pass("amount", r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(万|亿)?\s*(万元|亿元|美元|人民币|元)", "amount", holds="元币"),
+    Pass("date", rf"{_LEFT}({_YEAR})-([01][0-9])-([0-3][0-9])(?!\d)", "iso", holds="-"),
     Pass("range", rf"{_LEFT}({_YEAR})\s*(?:[—–\-~～]|至|到)\s*({_YEAR})(?!\d)(?:\s*年)?", "range"),
-    Pass("date", rf"({_YEAR})\s*年(?:\s*([0-9]{{1,2}}|[一二三四五六七八九十]{{1,3}})\s*月)?", "zh_date"),
+    Pass("date", rf"({_YEAR})\s*年(?:\s*([0-9]{{1,2}}|[一二三四五六七八九十]{{1,3}})\s*月)?", "zh_date", holds="年"),
     Pass("date", rf"(?<![A-Za-z])(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?,?\s+({_YEAR})(?!\d)", "en_date"),
-    Pass("p_value", r"(?<![A-Za-z0-9])[pP]\s*值?\s*([<＜>＞≤≥=＝])\s*(0?[0-9]*\.[0-9]+)", "p"),
-    Pass("p_value", r"(?<![A-Za-z0-9])[pP]\s*值\s*(?:为|是)\s*(0?[0-9]*\.[0-9]+)", "p_is"),
-    Pass("coefficient", r"β\s*[=＝]\s*(-?[0-9]+(?:\.[0-9]+)?)", "coef"),
-    Pass("coefficient", r"系数(?:为|是)?\s*(-?[0-9]+(?:\.[0-9]+)?)", "coef"),
-    Pass("phrase", r"(近|过去)\s*([0-9一二两三四五六七八九十]+)\s*年", "phrase"),
-    Pass("count", r"(?<![A-Za-z0-9])[nN]\s*[=＝]\s*([0-9][0-9,]*)", "count"),
-    Pass("count", r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(家|名|人|份|例|篇|条|项|种)", "count"),
+    Pass("p_value", r"(?<![A-Za-z0-9])[pP]\s*值?\s*([<＜>＞≤≥=＝])\s*(0?[0-9]*\.[0-9]+)", "p", holds="<＜>＞≤≥=＝"),
+    Pass("p_value", r"(?<![A-Za-z0-9])[pP]\s*值\s*(?:为|是)\s*(0?[0-9]*\.[0-9]+)", "p_is", holds="值"),
+    Pass("coefficient", r"β\s*[=＝]\s*(-?[0-9]+(?:\.[0-9]+)?)", "coef", holds="β"),
+    Pass("coefficient", r"系数(?:为|是)?\s*(-?[0-9]+(?:\.[0-9]+)?)", "coef", holds="系"),
+    Pass("phrase", r"(近|过去)\s*([0-9一二两三四五六七八九十]+)\s*年", "phrase", holds="年"),
+    Pass("count", r"(?<![A-Za-z0-9])[nN]\s*[=＝]\s*([0-9][0-9,]*)", "count", holds="=＝"),
+    Pass("count", r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(家|名|人|份|例|篇|条|项|种)", "count", holds="家名人份例篇条项种"),
     Pass("count", r"(?i)([0-9][0-9,]*)\s+(firms|participants|respondents|samples|observations|countries)", "count"),
     Pass("date", rf"{_LEFT}({_YEAR})(?![0-9])", "year"),
     Pass("number", rf"{_LEFT}(-?[0-9]+(?:\.[0-9]+)?)(?![0-9A-Za-z])", "num"),
 ]
+HEADING, REFERENCES = r"^(#{1,6})\s+(.+?)\s*#*\s*$", r"(?i)^(?:references|bibliography|参考文献)$"
 VARIABLE = r"(?<![A-Za-z0-9])[A-Z]{2,8}(?![A-Za-z0-9])"
 QUOTED = Pass("term", "[\"“]([^\"”]{2,24})[\"”]", "term")
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]

@@ -9,13 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Full-width characters and what they stand for in values.
-WIDE, NARROW = "０１２３４５６７８９（）＜＞＝％：，", "0123456789()<>=%:,"
-#: Chinese digits, units within a section, and units that close one.
-DIGITS = {"零": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
-UNITS = {"十": 10, "百": 100, "千": 1000}
-BIG = {"万": 10_000, "亿": 100_000_000}
-_DECIMAL = "decimal(38,12)"
+from fidelis.functions.registry import BIG, DIGITS, NARROW, UNITS, WIDE
+
+_NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
 
 
 def nfc(df: DataFrame, column: str = "text") -> DataFrame:
@@ -42,15 +38,21 @@ def narrow(value: Column) -> Column:
     return F.translate(value, WIDE, NARROW)
 
 
-def number(value: Column) -> Column:
-    """Exact decimal of a number in text, thousands separators dropped; null if it is none."""
-    return F.trim(F.replace(narrow(value), F.lit(","), F.lit(""))).try_cast(_DECIMAL)
-
-
-def plain(value: Column) -> Column:
-    """Shortest plain notation of a decimal."""
-    text = value.cast(_DECIMAL).cast("string")
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+def number(value: Column, places: int = 0) -> Column:
+    """A number in text (thousands separators dropped) with its point moved right by so many places, in its shortest
+    plain notation: exact at any length, null if it is none."""
+    digits = F.trim(F.replace(narrow(value), F.lit(","), F.lit("")))
+    whole, part = F.regexp_extract(digits, r"^[+-]?([0-9]*)", 1), F.regexp_extract(digits, r"\.([0-9]*)$", 1)
+    if places > 0:
+        long = F.rpad(part, F.greatest(F.length(part), F.lit(places)), "0")
+        whole, part = F.concat(whole, F.substring(long, 1, places)), F.substring(long, F.lit(places + 1), F.length(long))
+    elif places < 0:
+        wide = F.concat(F.lit("0" * -places), whole)
+        whole, part = F.left(wide, F.length(wide) + places), F.concat(F.right(wide, F.lit(-places)), part)
+    whole, part = F.regexp_replace(whole, "^0+", ""), F.regexp_replace(part, "0+$", "")
+    sign = F.when(digits.startswith("-"), "-").otherwise("")
+    shown = F.concat(sign, F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    return F.when(digits.rlike(_NUMBER), F.when((whole == "") & (part == ""), "0").otherwise(shown))
 
 
 def zh_number(value: Column) -> Column:

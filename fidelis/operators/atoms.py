@@ -1,129 +1,21 @@
 """Typed, canonical facts ("atoms") of documents.
 
-Every pass of the registry finds its matches in the masked text with built-in expressions: what lies between
-matches and the matches give code-point offsets. All candidates of a document are then folded in order of
-precedence; one that touches a claimed character is dropped.
+Extraction reads each text once, inside Arrow batches (see reading): the passes claim characters, which no built-in
+expression can carry from one pass to the next without copying what was found before. Nothing is shuffled or joined,
+so rows that repeat an id, or have none, keep their own facts. All that follows are expressions over a row's arrays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.functions import arrow
 from fidelis.functions import text as tx
-from fidelis.functions.registry import MONTHS, P_SIGNS, PASSES, QUOTED, VARIABLE, Pass
-from fidelis.plans import segment
+from fidelis.operators import reading
 
-_ONE = "struct<prio:int,ord:int,start:int,end:int,claim:int,kind:string,surface:string,canonical:string>"
-
-
-def _named(name: str, *parts: Column) -> Column:
-    return F.concat(F.lit(f"{name}("), F.concat_ws(",", *parts), F.lit(")"))
-
-
-def _canonical(one: Pass, hit: Column) -> tuple[Column, Column]:
-    """Surface and canonical form of a match."""
-
-    def g(i: int) -> Column:
-        return F.regexp_extract(hit, f"(?U)^(?:{one.pattern})$", i)
-
-    def value(i: int) -> Column:
-        return tx.number(g(i))
-
-    if one.form == "url":
-        cut = F.regexp_replace(hit, r"[.,;:、，。；]+$", "")
-        return cut, _named("URL", cut)
-    if one.form == "doi":
-        cut = F.regexp_replace(g(1), r"[.,;、，。；)]+$", "")
-        return cut, _named("DOI", F.lower(cut))
-    if one.form == "cites":
-        numbers = F.transform(F.split(g(1), "[,，]"), lambda x: tx.stripped(x).cast("int"))
-        return hit, F.concat(F.lit("CITES("), F.array_join(F.transform(F.array_sort(numbers), lambda x: x.cast("string")), ","), F.lit(")"))
-    if one.form == "cite_ay":
-        return hit, _named("CITE_AY", F.lower(tx.squeezed(g(1))), g(2))
-    if one.form == "sig":
-        return hit, _named("SIG", tx.plain(value(1) / F.lit(100)))
-    if one.form in ("pct", "pct_share"):
-        return hit, _named("PCT", tx.plain(value(1) * F.lit(100 if one.form == "pct_share" else 1)))
-    if one.form == "amount":
-        times = F.when(g(2) == "万", 10_000).when(g(2) == "亿", 100_000_000).otherwise(1)
-        money = F.when(g(3) == "美元", "USD").otherwise("CNY")
-        return hit, F.concat(money, F.lit("("), tx.plain(value(1).cast("decimal(28,8)") * times), F.lit(")"))
-    if one.form == "iso":
-        return hit, F.concat(F.lit("DATE("), F.concat_ws("-", g(1), g(2), g(3)), F.lit(")"))
-    if one.form == "range":
-        return hit, _named("RANGE", g(1), g(2))
-    if one.form == "zh_date":
-        month = F.when(g(2).rlike("^[0-9]+$"), g(2).try_cast("int")).otherwise(tx.zh_number(g(2)).cast("int"))
-        return hit, F.concat(F.lit("DATE("), F.concat_ws("-", g(1), F.when(g(2) != "", F.lpad(month.cast("string"), 2, "0"))), F.lit(")"))
-    if one.form == "en_date":
-        month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), g(1)).cast("string"), 2, "0")
-        return hit, F.concat(F.lit("DATE("), F.concat_ws("-", g(2), month), F.lit(")"))
-    if one.form == "p":
-        sign = F.create_map(*[F.lit(x) for pair in P_SIGNS.items() for x in pair])
-        return hit, _named("P", F.try_element_at(sign, tx.narrow(g(1))), tx.plain(value(2)))
-    if one.form == "p_is":
-        return hit, _named("P", F.lit("eq"), tx.plain(value(1)))
-    if one.form == "phrase":
-        years = F.coalesce(tx.zh_number(g(2)).cast("string"), g(2).try_cast("int").cast("string"))
-        return hit, F.when(years.isNull(), _named("PHRASE", hit)).otherwise(F.concat(F.lit("PHRASE("), g(1), years, F.lit("年)")))
-    if one.form == "year":
-        return hit, _named("DATE", g(1))
-    if one.form == "term":
-        return hit, _named("TERM", g(1))
-    return hit, _named({"coef": "COEF", "count": "COUNT", "num": "NUM"}[one.form], tx.plain(value(1)))
-
-
-def _found(text: Column, prio: int, one: Pass) -> Column:
-    """Candidates of a pass, in text order."""
-    pattern = f"(?U){one.pattern}"
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["gap"])
-        return F.struct((start + F.length(p["hit"])).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), p["hit"].alias("hit")))).alias("out"))
-
-    def candidate(x: Column) -> Column:
-        surface, canonical = _canonical(one, x["hit"])
-        # a claimed group lies at the end of its match; trimmed surfaces are shorter than what they claim
-        whole = F.regexp_extract(x["hit"], f"(?U)^(?:{one.pattern})$", one.claim) if one.claim else (surface if one.form == "url" else x["hit"])
-        start = x["start"] + (F.length(x["hit"]) - F.length(whole) if one.claim else F.lit(0))
-        end = start + F.length(whole)
-        return F.struct(F.lit(prio).alias("prio"), start.alias("ord"), start.alias("start"), end.alias("end"), end.alias("claim"), F.lit(one.kind).alias("kind"), surface.alias("surface"), canonical.alias("canonical")).cast(_ONE)
-
-    found = F.transform(F.aggregate(pairs, begin, step, lambda a: a["out"]), candidate)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_ONE}>"))
-
-
-def _listed(text: Column, prio: int, words: Column, kind: str, name: str) -> Column:
-    """First occurrences of listed words, in list order."""
-
-    def candidate(w: Column, i: Column) -> Column:
-        start = F.locate_col(w, text) if hasattr(F, "locate_col") else F.call_function("locate", w, text)
-        start = (start - 1).cast("int")
-        end = start + F.length(w)
-        return F.struct(F.lit(prio).alias("prio"), i.alias("ord"), start.alias("start"), end.alias("end"), end.alias("claim"), F.lit(kind).alias("kind"), w.alias("surface"), _named(name, w).alias("canonical")).cast(_ONE)
-
-    return F.filter(F.transform(words, candidate), lambda x: x["start"] >= 0)
-
-
-def candidates(text: Column, glossary: Column) -> Column:
-    passes = [_found(text, i, one) for i, one in enumerate(PASSES)]
-    names = F.regexp_extract_all(text, F.lit(VARIABLE), F.lit(0))
-    often = F.filter(F.array_distinct(names), lambda v: F.size(F.filter(names, lambda x: x == v)) >= 2)
-    passes.append(_listed(text, len(PASSES), often, "variable", "VAR"))
-    passes.append(_found(text, len(PASSES) + 1, QUOTED))
-    words = F.filter(F.transform(F.coalesce(glossary, F.array().cast("array<string>")), lambda t: tx.stripped(t)), lambda t: t != "")
-    passes.append(_listed(text, len(PASSES) + 2, words, "term", "TERM"))
-    return F.array_sort(F.concat(*passes))
-
-
-def claimed(found: Column) -> Column:
-    """Candidates that touch no character claimed before them."""
-    none = F.array().cast(f"array<{_ONE}>")
-    return F.aggregate(found, none, lambda acc, x: F.when((x["end"] <= x["start"]) | F.exists(acc, lambda a: (a["start"] < x["claim"]) & (x["start"] < a["claim"])), acc).otherwise(F.concat(acc, F.array(x))))
+_PLACE = "seq:int,atom_id:string,kind:string,surface:string,canonical:string,context:string,start:int,end:int"
+ATOMS = f"array<struct<{_PLACE}>>"
 
 
 def normal_documents(docs: DataFrame) -> DataFrame:
@@ -133,21 +25,20 @@ def normal_documents(docs: DataFrame) -> DataFrame:
     return tx.nfc(rows).withColumn("text", tx.normalized(F.col("text")))
 
 
+def numbered(text: str, parsed: list[reading.Line], glossary: list | None, context: bool = True) -> list[tuple]:
+    """The atoms of a normalised text: seq, atom_id, kind, surface, canonical, context, start, end."""
+    found = reading.facts(reading.masked(parsed), glossary or ())
+    ends = reading.sentence_ends(text) if found and context else []
+    return [(i, f"a{i:03d}", f.kind, f.surface, f.canonical, reading.context(text, ends, (f.start + f.end) // 2), f.start, f.end) for i, f in enumerate(found, 1)]
+
+
+def listed(docs: DataFrame, context: bool = True) -> DataFrame:
+    """Normalised documents with atoms: array of a document's distinct facts in order."""
+    return arrow.added(normal_documents(docs), f"atoms {ATOMS}", ["text", "glossary"], lambda t, g: (numbered(t, reading.lines(t), g, context),))
+
+
 def extract(docs: DataFrame, context: bool = True) -> DataFrame:
     """doc_id, atom_id, seq, kind, surface, canonical, context, start, end: a document's distinct facts in order.
     docs: doc_id, text, and optionally glossary (array of string). Null texts count as empty."""
-    rows = normal_documents(docs)
-    masks = segment.masked(rows).withColumnRenamed("text", "masked")
-    rows = rows.join(masks, "doc_id").withColumn("hits", claimed(candidates(F.col("masked"), F.col("glossary"))))
-    rows = rows.withColumn("spans", tx.located(tx.sentences(F.col("text"))) if context else F.lit(None))
-    one = rows.select("doc_id", "spans", F.explode("hits").alias("h")).select("doc_id", "spans", "h.*")
-    first = Window.partitionBy("doc_id", "kind", "canonical").orderBy("start", "prio", "ord")
-    one = one.withColumn("copy", F.row_number().over(first)).where("copy = 1")
-    if context:
-        middle = F.floor((F.col("start") + F.col("end")) / 2)
-        held = F.filter("spans", lambda s: (s["start"] <= middle) & (middle < s["end"]))
-        one = one.withColumn("context", F.coalesce(tx.stripped(F.try_element_at(held, F.lit(1))["text"]), F.lit("")))
-    else:
-        one = one.withColumn("context", F.lit(""))
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "kind", "canonical"))
-    return one.withColumn("seq", seq).select("doc_id", F.format_string("a%03d", "seq").alias("atom_id"), "seq", "kind", "surface", "canonical", "context", "start", "end")
+    one = listed(docs, context).select("doc_id", F.explode("atoms").alias("a")).select("doc_id", "a.*")
+    return one.select("doc_id", "atom_id", "seq", "kind", "surface", "canonical", "context", "start", "end")

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fidelis.functions import arrow
 from fidelis.functions import text as tx
-from fidelis.functions.registry import VERDICT_RULES
-
-# Names that a model may use for a kind, kinds and strengths of claims.
-ALIASES = {"num": "number", "percentage": "percent", "money": "amount", "year": "date", "pvalue": "p_value", "p-value": "p_value", "citation": "citation_ay", "terminology": "term"}
-CLAIM_KINDS = ["causal", "correlational", "comparative", "descriptive", "conclusion", "limitation"]
-STRENGTHS = ["strong", "moderate", "hedged"]
+from fidelis.functions.registry import NUMERIC, VERDICT_RULES
+from fidelis.operators import atoms, reading
+
+# Kinds that a model may name for an atom (any other is a phrase), kinds and strengths of claims.
+KINDS = {
+    "number": "number", "percent": "percent", "amount": "amount", "date": "date", "range": "range", "count": "count", "p_value": "p_value", "significance": "significance",
+    "coefficient": "coefficient", "citation": "citation_numbered", "citation_ay": "citation_ay", "url": "url", "doi": "doi", "term": "term", "variable": "variable",
+    "method": "phrase", "condition": "phrase", "source": "phrase", "phrase": "phrase",
+}
+CLAIM_KINDS = ["finding", "conclusion", "causal", "attribution", "stance"]
+STRENGTHS = ["strong", "moderate", "hedged", "neutral"]
 LOCK_REPLY = "atoms array<struct<type:string,surface:string,context:string>>, claims array<struct<kind:string,strength:string,text:string>>"
 REVIEW_REPLY = "claims array<struct<id:string,verdict:string,evidence:string>>, naturalness double, academic double, decision string"
 
@@ -28,26 +34,57 @@ def parsed(replies: DataFrame, schema: str) -> DataFrame:
     return got.withColumn("ok", F.col("reply").isNotNull() & (F.length(object_text(F.lit("{}"))) > 0))
 
 
+def form_of(kind: str, surface: str) -> str:
+    """The canonical form that extraction finds in a surface: of the same kind, else of any numeric kind where a numeric
+    one is meant, else the surface itself."""
+    found = reading.facts(surface)
+    near = [f for f in found if f.kind == kind] or [f for f in found if kind in NUMERIC and f.kind in NUMERIC]
+    return near[0].canonical if near else f"{kind.upper()}({surface})"
+
+
+def _proposed(text: str, locked: list | None, items: list | None) -> tuple[list[tuple], int]:
+    """New atoms of a reply, and how many items were dropped for a surface that the text lacks."""
+    squeezed = lambda x: "".join(x.split())
+    flat, locked = squeezed(text or ""), locked or []
+    surfaces, forms = {squeezed(a["surface"]) for a in locked}, {(a["kind"], a["canonical"]) for a in locked}
+    out, dropped, seq = [], 0, max([0, *(a["seq"] for a in locked)])
+    for item in items or []:
+        surface = ((item or {}).get("surface") or "").strip()
+        if not surface or squeezed(surface) not in flat:
+            dropped += 1
+            continue
+        kind = KINDS.get((item["type"] or "phrase").lower().strip(), "phrase")
+        form = form_of(kind, surface)
+        if squeezed(surface) in surfaces or (kind, form) in forms:
+            continue
+        seq += 1
+        out.append((seq, f"a{seq:03d}", kind, surface, form, (surface if item["context"] is None else item["context"])[:200], -1, -1))
+        surfaces.add(squeezed(surface))
+        forms.add((kind, form))
+    return out, dropped
+
+
+def proposed(lock: DataFrame, replies: DataFrame, originals: DataFrame) -> DataFrame:
+    """doc_id, new (atoms), dropped: what each reply (doc_id, reply parsed by LOCK_REPLY) adds to a document's lock."""
+    one = lock.groupBy(F.col("doc_id").alias("in")).agg(F.collect_list(F.struct("seq", "kind", "surface", "canonical")).alias("locked"))
+    rows = replies.select(F.col("doc_id").alias("of"), F.col("reply.atoms").alias("items"))
+    rows = originals.select("doc_id", "text").join(rows, F.col("doc_id") == F.col("of")).join(one, F.col("doc_id") == F.col("in"), "left")
+    return arrow.added(rows, f"new {atoms.ATOMS}, dropped int", ["text", "locked", "items"], _proposed).select("doc_id", "new", "dropped")
+
+
 def merged(lock: DataFrame, replies: DataFrame, originals: DataFrame) -> DataFrame:
-    """The lock with a model's atoms appended: those whose surface stands in the original (white space apart),
-    with a kind by alias, not locked already by surface; verified later by containment, so their canonical form
-    is the surface. replies: doc_id, reply (parsed by LOCK_REPLY)."""
-    names = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    rows = replies.select("doc_id", F.posexplode("reply.atoms").alias("i", "a")).select("doc_id", "i", F.lower(F.trim("a.type")).alias("type"), tx.stripped(F.col("a.surface")).alias("surface"), F.substring(F.coalesce("a.context", F.lit("")), 1, 200).alias("context"))
-    rows = rows.where(F.length("surface") > 0).withColumn("kind", F.coalesce(F.try_element_at(names, F.col("type")), "type"))
-    rows = rows.join(originals.select("doc_id", F.col("text").alias("original")), "doc_id").where(F.contains(tx.squeezed(F.col("original")), tx.squeezed(F.col("surface"))))
-    rows = rows.join(lock.select("doc_id", "surface").distinct(), ["doc_id", "surface"], "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id", "surface").orderBy("i"))
-    rows = rows.withColumn("copy", first).where("copy = 1")
-    last = lock.groupBy("doc_id").agg(F.max("seq").alias("last"))
-    rows = rows.join(last, "doc_id", "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("doc_id").orderBy("i")))
-    new = rows.select("doc_id", F.format_string("a%03d", "seq").alias("atom_id"), "seq", "kind", "surface", F.concat(F.upper("kind"), F.lit("("), "surface", F.lit(")")).alias("canonical"), "context", F.lit(-1).alias("start"), F.lit(-1).alias("end"))
-    return lock.unionByName(new)
+    """The lock with a model's atoms appended: those whose surface stands in the original (white space apart) and that
+    are not locked yet, by surface or by kind and form. Their places are -1; what extraction doesn't find of them is
+    verified by containment."""
+    new = proposed(lock, replies, originals).select("doc_id", F.explode("new").alias("a")).select("doc_id", "a.*")
+    return lock.unionByName(new.select(*lock.columns))
 
 
 def claims(replies: DataFrame) -> DataFrame:
-    """doc_id, claim_id, kind, strength (hedged unless known), text: claims of a known kind."""
-    rows = replies.select("doc_id", F.posexplode("reply.claims").alias("i", "c")).select("doc_id", "i", "c.kind", "c.strength", "c.text").where(F.col("kind").isin(CLAIM_KINDS) & (F.length(F.trim("text")) > 0))
+    """doc_id, claim_id, kind (finding where none is given), strength (hedged unless known), text: claims of a known kind."""
+    rows = replies.select("doc_id", F.posexplode("reply.claims").alias("i", "c"))
+    kind, text = F.lower(tx.stripped(F.coalesce("c.kind", F.lit("finding")))), tx.stripped(F.coalesce("c.text", F.lit("")))
+    rows = rows.select("doc_id", "i", kind.alias("kind"), F.lower(tx.stripped(F.col("c.strength"))).alias("strength"), text.alias("text")).where(F.col("kind").isin(CLAIM_KINDS) & (F.length("text") > 0))
     strength = F.when(F.col("strength").isin(STRENGTHS), F.col("strength")).otherwise("hedged")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
     return rows.select("doc_id", F.format_string("c%03d", place).alias("claim_id"), "kind", strength.alias("strength"), "text")

@@ -166,7 +166,7 @@ def claim_violations(verdicts: DataFrame) -> DataFrame:
 
 
 def rewritten(units: DataFrame, provider: Callable[[], object], notes: DataFrame | None = None) -> DataFrame:
-    """units: doc_id, block, text, instructions; notes: doc_id, locked, claims, issues. New texts (doc_id, block, text)
+    """units: doc_id, row, block, text, instructions; notes: doc_id, locked, claims, issues. New texts (doc_id, block, text)
     of units that got one; outer white space is the old text's."""
     none = F.lit("")
     known = {"issues": none, "locked": none, "claims": none}
@@ -174,9 +174,9 @@ def rewritten(units: DataFrame, provider: Callable[[], object], notes: DataFrame
         units = units.join(notes, "doc_id", "left")
         known = {"issues": F.col("issues"), "locked": F.array_join(F.filter("locked", lambda x: F.contains(F.col("text"), x)), "; "), "claims": F.col("claims")}
     prompt = prompted(PROMPT, lang=none, instructions=F.col("instructions"), text=F.col("text"), **known)
-    got = asked(units.select("doc_id", "block", "text", prompt.alias("prompt")), provider).withColumn("new", F.from_json("reply", "rewritten_text string")["rewritten_text"])
+    got = asked(units.select("doc_id", "row", "block", "text", prompt.alias("prompt")), provider).withColumn("new", F.from_json("reply", "rewritten_text string")["rewritten_text"])
     lead, trail = F.regexp_extract("text", r"^\s*", 0), F.regexp_extract("text", r"\s*$", 0)
-    return got.where(F.length(F.trim("new")) > 0).select("doc_id", "block", F.concat(lead, F.trim("new"), trail).alias("text"))
+    return got.where(F.length(F.trim("new")) > 0).select("doc_id", "row", "block", F.concat(lead, F.trim("new"), trail).alias("text"))
 
 
 def instructions(violations: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def rewrite(docs: DataFrame, provider: Callable[[], object], repairs: int = 2) -
     normal = atoms.normal_documents(docs)
     lock, registered, notes = enriched(normal, provider)
     parts = segment.blocks(normal)
-    units = segment.units(parts).select("doc_id", "block", "text").withColumn("instructions", F.lit(""))
+    units = segment.units(parts).select("doc_id", "row", "block", "text").withColumn("instructions", F.lit(""))
     current = durable(rewritten(units, provider, notes))
     loops = normal.select("doc_id", F.lit(0).alias("loops"))
     left = normal.select("doc_id")  # documents that changed since their last check
@@ -218,7 +218,7 @@ def rewrite(docs: DataFrame, provider: Callable[[], object], repairs: int = 2) -
             break
         todo = affected(units.drop("instructions"), violations).join(instructions(violations), "doc_id")
         new = durable(rewritten(todo, provider, notes))
-        old = current.join(new.select("doc_id", "block"), ["doc_id", "block"], "left_anti")
+        old = current.join(new.select("doc_id", "row", "block"), ["doc_id", "row", "block"], "left_anti")
         current = durable(old.unionByName(new))
         loops = durable(loops.join(bad.withColumn("again", F.lit(1)), "doc_id", "left").select("doc_id", (F.col("loops") + F.coalesce("again", F.lit(0))).alias("loops")))
         left = bad

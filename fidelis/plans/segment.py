@@ -1,20 +1,24 @@
 """Segmentation: lines, headings, fences, tables, references, sections, blocks, masks.
 
-Documents become rows of lines; everything else is windows over a document's lines, which share one exchange
-and one sort. Fenced lines are neither headings nor tables, so frozen ranges never overlap.
+A document's lines become one array in its row (see reading); everything else is an expression over that array, so
+nothing is shuffled and rows that repeat an id stay apart. Only assembling rewritten blocks groups by a key, which
+holds the id and a hash of the text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.functions import arrow
 from fidelis.functions import text as tx
 from fidelis.functions.registry import SECTIONS
+from fidelis.operators import reading
 
-HEADING = r"(?U)^(#{1,6})\s+(.+?)\s*#*\s*$"
-REFERENCES = r"(?i)^(references|bibliography|参考文献)$"
-SEPARATOR = r"^:?-{2,}:?$"
+LINES = "array<struct<n:int,start:int,line:string,kind:string,part:int,level:int,title:string,sec:int,refs:boolean>>"
+BLOCKS = "array<struct<sec:int,block:int,kind:string,start:int,text:string>>"
+#: Frozen shape of a text: what must not change.
+SHAPE = "struct<headings:array<string>,tables:array<array<array<string>>>,codes:array<string>,refs:string>"
 
 
 def section_type(title: Column) -> Column:
@@ -27,39 +31,24 @@ def section_type(title: Column) -> Column:
     return out.otherwise("general")
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lines (see LINES)."""
+    return arrow.added(_texts(docs), f"lines {LINES}", ["text"], lambda t: ([(n, *x) for n, x in enumerate(reading.lines(t))],))
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, n (line number), start, line, kind (code, table, references, heading, prose), part (number of the
-    code block or table), level, title, sec (section number, 0 before the first heading)."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-    w = Window.partitionBy("doc_id").orderBy("n")
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.regexp_replace("line", r"(?U)^\s+", "").startswith("```")
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("int"))
-    rows = rows.withColumn("fences", F.sum(fence.cast("int")).over(upto)).withColumn("code", (F.col("fences") % 2 == 1) | fence)
-    rows = rows.withColumn("table", ~F.col("code") & F.col("line").rlike(r"(?U)^\s*\|"))
-    rows = rows.withColumn("head", ~F.col("code") & F.col("line").rlike(HEADING))
-    rows = rows.withColumn("title", F.when(F.col("head"), F.trim(F.regexp_extract("line", HEADING, 2))))
-    rows = rows.withColumn("level", F.when(F.col("head"), F.length(F.regexp_extract("line", HEADING, 1))))
-    rows = rows.withColumn("opens", F.col("table") & ~F.coalesce(F.lag("table").over(w), F.lit(False)))
-    rows = rows.withColumn("sec", F.sum(F.col("head").cast("int")).over(upto))
-    first = F.min(F.when(F.col("head") & F.col("title").rlike(REFERENCES), F.col("sec"))).over(Window.partitionBy("doc_id"))
-    rows = rows.withColumn("refs", F.coalesce(F.col("sec") == first, F.lit(False)))
-    kind = F.when(F.col("code"), "code").when(F.col("head"), "heading").when(F.col("table"), "table").when(F.col("refs"), "references").otherwise("prose")
-    part = F.when(F.col("code"), F.ceil(F.col("fences") / 2)).when(F.col("table"), F.sum(F.col("opens").cast("int")).over(upto)).cast("int")
-    return rows.select("doc_id", "n", "start", "line", kind.alias("kind"), part.alias("part"), "level", "title", "sec", "refs")
-
-
-def joined(rows: DataFrame, piece: Column, *by: str) -> DataFrame:
-    """Pieces of lines in line order, joined by newlines."""
-    one = F.array_sort(F.collect_list(F.struct("n", piece.alias("piece"))))
-    return rows.groupBy(*by).agg(F.array_join(F.transform(one, lambda x: x["piece"]), "\n").alias("text"))
+    code block or table), level, title, sec (section number, 0 before the first heading), refs."""
+    return parsed(docs).select("doc_id", F.explode("lines").alias("l")).select("doc_id", "l.*")
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """doc_id, text: frozen lines and headings blanked at equal length."""
-    blank = F.repeat(F.lit(" "), F.length("line"))
-    return joined(lines(docs), F.when(F.col("kind") == "prose", F.col("line")).otherwise(blank), "doc_id")
+    return arrow.added(_texts(docs), "masked string", ["text"], lambda t: (reading.masked(reading.lines(t)),)).select("doc_id", F.col("masked").alias("text"))
 
 
 def headings(docs: DataFrame) -> DataFrame:
@@ -67,63 +56,91 @@ def headings(docs: DataFrame) -> DataFrame:
     return lines(docs).where("kind = 'heading'").select("doc_id", "n", "level", "title", F.concat_ws(" ", F.repeat(F.lit("#"), "level"), "title").alias("heading"))
 
 
+def _shape_of(text: str) -> dict:
+    heads, tables, codes, refs = reading.shape(reading.lines(text))
+    return {"headings": heads, "tables": tables, "codes": codes, "refs": refs}
+
+
+def shapes(docs: DataFrame) -> DataFrame:
+    """doc_id, shape (see SHAPE)."""
+    return arrow.added(_texts(docs), f"shape {SHAPE}", ["text"], lambda t: (_shape_of(t),)).select("doc_id", "shape")
+
+
 def codes(docs: DataFrame) -> DataFrame:
     """doc_id, part, text of each fenced block."""
-    return joined(lines(docs).where("kind = 'code'"), F.col("line"), "doc_id", "part")
+    return shapes(docs).select("doc_id", F.posexplode("shape.codes").alias("part", "text")).withColumn("part", F.col("part") + 1)
 
 
 def table_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, part, n, cells of each table row that is no separator and not blank."""
+    """doc_id, part, n, cells of each table row that is no ruler and not blank."""
     rows = lines(docs).where("kind = 'table'")
     inner = F.regexp_replace(tx.stripped(F.col("line")), r"^\|+|\|+$", "")
     cells = F.transform(F.split(inner, r"\|", -1), tx.stripped)
-    rows = rows.select("doc_id", "part", "n", cells.alias("cells"))
-    ruler = F.forall("cells", lambda c: (c == "") | c.rlike(SEPARATOR))
-    return rows.where(~ruler & F.exists("cells", lambda c: c != ""))
+    return rows.select("doc_id", "part", "n", cells.alias("cells")).where(F.exists("cells", lambda c: (c != "") & ~c.rlike(r"^:?-{2,}:?$")))
 
 
 def tables(docs: DataFrame) -> DataFrame:
     """doc_id, part, rows (array of arrays of normalised cells)."""
-    rows = table_rows(docs).withColumn("cells", F.transform("cells", tx.cell))
-    ordered = F.array_sort(F.collect_list(F.struct("n", "cells")))
-    return rows.groupBy("doc_id", "part").agg(F.transform(ordered, lambda r: r["cells"]).alias("rows"))
+    return shapes(docs).select("doc_id", F.posexplode("shape.tables").alias("part", "rows")).withColumn("part", F.col("part") + 1)
 
 
 def references(docs: DataFrame) -> DataFrame:
     """doc_id, text of the references section with its heading."""
-    return joined(lines(docs).where("refs"), F.col("line"), "doc_id")
+    refs = F.transform(F.filter("lines", lambda x: x["refs"]), lambda x: x["line"])
+    return parsed(docs).select("doc_id", refs.alias("r")).where(F.size("r") > 0).select("doc_id", F.array_join("r", "\n").alias("text"))
+
+
+def _sections(text: str) -> list[tuple]:
+    out: list[tuple] = []
+    for x in reading.lines(text):
+        end = x.start + len(x.text)
+        if out and out[-1][0] == x.sec:
+            out[-1] = (*out[-1][:5], end)
+        else:
+            out.append((x.sec, x.title or "", x.level or 0, x.refs, x.start, end))
+    return out
 
 
 def sections(docs: DataFrame) -> DataFrame:
     """doc_id, sec, sec_id, title, level, section_type, frozen, start, end (code points)."""
-    rows = lines(docs)
-    one = rows.groupBy("doc_id", "sec").agg(
-        F.first(F.when(F.col("kind") == "heading", F.col("title")), ignorenulls=True).alias("title"),
-        F.max("level").alias("level"), F.min("start").alias("start"), F.max(F.col("start") + F.length("line")).alias("end"), F.bool_or("refs").alias("frozen"),
-    )
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("sec"))
-    title = F.coalesce("title", F.lit(""))
-    return one.select("doc_id", "sec", F.format_string("sec-%03d", place).alias("sec_id"), title.alias("title"), F.coalesce("level", F.lit(0)).alias("level"), section_type(title).alias("section_type"), "frozen", "start", "end")
+    rows = arrow.added(_texts(docs), "s array<struct<sec:int,title:string,level:int,frozen:boolean,start:int,end:int>>", ["text"], lambda t: (_sections(t),))
+    one = rows.select("doc_id", F.posexplode("s").alias("i", "s")).select("doc_id", (F.col("i") + 1).alias("i"), "s.*")
+    return one.select("doc_id", "sec", F.format_string("sec-%03d", "i").alias("sec_id"), "title", "level", section_type(F.col("title")).alias("section_type"), "frozen", "start", "end")
+
+
+def _blocks(text: str) -> list[tuple]:
+    out: list[tuple] = []
+    held: list[str] = []
+    last = None
+    for x in reading.lines(text):
+        kind = x.kind if x.kind in ("prose", "heading") else "frozen"
+        run = (x.sec, kind, (x.kind, x.part) if kind == "frozen" else None)
+        if run != last:
+            if held:
+                out[-1] = (*out[-1], "\n".join(held))
+            out.append((x.sec, len(out) + 1, kind, x.start))
+            held, last = [], run
+        held.append(x.text)
+    return [*out[:-1], (*out[-1], "\n".join(held))]
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, sec, block, kind (heading, prose, frozen), text: runs of lines whose join by newlines is the document."""
-    w = Window.partitionBy("doc_id").orderBy("n")
-    kind = F.when(F.col("kind").isin("prose", "heading"), F.col("kind")).otherwise("frozen")
-    rows = lines(docs).withColumn("sort", kind).withColumn("run", F.concat_ws("|", "sec", "sort", F.when(F.col("sort") == "frozen", F.concat_ws(":", "kind", "part")).otherwise("")))
-    rows = rows.withColumn("new", F.coalesce(F.col("run") != F.lag("run").over(w), F.lit(True)).cast("int"))
-    rows = rows.withColumn("block", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    got = joined(rows, F.col("line"), "doc_id", "sec", "block", "sort")
-    return got.withColumnRenamed("sort", "kind")
+    """doc_id, row, sec, block, kind (heading, prose, frozen), start, text: runs of lines whose join by newlines is the
+    document. row is a hash of the text: it tells documents of one id apart."""
+    rows = arrow.added(_texts(docs), f"b {BLOCKS}", ["text"], lambda t: (_blocks(t),))
+    return rows.select("doc_id", F.xxhash64("text").alias("row"), F.explode("b").alias("b")).select("doc_id", "row", "b.*")
 
 
 def assembled(parts: DataFrame, replacements: DataFrame | None = None) -> DataFrame:
-    """doc_id, text: the blocks put together, prose ones replaced where replacements (doc_id, block, text) has them."""
-    rows = parts.select("doc_id", F.col("block").alias("n"), "kind", "text")
+    """doc_id, text: the blocks put together, prose ones replaced where replacements (doc_id, row, block, text) has
+    them. Documents that are equal in id and text give one row."""
+    rows = parts.select("doc_id", "row", "block", "kind", "text")
     if replacements is not None:
-        new = replacements.select("doc_id", F.col("block").alias("n"), F.col("text").alias("new"))
-        rows = rows.join(new, ["doc_id", "n"], "left").withColumn("text", F.when(F.col("kind") == "prose", F.coalesce("new", "text")).otherwise(F.col("text")))
-    return joined(rows, F.col("text"), "doc_id")
+        new = replacements.select(F.col("doc_id").alias("of"), F.col("row").alias("in"), F.col("block").alias("at"), F.col("text").alias("new"))
+        rows = rows.join(new, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("in")) & (F.col("block") == F.col("at")), "left")
+        rows = rows.withColumn("text", F.when(F.col("kind") == "prose", F.coalesce("new", "text")).otherwise(F.col("text")))
+    one = F.array_sort(F.array_distinct(F.collect_list(F.struct("block", "text"))))
+    return rows.groupBy("doc_id", "row").agg(F.array_join(F.transform(one, lambda x: x["text"]), "\n").alias("text")).select("doc_id", "text")
 
 
 def units(parts: DataFrame, least: int = 40) -> DataFrame:

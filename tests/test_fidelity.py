@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fidelis.operators import atoms, claims, evalset, rewrite, style
+from fidelis.operators import atoms, claims, evalset, reading, rewrite, style
 from fidelis.operators.fidelity import Check, manifests, read_manifests
 from fidelis.plans import segment
 
@@ -67,6 +67,48 @@ def test_gate(spark):
     assert gate[1].preserved_rate < 1
 
 
+def test_long_numbers_and_repeated_ids(spark):
+    a, b = "It was 1.1234567890123 and 99999999999999999999999999999.5 then.\n", "It was 1.1234567890124 and 88888888888888888888888888888.5 then.\n"
+    rows = [(1, "# A\n\nfirst 10 here.\n"), (1, "second 20 there.\n"), (None, "third 30.\n"), (None, None), (2, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id or 0, r.canonical) for r in atoms.extract(docs).collect())
+    assert found == [(0, "NUM(30)"), (1, "NUM(10)"), (1, "NUM(20)"), (2, "NUM(1.1234567890123)"), (2, "NUM(99999999999999999999999999999.5)")]
+    texts = sorted(r.text or "" for r in segment.assembled(segment.blocks(docs)).collect())
+    assert texts == sorted((t or "") for _, t in rows)
+    assert all(r.passed for r in Check(docs, docs).gate().collect()) and Check(docs, docs).gate().count() == 5
+    changed = docs.withColumn("text", F.when(F.col("doc_id") == 2, b).otherwise(F.col("text")))
+    assert sorted((r.doc_id, r.rule) for r in Check(docs, changed).violations().collect()) == [(2, "atom_changed")] * 2
+
+
+def test_bridge(spark):
+    """A level and the p-value below it state the same; each revised fact is used once, in the lock's order."""
+    cases = [("在1%水平上显著。", "p<0.01。", ["equivalent"]), ("p≤0.05。", "在5%水平上显著。", ["equivalent"]), ("在1%水平上显著，又p<0.01。", "p<0.01。", ["equivalent", "missing"]), ("p<0.01，又在1%水平上显著。", "p<0.01。", ["preserved", "missing"]), ("p>0.01。", "在1%水平上显著。", ["missing"])]
+    make = lambda k: spark.createDataFrame([(i, c[k]) for i, c in enumerate(cases)], "doc_id long, text string")
+    got = Check(make(0), make(1)).results.orderBy("doc_id", "seq").collect()
+    assert [[r.verdict for r in got if r.doc_id == i] for i in range(len(cases))] == [c[2] for c in cases]
+
+
+def test_all_passes(spark):
+    """The passes that the rendered papers lack."""
+    text = "张三等（2020）指出。Li, Wang (2019) say so (Smith, 2018). 百分之30，占比为0.25。2021-03-04至今，p值为0.03，P 值＝0.5。系数为-0.5，n=1,200，样本1999个。近10年。percentage of 0.125. 300美元和1.5亿元，2万元。12 firms。May 2020, 十二月。2008年12月与2009年十一月。"
+    got = {(r.kind, r.canonical) for r in atoms.extract(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()}
+    want = [
+        ("citation_ay", "CITE_AY(张三,2020)"), ("citation_ay", "CITE_AY(smith,2018)"), ("percent", "PCT(30)"), ("percent", "PCT(25)"), ("percent", "PCT(12.5)"), ("date", "DATE(2021-03-04)"), ("p_value", "P(eq,0.03)"),
+        ("p_value", "P(eq,0.5)"), ("coefficient", "COEF(-0.5)"), ("count", "COUNT(1200)"), ("phrase", "PHRASE(近10年)"), ("amount", "USD(300)"), ("amount", "CNY(150000000)"), ("amount", "CNY(20000)"), ("count", "COUNT(12)"),
+        ("date", "DATE(2020-05)"), ("date", "DATE(2008-12)"), ("date", "DATE(2009-11)"), ("date", "DATE(1999)"),
+    ]
+    assert not set(want) - got, set(want) - got
+
+
+def test_long_text_is_linear():
+    import time
+
+    text = "The rate was 34.5% in 2019 of 412 firms [3], p<0.01 and ROA. “term” 样本为286.4万元。\n" * 5000
+    began = time.process_time()
+    found = reading.facts(reading.masked(reading.lines(text)), ["term"])
+    assert len(found) < 20 and time.process_time() - began < 6
+
+
 def test_manifests(spark, paper):
     got = read_manifests(manifests(paper)).orderBy("doc_id").collect()
     assert [len(r.atoms) for r in got] == [18, 0, 0] and got[0].language == "zh" and "34.5" in got[0].source_numbers
@@ -83,16 +125,29 @@ def test_style(spark):
 
 
 def test_claims(spark, paper):
-    reply = 'Here: ```json {"atoms": [{"type": "money", "surface": "投入", "context": "c"}, {"type": "num", "surface": "absent", "context": ""}], "claims": [{"kind": "causal", "strength": "odd", "text": "t"}, {"kind": "?", "strength": "strong", "text": "u"}]} ```'
+    items = [
+        {"type": "amount", "surface": "投入", "context": "c"}, {"type": "number", "surface": "absent", "context": ""}, {"type": "Method", "surface": "问卷 回收率"}, {"type": "odd", "surface": "样本"},
+        {"type": "number", "surface": "412 家", "context": ""}, {"type": "percent", "surface": "回收率为34.5%"}, {"type": "number", "surface": "为2019—2023年的412"}, {"surface": "样 本"}, {"type": "term", "surface": ""},
+    ]
+    said = [{"kind": "causal", "strength": "odd", "text": "t"}, {"kind": "?", "strength": "strong", "text": "u"}, {"text": " v "}, {"kind": "Stance", "strength": "NEUTRAL", "text": "w"}, {"kind": "finding", "text": " "}]
+    reply = "Here: ```json " + json.dumps({"atoms": items, "claims": said}, ensure_ascii=False) + " ```"
     rows = claims.parsed(spark.createDataFrame([(1, reply), (2, "nothing")], "doc_id long, reply string"), claims.LOCK_REPLY)
     lock = atoms.extract(paper)
-    new = claims.merged(lock, rows, paper).where("start < 0").collect()
-    assert [(r.kind, r.surface, r.atom_id) for r in new] == [("amount", "投入", "a019")]
+    new = claims.merged(lock, rows, paper).where("start < 0").orderBy("seq").collect()
+    assert [(r.kind, r.surface, r.atom_id, r.canonical) for r in new] == [
+        ("amount", "投入", "a019", "AMOUNT(投入)"), ("phrase", "问卷 回收率", "a020", "PHRASE(问卷 回收率)"), ("phrase", "样本", "a021", "PHRASE(样本)"), ("number", "为2019—2023年的412", "a022", "NUM(412)"),
+    ]
+    assert {r.doc_id: r.dropped for r in claims.proposed(lock, rows, paper).collect()} == {1: 2, 2: 0}
     registered = claims.claims(rows)
-    assert [(r.claim_id, r.strength) for r in registered.collect()] == [("c001", "hedged")]
+    assert [(r.claim_id, r.kind, r.strength, r.text) for r in registered.orderBy("claim_id").collect()] == [("c001", "causal", "hedged", "t"), ("c002", "finding", "hedged", "v"), ("c003", "stance", "neutral", "w")]
+    merged = claims.merged(lock, rows, paper)
+    gate = {r.doc_id: r for r in Check(paper, paper, merged).gate().collect()}
+    assert all(r.passed and r.preserved_rate == 1 for r in gate.values()) and gate[1].atoms_locked == 22
+    changed = paper.withColumn("text", F.replace("text", F.lit("投入"), F.lit("花费")))
+    assert [(r.rule, r.detail) for r in Check(paper, changed, merged).violations().collect()] == [("atom_missing", "amount: 投入 -> -")]
     verdicts = spark.createDataFrame([(1, "c009", "weakened", "e"), (1, "c008", "supported", "e")], "doc_id long, claim_id string, verdict string, evidence string")
     assert [r.rule for r in claims.review_violations(verdicts).collect()] == ["claim_strength_shift"]
-    assert claims.unreviewed(registered, verdicts).count() == 1
+    assert claims.unreviewed(registered, verdicts).count() == 3
 
 
 def test_prompts_and_providers():
@@ -125,7 +180,7 @@ def test_rewrite_reviews_claims(spark):
     say = lambda t: json.dumps({"rewritten_text": t})
     fine = "In 120 firms, about half of them small, training may raise output, as found last year."
     strong, lost = fine.replace("may raise", "raises"), fine.replace("about half", "many")
-    lock = json.dumps({"atoms": [{"type": "num", "surface": "about half", "context": ""}], "claims": [{"kind": "causal", "strength": "hedged", "text": "training may raise output"}]})
+    lock = json.dumps({"atoms": [{"type": "number", "surface": "about half", "context": ""}], "claims": [{"kind": "causal", "strength": "hedged", "text": "training may raise output"}]})
     judge = lambda v: json.dumps({"claims": [{"id": "c001", "verdict": v, "evidence": "raises"}], "repair_instructions": ["hedge it"]})
 
     class Provider:

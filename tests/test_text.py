@@ -2,6 +2,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from fidelis.functions import exact
 from fidelis.functions import text as tx
 
 
@@ -13,11 +14,17 @@ def values(spark, expression, rows, kind="string"):
 def test_numerals(spark):
     rows = ["三百二十", "十五", "一百零三", "两千五百", "三万六千", "十", "3", "", "二亿"]
     assert values(spark, tx.zh_number, rows) == [320, 15, 103, 2500, 36000, 10, None, None, 200000000]
+    assert [exact.zh_value(r) for r in rows] == values(spark, tx.zh_number, rows)
 
 
 def test_numbers_are_exact_and_plain(spark):
-    rows = ["2,864,000", "２８６.４", "0.50", "-0.02", "007", "x", "100"]
-    assert values(spark, lambda c: tx.plain(tx.number(c)), rows) == ["2864000", "286.4", "0.5", "-0.02", "7", None, "100"]
+    rows = ["2,864,000", "２８６.４", "0.50", "-0.02", "007", "x", "100", "-0.0", ".5", "1.1234567890123", "99,999,999,999,999,999,999,999,999,999.5", "", "1.2.3", None]
+    want = ["2864000", "286.4", "0.5", "-0.02", "7", None, "100", "0", "0.5", "1.1234567890123", "99999999999999999999999999999.5", None, None, None]
+    assert values(spark, tx.number, rows) == want
+    assert values(spark, lambda c: tx.number(c, 2), ["0.05", "3", "1.2345", "0.001"]) == ["5", "300", "123.45", "0.1"]
+    assert values(spark, lambda c: tx.number(c, -2), ["5", "1", "0.5", "1234"]) == ["0.05", "0.01", "0.005", "12.34"]
+    for places in (-2, 0, 4):
+        assert [exact.moved(r, places) for r, w in zip(rows, want, strict=True) if w] == [x for x in values(spark, lambda c, p=places: tx.number(c, p), rows) if x]
 
 
 def test_documents(spark):
