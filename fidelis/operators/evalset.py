@@ -22,14 +22,18 @@ def threshold(variant: Column, name: str) -> Column:
 
 def thresholds(rows: DataFrame) -> DataFrame:
     """rows: case_id, variant, edit, density_before, density_after, cv_before, cv_after. Adds edit_ok, density_ok,
-    cv_ok and over_edit (a control case edited beyond its band)."""
+    cv_ok and over_edit (a control case edited beyond its band); with naturalness_before and naturalness_after also natural_ok."""
     v = F.col("variant")
     edit = F.col("edit").between(threshold(v, "edit_low"), threshold(v, "edit_high"))
     cut = F.when(F.col("density_before") > 0, 1 - F.col("density_after") / F.col("density_before")).otherwise(1.0)
     density = F.when(v == "C", F.col("density_after") <= F.col("density_before")).otherwise((F.col("density_after") <= threshold(v, "density_max")) & (cut >= threshold(v, "density_cut")))
     rhythm = F.col("cv_after") - F.col("cv_before") >= threshold(v, "cv_delta")
     over = (v == "C") & (F.col("edit") > threshold(v, "edit_high"))
-    return rows.withColumns({"edit_ok": edit, "density_ok": density, "cv_ok": rhythm, "over_edit": over})
+    made = {"edit_ok": edit, "density_ok": density, "cv_ok": rhythm, "over_edit": over}
+    if {"naturalness_before", "naturalness_after"} <= set(rows.columns):
+        more = F.col("naturalness_after") - F.col("naturalness_before")
+        made["natural_ok"] = F.when(v == "C", F.abs(more) <= threshold(v, "natural_delta")).otherwise((F.col("naturalness_after") >= threshold(v, "natural_min")) & (more >= threshold(v, "natural_delta")))
+    return rows.withColumns(made)
 
 
 def fidelity(rows: DataFrame) -> DataFrame:
@@ -95,4 +99,4 @@ def moved(matched: DataFrame) -> DataFrame:
 
 def baselines(stats: DataFrame, by: str) -> DataFrame:
     """Mean, deviation and tenths of sentence lengths and cv by a column, over a corpus."""
-    return stats.groupBy(by).agg(F.avg("sentence_mean").alias("mean"), F.stddev_pop("sentence_mean").alias("sd"), F.avg("sentence_cv").alias("cv"), F.percentile("sentence_mean", F.lit(0.1)).alias("p10"), F.percentile("sentence_mean", F.lit(0.9)).alias("p90"))
+    return stats.groupBy(by).agg(F.count(F.lit(1)).alias("documents"), F.avg("sentence_mean").alias("mean"), F.stddev_pop("sentence_mean").alias("sd"), F.avg("sentence_cv").alias("cv"), F.percentile("sentence_mean", F.lit(0.1)).alias("p10"), F.percentile("sentence_mean", F.lit(0.9)).alias("p90"))

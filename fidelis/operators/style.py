@@ -9,12 +9,12 @@ from fidelis.functions import text as tx
 from fidelis.functions.registry import MARKERS
 
 
-def rhythm(docs: DataFrame) -> DataFrame:
-    """doc_id, language, chars, n_sentences, sentence_mean, sentence_sd, sentence_cv, n_paragraphs, paragraph_mean."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+def rhythm(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, more columns of docs, language, chars, n_sentences, sentence_mean, sentence_sd, sentence_cv, n_paragraphs, paragraph_mean."""
+    rows = docs.select("doc_id", *more, F.coalesce("text", F.lit("")).alias("text"))
     sizes = F.transform(tx.prose_sentences(F.col("text")), lambda s: F.length(s))
     paras = F.transform(tx.paragraphs(F.col("text")), lambda p: F.length(p))
-    rows = rows.select("doc_id", tx.language(F.col("text")).alias("language"), F.length("text").alias("chars"), sizes.alias("s"), paras.alias("p"))
+    rows = rows.select("doc_id", *more, tx.language(F.col("text")).alias("language"), F.length("text").alias("chars"), sizes.alias("s"), paras.alias("p"))
 
     def total(column: str, of) -> Column:
         return F.aggregate(column, F.lit(0.0), lambda a, x: a + of(x.cast("double")))
@@ -23,27 +23,33 @@ def rhythm(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("mean", F.when(n > 0, total("s", lambda x: x) / n).otherwise(0.0))
     rows = rows.withColumn("sd", F.when(n > 0, F.sqrt(total("s", lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / n)).otherwise(0.0))
     cv = F.when(F.col("mean") > 0, F.col("sd") / F.col("mean")).otherwise(0.0)
-    return rows.select("doc_id", "language", "chars", n.alias("n_sentences"), F.col("mean").alias("sentence_mean"), F.col("sd").alias("sentence_sd"), cv.alias("sentence_cv"), m.alias("n_paragraphs"), F.when(m > 0, total("p", lambda x: x) / m).otherwise(0.0).alias("paragraph_mean"))
+    return rows.select("doc_id", *more, "language", "chars", n.alias("n_sentences"), F.col("mean").alias("sentence_mean"), F.col("sd").alias("sentence_sd"), cv.alias("sentence_cv"), m.alias("n_paragraphs"), F.when(m > 0, total("p", lambda x: x) / m).otherwise(0.0).alias("paragraph_mean"))
+
+
+def _listed(family: str) -> list[tuple[str, str]]:
+    return [(lang, p) for lang in MARKERS for p in MARKERS[lang][family]]
 
 
 def _phrases(family: str) -> Column:
-    rows = [(lang, i, p) for lang in MARKERS for i, p in enumerate(MARKERS[lang][family])]
-    return F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(i).alias("ord"), F.lit(p).alias("phrase")) for lang, i, p in rows])
+    return F.array(*[F.struct(F.lit(lang).alias("lang"), F.lit(i).alias("ord"), F.lit(p).alias("phrase")) for i, (lang, p) in enumerate(_listed(family))])
+
+
+def template_hits(low: Column) -> Column:
+    """Occurrences of the template phrases in a lower-cased text: one expression a phrase, so all is compiled."""
+    return sum((tx.occurrences(low, F.lit(p.lower())) for _, p in _listed("template")), F.lit(0).cast("long"))
 
 
 def hits(docs: DataFrame, family: str) -> DataFrame:
-    """doc_id, lang, phrase, n: occurrences of a family's phrases, in any letter case."""
-    rows = docs.select("doc_id", F.lower("text").alias("text"), F.explode(_phrases(family)).alias("m"))
-    rows = rows.select("doc_id", "m.lang", "m.phrase", "m.ord", tx.occurrences(F.col("text"), F.lower("m.phrase")).alias("n"))
-    return rows.where("n > 0").select("doc_id", "lang", "phrase", "n")
+    """doc_id, lang, phrase, n, ord: occurrences of a family's phrases, in any letter case; ord is their order."""
+    rows = docs.select("doc_id", F.lower("text").alias("low"))
+    found = [F.struct(F.lit(lang).alias("lang"), F.lit(p).alias("phrase"), tx.occurrences(F.col("low"), F.lit(p.lower())).alias("n"), F.lit(i).alias("ord")) for i, (lang, p) in enumerate(_listed(family))]
+    return rows.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x["n"] > 0)).alias("m")).select("doc_id", "m.*")
 
 
 def density(docs: DataFrame) -> DataFrame:
     """doc_id, language, template_hits, template_density (per 1000 characters in zh, 1000 words in en), unit."""
-    text = F.coalesce("text", F.lit(""))
-    low = F.lower(text)
-    count = F.aggregate(F.transform(_phrases("template"), lambda m: tx.occurrences(low, F.lower(m["phrase"]))), F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = docs.select("doc_id", tx.language(text).alias("language"), count.alias("template_hits"), F.length(text).alias("chars"), F.regexp_count(text, F.lit("[A-Za-z]+")).alias("words"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    rows = rows.select("doc_id", tx.language(F.col("text")).alias("language"), template_hits(F.col("low")).alias("template_hits"), F.length("text").alias("chars"), F.regexp_count("text", F.lit("[A-Za-z]+")).alias("words"))
     zh = F.col("language") == "zh"
     per = F.greatest(F.when(zh, F.col("chars")).otherwise(F.col("words")), F.lit(1))
     return rows.select("doc_id", "language", "template_hits", (F.col("template_hits") / per * 1000).alias("template_density"), F.when(zh, "1k_chars").otherwise("1k_words").alias("unit"))
@@ -85,7 +91,7 @@ def stats(docs: DataFrame) -> DataFrame:
 
 def diagnosis(docs: DataFrame) -> DataFrame:
     """doc_id, report: the rendered summary, rounded for reading, with the eight commonest template phrases."""
-    top = hits(docs, "template").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "phrase", "n"))).alias("t"))
+    top = hits(docs, "template").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "ord", "phrase", "n"))).alias("t"))
     rows = stats(docs).join(top, "doc_id", "left")
     listed = F.array_join(F.transform(F.slice(F.coalesce("t", F.array().cast(top.schema["t"].dataType)), 1, 8), lambda x: F.concat(x["phrase"], F.lit(" x"), x["n"].cast("string"))), ", ")
     return rows.select("doc_id", F.concat_ws("\n", F.concat(F.lit("style level: "), "ai_style_level"), F.format_string("sentences: %d, mean %.2f, sd %.2f, cv %.3f", "n_sentences", "sentence_mean", "sentence_sd", "sentence_cv"), F.format_string("templates: %d, %.2f per %s", "template_hits", "template_density", "unit"), F.concat(F.lit("phrases: "), listed)).alias("report"))

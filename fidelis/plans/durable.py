@@ -5,16 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir (a folder of our own only where that is unset)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A new folder under that of spark.checkpoint.dir. Only a session of one machine may do without that setting."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fidelis-"))
         at = spark.sparkContext.getCheckpointDir()
-    path = f"{at.rstrip('/')}/fidelis-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/fidelis-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in a shared folder."""
+    path = folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -45,6 +45,12 @@ TEMPLATES = {
 TERMS = {"zh": "供应链{word}型", "en": "chain{word}model"}
 
 
+#: Texts with the forms that the papers lack, and pairs of a text and its revision that state the same in other words.
+NOTES = "王明（{year}）指出，百分之{share}始于20{year2}-03-15，p值为0.0{level}，系数为-0.{coef}，n={firms}。It held (Smith, {year}) in 1998 too. 近十年共{score}.1234567890123与99999999999999999999999999999.{coef}1。\n"
+FACTS["year2"] = "10 + o_orderkey % 9"
+BRIDGES = [("在{level}%水平上显著。", "p<0.0{level}。", "equivalent"), ("p≤0.0{level}。", "在{level}%水平上显著。", "equivalent"), ("p>0.0{level}。", "在{level}%水平上显著。", "missing"), ("p<0.0{level}。", "P＜0.0{level}。", "equivalent")]
+
+
 def rendered(template: str) -> Column:
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])
@@ -66,6 +72,17 @@ def papers_sql() -> str:
     )
 
 
+def notes(spark: SparkSession, sf_dir: str, template: str = NOTES) -> DataFrame:
+    """doc_id, text: one an order."""
+    return facts(spark, sf_dir).select("doc_id", rendered(template).alias("text"))
+
+
+def bridges(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    """doc_id, text: originals (0) or revisions (1) of BRIDGES, by doc_id."""
+    cases = F.array(*[rendered(b[side]) for b in BRIDGES])
+    return facts(spark, sf_dir).select("doc_id", F.get(cases, (F.col("doc_id") % len(BRIDGES)).cast("int")).alias("text"))
+
+
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, text, glossary."""
     f = facts(spark, sf_dir)

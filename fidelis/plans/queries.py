@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.functions import text as tx
-from fidelis.functions.registry import HARD_RULES
+from fidelis.functions.registry import HARD_RULES, MARKERS
 from fidelis.operators import atoms, claims, evalset, style
 from fidelis.operators.fidelity import Check, manifests, read_manifests
 from fidelis.plans import fixtures, segment
+from fidelis.plans.durable import folder
 from fidelis.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,9 +43,37 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PIECES = "string_split(regexp_replace(regexp_replace(text, '([。！？；!?;\n])', '\\1' || chr(1), 'g'), '(\\p{L}\\.)([ \n])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
 
 
-@query(f"SELECT doc_id, length(text) AS chars, len(s) AS n_sentences, CASE WHEN len(s) > 0 THEN list_sum(list_transform(s, lambda x: length(x)))::DOUBLE / len(s) ELSE 0 END AS sentence_mean FROM (SELECT doc_id, text, list_filter({_PIECES}, lambda x: regexp_matches(x, '\\S')) AS s FROM documents)")
+_BODY_PIECES = _PIECES.replace("(text", "(coalesce(text, '')")
+
+
+def _rhythm(table: str, *more: str) -> str:
+    """doc_id, more columns, text, n, mean and sd of sentence lengths, as SQL."""
+    cols = "".join(f"{c}, " for c in more)
+    return (
+        f"SELECT doc_id, {cols}text, n, CASE WHEN n > 0 THEN m ELSE 0 END AS mean, CASE WHEN n > 0 THEN sqrt(list_sum(list_transform(s, lambda x: (length(x) - m) * (length(x) - m))) / n) ELSE 0 END AS sd FROM "
+        f"(SELECT *, len(s) AS n, list_sum(list_transform(s, lambda x: length(x)))::DOUBLE / len(s) AS m FROM (SELECT doc_id, {cols}coalesce(text, '') AS text, list_filter({_BODY_PIECES}, lambda x: regexp_matches(x, '\\S')) AS s FROM {table}))"
+    )
+
+
+def _levels(rhythm: str, more: str = "") -> str:
+    """language, cv, d (template density), ai_style_level and more columns of a rhythm, as SQL."""
+    language = "CASE WHEN length(regexp_replace(text, '[^一-鿿]', '', 'g'))::DOUBLE / greatest(length(text), 1) >= 0.1 THEN 'zh' ELSE 'en' END"
+    density = f"({_HITS})::DOUBLE / greatest(CASE language WHEN 'zh' THEN length(text) ELSE len(regexp_extract_all(text, '[A-Za-z]+')) END, 1) * 1000"
+    level = "CASE WHEN d >= high OR (d >= mid AND cv < 0.35) THEN 'high' WHEN d >= mid OR cv < 0.35 THEN 'medium' ELSE 'low' END"
+    return (
+        f"SELECT {more}language, cv, d, hits, {level} AS ai_style_level FROM (SELECT {more}language, cv, {_HITS} AS hits, CASE language WHEN 'zh' THEN 5 ELSE 10 END AS high, CASE language WHEN 'zh' THEN 2.5 ELSE 4 END AS mid, {density} AS d FROM "
+        f"(SELECT {more}text, lower(text) AS t, CASE WHEN mean > 0 THEN sd / mean ELSE 0 END AS cv, {language} AS language FROM ({rhythm})))"
+    )
+
+
+_HITS = " + ".join(f"(length(t) - length(replace(t, '{p}', ''))) // {len(p)}" for lang in MARKERS for p in MARKERS[lang]["template"])
+_RHYTHM = _rhythm("documents", "source")
+
+
+@query(f"SELECT doc_id, length(text) AS chars, n AS n_sentences, mean AS sentence_mean, round(sd, 6) AS sentence_sd, round(CASE WHEN mean > 0 THEN sd / mean ELSE 0 END, 6) AS sentence_cv FROM ({_RHYTHM})")
 def style_sentences(spark, sf_dir):
-    return style.rhythm(_docs(spark, sf_dir)).select("doc_id", F.col("chars").cast("long").alias("chars"), F.col("n_sentences").cast("long").alias("n_sentences"), "sentence_mean")
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return style.rhythm(_docs(spark, sf_dir)).select("doc_id", long("chars"), long("n_sentences"), "sentence_mean", *[F.round(c, 6).alias(c) for c in ("sentence_sd", "sentence_cv")])
 
 
 @query(_PAPERS + "SELECT doc_id, len(p) AS n_paragraphs, list_sum(list_transform(p, lambda x: length(x)))::DOUBLE / len(p) AS paragraph_mean FROM (SELECT doc_id, list_filter(string_split_regex(text, '\n{2,}'), lambda x: regexp_matches(x, '\\S')) AS p FROM papers)")
@@ -54,7 +83,7 @@ def style_paragraphs(spark, sf_dir):
 
 @query(_PAPERS + "SELECT doc_id, 'zh' AS lang, '值得注意的是' AS phrase, 1::BIGINT AS n FROM papers WHERE lang = 'zh' UNION ALL SELECT doc_id, 'en', unnest(['it is worth noting that', 'moreover']), 1 FROM papers WHERE lang = 'en'")
 def style_template_hits(spark, sf_dir):
-    return style.hits(fixtures.papers(spark, sf_dir), "template")
+    return style.hits(fixtures.papers(spark, sf_dir), "template").drop("ord")
 
 
 @query(_PAPERS + "SELECT doc_id, lang AS language, CASE WHEN lang = 'zh' THEN 1 ELSE 2 END::BIGINT AS template_hits, CASE WHEN lang = 'zh' THEN 1::DOUBLE / length(text) ELSE 2::DOUBLE / len(regexp_extract_all(text, '[A-Za-z]+')) END * 1000 AS template_density, CASE WHEN lang = 'zh' THEN '1k_chars' ELSE '1k_words' END AS unit FROM papers")
@@ -80,12 +109,20 @@ def style_openings(spark, sf_dir):
     return style.openings(fixtures.papers(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT language, ai_style_level, count(*) AS documents FROM ({_levels(_RHYTHM)}) GROUP BY ALL")
 def style_level(spark, sf_dir):
     return style.stats(_docs(spark, sf_dir)).groupBy("language", "ai_style_level").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query()
+_SHOWN = "printf('%.{n}f', round({c}, {n}))"
+_TWO, _THREE = (lambda c: _SHOWN.format(n=2, c=c)), (lambda c: _SHOWN.format(n=3, c=c))
+
+
+@query(
+    _PAPERS + "SELECT doc_id, 'style level: ' || ai_style_level || chr(10) || 'sentences: ' || n || ', mean ' || " + _TWO("mean") + " || ', sd ' || " + _TWO("sd") + " || ', cv ' || " + _THREE("cv")
+    + " || chr(10) || 'templates: ' || hits || ', ' || " + _TWO("d") + " || ' per ' || CASE language WHEN 'zh' THEN '1k_chars' ELSE '1k_words' END || chr(10) || 'phrases: ' || CASE language WHEN 'zh' THEN '值得注意的是 x1' ELSE 'it is worth noting that x1, moreover x1' END AS report"
+    + f" FROM ({_levels(_rhythm('papers'), 'doc_id, n, mean, sd, ')})"
+)
 def style_diagnosis(spark, sf_dir):
     return style.diagnosis(fixtures.papers(spark, sf_dir))
 
@@ -101,9 +138,9 @@ def language_detection(spark, sf_dir):
     return fixtures.papers(spark, sf_dir).select("doc_id", tx.language(F.col("text")).alias("language"))
 
 
-@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(replace(text, '\n', '\n\n\n\n'), '[ \t]+\n', '\n', 'g'), '\n{3,}', '\n\n', 'g'), chr(10)) || chr(10)) AS digest FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, CASE WHEN text = '' THEN md5('') ELSE md5(trim(regexp_replace(regexp_replace(replace(text, '\n', '\n\n\n\n'), '[ \t]+\n', '\n', 'g'), '\n{3,}', '\n\n', 'g'), chr(10)) || chr(10)) END AS digest FROM documents")
 def normalize_documents(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(F.length("text") > 0).withColumn("text", F.regexp_replace("text", "\n", " \t\r\n\r\n\r\r\n"))
+    docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace("text", "\n", " \t\r\n\r\n\r\r\n"))
     return tx.nfc(docs).select("doc_id", F.md5(tx.normalized(F.col("text"))).alias("digest"))
 
 
@@ -115,11 +152,15 @@ def zh_numerals(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select(k.alias("id"), tx.zh_number(text).alias("value"))
 
 
-@query("SELECT l_orderkey AS id, l_linenumber AS line, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5' AS value FROM lineitem")
+@query(
+    "SELECT l_orderkey AS id, l_linenumber AS line, (1000 + CAST(l_quantity AS BIGINT)) || '.5' AS value, (100 * CAST(l_quantity AS BIGINT) + 5) || '' AS share, '99999999999999999999999999999' || l_orderkey || '.1234567890123' || l_linenumber AS long_value FROM lineitem"
+)
 def decimals_plain(spark, sf_dir):
-    wide = F.translate(F.format_string("1,%s.50", F.lpad(F.col("l_quantity").cast("long").cast("string"), 3, "0")), "0123456789,.", "０１２３４５６７８９,.")
-    value = tx.number(wide) - F.lit(1000)
-    return _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), tx.plain(value).alias("value"))
+    n = F.col("l_quantity").cast("long").cast("string")
+    wide = F.translate(F.format_string("1,%s.50", F.lpad(n, 3, "0")), "0123456789,.", "０１２３４５６７８９,.")
+    long = F.concat(F.lit("0099,999,999,999,999,999,999,999,999,999"), F.col("l_orderkey"), F.lit(".1234567890123"), F.col("l_linenumber"), F.lit("00"))
+    share = tx.number(F.concat(n, F.lit(".050")), 2)
+    return _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), tx.number(wide).alias("value"), share.alias("share"), tx.number(long).alias("long_value"))
 
 
 _SECTIONS = "SELECT doc_id, 'sec-001' AS sec_id, CASE WHEN lang = 'zh' THEN '研究结果' ELSE 'Results' END AS title, 2::BIGINT AS level, 'results' AS section_type, false AS frozen FROM papers UNION ALL SELECT doc_id, 'sec-002', CASE WHEN lang = 'zh' THEN '参考文献' ELSE 'References' END, 2, CASE WHEN lang = 'zh' THEN 'related' ELSE 'general' END, true FROM papers"
@@ -145,9 +186,9 @@ def code_blocks(spark, sf_dir):
     return segment.codes(fixtures.papers(spark, sf_dir)).select("doc_id", F.col("text").alias("code"))
 
 
-@query(_PAPERS + "SELECT doc_id, length(regexp_replace(substr(text, strpos(text, CASE WHEN lang = 'zh' THEN '## 参考' ELSE '## Refer' END)), '\\s+$', '')) AS chars FROM papers")
+@query(_PAPERS + "SELECT doc_id, md5(regexp_replace(substr(text, strpos(text, CASE WHEN lang = 'zh' THEN '## 参考' ELSE '## Refer' END)), '\\s+$', '')) AS digest FROM papers")
 def references(spark, sf_dir):
-    return segment.references(fixtures.papers(spark, sf_dir)).select("doc_id", F.length(tx.stripped(F.col("text"))).cast("long").alias("chars"))
+    return segment.references(fixtures.papers(spark, sf_dir)).select("doc_id", F.md5(tx.stripped(F.col("text"))).alias("digest"))
 
 
 @query(_PAPERS + "SELECT doc_id, length(text) AS chars, true AS same FROM papers")
@@ -157,9 +198,9 @@ def assemble_identity(spark, sf_dir):
     return papers.join(got, "doc_id").select("doc_id", F.length("again").cast("long").alias("chars"), (F.col("text") == F.col("again")).alias("same"))
 
 
-@query(_PAPERS + "SELECT doc_id, length(text) AS chars FROM papers")
-def mask_lengths(spark, sf_dir):
-    return segment.masked(fixtures.papers(spark, sf_dir)).select("doc_id", F.length("text").cast("long").alias("chars"))
+@query(_PAPERS + "SELECT doc_id, md5(array_to_string([CASE WHEN i IN (1, 5, 6, 7, 9, 10, 11, 13, 15) THEN repeat(' ', length(l[i])) ELSE l[i] END FOR i IN range(1, len(l) + 1)], chr(10))) AS digest FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM papers)")
+def mask_digests(spark, sf_dir):
+    return segment.masked(fixtures.papers(spark, sf_dir)).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query(_PAPERS + "SELECT kind, count(*) * n AS blocks FROM papers, (VALUES ('heading', 2), ('frozen', 3), ('prose', 3)) k(kind, n) GROUP BY kind, n")
@@ -195,6 +236,25 @@ for _name, _kinds in {
     QUERIES[_name], ORACLES[_name] = _atoms(_kinds), _truth(_kinds)
 
 
+_OTHER = {
+    "citation_ay": ["'CITE_AY(王明,' || year || ')'", "'CITE_AY(smith,' || year || ')'"], "percent": ["'PCT(' || share || ')'"], "date": ["'DATE(20' || year2 || '-03-15)'", "'DATE(1998)'"], "p_value": ["'P(eq,0.0' || level || ')'"],
+    "coefficient": ["'COEF(-' || rtrim('0.' || coef, '0') || ')'"], "count": ["'COUNT(' || firms || ')'"], "phrase": ["'PHRASE(近10年)'"],
+    "number": ["'NUM(' || score || '.1234567890123)'", "'NUM(99999999999999999999999999999.' || coef || '1)'"],
+}
+
+
+@query(_PAPERS + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {c} AS canonical FROM facts" for k, forms in _OTHER.items() for c in forms))
+def atoms_other(spark, sf_dir):
+    return atoms.extract(fixtures.notes(spark, sf_dir), context=False).select("doc_id", "kind", "canonical")
+
+
+@query()
+def atoms_documents(spark, sf_dir):
+    """Kinds of facts in the raw corpus, over whole texts."""
+    found = atoms.extract(_read(spark, sf_dir, "documents").select("doc_id", "text"), context=False)
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("atoms"), F.countDistinct("doc_id").alias("documents"))
+
+
 @query(_PAPERS + "SELECT doc_id, CASE WHEN lang = 'zh' THEN '占比为' || share || '%。' ELSE 'The share was ' || share || '%. Moreover, the cost was ' || money || '万元.' END AS context FROM facts")
 def atom_context(spark, sf_dir):
     return atoms.extract(fixtures.papers(spark, sf_dir)).where("kind = 'percent'").select("doc_id", "context")
@@ -242,6 +302,24 @@ def verdicts(spark, sf_dir):
     return rows.groupBy("op").agg(F.count(F.when(F.col("verdict") == "equivalent", 1)).alias("equivalent"))
 
 
+_SAID = "[" + ", ".join(f"'{b[2]}'" for b in fixtures.BRIDGES) + "]"
+
+
+@query(f"SELECT o_orderkey AS doc_id, ({_SAID})[o_orderkey % {len(fixtures.BRIDGES)} + 1] AS verdict, o_orderkey % {len(fixtures.BRIDGES)} <> 2 AS passed FROM orders")
+def verdict_bridge(spark, sf_dir):
+    check = Check(fixtures.bridges(spark, sf_dir, 0), fixtures.bridges(spark, sf_dir, 1))
+    return check.results.select("doc_id", "verdict").join(check.gate().select("doc_id", "passed"), "doc_id")
+
+
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 3 = 0 AS passed, CASE o_orderkey % 3 WHEN 0 THEN 1::DOUBLE ELSE 8::DOUBLE / 9 END AS preserved_rate FROM orders")
+def gate_long_numbers(spark, sf_dir):
+    notes = fixtures.notes(spark, sf_dir)
+    k = F.col("doc_id") % 3
+    text = F.when(k == 1, F.replace("text", F.lit("1234567890123"), F.lit("1234567890124"))).when(k == 2, F.replace("text", F.lit("9999999999999."), F.lit("9999999999998."))).otherwise(F.col("text"))
+    # citations have rules of their own, and are not counted
+    return Check(notes, notes.withColumn("text", text)).gate().select("doc_id", "passed", "preserved_rate")
+
+
 @query("SELECT o_orderkey AS doc_id, 1.0::DOUBLE AS preserved_rate FROM orders")
 def preserved_rate(spark, sf_dir):
     papers = fixtures.papers(spark, sf_dir)
@@ -257,10 +335,18 @@ def edit_distance(spark, sf_dir):
 _VARIANT = "CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END"
 
 
-@query(f"SELECT o_orderkey AS case_id, edit BETWEEN CASE v WHEN 'A' THEN 0.15 WHEN 'B' THEN 0.10 ELSE 0 END AND CASE v WHEN 'A' THEN 0.65 WHEN 'B' THEN 0.55 ELSE 0.15 END AS edit_ok, v = 'C' AND edit > 0.15 AS over_edit FROM (SELECT o_orderkey, {_VARIANT} AS v, (o_custkey % 100) / 100.0::DOUBLE AS edit FROM orders)")
+@query(
+    "SELECT o_orderkey AS case_id, edit BETWEEN CASE v WHEN 'A' THEN 0.15 WHEN 'B' THEN 0.10 ELSE 0 END AND CASE v WHEN 'A' THEN 0.65 WHEN 'B' THEN 0.55 ELSE 0.15 END AS edit_ok, "
+    "CASE v WHEN 'A' THEN after <= 2 AND before - after >= 0.5 * before WHEN 'B' THEN after <= 3 AND before - after >= 0.3 * before ELSE after <= before END AS density_ok, "
+    "gained / 8.0 >= CASE v WHEN 'A' THEN 0.10 WHEN 'B' THEN 0.05 ELSE -0.10 END AS cv_ok, CASE v WHEN 'A' THEN nat >= 4 AND more >= 1 WHEN 'B' THEN nat >= 3.5 AND more >= 0.5 ELSE abs(more) <= 0.5 END AS natural_ok, v = 'C' AND edit > 0.15 AS over_edit "
+    f"FROM (SELECT o_orderkey, {_VARIANT} AS v, (o_custkey % 100) / 100.0::DOUBLE AS edit, 1 + o_custkey % 8 AS before, 1 + o_orderkey % 5 AS after, o_custkey % 5 - 2 AS gained, 2 + (o_custkey % 7) / 2.0 AS nat, (o_custkey % 9 - 3) / 2.0 AS more FROM orders)"
+)
 def variant_thresholds(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").selectExpr("o_orderkey AS case_id", f"{_VARIANT} AS variant", "(o_custkey % 100) / 100D AS edit", "4D AS density_before", "1D AS density_after", "0.3D AS cv_before", "0.5D AS cv_after")
-    return evalset.thresholds(rows).select("case_id", "edit_ok", "over_edit")
+    rows = _read(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS case_id", f"{_VARIANT} AS variant", "(o_custkey % 100) / 100D AS edit", "double(1 + o_custkey % 8) AS density_before", "double(1 + o_orderkey % 5) AS density_after", "0.25D AS cv_before",
+        "0.25D + (o_custkey % 5 - 2) / 8D AS cv_after", "2 + (o_custkey % 7) / 2D AS naturalness_after", "2 + (o_custkey % 7) / 2D - (o_custkey % 9 - 3) / 2D AS naturalness_before",
+    )
+    return evalset.thresholds(rows).select("case_id", "edit_ok", "density_ok", "cv_ok", "natural_ok", "over_edit")
 
 
 @query("SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 5 = 0 THEN 0.0 ELSE least((o_orderkey % 7) / 8.0::DOUBLE, (o_custkey % 11) / 16.0::DOUBLE) END::DOUBLE AS semantic_fidelity, CASE WHEN o_orderkey % 5 = 0 THEN 'FAIL' WHEN o_orderkey % 2 = 0 THEN 'PASS_WITH_NOTES' ELSE 'PASS' END AS verdict FROM orders")
@@ -297,28 +383,45 @@ def regression_gate(spark, sf_dir):
     return evalset.regressions(before, after)
 
 
-@query("SELECT source, count(*) AS documents, min(length(text)) AS shortest, max(length(text)) AS longest FROM documents GROUP BY source")
+@query(f"SELECT source, count(*) AS documents, round(avg(mean), 4) AS mean, round(stddev_pop(mean), 4) AS sd, round(avg(CASE WHEN mean > 0 THEN sd / mean ELSE 0 END), 4) AS cv, round(quantile_cont(mean, 0.1), 4) AS p10, round(quantile_cont(mean, 0.9), 4) AS p90 FROM ({_RHYTHM}) GROUP BY source")
 def corpus_baselines(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
-    stats = style.rhythm(docs).join(docs.select("doc_id", "source"), "doc_id")
-    moments = evalset.baselines(stats, "source")
-    sizes = stats.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.min("chars").cast("long").alias("shortest"), F.max("chars").cast("long").alias("longest"))
-    return sizes.join(moments, "source").select("source", "documents", "shortest", "longest")
+    got = evalset.baselines(style.rhythm(docs, "source"), "source")
+    return got.select("source", "documents", *[F.round(c, 4).alias(c) for c in ("mean", "sd", "cv", "p10", "p90")])
 
 
 def _replies(spark, sf_dir) -> DataFrame:
-    made = F.concat(F.lit('```json\n{"atoms": [{"type": "terminology", "surface": "'), F.when(F.col("lang") == "zh", "金额为").otherwise("cost was"), F.lit('", "context": ""}, {"type": "num", "surface": "made up 77", "context": ""}], "claims": [{"kind": "causal", "strength": "sure", "text": "x"}, {"kind": "vague", "strength": "strong", "text": "y"}]}\n```'))
+    said = {
+        "zh": '{"atoms": [{"type": "term", "surface": "金额为", "context": ""}, {"type": "number", "surface": "made up 77"}, {"type": "Method", "surface": "与研究 相符"}, {"type": "odd", "surface": "三年数据"}, {"type": "number", "surface": "截至"}], ',
+        "en": '{"atoms": [{"type": "term", "surface": "cost was", "context": ""}, {"type": "number", "surface": "made up 77"}, {"type": "Method", "surface": "we surveyed"}, {"type": "odd", "surface": "is stable"}, {"type": "number", "surface": "Data end"}], ',
+    }
+    claims_ = '"claims": [{"kind": "Causal", "strength": "sure", "text": "x"}, {"kind": "vague", "strength": "strong", "text": "y"}, {"strength": "NEUTRAL", "text": "z"}, {"kind": "finding", "text": " "}, {"kind": "stance", "strength": "strong", "text": "w"}]}\n```'
+    made = F.concat(F.lit("```json\n"), F.when(F.col("lang") == "zh", said["zh"]).otherwise(said["en"]), F.lit(claims_))
     return claims.parsed(fixtures.papers(spark, sf_dir).select("doc_id", made.alias("reply")), claims.LOCK_REPLY)
 
 
-@query(_PAPERS + "SELECT doc_id, CASE WHEN lang = 'zh' THEN 'a018' ELSE 'a016' END AS atom_id, 'term' AS kind, 'TERM(' || CASE WHEN lang = 'zh' THEN '金额为' ELSE 'cost was' END || ')' AS canonical FROM papers")
+_MODEL = {"zh": (18, ["TERM(金额为)", "PHRASE(与研究 相符)", "PHRASE(三年数据)", "NUMBER(截至)"]), "en": (16, ["TERM(cost was)", "PHRASE(we surveyed)", "PHRASE(is stable)", "NUMBER(Data end)"])}
+
+
+@query(_PAPERS + " UNION ALL ".join(f"SELECT doc_id, 'a0{n + i}' AS atom_id, '{form.split('(')[0].lower()}' AS kind, '{form}' AS canonical FROM papers WHERE lang = '{lang}'" for lang, (n, forms) in _MODEL.items() for i, form in enumerate(forms)))
 def model_lock_merge(spark, sf_dir):
     papers = fixtures.papers(spark, sf_dir)
     got = claims.merged(atoms.extract(papers), _replies(spark, sf_dir), papers)
     return got.where("start < 0").select("doc_id", "atom_id", "kind", "canonical")
 
 
-@query("SELECT o_orderkey AS doc_id, 'c001' AS claim_id, 'causal' AS kind, 'hedged' AS strength FROM orders")
+@query("SELECT o_orderkey AS doc_id, o_orderkey % 2 = 0 AS passed, CASE o_orderkey % 2 WHEN 0 THEN NULL ELSE 'atom_missing' END AS rule FROM orders")
+def model_lock_gate(spark, sf_dir):
+    """Unchanged revisions keep a model's facts, also those that extraction can't find; where one's words go, it is missing."""
+    papers = fixtures.papers(spark, sf_dir)
+    lock = claims.merged(atoms.extract(papers), _replies(spark, sf_dir), papers)
+    text = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit("Data end"), F.lit("They end")))
+    check = Check(papers, papers.withColumn("text", text), lock)
+    rules = check.violations().where("severity = 'hard'").select(F.col("doc_id").alias("of"), "rule").distinct()
+    return check.gate().join(rules, F.col("doc_id") == F.col("of"), "left").select("doc_id", "passed", "rule")
+
+
+@query("SELECT o_orderkey AS doc_id, unnest(['c001', 'c002', 'c003']) AS claim_id, unnest(['causal', 'finding', 'stance']) AS kind, unnest(['hedged', 'neutral', 'strong']) AS strength FROM orders")
 def model_claims(spark, sf_dir):
     return claims.claims(_replies(spark, sf_dir)).select("doc_id", "claim_id", "kind", "strength")
 
@@ -344,7 +447,11 @@ def stream_drift(spark, sf_dir):
     schema = _read(spark, sf_dir, "events").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*")
     rows = files.select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("text"))
-    name = f"drift_{abs(hash(sf_dir)) % 10**8}"
-    running = streams.drift(rows).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    at = folder(spark)
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.select(F.col("window.start").alias("start"), "documents").write.mode("overwrite").parquet(f"{at}/drift")
+
+    running = streams.drift(rows).writeStream.foreachBatch(keep).option("checkpointLocation", f"{at}/state").outputMode("complete").trigger(availableNow=True).start()
     running.awaitTermination()
-    return spark.table(name).select(F.col("window.start").cast(schema["ts"].dataType).alias("start"), "documents")
+    return spark.read.schema("start timestamp, documents long").parquet(f"{at}/drift").select(F.col("start").cast(schema["ts"].dataType).alias("start"), "documents")

@@ -11,11 +11,11 @@ from fidelis.operators import style
 
 def scored(stream: DataFrame) -> DataFrame:
     """Stateless: doc_id, ts, language, n_sentences, template_hits, template_density of each document."""
-    text = F.coalesce("text", F.lit(""))
-    low = F.lower(text)
-    hits = F.aggregate(F.transform(style._phrases("template"), lambda m: tx.occurrences(low, F.lower(m["phrase"]))), F.lit(0).cast("long"), lambda a, x: a + x)
-    size = F.greatest(F.when(tx.language(text) == "zh", F.length(text)).otherwise(F.regexp_count(text, F.lit("[A-Za-z]+"))), F.lit(1))
-    return stream.select("doc_id", "ts", tx.language(text).alias("language"), F.size(tx.prose_sentences(text)).alias("n_sentences"), hits.alias("template_hits"), (hits / size * 1000).alias("template_density"))
+    rows = stream.select("doc_id", "ts", F.coalesce("text", F.lit("")).alias("text")).withColumn("low", F.lower("text"))
+    text = F.col("text")
+    rows = rows.select("doc_id", "ts", text, tx.language(text).alias("language"), style.template_hits(F.col("low")).alias("template_hits"))
+    size = F.greatest(F.when(F.col("language") == "zh", F.length(text)).otherwise(F.regexp_count(text, F.lit("[A-Za-z]+"))), F.lit(1))
+    return rows.select("doc_id", "ts", "language", F.size(tx.prose_sentences(text)).alias("n_sentences"), "template_hits", (F.col("template_hits") / size * 1000).alias("template_density"))
 
 
 def drift(stream: DataFrame, window: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
