@@ -1,16 +1,16 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Tokens are lower-cased (A-Z) words between ASCII white space and one end a text. The root is the unigram
-model with 0.1 added to every count. Runs of up to `DEPTH` words and a next one, all seen `LEAST` times in
+model with 0.1 added to every count. Runs of up to `depth` words and a next one, all seen `LEAST` times in
 the training texts, are the candidates: an absolute count, so the tree grows with the corpus. A context is
 retained when its next-word distribution diverges from its longest retained suffix's by more than the cost
 of its parameters. Distributions are smoothed by absolute discounting into the suffix's, and every token is
 scored by the longest retained suffix of the words before it.
 
-Counts cover all training texts. Texts are dealt into chunks of about `CHUNK` characters, written once;
-what is known of words and longer runs goes back by a join only to the chunks that hold them (a word of a
-single chunk that is too rare for a context needs none), so nothing that grows with the corpus is collected
-or broadcast and no task holds the vocabulary or the tree.
+Counts cover all training texts. Texts are read once and coded in chunks of about `CHUNK` characters. What a chunk
+counts goes, packed, to as many parts as there are tasks (by word or by run), is summed there, and what is frequent
+goes back, packed, to the chunks that hold it. So nothing that grows with the corpus is collected or broadcast, no
+task holds the vocabulary or the tree, and rows stand for packs, not for words.
 
 Defined results: null text counts as empty (one token, the end); without training texts N and V are 0
 and every token is unknown; repeated rows count each; extra columns stay out.
@@ -23,162 +23,298 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard as zstd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fidelis.llm._util import dropped, written
+from fidelis.llm._util import dropped, slices, written
 
-#: Least count of a candidate, the discount, words of a context at most, characters of a chunk.
-LEAST, DISCOUNT, DEPTH, CHUNK = 8, 0.75, 4, 24_000_000
+#: Least count of a candidate, the discount, words of a context at most, characters of a chunk, tokens of a row.
+LEAST, DISCOUNT, DEPTH, CHUNK, ROW = 8, 0.75, 5, 12_000_000, 1_000_000
 END = b""
-#: Between two texts; a word too rare for a context is RARE less its count.
-BREAK, RARE = -1, -2
-LAID = "chunk bigint, kind int, key binary, add double, back double, id {}, train boolean, x binary"
+#: Parts and chunks for each partition of the input.
+PARTS = 2
 
 
 def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
-def chunked(df: DataFrame, train: Column, key: str, text: str) -> DataFrame:
-    """chunk, id, train, text: a written table whose chunks follow each other in each file."""
+class _Places(dict):
+    """Numbers words as they come."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, chunk, size = TaskContext.get().partitionId() << 24, 0, 0
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Integers from 0 or floats, byte planes compressed: high bytes of small numbers cost next to nothing."""
+    x = np.ascontiguousarray(x, x.dtype if x.dtype.kind == "f" else np.uint64)
+    return zstd.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack(raw: bytes, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstd.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+#: A row of what is dealt. kind 0: a part's news to a chunk; 1: a chunk's news to a part; 2: its texts; 3: its dictionary;
+#: 4: a frequent word or run; 5: totals; 6: the tree's values. level: words of its runs. a: numbers by column, b, c, d: more by kind.
+ROWS = "kind int, chunk bigint, part bigint, level int, a array<binary>, b binary, c binary, d binary, n bigint, v bigint, ids array<{}>"
+NAMES = [f.split()[0] for f in ROWS.split(", ")]
+
+
+class _Out:
+    """Makes batches of ROWS."""
+
+    def __init__(self, id_type: pa.DataType):
+        self.kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(id_type)]
+
+    def row(self, **values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([values.get(n)], k) for n, k in zip(NAMES, self.kinds, strict=True)], names=NAMES)
+
+    def rows(self, **values) -> pa.RecordBatch:
+        size = len(next(iter(values.values())))
+        return pa.RecordBatch.from_arrays([pa.array(values.get(n, [None] * size), k) for n, k in zip(NAMES, self.kinds, strict=True)], names=NAMES)
+
+
+def _each(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows by runs of equal keys; a run must be read before the next."""
+
+    def rows() -> Iterator[dict]:
         for batch in batches:
-            lengths = np.array([len(t or "") for t in batch.column(2).to_pylist()])
-            numbers = []
-            for n in lengths.tolist():
-                if size and size + n > CHUNK:
-                    chunk, size = chunk + 1, 0
-                size += n
-                numbers.append(base + chunk)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], names=["chunk", "id", "train", "text"])
+            step = max(1, min(256, batch.num_rows * (4 << 20) // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                yield from batch.slice(at, step).to_pylist()
 
-    rows = df.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    return written(rows.mapInArrow(run, f"chunk bigint, id {kind}, train boolean, text string"), "chunks")
+    return itertools.groupby(rows(), key=lambda r: r[key])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
-    """Rows of each run of equal first columns; a run must be read before the next."""
-    rows = (row for batch in batches for at in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True))
-    return itertools.groupby(rows, key=lambda r: r[0])
+def _by_part(of: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs and where, in order."""
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(parts + 1))
+    for part in range(parts):
+        if cuts[part + 1] > cuts[part]:
+            yield part, order[cuts[part] : cuts[part + 1]]
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """chunk, w, n, e: training count of every word in each chunk, 0 for words of other texts only; e numbers the rows."""
+def part_of(numbers: list[np.ndarray], parts: int) -> np.ndarray:
+    """The part of each run, from the numbers of its words; see also _part_column."""
+    return sum((x % parts) * (2 * i + 1) for i, x in enumerate(numbers)) % parts
+
+
+def _part_column(key: Column, words: int, parts: int) -> Column:
+    number = lambda i: F.conv(F.hex(F.substring(key, 8 * i + 1, 8)), 16, 10).cast("bigint")
+    return F.pmod(sum((F.pmod(number(i), F.lit(parts)) * (2 * i + 1) for i in range(words)), F.lit(0)), F.lit(parts))
+
+
+def coded(df: DataFrame, train: Column, key: str, text: str, parts: int) -> DataFrame:
+    """Texts coded by each chunk's own dictionary (kind 2; a: places, b: lengths, c: train) and its words (kind 1; a:
+    places, b: words, c: training counts)."""
+    rows = df.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
+    id_type = to_arrow_type(rows.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = TaskContext.get().partitionId() << 32
-        for chunk, rows in _runs(batches):
-            own: dict[bytes, int] = {}
-            for _, train, text in rows:
-                if train:
-                    for w in tokens(text):
-                        own[w] = own.get(w, 0) + 1
-                else:
-                    for w in tokens(text):
-                        own.setdefault(w, 0)
-            words, n = list(own), list(own.values())
-            for at in range(0, len(words), 20_000):
-                part = words[at : at + 20_000]
-                numbers = pa.array(range(e, e + len(part)), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array(part, pa.binary()), pa.array(n[at : at + 20_000], pa.int64()), numbers], names=["chunk", "w", "n", "e"])
-                e += len(part)
-
-    return chunks.select("chunk", "train", "text").mapInArrow(run, "chunk bigint, w binary, n bigint, e bigint")
-
-
-def _dealt(*tables: DataFrame) -> DataFrame:
-    """All rows of a chunk in one task: its dictionary (kind 0), what it is told (1), its texts (2)."""
-    rows = tables[0]
-    for other in tables[1:]:
-        rows = rows.unionByName(other, allowMissingColumns=True)
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "kind")
-
-
-def _coded(chunks: DataFrame, total: DataFrame) -> DataFrame:
-    """Each chunk's dictionary (kind 0; key: numbers of its words of LEAST occurrences, x: their counts) and texts
-    (kind 2; x: places in the dictionary, RARE - count for other words)."""
-    kind = chunks.schema["id"].dataType.simpleString()
-    id_type, names = to_arrow_type(chunks.schema["id"].dataType), ["chunk", "kind", "key", "add", "back", "id", "train", "x"]
-
-    def batch(chunk, kinds, keys, ids, flags, xs):
-        n = len(xs)
-        none = pa.nulls(n, pa.float64())
-        columns = [pa.array([chunk] * n, pa.int64()), pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), none, none, pa.array(ids, id_type), pa.array(flags, pa.bool_()), pa.array(xs, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+        out, base = _Out(id_type), TaskContext.get().partitionId() << 24
+
+        def flushed(chunk: int) -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(xs)
+            flags, lengths = np.array(trains, bool), np.array([len(y) for y in xs], np.int64)
+            rank = np.empty(len(place), np.int64)
+            rank[np.argsort(-np.bincount(x, minlength=len(place)), kind="stable")] = np.arange(len(place))
+            x = rank[x]
+            counts = np.bincount(x[np.repeat(flags, lengths)], minlength=len(place))
+            ends = np.cumsum(lengths)
+            at = 0
+            while at < len(ids):
+                below = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, below + ROW, "right")))
+                yield out.row(kind=2, chunk=chunk, a=[pack(x[below : ends[to - 1]])], b=pack(lengths[at:to]), c=pack(flags[at:to]), ids=ids[at:to])
+                at = to
+            words = list(place)
+            of = np.array([xxhash.xxh32_intdigest(w) % parts for w in words], np.int64)
+            for part, where in _by_part(of, parts):
+                mine = rank[where]
+                yield out.row(kind=1, chunk=chunk, part=part, a=[pack(mine)], b=zstd.compress(b" ".join([words[i] for i in where]), 1), c=pack(counts[mine]))
+
+        chunk = size = 0
+        place, xs, ids, trains = _Places(), [], [], []
+        for batch in batches:
+            for some in slices(batch, 2):
+                for doc, flag, t in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    if size and size + len(t or "") > CHUNK:
+                        yield from flushed(base + chunk)
+                        chunk, size = chunk + 1, 0
+                        place, xs, ids, trains = _Places(), [], [], []
+                    size += len(t or "")
+                    xs.append(np.fromiter(map(place.__getitem__, tokens(t)), np.int32))
+                    ids.append(doc)
+                    trains.append(flag)
+        if ids:
+            yield from flushed(base + chunk)
+
+    return rows.mapInArrow(run, ROWS.format(rows.schema["id"].dataType.simpleString()))
+
+
+def _pass(rows: DataFrame, by: str, slots: int, work, schema: str | None = None) -> DataFrame:
+    """work(key, rows of that chunk or part, _Out) -> batches; each chunk or part meets in one task, and they are dealt
+    to tasks in turn."""
+    id_type = to_arrow_type(rows.schema["ids"].dataType.elementType)
+    slot = F.col("part") if by == "part" else F.pmod(F.shiftright("chunk", 24) + F.col("chunk").bitwiseAND((1 << 24) - 1) * (slots // 2 + 1), F.lit(slots))
+    dealt = rows.repartitionById(slots, slot.cast("int")).sortWithinPartitions(by, "level", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows in _runs(batches):
-            place: dict[bytes, int] = {}
-            told: list[tuple[int, int, int]] = []
-            docs, flags, parts, local = [], [], [], np.zeros(1024, np.int64)
-            for _, of, w, c, number, doc, train, text in rows:
-                if of == 0:
-                    told.append((place.setdefault(w, len(place)), c, -1 if number is None else number))
-                    continue
-                x = np.array([place.setdefault(t, len(place)) for t in tokens(text)], np.int32)
-                docs.append(doc)
-                flags.append(train)
-                parts.append(x)
-                if len(place) > len(local):
-                    local = np.r_[local, np.zeros(len(place), np.int64)]
-                if train:
-                    local += np.bincount(x, minlength=len(local))
-            if not docs:
-                continue
-            c, number = local[: len(place)].copy(), np.full(len(place), -1, np.int64)
-            if told:
-                where, value, of = (np.array(v, np.int64) for v in zip(*told, strict=True))
-                c[where], number[where] = value, of
-            del place, told
-            frequent = np.flatnonzero(number >= 0)
-            code = (RARE - c).astype(np.int32)
-            code[frequent] = np.arange(len(frequent))
-            yield batch(chunk, [0], [number[frequent].astype(">i8").tobytes()], [None], [None], [c[frequent].tobytes()])
-            for at in range(0, len(docs), 500):
-                some = [code[x].tobytes() for x in parts[at : at + 500]]
-                yield batch(chunk, [2] * len(some), [None] * len(some), docs[at : at + 500], flags[at : at + 500], some)
-
-    words = total.where("w IS NOT NULL").selectExpr("chunk", "0 AS kind", "w", "c", "number", f"CAST(NULL AS {kind}) AS id", "CAST(NULL AS boolean) AS train", "CAST(NULL AS string) AS text")
-    texts = chunks.selectExpr("chunk", "2 AS kind", "CAST(NULL AS binary) AS w", "CAST(NULL AS bigint) AS c", "CAST(NULL AS bigint) AS number", "id", "train", "text")
-    return written(_dealt(words, texts).mapInArrow(run, LAID.format(kind)), "codes")
-
-
-class Laid:
-    """A chunk's rows: numbers and counts of its dictionary, what it is told, and its texts end to end, each with
-    a BREAK after it."""
-
-    def __init__(self, rows: Iterator[tuple]):
-        self.number = self.count = np.zeros(0, np.int64)
-        self.keys, self.add, self.back, self.docs, self.flags = [], [], [], [], []
-        parts = []
-        for _, kind, key, add, back, doc, train, x in rows:
-            if kind == 0:
-                self.number, self.count = np.frombuffer(key, ">i8").astype(np.int64), np.frombuffer(x, np.int64)
-            elif kind == 1:
-                self.keys.append(key)
-                self.add.append(add)
-                self.back.append(back)
+        out = _Out(id_type)
+        for key, own in _each(batches, by):
+            yield from work(key, own, out)
+
+    return dealt.mapInArrow(run, schema or rows.schema)
+
+
+def _word_parts(parts: int):
+    """Sums words: what their chunks must know (a: places, numbers + 1 or 0; c: counts), frequent words, totals."""
+
+    def work(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
+        place, held = _Places(), []
+        for r in rows:
+            at = np.fromiter(map(place.__getitem__, zstd.decompress(r["b"]).split(b" ")), np.int64)
+            held.append((r["chunk"], r["a"][0], at, unpack(r["c"])))
+        c = np.zeros(len(place), np.int64)
+        for _, _, at, n in held:
+            c[at] += n
+        often = c >= LEAST
+        number = np.zeros(len(c), np.int64)
+        number[often] = np.arange(often.sum()) * parts + part + 1
+        for chunk, where, at, n in held:
+            tell = (c[at] != n) | often[at]
+            if tell.any():
+                yield out.row(kind=0, chunk=chunk, part=part, level=1, a=[pack(unpack(where)[tell]), pack(number[at[tell]])], c=pack(c[at[tell]]))
+        keys = (number[often] - 1).astype(">i8")[:, None]
+        for i in range(0, len(keys), 20_000):
+            some = keys[i : i + 20_000]
+            yield out.rows(kind=[4] * len(some), level=[1] * len(some), b=[k.tobytes() for k in some], n=c[often][i : i + 20_000])
+        yield out.row(kind=5, n=int(c.sum()), v=int((c > 0).sum()))
+
+    return work
+
+
+def _counted(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the place of one occurrence each, and training counts."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    return k[first], order[first], np.add.reduceat(train[order].astype(np.int64), first) if len(k) else first
+
+
+def _sent_runs(out: _Out, chunk: int, level: int, numbers: list[np.ndarray], n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    for part, where in _by_part(part_of(numbers, parts), parts):
+        where = where[np.lexsort([x[where] for x in numbers[::-1]])]
+        yield out.row(kind=1, chunk=chunk, part=part, level=level, a=[pack(x[where]) for x in numbers], c=pack(n[where]))
+
+
+def _pair_chunks(parts: int, whole: float):
+    """Texts coded anew by frequent words (kind 2; a: places + 1 or 0; b: lengths; c: train; d: base scores and known
+    tokens), the dictionary (kind 3; a: numbers, counts) and pairs of frequent words (kind 1)."""
+
+    def work(chunk: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
+        told, texts = [], []
+        for r in rows:
+            (told if r["kind"] == 0 else texts).append(r)
+        if not texts:
+            return
+        xs, flags = [unpack(r["a"][0]) for r in texts], [unpack(r["c"]) > 0 for r in texts]
+        lengths = [unpack(r["b"]) for r in texts]
+        m = 1 + max(int(x.max()) for x in xs)
+        c, number = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        for x, f, n in zip(xs, flags, lengths, strict=True):
+            c += np.bincount(x[np.repeat(f, n)], minlength=m)
+        for r in told:
+            at = unpack(r["a"][0])
+            c[at], number[at] = unpack(r["c"]), unpack(r["a"][1])
+        often = np.flatnonzero(number)
+        code = np.zeros(m, np.int64)
+        code[often] = np.arange(1, len(often) + 1)
+        root, known = np.log10((c + 0.1) / whole), (c > 0).astype(np.int64)
+        size = max(1, len(often))
+        keys, trains = [], []
+        for r, x, f, n in zip(texts, xs, flags, lengths, strict=True):
+            starts, y = np.r_[0, np.cumsum(n)[:-1]], code[x]
+            yield out.row(kind=2, chunk=chunk, a=[pack(y)], b=r["b"], c=r["c"], d=pack(np.r_[np.add.reduceat(root[x], starts), np.add.reduceat(known[x], starts).astype(float)]), ids=r["ids"])
+            on = (y[:-1] > 0) & (y[1:] > 0)
+            on[np.cumsum(n)[:-1] - 1] = False
+            keys.append((y[:-1][on] - 1) * size + y[1:][on] - 1)
+            trains.append(np.repeat(f, n)[1:][on])
+        yield out.row(kind=3, chunk=chunk, a=[pack(number[often] - 1), pack(c[often])])
+        key, _, n = _counted(np.concatenate(keys), np.concatenate(trains))
+        names = number[often] - 1
+        if len(key):
+            yield from _sent_runs(out, chunk, 2, [names[key // size], names[key % size]], n, parts)
+
+    return work
+
+
+def _run_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
+    """Sums runs of each length: the frequent ones of each chunk (kind 0) and all frequent ones (kind 4)."""
+    for level, some in itertools.groupby(rows, key=lambda r: r["level"]):
+        held = [(r["chunk"], [unpack(x) for x in r["a"]], unpack(r["c"])) for r in some]
+        columns = [np.concatenate([h[1][i] for h in held]) for i in range(level)]
+        n, of = np.concatenate([h[2] for h in held]), np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
+        order = np.lexsort(columns[::-1])
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for x in columns:
+            new[1:] |= x[order][1:] != x[order][:-1]
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n[order], first)
+        often = total >= LEAST
+        keep = np.zeros(len(order), bool)
+        keep[order] = np.repeat(often, np.diff(np.r_[first, len(order)]))
+        cuts = np.searchsorted(of, np.arange(len(held) + 1))
+        for i, (chunk, _, _) in enumerate(held):
+            where = np.flatnonzero(keep[cuts[i] : cuts[i + 1]]) + cuts[i]
+            if len(where):
+                yield out.row(kind=0, chunk=chunk, part=part, level=level, a=[pack(x[where]) for x in columns])
+        names = np.stack([x[order][first][often] for x in columns], 1).astype(">i8")
+        for i in range(0, len(names), 20_000):
+            some_ = names[i : i + 20_000]
+            yield out.rows(kind=[4] * len(some_), level=[level] * len(some_), b=[k.tobytes() for k in some_], n=total[often][i : i + 20_000])
+
+
+class _Chunk:
+    """A chunk's frequent words, its texts end to end (0: any other word) and what it is told of runs."""
+
+    def __init__(self, rows: Iterator[dict]):
+        self.told, self.texts = [], []
+        self.numbers = self.counts = np.zeros(0, np.int64)
+        for r in rows:
+            if r["kind"] == 0:
+                self.told.append(r)
+            elif r["kind"] == 2:
+                self.texts.append(r)
             else:
-                self.docs.append(doc)
-                self.flags.append(train)
-                parts.append(np.frombuffer(x, np.int32))
-        self.lengths = np.array([len(p) for p in parts], np.int64)
-        gap = np.array([BREAK], np.int32)
-        self.x = np.concatenate([y for p in parts for y in (p, gap)]) if parts else np.zeros(0, np.int32)
-        self.m = max(1, len(self.number))
-
-    def places(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which told keys have so many words at least, and the place of each of those words in the dictionary."""
-        rows = np.array([i for i, k in enumerate(self.keys) if len(k) >= 8 * level], np.int64)
-        flat = np.frombuffer(b"".join(self.keys[i][8 * level - 8 : 8 * level] for i in rows), ">i8").astype(np.int64)
-        order = np.argsort(self.number)
-        return rows, order[np.searchsorted(self.number, flat, sorter=order)] if len(rows) else np.zeros(0, np.int64)
+                self.numbers, self.counts = (unpack(x) for x in r["a"])
+        self.order = np.argsort(self.numbers)
+        self.sorted = self.numbers[self.order]
+        self.m = max(1, len(self.numbers))
+        self.lengths = np.concatenate([unpack(r["b"]) for r in self.texts]) if self.texts else np.zeros(0, np.int64)
+        self.x = np.concatenate([unpack(r["a"][0]) for r in self.texts]) - 1 if self.texts else np.zeros(0, np.int64)
+        self.first = np.zeros(len(self.x), bool)
+        self.first[np.r_[0, np.cumsum(self.lengths)[:-1]]] = len(self.lengths) > 0
+
+    def runs(self, level: int) -> list[np.ndarray]:
+        """The told runs of a length: columns of places in the dictionary."""
+        mine = [r for r in self.told if r["level"] == level]
+        columns = [np.concatenate([unpack(r["a"][i]) for r in mine]) if mine else np.zeros(0, np.int64) for i in range(level)]
+        return [self.order[np.searchsorted(self.sorted, x)] for x in columns]
+
+    def follows(self, before: np.ndarray) -> np.ndarray:
+        """Places whose word is frequent, in the text of the word before, whose run (in before) is known too."""
+        return np.flatnonzero((before[:-1] >= 0) & (self.x[1:] >= 0) & ~self.first[1:]) + 1
 
 
 def _found(known: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -189,49 +325,64 @@ def _found(known: np.ndarray, key: np.ndarray) -> np.ndarray:
     return np.where(known[at] == key, at, -1)
 
 
-def _grams(coded: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """chunk, key, n: training counts of pairs of frequent words in each chunk, or with the frequent pairs given of
-    runs of three to DEPTH + 1 words all of whose pairs are frequent; 0 for those of other texts only."""
-    depth, short = DEPTH, pairs is None
+def _long_chunks(parts: int, depth: int):
+    """Runs of three to depth + 1 words all of whose pairs are frequent (kind 1)."""
+
+    def work(chunk: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
+        a = _Chunk(rows)
+        if not a.texts:
+            return
+        train = np.repeat(np.concatenate([unpack(r["c"]) for r in a.texts]) > 0, a.lengths)
+        first, second = a.runs(2)
+        pairs = np.sort(first * a.m + second)
+        at = a.follows(a.x)
+        pair = np.full(len(a.x), -1, np.int64)
+        pair[at] = _found(pairs, a.x[at - 1] * a.m + a.x[at])
+        run = pair
+        for level in range(3, depth + 2):
+            on = np.flatnonzero((run[:-1] >= 0) & (pair[1:] >= 0)) + 1
+            if not len(on):
+                break
+            key, where, n = _counted(run[on - 1] * a.m + a.x[on], train[on])
+            place = on[where]
+            yield from _sent_runs(out, chunk, level, [a.numbers[a.x[place - level + 1 + i]] for i in range(level)], n, parts)
+            of = _found(key, run[on - 1] * a.m + a.x[on])
+            run = np.full(len(a.x), -1, np.int64)
+            run[on] = of
+
+    return work
+
+
+def _valued_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
+    """To each chunk its runs with what the tree says of them (b: add, c: back; none: NaN)."""
+    for level, some in itertools.groupby(rows, key=lambda r: r["level"]):
+        told, keys, add, back = [], [], [], []
+        for r in some:
+            if r["kind"] == 0:
+                told.append(r)
+            else:
+                keys.append(np.frombuffer(r["b"], ">i8").reshape(-1, level).astype(np.int64))
+                add.append(np.frombuffer(r["c"], np.float64))
+                back.append(np.frombuffer(r["d"], np.float64))
+        keys = np.concatenate(keys) if keys else np.zeros((0, level), np.int64)
+        add, back = (np.concatenate(x) if x else np.zeros(0) for x in (add, back))
+        name = lambda x: np.ascontiguousarray(x.astype(">i8")).view(f"S{8 * level}").reshape(-1)
+        known = name(keys + 1)  # numbers from 1, so that no name ends in zero bytes
+        order = np.argsort(known)
+        known = known[order]
+        for r in told:
+            mine = [unpack(x) for x in (r["a"][1:] if level == 1 else r["a"])]
+            mine = np.stack([x - (level == 1) for x in mine], 1)
+            mine = mine[(mine >= 0).all(1)]
+            if not len(mine):
+                continue
+            at = np.minimum(np.searchsorted(known, name(mine + 1)), max(0, len(known) - 1))
+            hit = known[at] == name(mine + 1) if len(known) else np.zeros(len(mine), bool)
+            values = [np.where(hit, v[order][at] if len(known) else np.nan, np.nan) for v in (add, back)]
+            yield out.row(kind=0, chunk=r["chunk"], level=level, a=[pack(mine[:, i]) for i in range(level)], b=pack(values[0]), c=pack(values[1]))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, rows in _runs(batches):
-            a = Laid(rows)
-            x, m = a.x.astype(np.int64), a.m
-            train = np.repeat(np.array(a.flags, bool), a.lengths + 1)
-            g = np.where(x >= 0, x, -1)
-            follows = (g[:-1] >= 0) & (g[1:] >= 0)
-            if not short:
-                first, second = a.places(1)[1], a.places(2)[1]
-                follows[follows] = _found(np.sort(first * m + second), (g[:-1] * m + g[1:])[follows]) >= 0
-            for level in range(2, 3 if short else depth + 2):
-                on = np.flatnonzero(follows & (g[:-1] >= 0)) + 1
-                if not len(on):
-                    break
-                key, at, of = np.unique(g[on - 1] * m + x[on], return_index=True, return_inverse=True)
-                if short or level > 2:
-                    n = np.bincount(of, train[on], len(key)).astype(np.int64)
-                    place = on[at]
-                    for i in range(0, len(key), 50_000):
-                        end = place[i : i + 50_000]
-                        words = a.number[x[end[:, None] + np.arange(1 - level, 1)]].astype(">i8")
-                        got = pa.Array.from_buffers(pa.binary(8 * level), len(end), [None, pa.py_buffer(words.tobytes())]).cast(pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(end), chunk, np.int64)), got, pa.array(n[i : i + 50_000])], names=["chunk", "key", "n"])
-                g = np.full(len(x), -1, np.int64)
-                g[on] = of
-
-    told = [] if pairs is None else [pairs.select("chunk", F.lit(1).alias("kind"), "key")]
-    return _dealt(coded, *told).mapInArrow(run, "chunk bigint, key binary, n bigint")
-
-
-def _frequent(grams: DataFrame, name: str) -> DataFrame:
-    """chunk, key, c, one (in a single row of each key): runs of LEAST occurrences in the chunks that hold them."""
-    same = Window.partitionBy("key")
-    rows = grams.select("chunk", "key", F.sum("n").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("one"))
-    return written(rows.where(F.col("c") >= LEAST), name)
-
-
-def grown(grams: DataFrame, whole: float) -> DataFrame:
+def grown(grams: DataFrame, whole: float, depth: int = DEPTH) -> DataFrame:
     """key, add, back: of all frequent runs (key: numbers of eight bytes, c) the discounted probability after a
     retained context, and of retained contexts the mass left to the suffix; null for others."""
     total = grams.select(F.col("key").alias("p"), F.col("c").alias("total"))
@@ -241,7 +392,7 @@ def grown(grams: DataFrame, whole: float) -> DataFrame:
     rows = written(rows.join(states.select("p", F.greatest(1 - F.col("used"), F.lit(1e-12)).alias("back"), "seen", "kinds"), "p"), "grams")
     under = grams.where("length(key) = 8").select(F.col("key").alias("s"), ((F.col("c") + 0.1) / whole).alias("under"))
     values = []
-    for level in range(2, DEPTH + 2):
+    for level in range(2, depth + 2):
         mine = rows.where(F.length("key") == 8 * level).join(under, "s")
         gain = F.sum(F.col("c") * F.log((F.col("add") + F.col("back") * F.col("under")) / F.col("under")))
         states = mine.groupBy("p", "back", "seen", "kinds", "total").agg(gain.alias("gain"))
@@ -258,140 +409,104 @@ def grown(grams: DataFrame, whole: float) -> DataFrame:
     return rows.groupBy("key").agg(F.max("add").alias("add"), F.max("back").alias("back"))
 
 
-class Tree:
-    """The same tree of at most two words in memory, to compare with. keys1/add1: explicit next words after one word; keys2/add2: after two."""
-
-    def __init__(self, m: int, counts: np.ndarray, root: np.ndarray, pairs, triples):
-        self.m = m
-        (k1, n1), (k2, n2) = pairs, triples
-        self.pairs = k1
-        a, b = k1 // m, k1 % m
-        self.keys1, self.add1, self.back1, self.kept1 = self._states(k1, n1, a, counts, root[b], np.arange(m))
-        # the suffix of (a, b) is b where retained, else the root
-        p, c = k2 // m, k2 % m
-        last = b[p] if len(k2) else np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(k1, last * m + c), max(0, len(k1) - 1))
-        hit = (k1[at] == last * m + c) if len(k1) and len(k2) else np.zeros(len(k2), bool)
-        under = np.where(self.kept1[last], self.back1[last] * root[c] + np.where(hit, self.add1[at] if len(k1) else 0, 0), root[c]) if len(k2) else np.zeros(0)
-        self.keys2, self.add2, self.back2, self.kept2 = self._states(k2, n2, p, n1, under, np.arange(len(k1)))
-
-    @staticmethod
-    def _states(keys, n, state, total, under, states):
-        """Discounted probabilities, the mass left to the suffix, and the divergence test of each state."""
-        size = len(states)
-        of = total[state].astype(float) if len(keys) else np.zeros(0)
-        add = (n - DISCOUNT) / np.maximum(of, 1)
-        used = np.bincount(state, add, size) if len(keys) else np.zeros(size)
-        seen = np.bincount(state, n, size) if len(keys) else np.zeros(size)
-        kinds = np.bincount(state, minlength=size) if len(keys) else np.zeros(size)
-        back = np.maximum(1 - used, 1e-12)
-        gain = np.bincount(state, n * np.log((add + back[state] * under) / under), size) if len(keys) else np.zeros(size)
-        gain += np.maximum(total - seen, 0) * np.log(back)
-        kept = (kinds > 0) & (gain > 0.5 * kinds * np.log(np.maximum(total, 2)))
-        return keys, add, back, kept
-
-
-def _probabilities(tree, x: np.ndarray, first: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """x: frequent-word numbers (-1: none) of texts laid end to end; first: place within the text; p: root."""
-    m, pairs, keys1, add1, back1, kept1, keys2, add2, back2, kept2 = tree
-
-    def looked(keys, add, key, on):
-        if not len(keys):
-            return np.zeros(len(key))
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(on & (keys[at] == key), add[at], 0)
-
-    before = np.r_[-1, x[:-1]]
-    before[first < 1] = -1
-    a = np.maximum(before, 0)
-    on = (before >= 0) & kept1[a] if m else np.zeros(len(x), bool)
-    if on.any():
-        p = np.where(on, back1[a] * p + looked(keys1, add1, a * m + np.maximum(x, 0), on & (x >= 0)), p)
-    if len(pairs) and kept2.any():
-        earlier = np.r_[-1, -1, x[:-2]][: len(x)]
-        earlier[first < 2] = -1
-        key = earlier * m + before
-        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        on = (earlier >= 0) & (before >= 0) & (pairs[at] == key) & kept2[at]
-        p = np.where(on, back2[at] * p + looked(keys2, add2, at * m + np.maximum(x, 0), on & (x >= 0)), p)
-    return p
-
-
-def _scored(a: Laid, whole: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token of a chunk: its training count, its probability at the root and by its longest retained context."""
-    x, m = a.x.astype(np.int64), a.m
-    c = np.where(x >= 0, a.count[np.maximum(x, 0)] if len(a.count) else 0, RARE - x)
-    c = np.where(x == BREAK, 0, c)
-    root = (c + 0.1) / whole
-    p, g = root, np.where(x >= 0, x, -1)
-    add, back = (np.array([np.nan if v is None else v for v in of]) for of in (a.add, a.back))
-    sizes, node = np.array([len(k) // 8 for k in a.keys], np.int64), np.zeros(len(a.keys), np.int64)
-    known = np.zeros(0, np.int64)
-    for level in range(1, max([*sizes.tolist(), 0]) + 1):
-        rows, word = a.places(level)
-        before, on = g, np.zeros(0, bool)
+def _gains(a: _Chunk, whole: float, depth: int) -> np.ndarray:
+    """Of each token of a chunk the log10 of its probability by the longest retained context over that at the root."""
+    x = a.x
+    root = np.where(x >= 0, (a.counts[np.maximum(x, 0)] + 0.1) / whole if len(a.counts) else 1.0, 1.0)
+    # the probability is keep * root + own; a word without a number is in no run, so its own part is 0
+    keep, own = np.ones(len(x)), np.zeros(len(x))
+    known: list[np.ndarray] = []
+    run = x
+    for level in range(1, depth + 2):
+        mine, columns, before = [r for r in a.told if r["level"] == level], a.runs(level), run
+        node = columns[0]
+        for k, word in zip(known, columns[1:-1], strict=False):
+            node = _found(k, node * a.m + word)
+        names = node if level == 1 else node * a.m + columns[-1]
+        order = np.argsort(names)
+        # one more at the end, for -1: nothing is known
+        add, back = (np.r_[np.concatenate([unpack(r[c], np.float64) for r in mine])[order] if mine else [], np.nan] for c in "bc")
         if level == 1:
-            node[rows], size = word, m
-        else:
-            # nodes of this length: all told runs' starts
-            known, node[rows] = np.unique(node[rows] * m + word, return_inverse=True)
-            size = len(known)
-            g = np.full(len(x), -1, np.int64)
-            at = np.flatnonzero((before[:-1] >= 0) & (x[1:] >= 0)) + 1
-            g[at] = _found(known, before[at - 1] * m + x[at])
-        full = np.flatnonzero(sizes == level)
-        adds, backs = np.full(size, np.nan), np.full(size, np.nan)
-        adds[node[full]], backs[node[full]] = add[full], back[full]
-        if level > 1:
-            state = np.r_[-1, before[:-1]]
-            on = (state >= 0) & (x != BREAK)
-            left = np.where(on, mass[state], np.nan)  # noqa: F821 (of the level before)
-            own = np.where(g >= 0, np.nan_to_num(adds[g]) if size else 0, 0)
-            p = np.where(np.isnan(left), p, left * p + own)
-        mass = backs
-    return c, root, p
-
-
-def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+            mass = np.full(a.m + 1, np.nan)  # states of one word are places in the dictionary
+            mass[names[order]] = back[:-1]
+            continue
+        known.append(names[order])
+        at = a.follows(before)
+        run = np.full(len(x), -1, np.int64)
+        run[at] = _found(known[-1], before[at - 1] * a.m + x[at])
+        state = np.r_[-1, before[:-1]]
+        state[a.first] = -1
+        left = mass[state]
+        on = ~np.isnan(left)
+        keep[on] *= left[on]
+        own[on] = own[on] * left[on] + np.nan_to_num(add)[run[on]]
+        mass = back
+    return np.log10(keep + own / root)
+
+
+def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of whole texts)."""
-    chunks = chunked(df, train, key, text)
-    word = Window.partitionBy("w")
-    total = word_counts(chunks).select("chunk", "w", F.sum("n").over(word).alias("c"), F.count(F.lit(1)).over(word).alias("k"), F.min("e").over(word).alias("number"), "e")
-    # a word of one chunk: its chunk knows the count, so the word itself need not be kept
-    often = F.col("c") >= LEAST
-    total = total.select("chunk", F.when((F.col("k") > 1) | often, F.col("w")).alias("w"), "c", F.when(often, F.col("number")).alias("number"), (F.col("number") == F.col("e")).alias("one"))
-    total = written(total, "words")
-    size = total.where("one").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    slots = max(1, df.rdd.getNumPartitions())
+    parts = PARTS * slots
+    kind = F.col("kind")
+    first = written(coded(df, train, key, text, parts), "coded")
+    words = written(_pass(first.where(kind == 1), "part", parts, _word_parts(parts)), "words")
+    size = words.where(kind == 5).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = size[0], size[1]
     whole = n + 0.1 * (v + 1)
 
-    coded = _coded(chunks, total)
-    dropped(chunks)
-    pairs = _frequent(_grams(coded), "pairs")
-    longer = _frequent(_grams(coded, pairs), "runs")
-    words = total.where("number IS NOT NULL").select("chunk", F.unhex(F.lpad(F.hex("number"), 16, "0")).alias("key"), "c", "one")
-    runs = words.unionByName(pairs).unionByName(longer)
-    tree = grown(runs.where("one").select("key", "c"), whole)
-    told = runs.select("chunk", "key").join(tree, "key").select("chunk", F.lit(1).alias("kind"), "key", "add", "back")
+    second = written(_pass(first.where(kind == 2).unionByName(words.where(kind == 0)), "chunk", slots, _pair_chunks(parts, whole)), "pairs")
+    dropped(first)
+    pairs = written(_pass(second.where(kind == 1), "part", parts, _run_parts), "frequent")
+    texts = second.where(kind.isin(2, 3))
+    third = _pass(texts.unionByName(pairs.where(kind == 0)), "chunk", slots, _long_chunks(parts, depth))
+    longer = written(_pass(third, "part", parts, _run_parts), "longer")
+    told = words.unionByName(pairs).unionByName(longer)
+    tree = grown(told.where(kind == 4).select(F.col("b").alias("key"), F.col("n").alias("c")), whole, depth)
+
+    nan = F.lit(float("nan"))
+    number = lambda c: F.coalesce(c, nan)
+    values = tree.withColumn("level", (F.length("key") / 8).cast("int"))
+    part = F.lit(0).cast("bigint")
+    for words_ in range(1, depth + 2):
+        part = F.when(F.col("level") == words_, _part_column(F.col("key"), words_, parts)).otherwise(part)
+    values = _packed(values.select(part.alias("part"), "level", "key", number(F.col("add")).alias("add"), number(F.col("back")).alias("back")), first.schema)
+    said = _pass(told.where(kind == 0).unionByName(values), "part", parts, _valued_parts)
+    last = texts.unionByName(said.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name == "part" else F.col(f.name) for f in said.schema.fields]))
+    id_type = to_arrow_type(first.schema["ids"].dataType.elementType)
+
+    def run(chunk: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
+        a = _Chunk(rows)
+        if not a.texts:
+            return
+        gains = np.add.reduceat(_gains(a, whole, depth), np.r_[0, np.cumsum(a.lengths)[:-1]])
+        at = 0
+        for r in a.texts:
+            size = len(r["ids"])
+            base, known = unpack(r["d"], np.float64).reshape(2, -1)
+            columns = [pa.array(r["ids"], id_type), pa.array(unpack(r["c"]) > 0), pa.array(a.lengths[at : at + size]), pa.array(known.astype(np.int64)), pa.array([n] * size, pa.int64()), pa.array(base), pa.array(base + gains[at : at + size])]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            at += size
+
+    kind_ = first.schema["ids"].dataType.elementType.simpleString()
+    return _pass(last, "chunk", slots, run, f"`{key}` {kind_}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+
+
+def _packed(values: DataFrame, schema) -> DataFrame:
+    """The tree's values in the columns of ROWS (kind 6; b: keys, c: add, d: back), rows of a part and length together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _runs(batches):
-            a = Laid(rows)
-            if not a.docs:
-                continue
-            c, root, p = _scored(a, whole)
-            starts = np.r_[0, np.cumsum(a.lengths + 1)[:-1]]
-            inside = a.x != BREAK
-            base = np.add.reduceat(np.where(inside, np.log10(root), 0), starts)
-            full = np.add.reduceat(np.where(inside, np.log10(p), 0), starts)
-            seen = np.add.reduceat((c > 0).astype(np.int64), starts)
-            for at in range(0, len(a.docs), 5000):
-                to = slice(at, at + 5000)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.docs[to], id_type), pa.array(a.flags[to], pa.bool_()), pa.array(a.lengths[to]), pa.array(seen[to]), pa.array([n] * len(seen[to]), pa.int64()), pa.array(base[to]), pa.array(full[to])],
-                    names=names,
-                )
-
-    id_type, names = to_arrow_type(chunks.schema["id"].dataType), [key, "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kind = chunks.schema["id"].dataType.simpleString()
-    return _dealt(coded, told).mapInArrow(run, f"`{key}` {kind}, train boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        for batch in batches:
+            part, level = (batch.column(i).to_numpy() for i in (0, 1))
+            add, back = (batch.column(i).to_numpy().astype(np.float64) for i in (3, 4))
+            of = part * 64 + level
+            order = np.argsort(of, kind="stable")
+            cuts = np.r_[0, np.flatnonzero(np.diff(of[order])) + 1, len(of)]
+            keys = batch.column(2).take(pa.array(order)).to_pylist()
+            packs = [(int(part[order[a]]), int(level[order[a]]), b"".join(keys[a:b]), add[order[a:b]].tobytes(), back[order[a:b]].tobytes()) for a, b in itertools.pairwise(cuts.tolist()) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*packs, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)] if packs else [pa.array([], k) for k in (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=["part", "level", "b", "c", "d"])
+
+    rows = values.mapInArrow(run, "part bigint, level int, b binary, c binary, d binary")
+    return rows.select(*[F.lit(6).alias("kind") if f.name == "kind" else F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
