@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from fidelis.llm._util import dropped, slices, written
 
 #: Least count of a candidate, the discount, words of a context at most, characters of a chunk, tokens of a row.
-LEAST, DISCOUNT, DEPTH, CHUNK, ROW = 8, 0.75, 5, 12_000_000, 1_000_000
+LEAST, DISCOUNT, DEPTH, CHUNK, ROW = 8, 0.75, 4, 12_000_000, 1_000_000
 END = b""
 #: Parts and chunks for each partition of the input.
 PARTS = 2
@@ -52,18 +52,28 @@ class _Places(dict):
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Integers from 0 or floats, byte planes compressed: high bytes of small numbers cost next to nothing."""
-    x = np.ascontiguousarray(x, x.dtype if x.dtype.kind == "f" else np.uint64)
-    return zstd.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+    """Integers or floats, byte planes compressed: high bytes of small numbers cost next to nothing."""
+    x = np.ascontiguousarray(x, x.dtype if x.dtype.kind == "f" else np.int64)
+    return zstd.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
 
 
 def unpack(raw: bytes, kind=np.int64) -> np.ndarray:
-    planes = np.frombuffer(zstd.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstd.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def name_of(numbers: list[np.ndarray]) -> np.ndarray:
+    """64-bit names of runs, from the numbers of their words."""
+    h = np.full(len(numbers[0]), len(numbers), np.uint64)
+    for x in numbers:
+        h = (h ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 #: A row of what is dealt. kind 0: a part's news to a chunk; 1: a chunk's news to a part; 2: its texts; 3: its dictionary;
-#: 4: a frequent word or run; 5: totals; 6: the tree's values. level: words of its runs. a: numbers by column, b, c, d: more by kind.
+#: 4: frequent words or runs; 5: totals; 6: the tree's values. level: words of its runs. a: numbers by column, b, c, d: more by kind.
 ROWS = "kind int, chunk bigint, part bigint, level int, a array<binary>, b binary, c binary, d binary, n bigint, v bigint, ids array<{}>"
 NAMES = [f.split()[0] for f in ROWS.split(", ")]
 
@@ -77,10 +87,6 @@ class _Out:
     def row(self, **values) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([values.get(n)], k) for n, k in zip(NAMES, self.kinds, strict=True)], names=NAMES)
 
-    def rows(self, **values) -> pa.RecordBatch:
-        size = len(next(iter(values.values())))
-        return pa.RecordBatch.from_arrays([pa.array(values.get(n, [None] * size), k) for n, k in zip(NAMES, self.kinds, strict=True)], names=NAMES)
-
 
 def _each(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[dict]]]:
     """Rows by runs of equal keys; a run must be read before the next."""
@@ -104,13 +110,14 @@ def _by_part(of: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def part_of(numbers: list[np.ndarray], parts: int) -> np.ndarray:
-    """The part of each run, from the numbers of its words; see also _part_column."""
+    """The part that sums a run, from the numbers of its words: a word's own number tells its part."""
     return sum((x % parts) * (2 * i + 1) for i, x in enumerate(numbers)) % parts
 
 
-def _part_column(key: Column, words: int, parts: int) -> Column:
-    number = lambda i: F.conv(F.hex(F.substring(key, 8 * i + 1, 8)), 16, 10).cast("bigint")
-    return F.pmod(sum((F.pmod(number(i), F.lit(parts)) * (2 * i + 1) for i in range(words)), F.lit(0)), F.lit(parts))
+def _named(columns: list[np.ndarray]) -> list[bytes]:
+    """The names of runs, of their contexts, of what follows their first word, and of their last word."""
+    none = np.zeros(len(columns[0]), np.int64)
+    return [pack(x) for x in (name_of(columns), *((name_of(columns[:-1]), name_of(columns[1:]), name_of(columns[-1:])) if len(columns) > 1 else (none,) * 3))]
 
 
 def coded(df: DataFrame, train: Column, key: str, text: str, parts: int) -> DataFrame:
@@ -194,10 +201,8 @@ def _word_parts(parts: int):
             tell = (c[at] != n) | often[at]
             if tell.any():
                 yield out.row(kind=0, chunk=chunk, part=part, level=1, a=[pack(unpack(where)[tell]), pack(number[at[tell]])], c=pack(c[at[tell]]))
-        keys = (number[often] - 1).astype(">i8")[:, None]
-        for i in range(0, len(keys), 20_000):
-            some = keys[i : i + 20_000]
-            yield out.rows(kind=[4] * len(some), level=[1] * len(some), b=[k.tobytes() for k in some], n=c[often][i : i + 20_000])
+        if often.any():
+            yield out.row(kind=4, part=part, level=1, a=_named([number[often] - 1]), c=pack(c[often]))
         yield out.row(kind=5, n=int(c.sum()), v=int((c > 0).sum()))
 
     return work
@@ -279,10 +284,8 @@ def _run_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.Record
             where = np.flatnonzero(keep[cuts[i] : cuts[i + 1]]) + cuts[i]
             if len(where):
                 yield out.row(kind=0, chunk=chunk, part=part, level=level, a=[pack(x[where]) for x in columns])
-        names = np.stack([x[order][first][often] for x in columns], 1).astype(">i8")
-        for i in range(0, len(names), 20_000):
-            some_ = names[i : i + 20_000]
-            yield out.rows(kind=[4] * len(some_), level=[level] * len(some_), b=[k.tobytes() for k in some_], n=total[often][i : i + 20_000])
+        if often.any():
+            yield out.row(kind=4, part=part, level=level, a=_named([x[order][first][often] for x in columns]), c=pack(total[often]))
 
 
 class _Chunk:
@@ -354,59 +357,72 @@ def _long_chunks(parts: int, depth: int):
 
 
 def _valued_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
-    """To each chunk its runs with what the tree says of them (b: add, c: back; none: NaN)."""
+    """To each chunk its runs that the tree knows, and what it says of them (b: add, c: back; none: NaN)."""
     for level, some in itertools.groupby(rows, key=lambda r: r["level"]):
-        told, keys, add, back = [], [], [], []
+        told, names, values = [], [], ([], [])
         for r in some:
             if r["kind"] == 0:
                 told.append(r)
             else:
-                keys.append(np.frombuffer(r["b"], ">i8").reshape(-1, level).astype(np.int64))
-                add.append(np.frombuffer(r["c"], np.float64))
-                back.append(np.frombuffer(r["d"], np.float64))
-        keys = np.concatenate(keys) if keys else np.zeros((0, level), np.int64)
-        add, back = (np.concatenate(x) if x else np.zeros(0) for x in (add, back))
-        name = lambda x: np.ascontiguousarray(x.astype(">i8")).view(f"S{8 * level}").reshape(-1)
-        known = name(keys + 1)  # numbers from 1, so that no name ends in zero bytes
-        order = np.argsort(known)
-        known = known[order]
+                names.append(np.frombuffer(r["b"], np.int64))
+                for v, c in zip(values, "cd", strict=True):
+                    v.append(np.frombuffer(r[c], np.float64))
+        if not names:
+            continue
+        names, sides = np.concatenate(names), []
+        for v in map(np.concatenate, values):
+            on = np.flatnonzero(~np.isnan(v))
+            on = on[np.argsort(names[on])]
+            sides.append((names[on], np.r_[v[on], np.nan]))
         for r in told:
             mine = [unpack(x) for x in (r["a"][1:] if level == 1 else r["a"])]
-            mine = np.stack([x - (level == 1) for x in mine], 1)
-            mine = mine[(mine >= 0).all(1)]
-            if not len(mine):
-                continue
-            at = np.minimum(np.searchsorted(known, name(mine + 1)), max(0, len(known) - 1))
-            hit = known[at] == name(mine + 1) if len(known) else np.zeros(len(mine), bool)
-            values = [np.where(hit, v[order][at] if len(known) else np.nan, np.nan) for v in (add, back)]
-            yield out.row(kind=0, chunk=r["chunk"], level=level, a=[pack(mine[:, i]) for i in range(level)], b=pack(values[0]), c=pack(values[1]))
-
-
-def grown(grams: DataFrame, whole: float, depth: int = DEPTH) -> DataFrame:
-    """key, add, back: of all frequent runs (key: numbers of eight bytes, c) the discounted probability after a
-    retained context, and of retained contexts the mass left to the suffix; null for others."""
-    total = grams.select(F.col("key").alias("p"), F.col("c").alias("total"))
-    rows = grams.where("length(key) > 8").selectExpr("key", "c", "substring(key, 1, length(key) - 8) AS p", "substring(key, 9) AS s").join(total, "p")
-    rows = rows.withColumn("add", (F.col("c") - DISCOUNT) / F.col("total"))
-    states = rows.groupBy("p").agg(F.sum("add").alias("used"), F.sum("c").alias("seen"), F.count(F.lit(1)).alias("kinds"))
-    rows = written(rows.join(states.select("p", F.greatest(1 - F.col("used"), F.lit(1e-12)).alias("back"), "seen", "kinds"), "p"), "grams")
-    under = grams.where("length(key) = 8").select(F.col("key").alias("s"), ((F.col("c") + 0.1) / whole).alias("under"))
-    values = []
+            if level == 1:
+                mine = [mine[0][mine[0] > 0] - 1]
+            got = [v[_found(known, name_of(mine))] for known, v in sides]
+            on = ~np.isnan(got[0]) | ~np.isnan(got[1])
+            if on.any():
+                yield out.row(kind=0, chunk=r["chunk"], level=level, a=[pack(x[on]) for x in mine], b=pack(got[0][on].astype(np.float32)), c=pack(got[1][on].astype(np.float32)))
+
+
+def _runs(told: DataFrame) -> DataFrame:
+    """part, level, h, p, s, w (names of the run, its context, what follows its first word, its last word), c."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, level, a, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                count = unpack(c)
+                columns = [np.full(len(count), part), np.full(len(count), level, np.int32), *(unpack(x) for x in a), count]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["part", "level", "h", "p", "s", "w", "c"])
+
+    return told.where(F.col("kind") == 4).select("part", "level", "a", "c").mapInArrow(run, "part bigint, level int, h bigint, p bigint, s bigint, w bigint, c bigint")
+
+
+def grown(runs: DataFrame, whole: float, depth: int = DEPTH) -> DataFrame:
+    """part, level, h, add, back: of runs after a retained context the discounted probability of their last word, and of
+    retained contexts the mass left to the suffix; null for the other."""
+    states = runs.where("level > 1").groupBy("p").agg(F.sum("c").alias("seen"), F.count(F.lit(1)).alias("kinds"))
+    own = runs.select(F.col("h").alias("p"), F.col("c").alias("total"), F.col("part").alias("home"))
+    back = F.greatest(1 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("total"), F.lit(1e-12))
+    states = states.join(own, "p").select("p", "total", "home", "seen", "kinds", back.alias("back"))
+    words = runs.where("level = 1").select(F.col("h").alias("w"), ((F.col("c") + 0.1) / whole).alias("root"))
+    rows = written(runs.where("level > 1").join(words, "w").drop("w").join(states, "p"), "grams")
+    add, out, now = (F.col("c") - DISCOUNT) / F.col("total"), [], None
+    none = F.lit(None).cast("double")
     for level in range(2, depth + 2):
-        mine = rows.where(F.length("key") == 8 * level).join(under, "s")
+        mine = rows.where(F.col("level") == level).withColumn("add", add)
+        mine = mine.withColumnRenamed("root", "under") if now is None else mine.drop("root").join(now.select(F.col("h").alias("s"), "under"), "s")
         gain = F.sum(F.col("c") * F.log((F.col("add") + F.col("back") * F.col("under")) / F.col("under")))
-        states = mine.groupBy("p", "back", "seen", "kinds", "total").agg(gain.alias("gain"))
+        tested = mine.groupBy("p", "home", "back", "seen", "kinds", "total").agg(gain.alias("gain"))
         gain = F.col("gain") + F.greatest(F.col("total") - F.col("seen"), F.lit(0)) * F.log("back")
-        kept = written(states.where(gain > 0.5 * F.col("kinds") * F.log(F.greatest("total", F.lit(2)))).select("p", "back"), "states")
+        kept = written(tested.where(gain > 0.5 * F.col("kinds") * F.log(F.greatest("total", F.lit(2)))).select("p", "home", "back"), "states")
         mine = mine.join(kept.select("p", F.lit(True).alias("on")), "p", "left")
-        now = written(mine.select("key", F.when(F.col("on"), F.col("add")).alias("add"), F.when(F.col("on"), F.col("add") + F.col("back") * F.col("under")).otherwise(F.col("under")).alias("under")), "probabilities")
-        none = F.lit(None).cast("double")
-        values += [now.where("add IS NOT NULL").select("key", "add", none.alias("back")), kept.select(F.col("p").alias("key"), none.alias("add"), "back")]
-        under = now.select(F.col("key").alias("s"), "under")
-    rows = values[0]
-    for other in values[1:]:
-        rows = rows.unionByName(other)
-    return rows.groupBy("key").agg(F.max("add").alias("add"), F.max("back").alias("back"))
+        now = written(mine.select("part", "level", "h", F.when(F.col("on"), F.col("add")).alias("add"), F.when(F.col("on"), F.col("add") + F.col("back") * F.col("under")).otherwise(F.col("under")).alias("under")), "probabilities")
+        out.append(now.where("add IS NOT NULL").select("part", "level", "h", "add", none.alias("back")))
+        out.append(kept.select(F.col("home").alias("part"), F.lit(level - 1).alias("level"), F.col("p").alias("h"), none.alias("add"), "back"))
+    tree = out[0]
+    for other in out[1:]:
+        tree = tree.unionByName(other)
+    return tree
 
 
 def _gains(a: _Chunk, whole: float, depth: int) -> np.ndarray:
@@ -415,31 +431,30 @@ def _gains(a: _Chunk, whole: float, depth: int) -> np.ndarray:
     root = np.where(x >= 0, (a.counts[np.maximum(x, 0)] + 0.1) / whole if len(a.counts) else 1.0, 1.0)
     # the probability is keep * root + own; a word without a number is in no run, so its own part is 0
     keep, own = np.ones(len(x)), np.zeros(len(x))
-    known: list[np.ndarray] = []
-    run = x
-    for level in range(1, depth + 2):
-        mine, columns, before = [r for r in a.told if r["level"] == level], a.runs(level), run
-        node = columns[0]
-        for k, word in zip(known, columns[1:-1], strict=False):
-            node = _found(k, node * a.m + word)
-        names = node if level == 1 else node * a.m + columns[-1]
-        order = np.argsort(names)
-        # one more at the end, for -1: nothing is known
-        add, back = (np.r_[np.concatenate([unpack(r[c], np.float64) for r in mine])[order] if mine else [], np.nan] for c in "bc")
-        if level == 1:
-            mass = np.full(a.m + 1, np.nan)  # states of one word are places in the dictionary
-            mass[names[order]] = back[:-1]
-            continue
-        known.append(names[order])
-        at = a.follows(before)
+    mine = {level: [r for r in a.told if r["level"] == level] for level in range(1, depth + 2)}
+    columns = {level: a.runs(level) for level in mine}
+    values = {level: [np.concatenate([unpack(r[c], np.float32) for r in rows]).astype(float) if rows else np.zeros(0) for c in "bc"] for level, rows in mine.items()}
+    # states of one word are its place in the dictionary; one more at the end, for -1: nothing is known
+    mass = np.full(a.m + 1, np.nan)
+    mass[columns[1][0]] = values[1][1]
+    node, run = {level: c[0] for level, c in columns.items() if level > 1}, x
+    for level in range(2, depth + 2):
+        # nodes of this length: all told runs' starts
+        names = {k: n * a.m + columns[k][level - 1] for k, n in node.items() if k >= level}
+        known, of = np.unique(np.concatenate(list(names.values())), return_inverse=True)
+        cuts = np.cumsum([0, *map(len, names.values())])
+        node = {k: of[cuts[i] : cuts[i + 1]] for i, k in enumerate(names)}
+        add, back = np.zeros(len(known) + 1), np.full(len(known) + 1, np.nan)
+        add[node[level]], back[node[level]] = np.nan_to_num(values[level][0]), values[level][1]
+        at, before = a.follows(run), run
         run = np.full(len(x), -1, np.int64)
-        run[at] = _found(known[-1], before[at - 1] * a.m + x[at])
+        run[at] = _found(known, before[at - 1] * a.m + x[at])
         state = np.r_[-1, before[:-1]]
         state[a.first] = -1
         left = mass[state]
         on = ~np.isnan(left)
         keep[on] *= left[on]
-        own[on] = own[on] * left[on] + np.nan_to_num(add)[run[on]]
+        own[on] = own[on] * left[on] + add[run[on]]
         mass = back
     return np.log10(keep + own / root)
 
@@ -462,15 +477,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     third = _pass(texts.unionByName(pairs.where(kind == 0)), "chunk", slots, _long_chunks(parts, depth))
     longer = written(_pass(third, "part", parts, _run_parts), "longer")
     told = words.unionByName(pairs).unionByName(longer)
-    tree = grown(told.where(kind == 4).select(F.col("b").alias("key"), F.col("n").alias("c")), whole, depth)
-
-    nan = F.lit(float("nan"))
-    number = lambda c: F.coalesce(c, nan)
-    values = tree.withColumn("level", (F.length("key") / 8).cast("int"))
-    part = F.lit(0).cast("bigint")
-    for words_ in range(1, depth + 2):
-        part = F.when(F.col("level") == words_, _part_column(F.col("key"), words_, parts)).otherwise(part)
-    values = _packed(values.select(part.alias("part"), "level", "key", number(F.col("add")).alias("add"), number(F.col("back")).alias("back")), first.schema)
+    values = _packed(grown(_runs(told), whole, depth), first.schema)
     said = _pass(told.where(kind == 0).unionByName(values), "part", parts, _valued_parts)
     last = texts.unionByName(said.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name == "part" else F.col(f.name) for f in said.schema.fields]))
     id_type = to_arrow_type(first.schema["ids"].dataType.elementType)
@@ -493,18 +500,18 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
 
 
 def _packed(values: DataFrame, schema) -> DataFrame:
-    """The tree's values in the columns of ROWS (kind 6; b: keys, c: add, d: back), rows of a part and length together."""
+    """The tree's values in the columns of ROWS (kind 6; b: names, c: add, d: back), rows of a part and length together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, level = (batch.column(i).to_numpy() for i in (0, 1))
-            add, back = (batch.column(i).to_numpy().astype(np.float64) for i in (3, 4))
+            part, level, name = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            add, back = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (3, 4))  # null: NaN
             of = part * 64 + level
             order = np.argsort(of, kind="stable")
-            cuts = np.r_[0, np.flatnonzero(np.diff(of[order])) + 1, len(of)]
-            keys = batch.column(2).take(pa.array(order)).to_pylist()
-            packs = [(int(part[order[a]]), int(level[order[a]]), b"".join(keys[a:b]), add[order[a:b]].tobytes(), back[order[a:b]].tobytes()) for a, b in itertools.pairwise(cuts.tolist()) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*packs, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)] if packs else [pa.array([], k) for k in (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=["part", "level", "b", "c", "d"])
+            cuts = [0, *(np.flatnonzero(np.diff(of[order])) + 1).tolist(), len(of)]
+            packs = [(int(part[i[0]]), int(level[i[0]]), name[i].tobytes(), add[i].tobytes(), back[i].tobytes()) for i in (order[a:b] for a, b in itertools.pairwise(cuts) if b > a)]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in packs], k) for i, k in enumerate(kinds)], names=["part", "level", "b", "c", "d"])
 
     rows = values.mapInArrow(run, "part bigint, level int, b binary, c binary, d binary")
     return rows.select(*[F.lit(6).alias("kind") if f.name == "kind" else F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
