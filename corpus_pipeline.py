@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.llm import byte_bpe, lang_ecoc, secret_links, sigtree_join, soft_mix
@@ -13,11 +13,21 @@ from fidelis.llm.queries import bpe_path
 MIXTURE, GROWTH = {"clean": 0.93, "low": 0.05, "toxic": 0.02}, 1.05
 
 
+def _given(docs: DataFrame) -> DataFrame:
+    """given (all columns but the text), doc_id, text: whatever an operator adds clashes with no column."""
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("given"), "doc_id", "text")
+
+
+def _back(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of documents again, with new values of some."""
+    return [new.get(c, F.col("text") if c == "text" else F.col("given")[c]).alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose two best languages are too close, go."""
     model = lang_ecoc.fit(docs.select("doc_id", "text", "lang"), remainder("doc_id", 4) != 2)
-    got = lang_ecoc.identify(docs, model)
-    return got.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*docs.columns)
+    got = lang_ecoc.identify(_given(docs), model)
+    return got.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*_back(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +48,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found is masked in the text; no document goes."""
-    got = secret_links.scan(docs)
-    text = F.when(F.size("spans") > 0, secret_links.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    size = F.when(F.size("spans") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return got.select(*[{"text": text.alias("text"), "n_chars": size.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns])
+    got = secret_links.scan(_given(docs))
+    found = F.size("spans") > 0
+    text = F.when(found, secret_links.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return got.select(*_back(docs, text=text, n_chars=F.when(found, F.length(text).cast("long")).otherwise(F.col("given.n_chars"))))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,18 +59,18 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     words = docs.select(F.sum(F.size(soft_mix.tokens("text"))).alias("n")).first().n or 0
     mix, _ = soft_mix.fit(docs, labels, MIXTURE, total=GROWTH * words)
-    got = soft_mix.rates(docs, mix)
+    got = soft_mix.rates(_given(docs), mix)
     least = F.lit(1)
     if "clean" in mix.domains:
         least = F.when(F.col("posteriors")[mix.domains.index("clean")] >= 0.5, 1).otherwise(0)
     n = soft_mix.copies(F.col("rate"), "doc_id", least)
     each = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return got.select(F.struct(*docs.columns).alias("given"), F.explode(each)).select("given.*")
+    return got.select("given", "text", F.explode(each)).select(*_back(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids of the whole text."""
-    got = byte_bpe.encode(docs, bpe_path())
+    got = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), bpe_path())
     return got.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
