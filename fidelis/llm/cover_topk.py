@@ -1,14 +1,16 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Vectors become integer rows floor(scale * x). A few cells around pivots form the upper level: each cell's
-centre, covering radius and norm are exact over all rows. Data and queries of a cell are cut into blocks, and
-a worker builds a cover tree over a data block and one over each group of queries that it meets. Node pairs
-are taken best bound first and pruned when
+Vectors become integer rows floor(scale * x). Cells around pivots (more for more rows) form the upper level: each
+cell's centre and covering radius are exact over all rows. Data and queries of a cell are cut into blocks, and a
+worker builds a cover tree over a data block and one over each group of queries that it meets. Node pairs are
+taken best bound first and pruned when the smaller of two bounds stays below the worst kth score in the query node:
 
-    <p, q> + radius_q |p| + radius_p |q| + radius_p radius_q
+    <p, q> + radius_q |p| + radius_p |q| + radius_p radius_q        (both balls)
+    |p'| |q'| cos(angle(p, q) - width_p - width_q)                  (both cones, by the nodes' norms)
 
-stays below the worst kth score in the query node. A first pass searches each query cell's most promising
-data cell; its worst kth scores prune whole cell pairs before the second pass, and start its traversals.
+A query leaf goes on alone, with <p, q> + radius_p |q| for each of its queries against that query's own kth score.
+A first pass searches each query cell's most promising data cell; its worst kth scores prune whole cell pairs before
+the second pass, and start its traversals.
 
 Of equal vectors only the first k + 1 ids are candidates and equal queries search once, which loses nothing.
 Defined results: null or non-finite vectors, null ids and vectors of another length than the commonest take
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from fidelis.llm._util import written
 from fidelis.llm.vectors import best, firsts, groups, matrix, ranked, valid
 
-#: Cells, rows that pivots are chosen from, rows of a data block, points of a leaf, the base of the levels.
-CELLS, SAMPLE, BLOCK, LEAF, BASE = 24, 4000, 8192, 512, 1.3
+#: Cells at least and at most (one for CELL rows between), rows that pivots are chosen from, rows of a data block, points
+#: of a leaf, the base of the levels.
+CELLS, MOST, CELL, SAMPLE, BLOCK, LEAF, BASE = 24, 256, 4096, 4000, 8192, 64, 1.3
 #: Slack of bounds for rounding, in parts of the bound's terms.
 ROUND = 1e-9
 
@@ -55,6 +58,9 @@ class CoverTree:
         self.x, self.norm = x, np.sqrt((x * x).sum(1))
         self.centre: list[int] = []
         self.radius: list[float] = []
+        self.width: list[float] = []
+        self.least: list[float] = []
+        self.most: list[float] = []
         self.children: list[list[int]] = []
         self.rows: list[np.ndarray] = []
         if len(x):
@@ -63,74 +69,117 @@ class CoverTree:
                 todo += self._split(todo.pop())
 
     def _node(self, centre: int, rows: np.ndarray) -> int:
-        gap = self.x[rows] - self.x[centre]
+        gap, norm = self.x[rows] - self.x[centre], self.norm[rows]
         self.centre.append(centre)
         self.radius.append(float(np.sqrt((gap * gap).sum(1).max())))
+        size = norm * self.norm[centre]
+        cos = np.where(size > 0, self.x[rows] @ self.x[centre] / np.where(size > 0, size, 1), -1)
+        self.width.append(float(np.arccos(np.clip(cos.min(), -1, 1))) + 1e-7)
+        self.least.append(float(norm.min()))
+        self.most.append(float(norm.max()))
         self.children.append([])
         self.rows.append(rows)
         return len(self.centre) - 1
 
+    def _net(self, rows: np.ndarray, centre: int, reach: float) -> list[tuple[int, np.ndarray]]:
+        """Centres in order of the rows, the given one first, each with the rows left that it covers."""
+        out, left = [], np.r_[centre, rows[rows != centre]]
+        while len(left):
+            some = left[:LEAF]
+            a, b = self.x[some], self.x[left]
+            near = (a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)[None] <= reach * reach
+            free = np.ones(len(left), bool)
+            for i in range(len(some)):
+                if free[i]:
+                    mine = near[i] & free
+                    mine[i] = True
+                    out.append((int(some[i]), left[mine]))
+                    free &= ~mine
+            left = left[free]
+        return out
+
     def _split(self, node: int) -> list[int]:
-        rows, reach = self.rows[node], self.radius[node] / BASE
+        rows = self.rows[node]
         if len(rows) <= LEAF or self.radius[node] == 0:
             return []
-        left, centre, alone, parts = rows, self.centre[node], [], []
-        while len(left):
-            gap = self.x[left] - self.x[centre]
-            near = (gap * gap).sum(1) <= reach * reach
-            near[left == centre] = True
-            (parts if near.sum() > 1 else alone).append((centre, left[near]))
-            left = left[~near]
-            centre = int(left[0]) if len(left) else -1
+        net = self._net(rows, self.centre[node], self.radius[node] / BASE)
+        parts, alone = [p for p in net if len(p[1]) > 1], np.array([c for c, r in net if len(r) == 1], np.int64)
         # centres that cover only themselves share leaves
-        for at in range(0, len(alone), LEAF):
-            some = np.array([c for c, _ in alone[at : at + LEAF]])
-            parts.append((int(some[0]), some))
+        parts += [(int(alone[at]), alone[at : at + LEAF]) for at in range(0, len(alone), LEAF)]
         if len(parts) == 1:
             return []
         self.children[node] = [self._node(c, r) for c, r in parts]
         return [c for c in self.children[node] if len(self.rows[c]) < len(rows)]
 
 
-def dual(queries: CoverTree, data: CoverTree, ids: np.ndarray, score: np.ndarray, found: np.ndarray, floor: np.ndarray) -> None:
-    """Raises score and found (rows of queries by k, best first) by the data; floor: scores that count already."""
-    k = score.shape[1]
+def dual(queries: CoverTree, data: CoverTree, ids: np.ndarray, score: np.ndarray, found: np.ndarray, floor: np.ndarray) -> int:
+    """Raises score and found (rows of queries by k, best first) by the data; floor: scores that count already.
+    Returns how many products of a query and a vector were made."""
+    k, made = score.shape[1], 0
     exact = np.abs(queries.x).max(initial=0) * np.abs(data.x).max(initial=0) * queries.x.shape[1] < 2**53
     ints = None if exact else (queries.x.astype(np.int64), data.x.astype(np.int64))
 
     def bound(q: int, d: int) -> float:
         cq, cd = queries.centre[q], data.centre[d]
         rq, rd, nq, nd = queries.radius[q], data.radius[d], queries.norm[cq], data.norm[cd]
-        return float(queries.x[cq] @ data.x[cd]) + (rq * nd + rd * nq + rq * rd + nq * nd * ROUND) * (1 + ROUND) + ROUND
+        product = float(queries.x[cq] @ data.x[cd])
+        balls = product + rq * nd + rd * nq + rq * rd
+        size, angle = nq * nd, 0.0
+        if size > 0:
+            angle = float(np.arccos(np.clip(product / size, -1, 1))) - queries.width[q] - data.width[d]
+        cos = float(np.cos(angle)) if 0 < angle < np.pi else 1.0 if angle <= 0 else -1.0
+        cones = cos * (queries.most[q] * data.most[d] if cos > 0 else queries.least[q] * data.least[d])
+        return min(balls, cones) + (abs(balls) + nq * nd + queries.most[q] * data.most[d]) * ROUND + ROUND
+
+    def worst(rows: np.ndarray) -> np.ndarray:
+        return np.maximum(score[rows, k - 1], floor[rows])
 
-    def worst(q: int) -> float:
+    def leaf(q: int, top: int) -> None:
+        """All that the queries of a leaf can find under a data node, most promising first."""
+        nonlocal made
         rows = queries.rows[q]
-        return float(np.maximum(score[rows, k - 1], floor[rows]).min())
+        x, norm, stack = queries.x[rows], queries.norm[rows], [(top, np.ones(len(rows), bool))]
+        while stack:
+            d, live = stack.pop()
+            kids = data.children[d]
+            if kids:
+                centres, radius = [data.centre[c] for c in kids], np.array([data.radius[c] for c in kids])
+                reach = (data.x[centres] @ x.T) + radius[:, None] * norm
+                reach += (np.abs(reach) + data.norm[centres][:, None] * norm) * ROUND + ROUND
+                fits = (reach >= worst(rows)) & live
+                for i in np.argsort(np.where(fits, reach, -np.inf).max(1), kind="stable").tolist():
+                    if fits[i].any():
+                        stack.append((kids[i], fits[i]))
+                continue
+            # its kth scores may have risen since it was put aside
+            cd, low = data.centre[d], worst(rows)
+            reach = x @ data.x[cd] + data.radius[d] * norm
+            live = np.flatnonzero(live & (reach + (np.abs(reach) + data.norm[cd] * norm) * ROUND + ROUND >= low))
+            for at in range(0, len(data.rows[d]) if len(live) else 0, 1024):
+                r, c = rows[live], data.rows[d][at : at + 1024]
+                got = queries.x[r] @ data.x[c].T if exact else (ints[0][r] @ ints[1][c].T).astype(np.float64)
+                made += got.size
+                up = got.max(1) >= worst(r)
+                r, got = r[up], got[up]
+                if len(r):
+                    score[r], found[r] = best(np.c_[score[r], got], np.c_[found[r], np.broadcast_to(ids[c], got.shape)], k)
 
     order = itertools.count()
     heap = [(-bound(0, 0), next(order), 0, 0)]
     while heap:
         top, _, q, d = heapq.heappop(heap)
-        if -top < worst(q):
+        if -top < worst(queries.rows[q]).min():
             continue
         split_q, split_d = queries.children[q], data.children[d]
-        if split_q or split_d:
-            if split_q and (not split_d or queries.radius[q] >= data.radius[d]):
-                pairs = [(c, d) for c in split_q]
-            else:
-                pairs = [(q, c) for c in split_d]
-            for a, b in pairs:
-                value = bound(a, b)
-                if value >= worst(a):
-                    heapq.heappush(heap, (-value, next(order), a, b))
+        if not split_q:
+            leaf(q, d)
             continue
-        for at in range(0, len(data.rows[d]), 1024):
-            r, c = queries.rows[q], data.rows[d][at : at + 1024]
-            got = queries.x[r] @ data.x[c].T if exact else (ints[0][r] @ ints[1][c].T).astype(np.float64)
-            live = got.max(1) >= np.maximum(score[r, k - 1], floor[r])
-            r, got = r[live], got[live]
-            if len(r):
-                score[r], found[r] = best(np.c_[score[r], got], np.c_[found[r], np.broadcast_to(ids[c], got.shape)], k)
+        pairs = [(c, d) for c in split_q] if not split_d or queries.radius[q] >= data.radius[d] else [(q, c) for c in split_d]
+        for a, b in pairs:
+            value = bound(a, b)
+            if value >= worst(queries.rows[a]).min():
+                heapq.heappush(heap, (-value, next(order), a, b))
+    return made
 
 
 def search(df: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -141,7 +190,8 @@ def search(df: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, key
     base, n = 1 << 30, index.count()
     share = base if not n else min(base, base * SAMPLE // n)
     drawn = index.where(F.pmod(F.xxhash64(F.col("id"), F.lit("cover")), F.lit(base)) < share).orderBy("id").collect()
-    centres = pivots(np.array([r.v for r in drawn], np.float64)) if drawn else np.zeros((0, 0))
+    cells = min(MOST, max(CELLS, n // CELL))
+    centres = pivots(np.array([r.v for r in drawn], np.float64), cells) if drawn else np.zeros((0, 0))
     sent = spark.sparkContext.broadcast(centres)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +212,7 @@ def search(df: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, key
     placed = written(index.select("id", "v").mapInArrow(place, schema), "cells")
     asked = rows.where(queries)
     numbered = written(asked.groupBy("v").agg(F.min("id").alias("id")).select("id", "v").mapInArrow(place, schema), "queries")
-    # a row for each cell: at most CELLS
+    # a row for each cell: at most MOST
     own = {r.cell: r for r in placed.groupBy("cell").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("n")).collect()}
     ask = {r.cell: r for r in numbered.groupBy("cell").agg(F.max("gap").alias("gap")).collect()}
 

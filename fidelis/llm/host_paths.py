@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.llm._util import slices, written
+
 #: Elements whose content is never text of the article, and names that say the same.
 SKIPPED = frozenset("head title nav header footer aside form script style noscript template svg iframe button select textarea object canvas dialog menu audio video map math label fieldset".split())
 RAW = frozenset("script style noscript template svg iframe textarea title math".split())
@@ -29,12 +31,14 @@ HOLDERS = frozenset("html body div section article main center table tbody thead
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w+|"
     r"nav\w*|menu\w*|breadcrumbs?|sidebar|widgets?|footer|(?:site|page|top)-?header|masthead|toolbar|share|sharing|social|related|recommend\w*|"
-    r"comments?|comment-?list|disqus|replies|respond|discussion|login|signup|search|pagination|pager|copyright|skip)(?:$|[\s_-])",
+    r"comments?|comment-?list|disqus|replies|respond|discussion|login|signup|search|pagination|pager|copyright|skip-?(?:links?|nav\w*|to\w*|content))(?:$|[\s_-])",
     re.I,
 )
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'">]|"[^"]*"|'[^']*')*)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'">]|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-#: An article element is never dropped for its name; these roles always are.
+#: Bytes of the winners that are broadcast at most.
+SENT = 16 << 20
+#: These elements are never dropped for their name (an article within an article is); these roles always are.
 KEPT = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
@@ -101,8 +105,10 @@ def blocks(page: str | None) -> tuple[list[tuple[str, tuple[int, ...], int]], li
         while stack and ((tag == stack[-1][0] and tag in ("li", "td", "th", "tr", "dd", "dt")) or (tag == "tr" and stack[-1][0] in ("td", "th")) or (tag in ("td", "th") and stack[-1][0] in ("td", "th"))):
             stack.pop()
         attrs = {a[1].lower(): next((x for x in a.groups()[1:] if x), "") for a in ATTR.finditer(m[3])} if m[3].strip() else {}
-        skipped = bool(stack and stack[-1][3]) or tag in SKIPPED
-        if tag not in KEPT and not skipped:
+        within = any(s[0] == "article" for s in stack)
+        # an article's own header holds its title
+        skipped = bool(stack and stack[-1][3]) or (tag in SKIPPED and not (tag == "header" and within))
+        if not skipped and (tag not in KEPT or (tag == "article" and within)):
             named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
             skipped = bool(named.strip() and NAMES.search(named)) or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         cls = ".".join(sorted(re.sub(r"\d+", "#", attrs.get("class", "")).lower().split())[:3])
@@ -157,7 +163,7 @@ def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tally: dict[tuple[str, str], list[int]] = {}
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for h, page in (row for part in slices(batch, 1) for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                 if got := best(*blocks(page)):
                     one = tally.setdefault((h, got[0]), [0, 0])
                     one[0] += 1
@@ -178,13 +184,15 @@ def winners(cast: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, path (the host's winner), text."""
-    won = winners(votes(pages, url, html))
+    won = written(winners(votes(pages, url, html)), "winners")
+    size = won.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 32), F.lit(0))).first()[0]
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host(url).alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             text = [text_of(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(text, pa.string())], names=["page_id", "url", "path", "text"])
 
     kind = pages.schema[page_id].dataType.simpleString()
-    return rows.join(won, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, f"page_id {kind}, url string, path string, text string")
+    # winners of measured size are sent to the pages; beyond it pages meet them by a join that splits large hosts
+    return rows.join(F.broadcast(won) if size <= SENT else won, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, f"page_id {kind}, url string, path string, text string")

@@ -56,6 +56,21 @@ def test_exact_top(spark):
         assert [ranks[i + 1] for i in range(7)] == [(int(ids[keep][o]), int(s[keep][o])) for o in order]
 
 
+def test_trees_prune_clusters():
+    """Exact, and few products are made where vectors lie in clusters."""
+    rng = np.random.default_rng(0)
+    middle = rng.normal(size=(64, 64)) * 8
+    x = np.floor(8 * (middle[rng.integers(0, 64, 6000)] + 0.3 * rng.normal(size=(6000, 64))))
+    x[5] = x[77] = 0
+    q, k = x[::20], 21
+    score, found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    made = cover_topk.dual(cover_topk.CoverTree(q), cover_topk.CoverTree(x), np.arange(len(x)), score, found, np.full(len(q), -np.inf))
+    all_ = q @ x.T
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), all_.shape), -all_), axis=-1)[:, :k]
+    assert (found == order).all() and (score == np.take_along_axis(all_, order, 1)).all()
+    assert made < 0.15 * all_.size
+
+
 def test_few_and_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 0, "a"), (1, [0.0, 1.0], 0, "a")], VECTORS)
     for search in (ann_tree.search, cover_topk.search):

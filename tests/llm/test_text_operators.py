@@ -1,7 +1,10 @@
 import hashlib
 import html
+import os
 import re
+import time
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -10,9 +13,11 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fidelis.llm import byte_bpe, graph, host_paths, secret_links, sigtree_join, soft_mix
+from fidelis.llm import byte_bpe, graph, host_paths, queries, secret_links, sigtree_join, soft_mix
+from fidelis.llm._util import written
 
 DOCS = "doc_id long, text string, ids string, spans string, n string"
+SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -70,6 +75,20 @@ def test_secrets(spark):
 PAGE = "<!DOCTYPE html><html><head><title>t</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=/a>menu</a></ul></nav><!-- x --><div class=ad>buy</div>{}<footer>&copy; x</footer></body></html>"
 
 
+def test_secrets_are_linear_and_clash_with_nothing(spark):
+    """Many spans in one long text, beyond the blocks that offsets are looked up in; own column names stay."""
+    text = "🙂 " + " ".join(f"password=abcdef{i} and some more words here to fill" for i in range(9000)) + " end"
+    rows = [(1, text, 5, "w", "k"), (1, "token=abcdefg", 6, "w2", "k2"), (None, "secret=abcdefg", 7, "w3", "k3"), (1, "token=abcdefg", 6, "w2", "k2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, parts long, weak string, row_key string")
+    began = time.time()
+    got = secret_links.scan(df).withColumn("clean", secret_links.redacted(F.col("text"), F.col("spans"))).collect()
+    assert time.time() - began < 60 and len(got) == 4
+    assert sorted((r.parts, r.weak, r.row_key) for r in got) == sorted((r[2], r[3], r[4]) for r in rows)
+    clean = {r.parts: r.clean for r in got}
+    assert clean[5] == re.sub(r"password=abcdef\d+", "[REDACTED]", text) and clean[6] == "[REDACTED]"
+    assert next(len(r.spans) for r in got if r.parts == 5) == 9000
+
+
 def test_pages(spark):
     article = "<article><h1>A &amp; B</h1><p>One <b>two</b><br>three.<p>Caf&eacute;&nbsp;4 " + "word " * 50 + "</p></article>"
     body = "A & B\nOne two three.\nCafé 4 " + " ".join(["word"] * 50)
@@ -97,6 +116,60 @@ def test_pages_keep_whole_articles(spark):
     assert got[3] == f"Short.\n{body}" and got[4] == f"Steps\n{body}"
 
 
+def test_odd_pages():
+    text = lambda page: host_paths.text_of(page, None)
+    assert text('<article><p>Body text.</p><article class="comment"><p>I disagree.</p></article></article>') == "Body text."
+    assert text("<body><header><p>Site</p></header><article><header><h1>Title</h1></header><p>Body.</p></article></body>") == "Title\nBody."
+    assert text('<main><p>One.</p><div class="skip"><p>Two.</p></div><a class="skip-link" href=#x>Skip</a></main>').startswith("One.\nTwo.")
+    assert text('<body><p>Before.</p><div class="x>broken</div><p>After.</p></body>').startswith("Before.") and "class=" not in text('<body><p>Before.</p><div class="x>broken</div><p>After.</p></body>')
+    assert text("<p>" + "long " * 300_000 + "</p>") == " ".join(["long"] * 300_000)
+
+
+class ArticleText(HTMLParser):
+    """What an independent parser finds in the article element, block by block."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.out, self.words = 0, [], []
+
+    def flush(self):
+        if line := " ".join("".join(self.words).split()):
+            self.out.append(line)
+        self.words = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in host_paths.BLOCKS:
+            self.flush()
+        self.depth += tag == "article"
+        if tag == "br":
+            self.words.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in host_paths.BLOCKS:
+            self.flush()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.words.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_page_query(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    got = {r.page_id: r for r in queries.queries()["op5_host_paths"](spark, SF).collect()}
+    assert len(got) == len(pages)
+    seen = 0
+    for p in pages:
+        if "<article" in (p.html or ""):
+            own = ArticleText()
+            own.feed(p.html)
+            own.flush()
+            assert got[p.page_id].text == "\n".join(own.out) and got[p.page_id].n_chars == len(got[p.page_id].text) and got[p.page_id].url == p.url
+            seen += 1
+    assert seen > len(pages) / 2
+
+
 def near_texts(seed=2):
     rng = np.random.default_rng(seed)
     word = lambda: f"w{rng.integers(0, 4000)}"
@@ -149,6 +222,10 @@ def test_join_of_odd_rows(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in sigtree_join.join(rows, 4, 85, 100).collect())
     assert got == [(-1, None), (3, 3), (3, 3), (5, 3), (7, 7)]
     assert sigtree_join.join(rows.limit(0), 4, 85, 100).count() == 0
+    # an id with two texts is one vertex: it joins the groups of both
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    several = spark.createDataFrame([(4, a), (4, b), (2, b), (6, a), (8, c), (8, c), (9, c)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in sigtree_join.join(several, 4, 85, 100).collect()) == [(2, 2), (4, 2), (4, 2), (6, 2), (8, 8), (8, 8), (9, 8)]
 
 
 def test_components(spark):
@@ -177,6 +254,12 @@ def test_mix(spark):
     assert all(again[x.doc_id] == pytest.approx(x.rate) for x in got)
     assert {x.rate for x in soft_mix.rates(df, soft_mix.fit(df, names.limit(0))[0]).collect()} == {1.0}
     assert soft_mix.fit(df.limit(0), names)[1].count() == 0
+    # repeated rows, null ids, columns of the operator's own names
+    odd = df.limit(3).unionByName(df.limit(1)).unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.select("*", *[F.lit(7).alias(c) for c in ("_n", "_x", "_t", "_z", "_p", "_one", "_given", "_text", "rate")])
+    rows = soft_mix.rates(odd, mix).collect()
+    assert len(rows) == 5 and all(r[c] == 7 for r in rows for c in ("_n", "_x", "_t", "_z", "_p", "_one", "_given", "_text"))
+    assert all(r.rate == pytest.approx(again[r.doc_id]) for r in rows if r.doc_id is not None)
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -199,5 +282,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert third[83].endswith("[REDACTED]") and third[82] is None and all(third[r[0]] == r[1] for r in rows if r[0] != 83)
     fourth = named["mixing to target weights"](spark, first, str(tmp_path))
     assert fourth.columns == df.columns and {r.doc_id for r in fourth.collect()} <= {r[0] for r in rows}
+    # the stages in sequence, on rows with null and repeated ids and columns of the stages' own names
+    own = ["given", "row", "spans", "rate", "_copy", "lang_pred", "component_id"]
+    odd = rows + [(None, rows[4][1], "en", "s", 0), (None, rows[6][1] + " extra words at the end", "en", "s", 0), (7, rows[8][1], "de", "s", 0), (7, rows[7][1], "de", "s", 0), rows[9]]
+    wide = spark.createDataFrame(odd, df.schema).select("*", *[F.lit(i).alias(c) for i, c in enumerate(own)])
+    docs = wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == wide.columns, name
+    assert all(r[c] == i for r in docs.collect() for i, c in enumerate(own))
+    one = named["n-gram Jaccard join"](spark, wide, str(tmp_path)).collect()
+    by_row = brute([r[1] for r in odd], 5, 4, 5)
+    groups = len({c for i, (n, c) in by_row.items() if n}) + sum(n == 0 for n, _ in by_row.values())
+    assert len(one) == groups and None not in {r.doc_id for r in one if r.text == rows[4][1]}
+    none = df.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0, name
     last = named["byte-level BPE"](spark, df, str(tmp_path)).collect()
     assert len(last) == len(rows) and all(r.n_tokens == len(r.ids) for r in last)
