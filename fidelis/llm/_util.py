@@ -22,20 +22,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table (in folders by a column) in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fidelis-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that nothing will read again."""
+def dropped(*tables: DataFrame, only: str = "") -> None:
+    """Deletes tables made by written() that nothing will read again, or only a folder of theirs."""
     for df in tables:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/fidelis-" in path:
+            if "/fidelis-" in path and path.endswith(only):
                 jvm = spark.sparkContext._jvm
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

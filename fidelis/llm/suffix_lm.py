@@ -7,7 +7,7 @@ retained when its next-word distribution diverges from its longest retained suff
 of its parameters. Distributions are smoothed by absolute discounting into the suffix's, and every token is
 scored by the longest retained suffix of the words before it.
 
-Counts cover all training texts. Texts are read once and coded in chunks of about `CHUNK` characters. What a chunk
+Counts cover all training texts. Texts are read once and coded in chunks of about `CHUNK` bytes. What a chunk
 counts goes, packed, to as many parts as there are tasks (by word or by run), is summed there, and what is frequent
 goes back, packed, to the chunks that hold it. So nothing that grows with the corpus is collected or broadcast, no
 task holds the vocabulary or the tree, and rows stand for packs, not for words.
@@ -22,6 +22,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard as zstd
@@ -32,15 +33,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from fidelis.llm._util import dropped, slices, written
 
-#: Least count of a candidate, the discount, words of a context at most, characters of a chunk, tokens of a row.
-LEAST, DISCOUNT, DEPTH, CHUNK, ROW = 8, 0.75, 4, 12_000_000, 1_000_000
+#: Least count of a candidate, the discount, words of a context at most, bytes of a chunk, tokens of a row.
+LEAST, DISCOUNT, DEPTH, CHUNK, ROW = 8, 0.75, 4, 32_000_000, 1_000_000
 END = b""
 #: Parts and chunks for each partition of the input.
 PARTS = 2
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "replace").lower().split(), END]
+def tokens(text: bytes | None) -> list[bytes]:
+    return [*(text or b"").lower().split(), END]
 
 
 class _Places(dict):
@@ -64,7 +65,7 @@ def unpack(raw: bytes, kind=np.int64) -> np.ndarray:
 
 def name_of(numbers: list[np.ndarray]) -> np.ndarray:
     """64-bit names of runs, from the numbers of their words."""
-    h = np.full(len(numbers[0]), len(numbers), np.uint64)
+    h = np.full(len(numbers[0]), 0xD6E8FEB86659FD93 - len(numbers), np.uint64)
     for x in numbers:
         h = (h ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -102,6 +103,7 @@ def _each(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, It
 
 def _by_part(of: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each part that occurs and where, in order."""
+    of = of.astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order = np.argsort(of, kind="stable")
     cuts = np.searchsorted(of[order], np.arange(parts + 1))
     for part in range(parts):
@@ -123,7 +125,7 @@ def _named(columns: list[np.ndarray]) -> list[bytes]:
 def coded(df: DataFrame, train: Column, key: str, text: str, parts: int) -> DataFrame:
     """Texts coded by each chunk's own dictionary (kind 2; a: places, b: lengths, c: train) and its words (kind 1; a:
     places, b: words, c: training counts)."""
-    rows = df.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).cast("binary").alias("text"))
     id_type = to_arrow_type(rows.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,11 +156,11 @@ def coded(df: DataFrame, train: Column, key: str, text: str, parts: int) -> Data
         for batch in batches:
             for some in slices(batch, 2):
                 for doc, flag, t in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    if size and size + len(t or "") > CHUNK:
+                    if size and size + len(t or b"") > CHUNK:
                         yield from flushed(base + chunk)
                         chunk, size = chunk + 1, 0
                         place, xs, ids, trains = _Places(), [], [], []
-                    size += len(t or "")
+                    size += len(t or b"")
                     xs.append(np.fromiter(map(place.__getitem__, tokens(t)), np.int32))
                     ids.append(doc)
                     trains.append(flag)
@@ -209,16 +211,13 @@ def _word_parts(parts: int):
 
 
 def _counted(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the place of one occurrence each, and training counts."""
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    return k[first], order[first], np.add.reduceat(train[order].astype(np.int64), first) if len(k) else first
+    """The number of each key's distinct value, the distinct keys, and their training counts."""
+    of, known = pd.factorize(key)
+    return of, known, np.bincount(of, train, len(known)).astype(np.int64)
 
 
 def _sent_runs(out: _Out, chunk: int, level: int, numbers: list[np.ndarray], n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     for part, where in _by_part(part_of(numbers, parts), parts):
-        where = where[np.lexsort([x[where] for x in numbers[::-1]])]
         yield out.row(kind=1, chunk=chunk, part=part, level=level, a=[pack(x[where]) for x in numbers], c=pack(n[where]))
 
 
@@ -255,8 +254,9 @@ def _pair_chunks(parts: int, whole: float):
             keys.append((y[:-1][on] - 1) * size + y[1:][on] - 1)
             trains.append(np.repeat(f, n)[1:][on])
         yield out.row(kind=3, chunk=chunk, a=[pack(number[often] - 1), pack(c[often])])
-        key, _, n = _counted(np.concatenate(keys), np.concatenate(trains))
-        names = number[often] - 1
+        _, key, n = _counted(np.concatenate(keys), np.concatenate(trains))
+        order, names = np.argsort(key), number[often] - 1
+        key, n = key[order], n[order]
         if len(key):
             yield from _sent_runs(out, chunk, 2, [names[key // size], names[key % size]], n, parts)
 
@@ -268,24 +268,24 @@ def _run_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.Record
     for level, some in itertools.groupby(rows, key=lambda r: r["level"]):
         held = [(r["chunk"], [unpack(x) for x in r["a"]], unpack(r["c"])) for r in some]
         columns = [np.concatenate([h[1][i] for h in held]) for i in range(level)]
-        n, of = np.concatenate([h[2] for h in held]), np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
-        order = np.lexsort(columns[::-1])
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        for x in columns:
-            new[1:] |= x[order][1:] != x[order][:-1]
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(n[order], first)
+        n = np.concatenate([h[2] for h in held])
+        of, names = pd.factorize(columns[0])
+        for x in columns[1:]:
+            x, own = pd.factorize(x)
+            of, names = pd.factorize(of * len(own) + x)
+        total = np.bincount(of, n, len(names)).astype(np.int64)
         often = total >= LEAST
-        keep = np.zeros(len(order), bool)
-        keep[order] = np.repeat(often, np.diff(np.r_[first, len(order)]))
-        cuts = np.searchsorted(of, np.arange(len(held) + 1))
+        keep = often[of]
+        # one row of each frequent run
+        first = np.full(len(names), -1, np.int64)
+        first[of[::-1]] = np.arange(len(of))[::-1]
+        cuts = np.cumsum([0, *(len(h[2]) for h in held)])
         for i, (chunk, _, _) in enumerate(held):
             where = np.flatnonzero(keep[cuts[i] : cuts[i + 1]]) + cuts[i]
             if len(where):
                 yield out.row(kind=0, chunk=chunk, part=part, level=level, a=[pack(x[where]) for x in columns])
         if often.any():
-            yield out.row(kind=4, part=part, level=level, a=_named([x[order][first][often] for x in columns]), c=pack(total[often]))
+            yield out.row(kind=4, part=part, level=level, a=_named([x[first[often]] for x in columns]), c=pack(total[often]))
 
 
 class _Chunk:
@@ -321,11 +321,8 @@ class _Chunk:
 
 
 def _found(known: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Places of keys among sorted known ones, -1 for others."""
-    if not len(known):
-        return np.full(len(key), -1, np.int64)
-    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-    return np.where(known[at] == key, at, -1)
+    """Places of keys among known ones, which are distinct; -1 for others."""
+    return pd.Index(known).get_indexer(pd.Index(key)) if len(known) and len(key) else np.full(len(key), -1, np.int64)
 
 
 def _long_chunks(parts: int, depth: int):
@@ -336,20 +333,19 @@ def _long_chunks(parts: int, depth: int):
         if not a.texts:
             return
         train = np.repeat(np.concatenate([unpack(r["c"]) for r in a.texts]) > 0, a.lengths)
-        first, second = a.runs(2)
-        pairs = np.sort(first * a.m + second)
+        words = a.runs(2)
         at = a.follows(a.x)
         pair = np.full(len(a.x), -1, np.int64)
-        pair[at] = _found(pairs, a.x[at - 1] * a.m + a.x[at])
+        pair[at] = _found(words[0] * a.m + words[1], a.x[at - 1] * a.m + a.x[at])
         run = pair
         for level in range(3, depth + 2):
             on = np.flatnonzero((run[:-1] >= 0) & (pair[1:] >= 0)) + 1
             if not len(on):
                 break
-            key, where, n = _counted(run[on - 1] * a.m + a.x[on], train[on])
-            place = on[where]
-            yield from _sent_runs(out, chunk, level, [a.numbers[a.x[place - level + 1 + i]] for i in range(level)], n, parts)
-            of = _found(key, run[on - 1] * a.m + a.x[on])
+            of, key, n = _counted(run[on - 1] * a.m + a.x[on], train[on])
+            words = [*(x[key // a.m] for x in words), key % a.m]
+            order = np.argsort(key)
+            yield from _sent_runs(out, chunk, level, [a.numbers[x[order]] for x in words], n[order], parts)
             run = np.full(len(a.x), -1, np.int64)
             run[on] = of
 
@@ -470,9 +466,11 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     n, v = size[0], size[1]
     whole = n + 0.1 * (v + 1)
 
-    second = written(_pass(first.where(kind == 2).unionByName(words.where(kind == 0)), "chunk", slots, _pair_chunks(parts, whole)), "pairs")
+    # by kind, so that pairs can go as soon as they are summed
+    second = written(_pass(first.where(kind == 2).unionByName(words.where(kind == 0)), "chunk", slots, _pair_chunks(parts, whole)), "pairs", by="kind").select(*first.columns)
     dropped(first)
     pairs = written(_pass(second.where(kind == 1), "part", parts, _run_parts), "frequent")
+    dropped(second, only="kind=1")
     texts = second.where(kind.isin(2, 3))
     third = _pass(texts.unionByName(pairs.where(kind == 0)), "chunk", slots, _long_chunks(parts, depth))
     longer = written(_pass(third, "part", parts, _run_parts), "longer")

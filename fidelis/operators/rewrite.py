@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fidelis.functions import text as tx
 from fidelis.operators import atoms, claims
 from fidelis.operators.fidelity import Check
 from fidelis.plans import segment
@@ -111,7 +112,7 @@ def asked(rows: DataFrame, provider: Callable[[], object], column: str = "prompt
 
 
 PROMPT = (
-    "Rewrite the text without changing any fact.\nlanguage: {{lang}}\nissues: {{issues}}\nlocked: {{locked}}\nclaims: {{claims}}\n"
+    "Rewrite the text without changing any fact.\nlanguage: {{lang}}\nsection: {{section}}\nissues: {{issues}}\nlocked: {{locked}}\nclaims: {{claims}}\n"
     "instructions: {{instructions}}\ntext:\n{{text}}\nReply as JSON with rewritten_text."
 )
 LOCK_PROMPT = (
@@ -134,7 +135,7 @@ def prompted(template: str, **values: Column) -> Column:
 
 
 def enriched(normal: DataFrame, provider: Callable[[], object]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The lock with the model's atoms, its claims, and doc_id, locked (surfaces), claims, issues for prompts."""
+    """The lock with the model's atoms, its claims, and doc_id, locked (atoms), claims, issues for prompts."""
     lock = durable(atoms.extract(normal))
     listed = lock.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "surface"))), lambda x: x["surface"]).alias("surfaces"))
     rows = normal.join(listed, "doc_id", "left").where(F.length(F.trim("text")) > 0)
@@ -142,7 +143,7 @@ def enriched(normal: DataFrame, provider: Callable[[], object]) -> tuple[DataFra
     replies = durable(claims.parsed(asked(rows.select("doc_id", told.alias("prompt")), provider).select("doc_id", "reply"), claims.LOCK_REPLY))
     lock, registered = durable(claims.merged(lock, replies, normal)), durable(claims.claims(replies))
     found = durable(asked(rows.select("doc_id", prompted(DIAGNOSIS_PROMPT, text=F.col("text")).alias("prompt")), provider).select("doc_id", F.get_json_object("reply", "$.issues").alias("issues")))
-    held = lock.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "surface"))), lambda x: x["surface"]).alias("locked"))
+    held = lock.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "kind", "surface"))).alias("locked"))
     lines = registered.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "claim_id", "kind", "strength", "text"))), "\n").alias("claims"))
     return lock, registered, durable(normal.select("doc_id").join(held, "doc_id", "left").join(lines, "doc_id", "left").join(found, "doc_id", "left"))
 
@@ -165,33 +166,50 @@ def claim_violations(verdicts: DataFrame) -> DataFrame:
     return rows.select("doc_id", "rule", F.lit("hard").alias("severity"), detail.alias("detail"), F.lit("").alias("before"), F.lit("").alias("after"))
 
 
+def lock_slice() -> Column:
+    """The locked facts that concern a unit: those that begin in its lines or, of a model's, stand in them, and terms,
+    variables and phrases of the whole document."""
+    end = F.col("start") + F.length("text")
+    here = lambda x: F.when(x["start"] < 0, F.contains(F.col("text"), x["surface"])).otherwise((x["start"] >= F.col("start")) & (x["start"] < end))
+    own = F.filter("locked", lambda x: here(x) | x["kind"].isin("term", "variable", "phrase"))
+    return F.array_join(F.transform(own, lambda x: F.concat(x["kind"], F.lit(" "), x["surface"])), "; ")
+
+
 def rewritten(units: DataFrame, provider: Callable[[], object], notes: DataFrame | None = None) -> DataFrame:
-    """units: doc_id, row, block, text, instructions; notes: doc_id, locked, claims, issues. New texts (doc_id, block, text)
+    """units: doc_id, row, block, start, section_type, text, instructions; notes: doc_id, locked, claims, issues. New texts (doc_id, block, text)
     of units that got one; outer white space is the old text's."""
     none = F.lit("")
     known = {"issues": none, "locked": none, "claims": none}
     if notes is not None:
         units = units.join(notes, "doc_id", "left")
-        known = {"issues": F.col("issues"), "locked": F.array_join(F.filter("locked", lambda x: F.contains(F.col("text"), x)), "; "), "claims": F.col("claims")}
-    prompt = prompted(PROMPT, lang=none, instructions=F.col("instructions"), text=F.col("text"), **known)
+        known = {"issues": F.col("issues"), "locked": lock_slice(), "claims": F.col("claims")}
+    prompt = prompted(PROMPT, lang=tx.language(F.col("text")), section=F.col("section_type"), instructions=F.col("instructions"), text=F.col("text"), **known)
     got = asked(units.select("doc_id", "row", "block", "text", prompt.alias("prompt")), provider).withColumn("new", F.from_json("reply", "rewritten_text string")["rewritten_text"])
     lead, trail = F.regexp_extract("text", r"^\s*", 0), F.regexp_extract("text", r"\s*$", 0)
     return got.where(F.length(F.trim("new")) > 0).select("doc_id", "row", "block", F.concat(lead, F.trim("new"), trail).alias("text"))
 
 
+#: Ends every list of violations that a unit is sent back with.
+FOOTER = "Change only what these violations call for, one by one; bring in no new number, citation or term."
+
+
 def instructions(violations: DataFrame) -> DataFrame:
-    """doc_id, instructions: one line for each hard violation, with excerpts of sixty characters."""
+    """doc_id, instructions: one line for each hard violation, with excerpts of sixty characters, and FOOTER."""
     line = F.format_string("%s %s | %s | %s", "rule", "detail", F.substring("before", 1, 60), F.substring("after", 1, 60))
     rows = violations.where("severity = 'hard'").select("doc_id", line.alias("line"))
-    return rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("instructions"))
-
-
-def affected(units: DataFrame, violations: DataFrame) -> DataFrame:
-    """Units whose text holds the start of a hard violation's context; all of a document where none does."""
-    hard = violations.where("severity = 'hard'").select("doc_id", F.substring(F.coalesce(F.nullif("before", F.lit("")), F.col("after")), 1, 40).alias("part")).distinct()
-    rows = units.join(hard, "doc_id").withColumn("hit", (F.length("part") > 0) & F.contains("text", "part"))
-    rows = rows.groupBy(*units.columns).agg(F.bool_or("hit").alias("hit"))
-    rows = rows.withColumn("some", F.bool_or("hit").over(Window.partitionBy("doc_id")))
+    return rows.groupBy("doc_id").agg(F.concat(F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\n" + FOOTER)).alias("instructions"))
+
+
+def affected(units: DataFrame, violations: DataFrame, current: DataFrame) -> DataFrame:
+    """Units whose text, as it was or as it is now (current), holds the start of a hard violation's context on either
+    side; all of a document where none does."""
+    hard = violations.where("severity = 'hard'").select("doc_id", F.explode(F.array("before", "after")).alias("said")).select("doc_id", F.substring(tx.stripped(F.col("said")), 1, 40).alias("part"))
+    quotes = hard.groupBy("doc_id").agg(F.collect_set(F.nullif("part", F.lit(""))).alias("parts"))
+    now = current.select("doc_id", "row", "block", F.col("text").alias("now"))
+    rows = units.join(quotes, "doc_id").join(now, ["doc_id", "row", "block"], "left")
+    hit = F.exists("parts", lambda p: F.contains(F.col("text"), p) | F.contains(F.coalesce("now", F.lit("")), p))
+    rows = rows.withColumn("hit", F.coalesce(hit, F.lit(False)))
+    rows = rows.withColumn("some", F.bool_or("hit").over(Window.partitionBy("doc_id", "row")))
     return rows.where("hit OR NOT some").select(*units.columns)
 
 
@@ -201,7 +219,9 @@ def rewrite(docs: DataFrame, provider: Callable[[], object], repairs: int = 2) -
     normal = atoms.normal_documents(docs)
     lock, registered, notes = enriched(normal, provider)
     parts = segment.blocks(normal)
-    units = segment.units(parts).select("doc_id", "row", "block", "text").withColumn("instructions", F.lit(""))
+    # a unit's section is that of the heading before it
+    heads = segment.sections(normal).select("doc_id", "sec", "section_type").groupBy("doc_id", "sec").agg(F.first("section_type").alias("section_type"))
+    units = segment.units(parts).join(heads, ["doc_id", "sec"], "left").select("doc_id", "row", "block", "start", "section_type", "text").withColumn("instructions", F.lit(""))
     current = durable(rewritten(units, provider, notes))
     loops = normal.select("doc_id", F.lit(0).alias("loops"))
     left = normal.select("doc_id")  # documents that changed since their last check
@@ -216,7 +236,7 @@ def rewrite(docs: DataFrame, provider: Callable[[], object], repairs: int = 2) -
         bad = durable(violations.where("severity = 'hard'").select("doc_id").distinct())
         if turn == repairs or not bad.limit(1).count():
             break
-        todo = affected(units.drop("instructions"), violations).join(instructions(violations), "doc_id")
+        todo = affected(units.drop("instructions"), violations, current).join(instructions(violations), "doc_id")
         new = durable(rewritten(todo, provider, notes))
         old = current.join(new.select("doc_id", "row", "block"), ["doc_id", "row", "block"], "left_anti")
         current = durable(old.unionByName(new))
