@@ -92,9 +92,13 @@ def regressions(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("case_id", dropped.alias("band_dropped"), failed.alias("new_hard_fail"), (dropped | failed).alias("regressed"))
 
 
-def moved(matched: DataFrame) -> DataFrame:
-    """matched: doc_id, atom_id, sec0, sec1. An atom in another section counts as changed, in its own as moved at most."""
-    return matched.select("doc_id", "atom_id", F.when(F.col("sec0") == F.col("sec1"), "same_section").otherwise("changed").alias("moved"))
+def judged(rows: DataFrame) -> DataFrame:
+    """The rules that thresholds() tells of a case, in the gate's columns: over_edit (hard) of a control case edited
+    beyond its band, rhythm_residual (soft) of sentence lengths that vary too little. rows: doc_id and thresholds()' columns."""
+    found = F.array(F.when(F.col("over_edit"), F.struct(F.lit("over_edit").alias("rule"), F.lit("hard").alias("severity"))), F.when(~F.col("cv_ok"), F.struct(F.lit("rhythm_residual").alias("rule"), F.lit("soft").alias("severity"))))
+    one = rows.select("doc_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x"))
+    empty = F.lit("")
+    return one.select("doc_id", "x.rule", "x.severity", empty.alias("detail"), empty.alias("before"), empty.alias("after"))
 
 
 def baselines(stats: DataFrame, by: str) -> DataFrame:

@@ -17,6 +17,7 @@ from fidelis.functions.registry import HEADING, MONTHS, P_SIGNS, PASSES, QUOTED,
 
 _HEADING, _REFERENCES, _BAR = re.compile(HEADING), re.compile(REFERENCES), re.compile(r"\s*\|")
 _VARIABLE = re.compile(VARIABLE)
+_BREAK = re.compile(r"\n{2,}")
 _ENDS = re.compile(r"[。！？；!?;\n]|\.(?=[ \n])")
 
 
@@ -174,6 +175,40 @@ def context(text: str, ends: Sequence[int], at: int) -> str:
     return text[ends[i - 1] if i else 0 : ends[i]].strip() if i < len(ends) else ""
 
 
+def places(text: str, parsed: Sequence[Line], starts: Sequence[int]) -> list[tuple[int, int]]:
+    """Section and paragraph within it of each place."""
+    heads = [x.start for x in parsed if x.kind == "heading"]
+    breaks = [m.end() for m in _BREAK.finditer(text)]
+    firsts = [0, *(bisect_right(breaks, h) for h in heads)]
+    out = []
+    for at in starts:
+        sec = bisect_right(heads, at)
+        out.append((sec, bisect_right(breaks, at) - firsts[sec]))
+    return out
+
+
+def rebound(before: Sequence[tuple[str, tuple[str, str]]], after: Sequence[tuple[str, tuple[str, str]]], cites: Sequence[str]) -> list[tuple[str, str]]:
+    """Citations that stand with other facts than before, while what they stood with stands with another citation.
+    Both sides: sentence and (kind, form) of each fact."""
+
+    def sides(found):
+        held: dict[str, list[tuple[str, str]]] = {}
+        for sentence, name in found:
+            held.setdefault(sentence, []).append(name)
+        at = {name: sentence for sentence, names in held.items() for name in names if sentence}
+        return held, at
+
+    (old, was), (new, now) = sides(before), sides(after)
+    out = []
+    for cite in (name for name in was if name[0] in cites and name in now):
+        mates = [x for x in old[was[cite]] if x[0] not in cites]
+        if not mates or any(x in new[now[cite]] for x in mates):
+            continue
+        if any(x in now and any(y[0] in cites and y in was for y in new[now[x]]) for x in mates):
+            out.append(cite)
+    return out
+
+
 def shape(parsed: Sequence[Line]) -> tuple[list[str], list[list[list[str]]], list[str], str | None]:
     """Headings, tables as rows of cells, code blocks, and the references section (None without one)."""
     heads = [f"{'#' * x.level} {x.title}" for x in parsed if x.kind == "heading"]

@@ -51,6 +51,13 @@ FACTS["year2"] = "10 + o_orderkey % 9"
 BRIDGES = [("在{level}%水平上显著。", "p<0.0{level}。", "equivalent"), ("p≤0.0{level}。", "在{level}%水平上显著。", "equivalent"), ("p>0.0{level}。", "在{level}%水平上显著。", "missing"), ("p<0.0{level}。", "P＜0.0{level}。", "equivalent")]
 
 
+#: Attributions, and their revisions that swap the citations, by doc_id; a move of a fact to the next paragraph.
+BOUND = "张三调查了{firms}家企业[{cite}]。李四发现占比为{share}%[{cite2}]。\n\n另有{score}例。\n"
+SWAPPED = "张三调查了{firms}家企业[{cite2}]。李四发现占比为{share}%[{cite}]。\n\n另有{score}例。\n"
+MOVED = "张三调查了{firms}家企业[{cite}]。李四发现占比为{share}%[{cite2}]。另有{score}例。\n\n如此。\n"
+FACTS["cite2"] = "101 + o_orderkey % 90"
+
+
 def rendered(template: str) -> Column:
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts)])

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fidelis.functions import tables
 from fidelis.functions import text as tx
 from fidelis.functions.registry import HARD_RULES, MARKERS
 from fidelis.operators import atoms, claims, evalset, style
@@ -255,6 +256,22 @@ def atoms_documents(spark, sf_dir):
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("atoms"), F.countDistinct("doc_id").alias("documents"))
 
 
+@query(_truth(["percent", "amount"]))
+def sql_atoms(spark, sf_dir):
+    """Facts by a SQL table function."""
+    tables.register(spark)
+    fixtures.papers(spark, sf_dir).createOrReplaceTempView("fidelis_papers")
+    return spark.sql("SELECT p.doc_id, a.kind, a.canonical FROM fidelis_papers p, LATERAL extract_atoms(p.text, p.glossary) a WHERE a.kind IN ('percent', 'amount')")
+
+
+@query(_PAPERS + "SELECT kind, count(*) * n AS blocks, 2 * count(*) AS sections FROM papers, (VALUES ('heading', 2), ('frozen', 3), ('prose', 3)) k(kind, n) GROUP BY kind, n")
+def sql_segments(spark, sf_dir):
+    """Blocks and sections by SQL table functions."""
+    tables.register(spark)
+    fixtures.papers(spark, sf_dir).createOrReplaceTempView("fidelis_papers")
+    return spark.sql("SELECT b.kind, count(*) AS blocks, (SELECT count(*) FROM fidelis_papers q, LATERAL text_sections(q.text) s) AS sections FROM fidelis_papers p, LATERAL text_blocks(p.text) b GROUP BY b.kind")
+
+
 @query(_PAPERS + "SELECT doc_id, CASE WHEN lang = 'zh' THEN '占比为' || share || '%。' ELSE 'The share was ' || share || '%. Moreover, the cost was ' || money || '万元.' END AS context FROM facts")
 def atom_context(spark, sf_dir):
     return atoms.extract(fixtures.papers(spark, sf_dir)).where("kind = 'percent'").select("doc_id", "context")
@@ -289,10 +306,43 @@ def mutation_matrix(spark, sf_dir):
     return hard.join(revised.select("doc_id", "op"), "doc_id").groupBy("op", "rule").agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query(f"SELECT r.rule, count(c.doc_id) AS mutations, count(c.doc_id) AS caught FROM (SELECT unnest({[*HARD_RULES]}) AS rule) r LEFT JOIN ({_CASES}) c USING (rule) GROUP BY r.rule")
+_VARIANT = "CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END"
+#: What a judge says, and the rule that it means, by doc_id.
+_JUDGED = [("weakened", "claim_strength_shift"), ("contradicted", "claim_contradicted"), ("dropped", "claim_dropped"), ("added_new", "new_claim_added"), ("entailed", None)]
+_BY_JUDGE = "SELECT o_orderkey AS doc_id, ([" + ", ".join(f"'{r}'" if r else "NULL" for _, r in _JUDGED) + f"])[o_orderkey % {len(_JUDGED)} + 1] AS rule FROM orders"
+_BY_HAND = "SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 1 THEN 'citation_rebound' END AS rule FROM orders UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 AND o_custkey % 100 > 15 THEN 'over_edit' END FROM orders"
+
+
+def _bound(spark, sf_dir) -> Check:
+    cases = [fixtures.notes(spark, sf_dir, t).withColumnRenamed("text", f"t{i}") for i, t in enumerate((fixtures.BOUND, fixtures.SWAPPED, fixtures.MOVED))]
+    rows = cases[0].join(cases[1], "doc_id").join(cases[2], "doc_id")
+    return Check(rows.select("doc_id", F.col("t0").alias("text")), rows.select("doc_id", F.element_at(F.array("t0", "t1", "t2"), (F.col("doc_id") % 3 + 1).cast("int")).alias("text")))
+
+
+@query("SELECT doc_id, k = 1 AS rebound, k <> 1 AS passed, CASE WHEN k = 2 THEN 1 ELSE 0 END::BIGINT AS moved FROM (SELECT o_orderkey AS doc_id, o_orderkey % 3 AS k FROM orders)")
+def citation_bindings(spark, sf_dir):
+    check = _bound(spark, sf_dir)
+    rebound = check.violations().where("rule = 'citation_rebound'").select("doc_id").distinct().withColumn("rebound", F.lit(True))
+    moved = check.violations().where("rule = 'atom_moved_cross_paragraph'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("moved"))
+    rows = check.gate().join(rebound, "doc_id", "left").join(moved, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("rebound", F.lit(False)).alias("rebound"), "passed", F.coalesce("moved", F.lit(0)).cast("long").alias("moved"))
+
+
+@query(f"SELECT r.rule, count(c.doc_id) AS mutations, count(c.doc_id) AS caught FROM (SELECT unnest({[*HARD_RULES]}) AS rule) r LEFT JOIN (SELECT doc_id, rule FROM ({_CASES}) UNION ALL {_BY_JUDGE} UNION ALL {_BY_HAND}) c USING (rule) GROUP BY r.rule")
 def rule_coverage(spark, sf_dir):
+    """Mutations of all hard rules: in the text, by a judge's verdicts, by swapped citations and by edits of control cases."""
     check, revised = _mutated(spark, sf_dir)
-    return evalset.coverage(revised.select("doc_id", "expect"), check.violations())
+    at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_custkey")
+    reviews = orders.select("doc_id", F.lit("c001").alias("claim_id"), at([v for v, _ in _JUDGED]).alias("verdict"), F.lit("").alias("evidence"))
+    edits = orders.selectExpr("doc_id", f"{_VARIANT.replace('o_orderkey', 'doc_id')} AS variant", "(o_custkey % 100) / 100D AS edit", "1D AS density_before", "1D AS density_after", "0.3D AS cv_before", "0.5D AS cv_after")
+    edits = evalset.thresholds(edits)
+    expect = revised.select("doc_id", "expect").unionByName(orders.select("doc_id", at([r for _, r in _JUDGED]).alias("expect")))
+    expect = expect.unionByName(orders.select("doc_id", F.when(F.col("doc_id") % 3 == 1, "citation_rebound").alias("expect")))
+    expect = expect.unionByName(edits.select("doc_id", F.when((F.col("variant") == "C") & (F.col("edit") > 0.15), "over_edit").alias("expect")))
+    found = check.violations().select("doc_id", "rule").unionByName(claims.review_violations(reviews).select("doc_id", "rule"))
+    found = found.unionByName(evalset.judged(edits).select("doc_id", "rule")).unionByName(_bound(spark, sf_dir).violations().where("rule = 'citation_rebound'").select("doc_id", "rule"))
+    return evalset.coverage(expect, found)
 
 
 @query(f"SELECT op, CASE WHEN op IN ('percent_as_share', 'money_rescaled', 'dash_variant', 'p_case') THEN 1 ELSE 0 END::BIGINT * count(*) AS equivalent FROM ({_CASES}) WHERE rule IS NULL GROUP BY op")
@@ -332,8 +382,6 @@ def edit_distance(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), evalset.edit_distance(F.col("c_name"), changed).alias("edit"))
 
 
-_VARIANT = "CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END"
-
 
 @query(
     "SELECT o_orderkey AS case_id, edit BETWEEN CASE v WHEN 'A' THEN 0.15 WHEN 'B' THEN 0.10 ELSE 0 END AND CASE v WHEN 'A' THEN 0.65 WHEN 'B' THEN 0.55 ELSE 0.15 END AS edit_ok, "

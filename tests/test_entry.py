@@ -12,8 +12,15 @@ def test_names():
     assert set(entry.oracle_sql()) <= set(queries)
 
 
+def test_optional_modules():
+    assert entry._optional("fidelis.plans.queries")
+    assert entry._optional("corpus_pipeline") is entry.corpus_pipeline
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("fidelis.absent")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["style_density", "sections", "zh_numerals", "atoms_citations"])
+@pytest.mark.parametrize("name", ["style_density", "style_diagnosis", "sections", "mask_digests", "zh_numerals", "decimals_plain", "atoms_citations", "atoms_other", "sql_atoms", "gate_long_numbers", "citation_bindings", "verdict_bridge", "model_claims"])
 def test_against_oracle(spark, name):
     import duckdb
 
