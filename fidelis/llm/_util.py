@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, a folder of our own."""
+    """The folder in spark.checkpoint.dir; only where that is unset, and Spark runs on one machine, a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fidelis-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")

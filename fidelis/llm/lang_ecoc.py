@@ -5,7 +5,7 @@ over hashed byte n-grams (orders 1 to 3, lower-cased) predicts each bit; decodin
 logistic loss, weighted by the bit's training accuracy, and chooses the codeword of least loss. A text
 whose two best codewords lie close is flagged ambiguous.
 
-Fitting takes at most about `per_lang` training rows of each language (chosen by a hash of the id and
+Fitting takes at most about `per_lang` training rows of each language and `ROWS` of all (chosen by a hash of the id and
 the text, so alike at every size); everything is predicted on whole texts.
 
 Defined results: null text, or one without a letter, gets `und`, score 0 and ambiguous; with one
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from fidelis.llm._util import slices
 
-#: Hashed n-gram buckets, and training rows of each language at most (in expectation).
-BUCKETS, PER_LANG = 1 << 13, 600
+#: Hashed n-gram buckets, training rows of each language and of all at most (in expectation).
+BUCKETS, PER_LANG, ROWS = 1 << 13, 600, 8000
 #: Two best codewords whose probabilities differ by less are ambiguous.
 MARGIN = 0.2
 _LOWER = np.arange(256, dtype=np.uint32)
@@ -121,7 +121,7 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", ke
     counts = {r[0]: r[1] for r in df.where(train & F.col(lang).isNotNull()).groupBy(lang).count().collect()}
     if not counts:
         return Model([])
-    pick, base = F.lit(False), 1 << 30
+    pick, base, per_lang = F.lit(False), 1 << 30, max(1, min(per_lang, ROWS // len(counts)))
     for name, n in counts.items():
         pick = pick | ((F.col(lang) == name) & (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("lang")), F.lit(base)) < min(base, base * per_lang // n)))
 

@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from fidelis.llm._util import dropped, slices, written
 
 #: Least count of a candidate, the discount, words of a context at most, bytes of a chunk, tokens of a row.
-LEAST, DISCOUNT, DEPTH, CHUNK, ROW = 8, 0.75, 4, 32_000_000, 1_000_000
+LEAST, DISCOUNT, DEPTH, CHUNK, ROW = 8, 0.75, 5, 14_000_000, 1_000_000
 END = b""
 #: Parts and chunks for each partition of the input.
 PARTS = 2
@@ -198,7 +198,8 @@ def _word_parts(parts: int):
             c[at] += n
         often = c >= LEAST
         number = np.zeros(len(c), np.int64)
-        number[often] = np.arange(often.sum()) * parts + part + 1
+        # common words get small numbers, which pack well
+        number[np.flatnonzero(often)[np.argsort(-c[often], kind="stable")]] = np.arange(often.sum()) * parts + part + 1
         for chunk, where, at, n in held:
             tell = (c[at] != n) | often[at]
             if tell.any():
@@ -353,31 +354,29 @@ def _long_chunks(parts: int, depth: int):
 
 
 def _valued_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
-    """To each chunk its runs that the tree knows, and what it says of them (b: add, c: back; none: NaN)."""
+    """To each chunk its runs that the tree knows, and what it says of them (b, c: counts of the run and its retained
+    context, 0 for none; d: mass left to the suffix, NaN for none)."""
     for level, some in itertools.groupby(rows, key=lambda r: r["level"]):
-        told, names, values = [], [], ([], [])
+        told, held = [], []
         for r in some:
             if r["kind"] == 0:
                 told.append(r)
             else:
-                names.append(np.frombuffer(r["b"], np.int64))
-                for v, c in zip(values, "cd", strict=True):
-                    v.append(np.frombuffer(r[c], np.float64))
-        if not names:
+                held.append((np.frombuffer(r["b"], np.int64), unpack(r["c"]), unpack(r["a"][0]), np.frombuffer(r["d"], np.float64)))
+        if not held:
             continue
-        names, sides = np.concatenate(names), []
-        for v in map(np.concatenate, values):
-            on = np.flatnonzero(~np.isnan(v))
-            on = on[np.argsort(names[on])]
-            sides.append((names[on], np.r_[v[on], np.nan]))
+        names, count, total, back = (np.concatenate(x) for x in zip(*held, strict=True))
+        adds, backs = np.flatnonzero(total > 0), np.flatnonzero(~np.isnan(back))
+        count, total, back = np.r_[count[adds], 0], np.r_[total[adds], 0], np.r_[back[backs], np.nan].astype(np.float32)
         for r in told:
             mine = [unpack(x) for x in (r["a"][1:] if level == 1 else r["a"])]
             if level == 1:
                 mine = [mine[0][mine[0] > 0] - 1]
-            got = [v[_found(known, name_of(mine))] for known, v in sides]
-            on = ~np.isnan(got[0]) | ~np.isnan(got[1])
+            own = name_of(mine)
+            x, y = _found(names[adds], own), _found(names[backs], own)
+            on = (x >= 0) | (y >= 0)
             if on.any():
-                yield out.row(kind=0, chunk=r["chunk"], level=level, a=[pack(x[on]) for x in mine], b=pack(got[0][on].astype(np.float32)), c=pack(got[1][on].astype(np.float32)))
+                yield out.row(kind=0, chunk=r["chunk"], level=level, a=[pack(v[on]) for v in mine], b=pack(count[x[on]]), c=pack(total[x[on]]), d=pack(back[y[on]]))
 
 
 def _runs(told: DataFrame) -> DataFrame:
@@ -394,27 +393,30 @@ def _runs(told: DataFrame) -> DataFrame:
 
 
 def grown(runs: DataFrame, whole: float, depth: int = DEPTH) -> DataFrame:
-    """part, level, h, add, back: of runs after a retained context the discounted probability of their last word, and of
-    retained contexts the mass left to the suffix; null for the other."""
-    states = runs.where("level > 1").groupBy("p").agg(F.sum("c").alias("seen"), F.count(F.lit(1)).alias("kinds"))
-    own = runs.select(F.col("h").alias("p"), F.col("c").alias("total"), F.col("part").alias("home"))
+    """part, level, h, c, total, back: of runs after a retained context their count and the context's, and of retained
+    contexts the mass left to the suffix; null for the other."""
+    rows = runs.where("level > 1").select("part", "level", "h", "p", "s", "w", "c")
+    states = rows.groupBy("p").agg(F.sum("c").alias("seen"), F.count(F.lit(1)).alias("kinds"))
+    own = runs.select(F.col("h").alias("p"), F.col("c").alias("total"), F.col("part").alias("home"), F.col("level").alias("words"))
     back = F.greatest(1 - (F.col("seen") - DISCOUNT * F.col("kinds")) / F.col("total"), F.lit(1e-12))
-    states = states.join(own, "p").select("p", "total", "home", "seen", "kinds", back.alias("back"))
-    words = runs.where("level = 1").select(F.col("h").alias("w"), ((F.col("c") + 0.1) / whole).alias("root"))
-    rows = written(runs.where("level > 1").join(words, "w").drop("w").join(states, "p"), "grams")
-    add, out, now = (F.col("c") - DISCOUNT) / F.col("total"), [], None
-    none = F.lit(None).cast("double")
+    states = written(states.join(own, "p").withColumn("back", back), "states")
+    under = runs.where("level = 1").select("h", ((F.col("c") + 0.1) / whole).alias("under"))
+    add, out = (F.col("c") - DISCOUNT) / F.col("total"), []
     for level in range(2, depth + 2):
-        mine = rows.where(F.col("level") == level).withColumn("add", add)
-        mine = mine.withColumnRenamed("root", "under") if now is None else mine.drop("root").join(now.select(F.col("h").alias("s"), "under"), "s")
-        gain = F.sum(F.col("c") * F.log((F.col("add") + F.col("back") * F.col("under")) / F.col("under")))
-        tested = mine.groupBy("p", "home", "back", "seen", "kinds", "total").agg(gain.alias("gain"))
-        gain = F.col("gain") + F.greatest(F.col("total") - F.col("seen"), F.lit(0)) * F.log("back")
-        kept = written(tested.where(gain > 0.5 * F.col("kinds") * F.log(F.greatest("total", F.lit(2)))).select("p", "home", "back"), "states")
+        mine = rows.where(F.col("level") == level).select("part", "h", "p", F.col("w" if level == 2 else "s").alias("s"), "c")
+        mine = mine.join(under.withColumnRenamed("h", "s"), "s").drop("s")
+        of = states.where(F.col("words") == level - 1)
+        # the test and what it decides need a context's runs together: one exchange by context serves both
+        mine = written(mine.join(of.select("p", "total", "back"), "p"), "level")
+        gain = mine.groupBy("p").agg(F.sum(F.col("c") * F.log((add + F.col("back") * F.col("under")) / F.col("under"))).alias("gain"))
+        gain = gain.join(of, "p").withColumn("gain", F.col("gain") + F.greatest(F.col("total") - F.col("seen"), F.lit(0)) * F.log("back"))
+        kept = written(gain.where(F.col("gain") > 0.5 * F.col("kinds") * F.log(F.greatest("total", F.lit(2)))).select("p", "home", "back"), "kept")
         mine = mine.join(kept.select("p", F.lit(True).alias("on")), "p", "left")
-        now = written(mine.select("part", "level", "h", F.when(F.col("on"), F.col("add")).alias("add"), F.when(F.col("on"), F.col("add") + F.col("back") * F.col("under")).otherwise(F.col("under")).alias("under")), "probabilities")
-        out.append(now.where("add IS NOT NULL").select("part", "level", "h", "add", none.alias("back")))
-        out.append(kept.select(F.col("home").alias("part"), F.lit(level - 1).alias("level"), F.col("p").alias("h"), none.alias("add"), "back"))
+        now = written(mine.select("part", "h", "c", F.when(F.col("on"), F.col("total")).alias("total"), F.when(F.col("on"), add + F.col("back") * F.col("under")).otherwise(F.col("under")).alias("under")), "probabilities")
+        under = now.select("h", "under")
+        out.append(now.where("total IS NOT NULL").select("part", F.lit(level).alias("level"), "h", "c", "total", F.lit(float("nan")).alias("back")))
+        zero = F.lit(0).cast("bigint")
+        out.append(kept.select(F.col("home").alias("part"), F.lit(level - 1).alias("level"), F.col("p").alias("h"), zero.alias("c"), zero.alias("total"), "back"))
     tree = out[0]
     for other in out[1:]:
         tree = tree.unionByName(other)
@@ -429,10 +431,11 @@ def _gains(a: _Chunk, whole: float, depth: int) -> np.ndarray:
     keep, own = np.ones(len(x)), np.zeros(len(x))
     mine = {level: [r for r in a.told if r["level"] == level] for level in range(1, depth + 2)}
     columns = {level: a.runs(level) for level in mine}
-    values = {level: [np.concatenate([unpack(r[c], np.float32) for r in rows]).astype(float) if rows else np.zeros(0) for c in "bc"] for level, rows in mine.items()}
+    joined = lambda rows, c, kind: np.concatenate([unpack(r[c], kind) for r in rows]).astype(float) if rows else np.zeros(0)
+    values = {level: (joined(rows, "b", np.int64), joined(rows, "c", np.int64), joined(rows, "d", np.float32)) for level, rows in mine.items()}
     # states of one word are its place in the dictionary; one more at the end, for -1: nothing is known
     mass = np.full(a.m + 1, np.nan)
-    mass[columns[1][0]] = values[1][1]
+    mass[columns[1][0]] = values[1][2]
     node, run = {level: c[0] for level, c in columns.items() if level > 1}, x
     for level in range(2, depth + 2):
         # nodes of this length: all told runs' starts
@@ -441,7 +444,8 @@ def _gains(a: _Chunk, whole: float, depth: int) -> np.ndarray:
         cuts = np.cumsum([0, *map(len, names.values())])
         node = {k: of[cuts[i] : cuts[i + 1]] for i, k in enumerate(names)}
         add, back = np.zeros(len(known) + 1), np.full(len(known) + 1, np.nan)
-        add[node[level]], back[node[level]] = np.nan_to_num(values[level][0]), values[level][1]
+        count, total, left = values[level]
+        add[node[level]], back[node[level]] = np.where(total > 0, (count - DISCOUNT) / np.maximum(total, 1), 0), left
         at, before = a.follows(run), run
         run = np.full(len(x), -1, np.int64)
         run[at] = _found(known, before[at - 1] * a.m + x[at])
@@ -475,7 +479,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     third = _pass(texts.unionByName(pairs.where(kind == 0)), "chunk", slots, _long_chunks(parts, depth))
     longer = written(_pass(third, "part", parts, _run_parts), "longer")
     told = words.unionByName(pairs).unionByName(longer)
-    values = _packed(grown(_runs(told), whole, depth), first.schema)
+    values = _packed(grown(written(_runs(told), "grams"), whole, depth), first.schema)
     said = _pass(told.where(kind == 0).unionByName(values), "part", parts, _valued_parts)
     last = texts.unionByName(said.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name == "part" else F.col(f.name) for f in said.schema.fields]))
     id_type = to_arrow_type(first.schema["ids"].dataType.elementType)
@@ -498,20 +502,20 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
 
 
 def _packed(values: DataFrame, schema) -> DataFrame:
-    """The tree's values in the columns of ROWS (kind 6; b: names, c: add, d: back), rows of a part and length together."""
+    """The tree's values in the columns of ROWS (kind 6; a: counts of contexts, b: names, c: counts, d: back), rows of a part and length together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, level, name = (batch.column(i).to_numpy() for i in (0, 1, 2))
-            add, back = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (3, 4))  # null: NaN
+            count, total, back = (batch.column(i).to_numpy() for i in (3, 4, 5))
             of = part * 64 + level
             order = np.argsort(of, kind="stable")
             cuts = [0, *(np.flatnonzero(np.diff(of[order])) + 1).tolist(), len(of)]
-            packs = [(int(part[i[0]]), int(level[i[0]]), name[i].tobytes(), add[i].tobytes(), back[i].tobytes()) for i in (order[a:b] for a, b in itertools.pairwise(cuts) if b > a)]
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in packs], k) for i, k in enumerate(kinds)], names=["part", "level", "b", "c", "d"])
+            packs = [(int(part[i[0]]), int(level[i[0]]), [pack(total[i])], name[i].tobytes(), pack(count[i]), back[i].tobytes()) for i in (order[a:b] for a, b in itertools.pairwise(cuts) if b > a)]
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in packs], k) for i, k in enumerate(kinds)], names=["part", "level", "a", "b", "c", "d"])
 
-    rows = values.mapInArrow(run, "part bigint, level int, b binary, c binary, d binary")
+    rows = values.mapInArrow(run, "part bigint, level int, a array<binary>, b binary, c binary, d binary")
     return rows.select(*[F.lit(6).alias("kind") if f.name == "kind" else F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
