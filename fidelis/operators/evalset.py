@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fidelis.functions.registry import HARD_RULES, THRESHOLDS
+from fidelis.operators import style
 
 
 def edit_distance(a: Column, b: Column) -> Column:
@@ -45,6 +46,12 @@ def band(score: Column) -> Column:
     return F.when(score >= 4, "A").when(score >= 3, "B").when(score >= 2, "C").otherwise("D")
 
 
+def scores(rows: DataFrame) -> DataFrame:
+    """rows: case_id, naturalness, academic (a judge's, 1 to 5) and style_score (0 to 1; null: no author's profile).
+    Adds naturalness_band, academic_band and style_band (the score on the same scale of 5)."""
+    return rows.withColumns({"naturalness_band": band(F.col("naturalness")), "academic_band": band(F.col("academic")), "style_band": F.when(F.col("style_score").isNotNull(), band(5 * F.col("style_score")))})
+
+
 def verdict(hard: Column, notes: Column) -> Column:
     return F.when(hard > 0, "FAIL").when(notes > 0, "PASS_WITH_NOTES").otherwise("PASS")
 
@@ -71,18 +78,50 @@ def lint(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def anti_patterns(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """doc_id, phrase, n, exceeded. patterns: phrase, max_count (a small table)."""
-    rows = docs.select("doc_id", F.lower("text").alias("text")).join(F.broadcast(patterns), F.contains("text", F.lower("phrase")))
-    n = ((F.length("text") - F.length(F.replace("text", F.lower("phrase"), F.lit("")))) / F.length("phrase")).cast("long")
-    return rows.select("doc_id", "phrase", n.alias("n"), (n > F.col("max_count")).alias("exceeded"))
+    """doc_id, phrase, n, exceeded. patterns (a case's few rules): phrase, max_count. A phrase with … in it is a chain:
+    its parts in this order, whatever stands between."""
+    rules = [(r.phrase, r.max_count, [x.lower() for x in r.phrase.split("…")]) for r in patterns.collect()]
+    rows = docs.select("doc_id", F.lower("text").alias("low"))
+
+    def count(parts: list[str]) -> Column:
+        if len(parts) == 1:
+            return ((F.length("low") - F.length(F.replace("low", F.lit(parts[0]), F.lit("")))) / max(1, len(parts[0]))).cast("long")
+        return F.regexp_count("low", F.lit("(?s)" + ".*?".join(f"\\Q{x}\\E" for x in parts))).cast("long")
+
+    found = [F.struct(F.lit(p).alias("phrase"), count(parts).alias("n"), (count(parts) > most).alias("exceeded")) for p, most, parts in rules]
+    none = F.array().cast("array<struct<phrase:string,n:bigint,exceeded:boolean>>")
+    one = rows.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x["n"] > 0) if found else none).alias("x"))
+    return one.select("doc_id", "x.*")
+
+
+#: Words that hedge a statement, by language; a parameter of fingerprints().
+HEDGES = {"zh": ["可能", "或许", "似乎", "一定程度上", "数据支持"], "en": ["may", "might", "perhaps", "possibly", "appears", "suggests", "likely"]}
+
+
+def fingerprints(docs: DataFrame, hedges: dict[str, list[str]] | None = None) -> DataFrame:
+    """doc_id, words (connectives used), mean, cv (of sentence lengths), hedging (hedging words a sentence)."""
+    hedges = hedges or HEDGES
+    low = F.lower(F.coalesce("text", F.lit("")))
+    zh = sum((F.regexp_count(low, F.lit(f"\\Q{w}\\E")) for w in hedges["zh"]), F.lit(0))
+    en = F.regexp_count(low, F.lit(r"\b(?:" + "|".join(hedges["en"]) + r")\b"))
+    used = style.hits(docs, "connective").groupBy("doc_id").agg(F.array_sort(F.collect_set("phrase")).alias("words"))
+    hedged = docs.select("doc_id", (zh + en).alias("hedges"))
+    rows = style.rhythm(docs).join(hedged, "doc_id").join(used, "doc_id", "left")
+    words = F.coalesce("words", F.array().cast("array<string>"))
+    return rows.select("doc_id", words.alias("words"), F.col("sentence_mean").alias("mean"), F.col("sentence_cv").alias("cv"), (F.col("hedges") / F.greatest("n_sentences", F.lit(1))).alias("hedging"))
 
 
 def fingerprint_distance(a: DataFrame, b: DataFrame) -> DataFrame:
-    """author, other: id, words (array), mean, cv. Jaccard distance of words and differences of moments."""
-    both = a.select("id", F.col("words").alias("w0"), F.col("mean").alias("m0"), F.col("cv").alias("c0")).join(b.select("id", "words", "mean", "cv"), "id")
-    union = F.size(F.array_union("w0", "words"))
-    jaccard = F.when(union > 0, 1 - F.size(F.array_intersect("w0", "words")) / union).otherwise(0.0)
-    return both.select("id", jaccard.alias("word_distance"), F.abs(F.col("mean") - F.col("m0")).alias("mean_distance"), F.abs(F.col("cv") - F.col("c0")).alias("cv_distance"))
+    """author, other: id, words (array), mean, cv, hedging. Jaccard distance of words, differences of moments and of the
+    hedging rate, and style_score (1 for equal fingerprints, towards 0)."""
+    other = b.select("id", F.col("words").alias("w1"), F.col("mean").alias("m1"), F.col("cv").alias("c1"), F.col("hedging").alias("h1"))
+    both = a.select("id", "words", "mean", "cv", "hedging").join(other, "id")
+    union = F.size(F.array_union("words", "w1"))
+    jaccard = F.when(union > 0, 1 - F.size(F.array_intersect("words", "w1")) / union).otherwise(0.0)
+    gap = lambda x, y: F.abs(F.col(x) - F.col(y))
+    apart = lambda x, y: F.when(F.greatest(x, y) > 0, gap(x, y) / F.greatest(x, y)).otherwise(0.0)
+    score = 1 - (jaccard + apart("mean", "m1") + apart("cv", "c1") + apart("hedging", "h1")) / 4
+    return both.select("id", jaccard.alias("word_distance"), gap("mean", "m1").alias("mean_distance"), gap("cv", "c1").alias("cv_distance"), gap("hedging", "h1").alias("hedging_distance"), score.alias("style_score"))
 
 
 def regressions(before: DataFrame, after: DataFrame) -> DataFrame:

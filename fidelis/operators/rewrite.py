@@ -1,6 +1,6 @@
 """Rewriting with a language model behind a small protocol: prompts, replies, the bounded repair loop.
 
-A provider has complete(prompt) -> str. It is asked for each document's lock (atoms and claims) and a diagnosis, for
+A provider (see providers) has complete(prompt) -> str. It is asked for each document's lock (atoms and claims) and a diagnosis, for
 each unit's new text, and for a review of each revision that passes the gate, whose verdicts on claims are hard
 violations. Units are rewritten in parallel; a unit whose calls all fail keeps its text, a lock, diagnosis or review
 that fails is left out, and a document whose revision fails gate or review after the repairs is given back as it was.
@@ -9,7 +9,6 @@ that fails is left out, and a document whose revision fails gate or review after
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -19,43 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fidelis.functions import text as tx
-from fidelis.operators import atoms, claims
+from fidelis.operators import atoms, claims, style
 from fidelis.operators.fidelity import Check
+from fidelis.operators.providers import ConfigError, ProviderError
 from fidelis.plans import segment
 from fidelis.plans.durable import durable
-
-
-class ProviderError(Exception):
-    """The provider gave no usable reply."""
-
-
-class ConfigError(Exception):
-    """A setting is missing."""
-
-
-class NullProvider:
-    def complete(self, prompt: str) -> str:
-        raise ProviderError("no provider is configured")
-
-
-class Scripted:
-    """Deterministic: the reply of the first key that the prompt holds."""
-
-    def __init__(self, replies: dict[str, str], default: str = "{}"):
-        self.replies, self.default = replies, default
-
-    def complete(self, prompt: str) -> str:
-        return next((reply for key, reply in self.replies.items() if key in prompt), self.default)
-
-
-def provider_settings(env: dict[str, str] | None = None, prefix: str = "FIDELIS_LLM_") -> dict | None:
-    """Key, address, model and timeout from the environment; None without a key."""
-    env = os.environ if env is None else env
-    if not env.get(f"{prefix}KEY"):
-        return None
-    if not env.get(f"{prefix}MODEL"):
-        raise ConfigError("a key is set, but no model")
-    return {"key": env[f"{prefix}KEY"], "url": env.get(f"{prefix}URL", ""), "model": env[f"{prefix}MODEL"], "timeout": float(env.get(f"{prefix}TIMEOUT", 120))}
+from fidelis.sources import files
 
 
 def fill(template: str, **values: str) -> str:
@@ -128,30 +96,36 @@ REVIEW_PROMPT = (
 )
 
 
+#: The prompts by name; files.prompts() reads others of the same places.
+PROMPTS = {"rewrite": PROMPT, "semantic-lock": LOCK_PROMPT, "diagnosis": DIAGNOSIS_PROMPT, "review": REVIEW_PROMPT}
+
+
 def prompted(template: str, **values: Column) -> Column:
     """fill() by columns; nulls count as empty, and places that a value holds stay as they are."""
     parts = re.split(r"\{\{(\w+)\}\}", template)
+    if lacking := set(parts[1::2]) - set(values):
+        raise ConfigError(f"no value for {sorted(lacking)}")
     return F.concat(*[F.coalesce(values[x].cast("string"), F.lit("")) if i % 2 else F.lit(x) for i, x in enumerate(parts)])
 
 
-def enriched(normal: DataFrame, provider: Callable[[], object]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def enriched(normal: DataFrame, provider: Callable[[], object], prompts: dict[str, str] = PROMPTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The lock with the model's atoms, its claims, and doc_id, locked (atoms), claims, issues for prompts."""
     lock = durable(atoms.extract(normal))
     listed = lock.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "surface"))), lambda x: x["surface"]).alias("surfaces"))
     rows = normal.join(listed, "doc_id", "left").where(F.length(F.trim("text")) > 0)
-    told = prompted(LOCK_PROMPT, locked=F.array_join("surfaces", "; "), glossary=F.array_join("glossary", "; "), text=F.col("text"))
+    told = prompted(prompts["semantic-lock"], locked=F.array_join("surfaces", "; "), glossary=F.array_join("glossary", "; "), text=F.col("text"))
     replies = durable(claims.parsed(asked(rows.select("doc_id", told.alias("prompt")), provider).select("doc_id", "reply"), claims.LOCK_REPLY))
     lock, registered = durable(claims.merged(lock, replies, normal)), durable(claims.claims(replies))
-    found = durable(asked(rows.select("doc_id", prompted(DIAGNOSIS_PROMPT, text=F.col("text")).alias("prompt")), provider).select("doc_id", F.get_json_object("reply", "$.issues").alias("issues")))
+    found = durable(asked(rows.select("doc_id", prompted(prompts["diagnosis"], text=F.col("text")).alias("prompt")), provider).select("doc_id", F.get_json_object("reply", "$.issues").alias("issues")))
     held = lock.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "kind", "surface"))).alias("locked"))
     lines = registered.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "claim_id", "kind", "strength", "text"))), "\n").alias("claims"))
     return lock, registered, durable(normal.select("doc_id").join(held, "doc_id", "left").join(lines, "doc_id", "left").join(found, "doc_id", "left"))
 
 
-def reviewed(original: DataFrame, revised: DataFrame, notes: DataFrame, provider: Callable[[], object]) -> DataFrame:
+def reviewed(original: DataFrame, revised: DataFrame, notes: DataFrame, provider: Callable[[], object], prompts: dict[str, str] = PROMPTS) -> DataFrame:
     """doc_id, claim_id, verdict, evidence, advice: the judge's verdicts on the claims of the revised documents."""
     rows = revised.select("doc_id", "text").join(original.select("doc_id", F.col("text").alias("original")), "doc_id").join(notes.select("doc_id", "claims"), "doc_id", "left")
-    told = prompted(REVIEW_PROMPT, claims=F.col("claims"), original=F.col("original"), text=F.col("text"))
+    told = prompted(prompts["review"], claims=F.col("claims"), original=F.col("original"), text=F.col("text"))
     # a text that is the original word for word keeps its claims
     replies = asked(rows.where("text <> original").select("doc_id", told.alias("prompt")), provider).select("doc_id", "reply")
     got = claims.parsed(replies, f"{claims.REVIEW_REPLY}, repair_instructions array<string>")
@@ -175,7 +149,7 @@ def lock_slice() -> Column:
     return F.array_join(F.transform(own, lambda x: F.concat(x["kind"], F.lit(" "), x["surface"])), "; ")
 
 
-def rewritten(units: DataFrame, provider: Callable[[], object], notes: DataFrame | None = None) -> DataFrame:
+def rewritten(units: DataFrame, provider: Callable[[], object], notes: DataFrame | None = None, prompts: dict[str, str] = PROMPTS) -> DataFrame:
     """units: doc_id, row, block, start, section_type, text, instructions; notes: doc_id, locked, claims, issues. New texts (doc_id, block, text)
     of units that got one; outer white space is the old text's."""
     none = F.lit("")
@@ -183,7 +157,7 @@ def rewritten(units: DataFrame, provider: Callable[[], object], notes: DataFrame
     if notes is not None:
         units = units.join(notes, "doc_id", "left")
         known = {"issues": F.col("issues"), "locked": lock_slice(), "claims": F.col("claims")}
-    prompt = prompted(PROMPT, lang=tx.language(F.col("text")), section=F.col("section_type"), instructions=F.col("instructions"), text=F.col("text"), **known)
+    prompt = prompted(prompts["rewrite"], lang=tx.language(F.col("text")), section=F.col("section_type"), instructions=F.col("instructions"), text=F.col("text"), **known)
     got = asked(units.select("doc_id", "row", "block", "text", prompt.alias("prompt")), provider).withColumn("new", F.from_json("reply", "rewritten_text string")["rewritten_text"])
     lead, trail = F.regexp_extract("text", r"^\s*", 0), F.regexp_extract("text", r"\s*$", 0)
     return got.where(F.length(F.trim("new")) > 0).select("doc_id", "row", "block", F.concat(lead, F.trim("new"), trail).alias("text"))
@@ -213,31 +187,36 @@ def affected(units: DataFrame, violations: DataFrame, current: DataFrame) -> Dat
     return rows.where("hit OR NOT some").select(*units.columns)
 
 
-def rewrite(docs: DataFrame, provider: Callable[[], object], repairs: int = 2) -> DataFrame:
+def rewrite(docs: DataFrame, provider: Callable[[], object], repairs: int = 2, prompts: dict[str, str] | None = None, artifacts: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, status (success, reverted), text, loops, unreviewed (claims of the lock that the last review names no
-    verdict for). Each round is written, as a provider's replies may differ."""
+    verdict for). Each round is written, as a provider's replies may differ.
+
+    prompts: in place of PROMPTS, by name. artifacts: a folder and a run's id, under which the run's tables are kept
+    (original, lock, diagnosis, validation, review, revised_attempt, final, report)."""
+    prompts = PROMPTS | (prompts or {})
     normal = atoms.normal_documents(docs)
-    lock, registered, notes = enriched(normal, provider)
+    lock, registered, notes = enriched(normal, provider, prompts)
     parts = segment.blocks(normal)
     # a unit's section is that of the heading before it
     heads = segment.sections(normal).select("doc_id", "sec", "section_type").groupBy("doc_id", "sec").agg(F.first("section_type").alias("section_type"))
     units = segment.units(parts).join(heads, ["doc_id", "sec"], "left").select("doc_id", "row", "block", "start", "section_type", "text").withColumn("instructions", F.lit(""))
-    current = durable(rewritten(units, provider, notes))
+    current = durable(rewritten(units, provider, notes, prompts))
     loops = normal.select("doc_id", F.lit(0).alias("loops"))
     left = normal.select("doc_id")  # documents that changed since their last check
     verdicts = None
     for turn in range(repairs + 1):
         revised = durable(segment.assembled(parts, current))
-        violations = durable(Check(docs, revised, lock).violations())
+        check = Check(docs, revised, lock)
+        violations = durable(check.violations())
         failed = violations.where("severity = 'hard'").select("doc_id").distinct()
-        asked_now = durable(reviewed(normal, revised.join(left, "doc_id", "left_semi").join(failed, "doc_id", "left_anti"), notes, provider))
+        asked_now = durable(reviewed(normal, revised.join(left, "doc_id", "left_semi").join(failed, "doc_id", "left_anti"), notes, provider, prompts))
         verdicts = asked_now if verdicts is None else durable(verdicts.join(left, "doc_id", "left_anti").unionByName(asked_now))
         violations = durable(violations.unionByName(claim_violations(asked_now)))
         bad = durable(violations.where("severity = 'hard'").select("doc_id").distinct())
         if turn == repairs or not bad.limit(1).count():
             break
         todo = affected(units.drop("instructions"), violations, current).join(instructions(violations), "doc_id")
-        new = durable(rewritten(todo, provider, notes))
+        new = durable(rewritten(todo, provider, notes, prompts))
         old = current.join(new.select("doc_id", "row", "block"), ["doc_id", "row", "block"], "left_anti")
         current = durable(old.unionByName(new))
         loops = durable(loops.join(bad.withColumn("again", F.lit(1)), "doc_id", "left").select("doc_id", (F.col("loops") + F.coalesce("again", F.lit(0))).alias("loops")))
@@ -246,4 +225,14 @@ def rewrite(docs: DataFrame, provider: Callable[[], object], repairs: int = 2) -
     out = normal.select("doc_id", F.col("text").alias("original")).join(revised, "doc_id").join(bad.withColumn("bad", F.lit(True)), "doc_id", "left").join(loops, "doc_id").join(silent, "doc_id", "left")
     failed = F.coalesce("bad", F.lit(False))
     text = F.when(failed, F.col("original")).otherwise(F.col("text"))
-    return out.select("doc_id", F.when(failed, "reverted").otherwise("success").alias("status"), text.alias("text"), "loops", F.coalesce("unreviewed", F.lit(0)).alias("unreviewed"))
+    out = out.select("doc_id", F.when(failed, "reverted").otherwise("success").alias("status"), text.alias("text"), "loops", F.coalesce("unreviewed", F.lit(0)).alias("unreviewed"))
+    if artifacts:
+        out = durable(out)
+        told = style.stats(normal).join(notes.select("doc_id", "issues"), "doc_id", "left")
+        tables = {
+            "original": normal.select("doc_id", "text"), "lock": lock, "claims": registered, "diagnosis": told, "validation": violations, "review": verdicts,
+            "revised_attempt": revised, "final": out, "report": files.reports(check.gate()),
+        }
+        for name, table in tables.items():
+            files.write_artifacts(table, artifacts[0], name, artifacts[1])
+    return out

@@ -51,6 +51,14 @@ def markers(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "lang string, family string, ord int, phrase string")
 
 
+def prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """name, version, body of <name>.prompt.md files; the version stands in a block of --- lines at the start ("0" without)."""
+    rows = spark.read.option("pathGlobFilter", "*.prompt.md").text(folder, wholetext=True).select(_stem(F.col("_metadata.file_path"), r"\.prompt\.md$").alias("name"), "value")
+    front = F.regexp_extract("value", r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*\n", 1)
+    version = F.trim(F.regexp_extract(front, r"(?m)^version:(.*)$", 1))
+    return rows.select("name", F.when(version == "", "0").otherwise(version).alias("version"), F.regexp_replace("value", r"(?s)\A---[ \t]*\n.*?\n---[ \t]*\n", "").alias("body"))
+
+
 def requests(rows: DataFrame) -> DataFrame:
     """rows: body (JSON text). Adds text, revised, glossary and error (null: valid): an object with a text that is
     not blank or too long, and a short enough glossary."""

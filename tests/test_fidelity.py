@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from fidelis.operators import atoms, claims, evalset, reading, rewrite, style
+from fidelis.operators import atoms, claims, evalset, providers, reading, rewrite, style
 from fidelis.operators.fidelity import Check, manifests, read_manifests
 from fidelis.plans import segment
 
@@ -152,25 +152,42 @@ def test_claims(spark, paper):
 
 def test_prompts_and_providers():
     assert rewrite.fill("a {{x}} b", x="1") == "a 1 b"
-    with pytest.raises(rewrite.ConfigError):
+    with pytest.raises(providers.ConfigError):
         rewrite.fill("{{x}} {{y}}", x="1")
     assert rewrite.first_object('talk {"a": {"b": 1}} more {') == {"a": {"b": 1}}
-    with pytest.raises(rewrite.ProviderError):
-        rewrite.ask(rewrite.NullProvider(), "p")
-    assert rewrite.provider_settings({}) is None
-    with pytest.raises(rewrite.ConfigError):
-        rewrite.provider_settings({"FIDELIS_LLM_KEY": "k"})
-
-
-def test_rewrite_repairs_and_reverts(spark):
+    with pytest.raises(providers.ProviderError):
+        rewrite.ask(providers.NullProvider(), "p")
+    assert providers.provider_settings({}) is None
+    with pytest.raises(providers.ConfigError):
+        providers.provider_settings({"FIDELIS_LLM_KEY": "k"})
+    seen = []
+
+    def send(url, headers, body, timeout):
+        seen.append((url, headers["Authorization"], json.loads(body), timeout))
+        return json.dumps({"choices": [{"message": {"content": "{}"}}]}).encode()
+
+    chat = providers.Chat("https://h.example/v1/", "k", "m", 5, send)
+    assert chat.complete("p", system="s", max_tokens=7) == "{}"
+    assert seen == [("https://h.example/v1/chat/completions", "Bearer k", {"model": "m", "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": "p"}], "temperature": 0.2, "max_tokens": 7}, 5)]
+    for bad in (b"no json", b"{}", b'{"choices": []}'):
+        with pytest.raises(providers.ProviderError):
+            providers.Chat("u", "k", "m", 5, lambda *a, bad=bad: bad).complete("p")
+    assert isinstance(providers.from_settings({}), providers.NullProvider)
+    assert providers.from_settings({"FIDELIS_LLM_KEY": "k", "FIDELIS_LLM_MODEL": "m", "FIDELIS_LLM_URL": "u"}).model == "m"
+
+
+def test_rewrite_repairs_and_reverts(spark, tmp_path):
     text = "The sample has 120 firms in all, and the answer rate was 34.5% of those we asked.\n"
     good, bad = json.dumps({"rewritten_text": "In all 120 firms were sampled; 34.5% of those asked gave an answer."}), json.dumps({"rewritten_text": "The sample has 120 firms, and the rate was 99%."})
 
     def provider():
-        return rewrite.Scripted({"lost cause": bad, "atom_changed": good, "firms": bad})
+        return providers.Scripted({"lost cause": bad, "atom_changed": good, "firms": bad})
 
     docs = spark.createDataFrame([(1, text), (2, "A lost cause: " + text)], "doc_id long, text string")
-    got = {r.doc_id: r for r in rewrite.rewrite(docs, provider).collect()}
+    got = {r.doc_id: r for r in rewrite.rewrite(docs, provider, artifacts=(str(tmp_path), "run1")).collect()}
+    kept = {name: spark.read.json(f"{tmp_path}/{name}").where("run_id = 'run1'") for name in ("original", "lock", "diagnosis", "validation", "revised_attempt", "final", "report")}
+    assert kept["original"].count() == kept["final"].count() == kept["report"].count() == 2 and kept["lock"].where("kind = 'percent'").count() == 2
+    assert {r.doc_id for r in kept["validation"].collect()} == {2} and kept["diagnosis"].where("ai_style_level IS NOT NULL").count() == 2
     assert got[1].status == "success" and "sampled" in got[1].text and got[1].loops == 1
     assert got[2].status == "reverted" and got[2].text.startswith("A lost cause") and got[2].loops == 2
 
@@ -211,6 +228,16 @@ def test_evaluation(spark):
     cases = spark.createDataFrame([("a", "A", 0.3, 4.0, 1.0, 0.3, 0.5), ("c", "C", 0.3, 1.0, 1.0, 0.3, 0.3)], "case_id string, variant string, edit double, density_before double, density_after double, cv_before double, cv_after double")
     got = {r.case_id: r for r in evalset.thresholds(cases).collect()}
     assert got["a"].edit_ok and got["a"].density_ok and got["a"].cv_ok and not got["a"].over_edit and got["c"].over_edit
-    both = spark.createDataFrame([("x", ["a", "b"], 1.0, 0.5)], "id string, words array<string>, mean double, cv double")
-    assert evalset.fingerprint_distance(both, both).first().word_distance == 0
+    texts = spark.createDataFrame([("x", "首先，甲。其次，乙。最后，丙可能。此外，丁。"), ("y", "It may rise. However, it fell. 首先 only.")], "doc_id string, text string")
+    prints = evalset.fingerprints(texts)
+    own = {r.doc_id: r for r in prints.collect()}
+    assert own["x"].words == ["此外"] and own["x"].hedging == pytest.approx(1 / 4) and own["y"].hedging == pytest.approx(1 / 3)
+    same = prints.withColumnRenamed("doc_id", "id")
+    assert all(r.word_distance == 0 and r.style_score == 1 for r in evalset.fingerprint_distance(same, same).collect())
+    apart = evalset.fingerprint_distance(same.where("id = 'x'").withColumn("id", F.lit(1)), same.where("id = 'y'").withColumn("id", F.lit(1))).first()
+    assert apart.word_distance == 1 and 0 <= apart.style_score < 0.9 and apart.hedging_distance == pytest.approx(1 / 12)
+    rules = spark.createDataFrame([("首先…其次…最后", 0), ("首先", 1), ("absent", 0)], "phrase string, max_count int")
+    assert sorted((r.doc_id, r.phrase, r.n, r.exceeded) for r in evalset.anti_patterns(texts, rules).collect()) == [("x", "首先", 1, False), ("x", "首先…其次…最后", 1, True), ("y", "首先", 1, False)]
+    marks = evalset.scores(spark.createDataFrame([("a", 4.2, 2.5, 0.5), ("b", 1.0, 3.0, None)], "case_id string, naturalness double, academic double, style_score double")).collect()
+    assert [(r.naturalness_band, r.academic_band, r.style_band) for r in marks] == [("A", "C", "C"), ("D", "B", None)]
     assert spark.range(1).select(evalset.edit_distance(F.lit("abc"), F.lit("abd"))).first()[0] == pytest.approx(1 / 3)

@@ -13,6 +13,13 @@ def test_files(spark, tmp_path):
     assert [(r.doc_id, r.text) for r in files.revisions(spark, str(tmp_path)).collect()] == [("a", "text b\n")]
 
 
+def test_prompts(spark, tmp_path):
+    (tmp_path / "review.prompt.md").write_text("---\nname: review\nversion: 1.2\n---\nJudge {{text}}\n---\n")
+    (tmp_path / "rewrite.prompt.md").write_text("Rewrite {{text}}")
+    got = {r.name: (r.version, r.body) for r in files.prompts(spark, str(tmp_path)).collect()}
+    assert got == {"review": ("1.2", "Judge {{text}}\n---\n"), "rewrite": ("0", "Rewrite {{text}}")}
+
+
 def test_requests(spark):
     rows = spark.createDataFrame([('{"text": "x", "glossary": ["a"]}',), ('{"text": " "}',), ("[1]",), ("{bad",), ('{"text": "x", "glossary": ["%s"]}' % ("y" * 201),)], "body string")
     got = [r.error for r in files.requests(rows).collect()]
