@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.functions import text as tx
 from fidelis.functions.registry import HARD_RULES, THRESHOLDS
 from fidelis.operators import style
 
@@ -14,6 +15,13 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def block_distance(a: Column, b: Column) -> Column:
+    """edit_distance() with each paragraph held against that of the same place: at most too large (where paragraphs moved),
+    and for long texts the sum of small squares instead of one large one."""
+    steps = F.zip_with(tx.paragraphs(a), tx.paragraphs(b), lambda x, y: F.levenshtein(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
+    return F.aggregate(steps, F.lit(0), lambda s, x: s + x) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
 def threshold(variant: Column, name: str) -> Column:
     out = F.lit(None).cast("double")
     for v, limits in THRESHOLDS.items():

@@ -128,10 +128,10 @@ def style_diagnosis(spark, sf_dir):
     return style.diagnosis(fixtures.papers(spark, sf_dir))
 
 
-@query("SELECT lang, source, count(*) AS documents, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+@query(f"SELECT lang, source, count(*) AS documents, sum(length(text))::BIGINT AS chars, sum(n)::BIGINT AS sentences, round(avg(mean), 4) AS sentence_mean FROM ({_rhythm('documents', 'lang', 'source')}) GROUP BY ROLLUP (lang, source)")
 def style_rollup(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
-    return docs.rollup("lang", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("text").cast("long")).alias("chars"))
+    rows = style.rhythm(_read(spark, sf_dir, "documents"), "lang", "source").rollup("lang", "source")
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("chars").cast("long")).alias("chars"), F.sum(F.col("n_sentences").cast("long")).alias("sentences"), F.round(F.avg("sentence_mean"), 4).alias("sentence_mean"))
 
 
 @query(_PAPERS + "SELECT doc_id, lang AS language FROM papers")
@@ -376,11 +376,17 @@ def preserved_rate(spark, sf_dir):
     return Check(papers, papers).rates().select("doc_id", "preserved_rate")
 
 
-@query("SELECT c_custkey AS id, levenshtein(c_name, replace(c_name, '0', 'xy'))::DOUBLE / greatest(length(c_name), length(replace(c_name, '0', 'xy'))) AS edit FROM customer")
-def edit_distance(spark, sf_dir):
-    changed = F.replace("c_name", F.lit("0"), F.lit("xy"))
-    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), evalset.edit_distance(F.col("c_name"), changed).alias("edit"))
+_EDITED = "replace(replace(text, '2020', '19'), 'e', 'xy')"
+
 
+@query(
+    _PAPERS + "SELECT doc_id, levenshtein(text, other)::DOUBLE / greatest(length(text), length(other)) AS edit, list_sum([levenshtein(a[i], b[i]) FOR i IN range(1, len(a) + 1)])::DOUBLE / greatest(length(text), length(other)) AS blocks "
+    f"FROM (SELECT doc_id, text, {_EDITED} AS other, list_filter(string_split_regex(text, '\n{{2,}}'), lambda x: regexp_matches(x, '\\S')) AS a, list_filter(string_split_regex({_EDITED}, '\n{{2,}}'), lambda x: regexp_matches(x, '\\S')) AS b FROM papers)"
+)
+def edit_distance(spark, sf_dir):
+    rows = fixtures.papers(spark, sf_dir).selectExpr("doc_id", "text", f"{_EDITED} AS other")
+    text, other = F.col("text"), F.col("other")
+    return rows.select("doc_id", evalset.edit_distance(text, other).alias("edit"), evalset.block_distance(text, other).alias("blocks"))
 
 
 @query(
@@ -416,9 +422,9 @@ def lint_cases(spark, sf_dir):
     return evalset.lint(want, atoms.extract(fixtures.papers(spark, sf_dir), context=False))
 
 
-@query(_PAPERS + "SELECT doc_id, 'moreover' AS phrase, 1::BIGINT AS n, true AS exceeded FROM papers WHERE lang = 'en'")
+@query(_PAPERS + "SELECT doc_id, CASE lang WHEN 'en' THEN 'moreover' ELSE '首先…其次' END AS phrase, 1::BIGINT AS n, lang = 'en' AS exceeded FROM papers")
 def anti_patterns(spark, sf_dir):
-    patterns = spark.createDataFrame([("moreover", 0), ("delve into", 1)], "phrase string, max_count int")
+    patterns = spark.createDataFrame([("moreover", 0), ("delve into", 1), ("首先…其次", 1)], "phrase string, max_count int")
     return evalset.anti_patterns(fixtures.papers(spark, sf_dir), patterns)
 
 
