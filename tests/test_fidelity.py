@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,17 @@ def test_long_text_is_linear():
     assert len(found) < 20 and time.process_time() - began < 6
 
 
+def test_tables_are_cleared(spark):
+    """What a check wrote can be deleted once its results are kept."""
+    from fidelis.plans import durable
+
+    docs = spark.createDataFrame([(1, "It was 5.\n")], "doc_id long, text string")
+    check = Check(docs, docs)
+    assert check.gate().first().passed
+    path = check.pairs.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(path) and durable.cleared(spark) and not os.path.isdir(path)
+
+
 def test_manifests(spark, paper):
     got = read_manifests(manifests(paper)).orderBy("doc_id").collect()
     assert [len(r.atoms) for r in got] == [18, 0, 0] and got[0].language == "zh" and "34.5" in got[0].source_numbers
