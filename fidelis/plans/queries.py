@@ -370,10 +370,10 @@ def gate_long_numbers(spark, sf_dir):
     return Check(notes, notes.withColumn("text", text)).gate().select("doc_id", "passed", "preserved_rate")
 
 
-@query("SELECT o_orderkey AS doc_id, 1.0::DOUBLE AS preserved_rate FROM orders")
+@query(f"SELECT doc_id, CASE WHEN op IN ('count_changed', 'percent_changed', 'range_shrunk', 'coefficient_changed', 'number_dropped', 'term_changed') THEN (n - 1)::DOUBLE / n ELSE 1 END AS preserved_rate FROM (SELECT doc_id, op, CASE WHEN doc_id % 2 = 0 THEN 13 ELSE 11 END AS n FROM ({_CASES}))")
 def preserved_rate(spark, sf_dir):
-    papers = fixtures.papers(spark, sf_dir)
-    return Check(papers, papers).rates().select("doc_id", "preserved_rate")
+    check, _ = _mutated(spark, sf_dir)
+    return check.rates().select("doc_id", "preserved_rate")
 
 
 _EDITED = "replace(replace(text, '2020', '19'), 'e', 'xy')"
@@ -409,10 +409,15 @@ def fidelity_scores(spark, sf_dir):
     return evalset.fidelity(rows).select("case_id", "semantic_fidelity", evalset.verdict(F.col("hard"), F.col("notes")).alias("verdict"))
 
 
-@query("SELECT true AS edit_ordered, true AS naturalness_ordered")
+_DOSES = "CASE v WHEN 'A' THEN 0.5 WHEN 'B' THEN 0.3 ELSE 0.1 END + (o_custkey % 10) / 1000.0", "CASE v WHEN 'A' THEN 1.5 WHEN 'B' THEN 1.0 ELSE 0.1 END + (o_custkey % 4) / 8.0"
+
+
+@query("SELECT *, edit_a > edit_b AND edit_b > edit_c AS edit_ordered, natural_a >= natural_b AND natural_b > natural_c AS naturalness_ordered FROM (SELECT " + ", ".join(f"round(avg(CASE WHEN v = '{v}' THEN {c} END)::DOUBLE, 6) AS {n}_{v.lower()}" for c, n in (("e", "edit"), ("d", "natural")) for v in "ABC") + f" FROM (SELECT v, {_DOSES[0]} AS e, {_DOSES[1]} AS d FROM (SELECT {_VARIANT} AS v, o_custkey FROM orders)))")
 def dose_response(spark, sf_dir):
-    rows = _read(spark, sf_dir, "orders").selectExpr(f"{_VARIANT} AS variant", "o_custkey").selectExpr("variant", "CASE variant WHEN 'A' THEN 0.5 WHEN 'B' THEN 0.3 ELSE 0.1 END + (o_custkey % 10) / 1000D AS edit", "CASE variant WHEN 'A' THEN 1.5 WHEN 'B' THEN 1.0 ELSE 0.1 END AS naturalness_delta")
-    return evalset.dose_response(rows).select("edit_ordered", "naturalness_ordered")
+    rows = _read(spark, sf_dir, "orders").selectExpr(f"{_VARIANT} AS v", "o_custkey").selectExpr("v AS variant", f"CAST({_DOSES[0]} AS DOUBLE) AS edit", f"CAST({_DOSES[1]} AS DOUBLE) AS naturalness_delta")
+    got = evalset.dose_response(rows)
+    means = [F.round(f"{c}_{v}", 6).alias(f"{n}_{v}") for c, n in (("edit", "edit"), ("naturalness_delta", "natural")) for v in "abc"]
+    return got.select(*means, "edit_ordered", "naturalness_ordered")
 
 
 @query(_PAPERS + "SELECT doc_id, 'count' AS kind, 'COUNT(' || (firms + 5000) || ')' AS canonical FROM facts")
