@@ -249,11 +249,15 @@ def atoms_other(spark, sf_dir):
     return atoms.extract(fixtures.notes(spark, sf_dir), context=False).select("doc_id", "kind", "canonical")
 
 
-@query()
+@query(
+    "SELECT doc_id, 'variable' AS kind, 'VAR(' || w || ')' AS canonical FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM documents) WHERE regexp_full_match(w, '[A-Z]{8}') GROUP BY ALL HAVING count(*) > 1 "
+    "UNION ALL SELECT DISTINCT doc_id, 'percent', 'PCT(' || trim(regexp_replace(w, '[%％]', '')) || ')' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?\\s*[%％]')) AS w FROM documents)"
+)
 def atoms_documents(spark, sf_dir):
-    """Kinds of facts in the raw corpus, over whole texts."""
+    """Facts of the raw corpus, over whole texts: percentages, and variables of eight letters (a shorter one may first
+    stand inside another, which SQL can't follow)."""
     found = atoms.extract(_read(spark, sf_dir, "documents").select("doc_id", "text"), context=False)
-    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("atoms"), F.countDistinct("doc_id").alias("documents"))
+    return found.where("kind = 'percent' OR (kind = 'variable' AND length(surface) = 8)").select("doc_id", "kind", "canonical")
 
 
 @query(_truth(["percent", "amount"]))
