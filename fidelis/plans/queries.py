@@ -251,7 +251,7 @@ def atoms_other(spark, sf_dir):
 
 @query(
     "SELECT doc_id, 'variable' AS kind, 'VAR(' || w || ')' AS canonical FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS w FROM documents) WHERE regexp_full_match(w, '[A-Z]{8}') GROUP BY ALL HAVING count(*) > 1 "
-    "UNION ALL SELECT DISTINCT doc_id, 'percent', 'PCT(' || trim(regexp_replace(w, '[%％]', '')) || ')' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?\\s*[%％]')) AS w FROM documents)"
+    "UNION ALL SELECT DISTINCT doc_id, 'percent', 'PCT(' || regexp_replace(trim(regexp_replace(w, '[%％]', '')), '^0+([0-9])', '\\1') || ')' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?\\s*[%％]')) AS w FROM documents)"
 )
 def atoms_documents(spark, sf_dir):
     """Facts of the raw corpus, over whole texts: percentages, and variables of eight letters (a shorter one may first
