@@ -33,8 +33,8 @@ from fidelis.llm._util import written
 from fidelis.llm.vectors import best, firsts, groups, matrix, ranked, valid
 
 #: Cells at least and at most (one for CELL rows between), rows that pivots are chosen from, rows of a data block, points
-#: of a leaf, the base of the levels.
-CELLS, MOST, CELL, SAMPLE, BLOCK, LEAF, BASE = 24, 256, 4096, 4000, 8192, 64, 1.3
+#: of a leaf, those that make no leaf of their own, points of a node that pairs of nodes go down to, the base of the levels.
+CELLS, MOST, CELL, SAMPLE, BLOCK, LEAF, FEW, COARSE, BASE = 24, 256, 4096, 4000, 8192, 64, 16, 1024, 1.3
 #: Slack of bounds for rounding, in parts of the bound's terms.
 ROUND = 1e-9
 
@@ -103,9 +103,10 @@ class CoverTree:
         if len(rows) <= LEAF or self.radius[node] == 0:
             return []
         net = self._net(rows, self.centre[node], self.radius[node] / BASE)
-        parts, alone = [p for p in net if len(p[1]) > 1], np.array([c for c, r in net if len(r) == 1], np.int64)
-        # centres that cover only themselves share leaves
-        parts += [(int(alone[at]), alone[at : at + LEAF]) for at in range(0, len(alone), LEAF)]
+        # centres that cover few rows share leaves
+        parts = [p for p in net if len(p[1]) >= FEW]
+        few = np.concatenate([np.zeros(0, np.int64), *(r for _, r in net if len(r) < FEW)])
+        parts += [(int(few[at]), few[at : at + LEAF]) for at in range(0, len(few), LEAF)]
         if len(parts) == 1:
             return []
         self.children[node] = [self._node(c, r) for c, r in parts]
@@ -170,11 +171,11 @@ def dual(queries: CoverTree, data: CoverTree, ids: np.ndarray, score: np.ndarray
         top, _, q, d = heapq.heappop(heap)
         if -top < worst(queries.rows[q]).min():
             continue
-        split_q, split_d = queries.children[q], data.children[d]
-        if not split_q:
+        split_q, split_d = queries.children[q], data.children[d] if len(data.rows[d]) > COARSE else []
+        if not split_q and not split_d:
             leaf(q, d)
             continue
-        pairs = [(c, d) for c in split_q] if not split_d or queries.radius[q] >= data.radius[d] else [(q, c) for c in split_d]
+        pairs = [(c, d) for c in split_q] if split_q and (not split_d or queries.radius[q] >= data.radius[d]) else [(q, c) for c in split_d]
         for a, b in pairs:
             value = bound(a, b)
             if value >= worst(queries.rows[a]).min():
