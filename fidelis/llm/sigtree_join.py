@@ -305,34 +305,51 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return two.select("a", "b", "sa", "sb").mapInArrow(check, "u bigint, v bigint")
 
 
+class _Buckets:
+    """What both joins begin with: rows (seen: id, n, digest), their classes (digest, rep), classes that rows of one id
+    fall into (same: u, v; None without such), and members of the chosen buckets (key, blocks, id, n, bits)."""
+
+    def __init__(self, df: DataFrame, k: int, num: int, den: int, key: str, text: str):
+        rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+        docs = rows.where(F.col("id").isNotNull())
+        survey = _surveyed(rows, k)
+        seen = survey.where("n IS NOT NULL").select("id", "n", "digest")
+        some = seen.where("n > 0 AND id IS NOT NULL")
+        classes = written(some.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+        # of each class only the representative's set goes on
+        others = some.join(classes, "digest").where("id <> rep").select("id", "digest")
+        same = None
+        if some.groupBy("id").count().where("count > 1").limit(1).count():
+            # the classes that rows of one id fall into are one vertex
+            several = some.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
+            same = written(some.join(several, "id").join(classes, "digest").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), "same")
+            reps = features(docs, _hot(survey), k, num, den).where("n > 0")
+            reps = reps.join(written(others.distinct(), "others"), ["id", "digest"], "left_anti").dropDuplicates(["id", "digest"])
+        else:
+            reps = features(docs.join(_sent(written(others.select("id"), "others")), "id", "left_anti"), _hot(survey), k, num, den).where("n > 0")
+        reps = written(reps, "reps")
+
+        keys = reps.select("id", "n", F.xxhash64("id", "digest").alias("h"), F.explode("prefix").alias("key"))
+        buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("h").alias("x"), F.min("id").alias("least"), F.sum("n").alias("size")).where("m > 1")
+        blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SIZE)).cast("int").alias("blocks")
+        chosen = written(buckets.groupBy("m", "x", "least").agg(F.min("key").alias("key"), F.first("size").alias("size")).select("key", blocks), "buckets")
+        members = keys.select("id", "key").join(_sent(chosen), "key")
+        members = written(members.join(reps.select("id", "n", "bits"), "id"), "members")
+        block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+        self.docs, self.seen, self.classes, self.same, self.chosen, self.members, self.block = docs, seen, classes, same, chosen, members, block
+
+    def dealt(self, known: DataFrame) -> DataFrame:
+        """known: members with comp. Each member goes to the pair of its block with every block: once as the lower, once
+        as the upper one."""
+        known = known.withColumn("block", self.block)
+        known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return known.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "n", "bits", "comp")
+
+
 def join(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when den * overlap >= num * union of their sets."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    docs = rows.where(F.col("id").isNotNull())
-    survey = _surveyed(rows, k)
-    seen = survey.where("n IS NOT NULL").select("id", "n", "digest")
-    some = seen.where("n > 0 AND id IS NOT NULL")
-    classes = written(some.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    # of each class only the representative's set goes on
-    others = some.join(classes, "digest").where("id <> rep").select("id", "digest")
-    same = None
-    if some.groupBy("id").count().where("count > 1").limit(1).count():
-        # the classes that rows of one id fall into are one vertex
-        several = some.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("id")
-        same = written(some.join(several, "id").join(classes, "digest").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct(), "same")
-        reps = features(docs, _hot(survey), k, num, den).where("n > 0")
-        reps = reps.join(written(others.distinct(), "others"), ["id", "digest"], "left_anti").dropDuplicates(["id", "digest"])
-    else:
-        reps = features(docs.join(_sent(written(others.select("id"), "others")), "id", "left_anti"), _hot(survey), k, num, den).where("n > 0")
-    reps = written(reps, "reps")
-
-    keys = reps.select("id", "n", F.xxhash64("id", "digest").alias("h"), F.explode("prefix").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("h").alias("x"), F.min("id").alias("least"), F.sum("n").alias("size")).where("m > 1")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SIZE)).cast("int").alias("blocks")
-    chosen = written(buckets.groupBy("m", "x", "least").agg(F.min("key").alias("key"), F.first("size").alias("size")).select("key", blocks), "buckets")
-    members = keys.select("id", "key").join(_sent(chosen), "key")
-    members = written(members.join(reps.select("id", "n", "bits"), "id"), "members")
-    block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    b = _Buckets(df, k, num, den, key, text)
+    docs, seen, classes, same, chosen, members, block = b.docs, b.seen, b.classes, b.same, b.chosen, b.members, b.block
 
     first = members.select("key", block.alias("i"), block.alias("j"), F.lit(0).alias("side"), "id", "n", "bits", F.col("id").alias("comp"))
     likely = written(_walked(first, num, den, True), "likely")
@@ -344,14 +361,27 @@ def join(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_
     open_keys = likely.select("key").unionByName(chosen.where("blocks > 1").select("key")).distinct()
     known = members.join(_sent(written(open_keys, "open")), "key").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    known = known.join(mixed, "key").withColumn("block", block)
-    # a member goes to the pair of its block with every block: once as the lower, once as the upper one
-    known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = known.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "n", "bits", "comp")
-    more = _verified(_walked(dealt, num, den, False), docs, k, num, den)
+    more = _verified(_walked(b.dealt(known.join(mixed, "key")), num, den, False), docs, k, num, den)
     comps = components(links.unionByName(more))
 
     named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = seen.select("id", "n", "digest").join(named, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
+
+
+def links(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links, where join() only needs those that tell components apart: doc_id, class_id, n_links (how many other
+    rows each links with; equal sets link), and the links between classes (a, b), each once. Ids must not repeat.
+
+    Every candidate pair of different sets is verified, so a group of many near copies costs its pairs."""
+    b = _Buckets(df, k, num, den, key, text)
+    pairs = written(_verified(_walked(b.dealt(b.members.withColumn("comp", F.col("id"))), num, den, False), b.docs, k, num, den).distinct(), "links")
+    some = b.seen.where("n > 0 AND id IS NOT NULL")
+    sizes = written(some.groupBy("digest").agg(F.count(F.lit(1)).alias("size")).join(b.classes, "digest"), "sizes")
+    both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    beyond = both.join(sizes.select(F.col("rep").alias("v"), "size"), "v").groupBy(F.col("u").alias("rep")).agg(F.sum("size").alias("beyond"))
+    named = sizes.join(beyond, "rep", "left").select("digest", "rep", (F.col("size") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    rows = b.seen.where("id IS NOT NULL").join(named, "digest", "left")
+    out = rows.select(F.col("id").alias(key), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("class_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
+    return out, pairs.select(F.col("u").alias("a"), F.col("v").alias("b"))

@@ -217,6 +217,20 @@ def test_join(spark, monkeypatch, k, num, den):
     assert got == brute(texts, k, num, den)
 
 
+def test_all_links(spark, monkeypatch):
+    monkeypatch.setattr(sigtree_join, "BLOCK", 16)
+    texts = near_texts() + [near_texts()[0]]
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+    n = [sum(j != i and bool(s) and 5 * len(s & o) >= 4 * len(s | o) for j, o in enumerate(sets)) for i, s in enumerate(sets)]
+    rows, pairs = sigtree_join.links(docs(spark, texts), 5, 4, 5)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in rows.collect()}
+    first = {s: i for i, s in reversed(list(enumerate(sets)))}
+    assert got == {i: (first[s] if s else i, n[i]) for i, s in enumerate(sets)}
+    want = {(first[s], first[o]) for s in first for o in first if s and o and first[s] < first[o] and 5 * len(s & o) >= 4 * len(s | o)}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and want
+
+
 def test_join_of_odd_rows(spark):
     rows = spark.createDataFrame([(3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (None, "a b c d e f", "x"), (5, "a b c d e f", "x"), (7, None, "x")], "doc_id long, text string, n string")
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in sigtree_join.join(rows, 4, 85, 100).collect())
