@@ -36,6 +36,8 @@ THRESHOLD = 0.3
 TOXIC_ROWS, OTHER_ROWS, LONGEST = 1500, 3500, 100_000
 #: Bytes of a window before its last word ends (also of a word's piece, and of the overlap of cuts inside words), of an evidence run at least, of the ordinary dictionary.
 WINDOW, GRAM, ORDINARY = 64, 5, 16384
+#: Words that the ordinary dictionary is trained on at most, from all texts of the sample alike.
+TRAINED = 1_200_000
 #: Width of the bins in which labelled rows are counted for the threshold, labelled ids broadcast at most.
 BIN, SENT = 0.01, 1_000_000
 #: Word gains kept in a worker at most.
@@ -96,7 +98,8 @@ def evidence(toxic: list[bytes], other: list[bytes]) -> bytes:
 
 def ordinary_content(other: list[bytes]) -> bytes:
     samples = [w for t in other for w in dict.fromkeys(words(t))]
-    samples = [b"".join(samples[i : i + 8]) for i in range(0, min(len(samples), 1_200_000), 8)]
+    samples = samples[:: -(-len(samples) // TRAINED) or 1]
+    samples = [b"".join(samples[i : i + 8]) for i in range(0, len(samples), 8)]
     try:
         return zstd.train_dictionary(ORDINARY, samples, k=16, d=6).as_bytes()
     except (zstd.ZstdError, ValueError):  # too little text to train on
