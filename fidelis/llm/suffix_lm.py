@@ -63,6 +63,31 @@ def unpack(raw: bytes, kind=np.int64) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def pack_runs(columns: list[np.ndarray]) -> list[bytes]:
+    """Runs in order of their numbers, each column as steps from the run before while the columns before it are alike."""
+    new, out = np.zeros(len(columns[0]), bool), []
+    new[:1] = True
+    for x in columns:
+        step = np.diff(x, prepend=0)
+        out.append(pack(np.where(new, x, step)))
+        new[1:] |= step[1:] != 0
+    return out
+
+
+def unpack_runs(raw: list[bytes]) -> list[np.ndarray]:
+    new, out = None, []
+    for r in raw:
+        step = unpack(r)
+        if new is None:
+            new = np.zeros(len(step), bool)
+            new[:1] = True
+        first, total = np.flatnonzero(new), np.cumsum(step)
+        x = total - np.repeat((total - step)[first], np.diff(np.r_[first, len(step)]))
+        out.append(x)
+        new[1:] |= x[1:] != x[:-1]
+    return out
+
+
 def name_of(numbers: list[np.ndarray]) -> np.ndarray:
     """64-bit names of runs, from the numbers of their words."""
     h = np.full(len(numbers[0]), 0xD6E8FEB86659FD93 - len(numbers), np.uint64)
@@ -111,9 +136,10 @@ def _by_part(of: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield part, order[cuts[part] : cuts[part + 1]]
 
 
-def part_of(numbers: list[np.ndarray], parts: int) -> np.ndarray:
-    """The part that sums a run, from the numbers of its words: a word's own number tells its part."""
-    return sum((x % parts) * (2 * i + 1) for i, x in enumerate(numbers)) % parts
+def part_of(numbers: list[np.ndarray], times: np.ndarray, total: int, parts: int) -> np.ndarray:
+    """The part that sums a run: that of its first word, of a common word (times of total) dealt further by the second."""
+    wide = 1 + np.minimum(times * (2 * parts) // max(1, total), parts)
+    return (numbers[0] + numbers[1] % wide * 13) % parts
 
 
 def _named(columns: list[np.ndarray]) -> list[bytes]:
@@ -201,9 +227,11 @@ def _word_parts(parts: int):
         # common words get small numbers, which pack well
         number[np.flatnonzero(often)[np.argsort(-c[often], kind="stable")]] = np.arange(often.sum()) * parts + part + 1
         for chunk, where, at, n in held:
-            tell = (c[at] != n) | often[at]
-            if tell.any():
-                yield out.row(kind=0, chunk=chunk, part=part, level=1, a=[pack(unpack(where)[tell]), pack(number[at[tell]])], c=pack(c[at[tell]]))
+            where = unpack(where)
+            tell = np.flatnonzero((c[at] != n) | often[at])
+            tell = tell[np.argsort(where[tell])]
+            if len(tell):
+                yield out.row(kind=0, chunk=chunk, part=part, level=1, a=[pack(where[tell]), pack(number[at[tell]])], c=pack(c[at[tell]]))
         if often.any():
             yield out.row(kind=4, part=part, level=1, a=_named([number[often] - 1]), c=pack(c[often]))
         yield out.row(kind=5, n=int(c.sum()), v=int((c > 0).sum()))
@@ -217,12 +245,14 @@ def _counted(key: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of, known, np.bincount(of, train, len(known)).astype(np.int64)
 
 
-def _sent_runs(out: _Out, chunk: int, level: int, numbers: list[np.ndarray], n: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
-    for part, where in _by_part(part_of(numbers, parts), parts):
-        yield out.row(kind=1, chunk=chunk, part=part, level=level, a=[pack(x[where]) for x in numbers], c=pack(n[where]))
+def _sent_runs(out: _Out, chunk: int, numbers: list[np.ndarray], times: np.ndarray, n: np.ndarray, parts: int, total: int) -> Iterator[pa.RecordBatch]:
+    """Packs of runs for the parts. times: counts of their first words."""
+    for part, where in _by_part(part_of(numbers, times, total, parts), parts):
+        where = where[np.lexsort([x[where] for x in numbers[::-1]])]
+        yield out.row(kind=1, chunk=chunk, part=part, level=len(numbers), a=pack_runs([x[where] for x in numbers]), c=pack(n[where]))
 
 
-def _pair_chunks(parts: int, whole: float):
+def _pair_chunks(parts: int, total: int, whole: float):
     """Texts coded anew by frequent words (kind 2; a: places + 1 or 0; b: lengths; c: train; d: base scores and known
     tokens), the dictionary (kind 3; a: numbers, counts) and pairs of frequent words (kind 1)."""
 
@@ -256,10 +286,9 @@ def _pair_chunks(parts: int, whole: float):
             trains.append(np.repeat(f, n)[1:][on])
         yield out.row(kind=3, chunk=chunk, a=[pack(number[often] - 1), pack(c[often])])
         _, key, n = _counted(np.concatenate(keys), np.concatenate(trains))
-        order, names = np.argsort(key), number[often] - 1
-        key, n = key[order], n[order]
+        names = number[often] - 1
         if len(key):
-            yield from _sent_runs(out, chunk, 2, [names[key // size], names[key % size]], n, parts)
+            yield from _sent_runs(out, chunk, [names[key // size], names[key % size]], c[often][key // size], n, parts, total)
 
     return work
 
@@ -267,7 +296,7 @@ def _pair_chunks(parts: int, whole: float):
 def _run_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
     """Sums runs of each length: the frequent ones of each chunk (kind 0) and all frequent ones (kind 4)."""
     for level, some in itertools.groupby(rows, key=lambda r: r["level"]):
-        held = [(r["chunk"], [unpack(x) for x in r["a"]], unpack(r["c"])) for r in some]
+        held = [(r["chunk"], unpack_runs(r["a"]), unpack(r["c"])) for r in some]
         columns = [np.concatenate([h[1][i] for h in held]) for i in range(level)]
         n = np.concatenate([h[2] for h in held])
         of, names = pd.factorize(columns[0])
@@ -284,7 +313,7 @@ def _run_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.Record
         for i, (chunk, _, _) in enumerate(held):
             where = np.flatnonzero(keep[cuts[i] : cuts[i + 1]]) + cuts[i]
             if len(where):
-                yield out.row(kind=0, chunk=chunk, part=part, level=level, a=[pack(x[where]) for x in columns])
+                yield out.row(kind=0, chunk=chunk, part=part, level=level, a=pack_runs([x[where] for x in columns]))
         if often.any():
             yield out.row(kind=4, part=part, level=level, a=_named([x[first[often]] for x in columns]), c=pack(total[often]))
 
@@ -312,8 +341,8 @@ class _Chunk:
 
     def runs(self, level: int) -> list[np.ndarray]:
         """The told runs of a length: columns of places in the dictionary."""
-        mine = [r for r in self.told if r["level"] == level]
-        columns = [np.concatenate([unpack(r["a"][i]) for r in mine]) if mine else np.zeros(0, np.int64) for i in range(level)]
+        mine = [unpack_runs(r["a"]) for r in self.told if r["level"] == level]
+        columns = [np.concatenate([m[i] for m in mine]) if mine else np.zeros(0, np.int64) for i in range(level)]
         return [self.order[np.searchsorted(self.sorted, x)] for x in columns]
 
     def follows(self, before: np.ndarray) -> np.ndarray:
@@ -326,27 +355,29 @@ def _found(known: np.ndarray, key: np.ndarray) -> np.ndarray:
     return pd.Index(known).get_indexer(pd.Index(key)) if len(known) and len(key) else np.full(len(key), -1, np.int64)
 
 
-def _long_chunks(parts: int, depth: int):
-    """Runs of three to depth + 1 words all of whose pairs are frequent (kind 1)."""
+def _long_chunks(parts: int, total: int, lower: int, upper: int):
+    """Runs of lower + 1 to upper words (kind 1) all of whose runs of lower words are told, that is frequent."""
 
     def work(chunk: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
         a = _Chunk(rows)
         if not a.texts:
             return
         train = np.repeat(np.concatenate([unpack(r["c"]) for r in a.texts]) > 0, a.lengths)
-        words = a.runs(2)
-        at = a.follows(a.x)
-        pair = np.full(len(a.x), -1, np.int64)
-        pair[at] = _found(words[0] * a.m + words[1], a.x[at - 1] * a.m + a.x[at])
-        run = pair
-        for level in range(3, depth + 2):
-            on = np.flatnonzero((run[:-1] >= 0) & (pair[1:] >= 0)) + 1
+        words = a.runs(lower)
+        of, run = words[0], a.x
+        for x in words[1:]:
+            of, known = pd.factorize(of * a.m + x)
+            at, before = a.follows(run), run
+            run = np.full(len(a.x), -1, np.int64)
+            run[at] = _found(known, before[at - 1] * a.m + a.x[at])
+        told = run  # where a told run ends, and which
+        for _ in range(lower, upper):
+            on = np.flatnonzero((run[:-1] >= 0) & (told[1:] >= 0) & ~a.first[1:]) + 1
             if not len(on):
                 break
             of, key, n = _counted(run[on - 1] * a.m + a.x[on], train[on])
             words = [*(x[key // a.m] for x in words), key % a.m]
-            order = np.argsort(key)
-            yield from _sent_runs(out, chunk, level, [a.numbers[x[order]] for x in words], n[order], parts)
+            yield from _sent_runs(out, chunk, [a.numbers[x] for x in words], a.counts[words[0]], n, parts, total)
             run = np.full(len(a.x), -1, np.int64)
             run[on] = of
 
@@ -369,14 +400,16 @@ def _valued_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.Rec
         adds, backs = np.flatnonzero(total > 0), np.flatnonzero(~np.isnan(back))
         count, total, back = np.r_[count[adds], 0], np.r_[total[adds], 0], np.r_[back[backs], np.nan].astype(np.float32)
         for r in told:
-            mine = [unpack(x) for x in (r["a"][1:] if level == 1 else r["a"])]
             if level == 1:
-                mine = [mine[0][mine[0] > 0] - 1]
+                number = unpack(r["a"][1])
+                mine = [np.sort(number[number > 0]) - 1]
+            else:
+                mine = unpack_runs(r["a"])
             own = name_of(mine)
             x, y = _found(names[adds], own), _found(names[backs], own)
             on = (x >= 0) | (y >= 0)
             if on.any():
-                yield out.row(kind=0, chunk=r["chunk"], level=level, a=[pack(v[on]) for v in mine], b=pack(count[x[on]]), c=pack(total[x[on]]), d=pack(back[y[on]]))
+                yield out.row(kind=0, chunk=r["chunk"], level=level, a=pack_runs([v[on] for v in mine]), b=pack(count[x[on]]), c=pack(total[x[on]]), d=pack(back[y[on]]))
 
 
 def _runs(told: DataFrame) -> DataFrame:
@@ -471,14 +504,18 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     whole = n + 0.1 * (v + 1)
 
     # by kind, so that pairs can go as soon as they are summed
-    second = written(_pass(first.where(kind == 2).unionByName(words.where(kind == 0)), "chunk", slots, _pair_chunks(parts, whole)), "pairs", by="kind").select(*first.columns)
+    second = written(_pass(first.where(kind == 2).unionByName(words.where(kind == 0)), "chunk", slots, _pair_chunks(parts, n, whole)), "pairs", by="kind").select(*first.columns)
     dropped(first)
     pairs = written(_pass(second.where(kind == 1), "part", parts, _run_parts), "frequent")
     dropped(second, only="kind=1")
     texts = second.where(kind.isin(2, 3))
-    third = _pass(texts.unionByName(pairs.where(kind == 0)), "chunk", slots, _long_chunks(parts, depth))
-    longer = written(_pass(third, "part", parts, _run_parts), "longer")
-    told = words.unionByName(pairs).unionByName(longer)
+    told, known = words.unionByName(pairs), pairs
+    # triples first: longer runs hold frequent ones only
+    for lower, upper in ((2, 3), (3, depth + 1)):
+        if depth >= lower:
+            sent = _pass(texts.unionByName(known.where(kind == 0)), "chunk", slots, _long_chunks(parts, n, lower, upper))
+            known = written(_pass(sent, "part", parts, _run_parts), "longer")
+            told = told.unionByName(known)
     values = _packed(grown(written(_runs(told), "grams"), whole, depth), first.schema)
     said = _pass(told.where(kind == 0).unionByName(values), "part", parts, _valued_parts)
     last = texts.unionByName(said.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name == "part" else F.col(f.name) for f in said.schema.fields]))
