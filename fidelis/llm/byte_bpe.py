@@ -89,7 +89,7 @@ class Coder:
 
         self.tokenizer, self.table = Tokenizer.from_str(model), table
         self.sizes = np.array([len(t) for t in table])
-        self.later, self.size = {}, 0
+        self.later, self.older, self.size = {}, {}, 0
 
     def _learn(self, new: list[str], lead: str) -> dict[str, bytes]:
         """Packed ids of the pieces. Many go to the library as one text, which ends of bytes part again."""
@@ -113,10 +113,13 @@ class Coder:
             return np.array(whole, "<u4").tobytes()
         known = self.later
         if missing := [p for p in set(rest) if p not in known]:
-            if self.size > KEPT:
-                known, self.size = {}, 0
-                self.later, missing = known, list(set(rest))
-            known |= self._learn(missing, " ")
+            if self.size > KEPT // 2:
+                # half of the store grows old; what is met again comes back from it
+                self.older, self.later, self.size = known, {}, 0
+                known, missing = self.later, list(set(rest))
+            again = {p: ids for p in missing if (ids := self.older.get(p)) is not None}
+            known |= again
+            known |= self._learn([p for p in missing if p not in again], " ")
             self.size += EACH * len(missing) + 2 * sum(map(len, missing))
         start = np.array(self.tokenizer.encode_batch_fast([head], add_special_tokens=False)[0].ids, "<u4").tobytes() if head else b""
         return start + b"".join(map(known.__getitem__, rest))
