@@ -24,23 +24,39 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df as a Parquet table (in folders by a column) in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fidelis-{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cleared(spark: SparkSession) -> int:
+    """Deletes all tables that written() made so far, once results that stand on them are kept; how many there were."""
+    for path in _MADE:
+        _delete(spark, path)
+    made = len(_MADE)
+    _MADE.clear()
+    return made
+
+
 def dropped(*tables: DataFrame, only: str = "") -> None:
     """Deletes tables made by written() that nothing will read again, or only a folder of theirs."""
     for df in tables:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if "/fidelis-" in path and path.endswith(only):
-                jvm = spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(spark, path)
 
 
 def remainder(col: str, mod: int) -> Column:

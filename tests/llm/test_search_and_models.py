@@ -1,4 +1,5 @@
 import math
+import os
 import zlib
 
 import numpy as np
@@ -87,6 +88,26 @@ def spoken(spark, n=160):
     return rows, spark.createDataFrame(rows + [(n, None, "en", "s", "x"), (n + 1, "", "en", "s", "x"), (n + 2, "123 !!", "en", "s", "x"), (n + 3, "the river " * 40_000, None, "s", "x"), (n + 4, SAY["de"], None, "s", "x")], DOCS)
 
 
+def test_vectors_of_two_lengths(spark):
+    """Of lengths that are equally common the longest takes part."""
+    rows = [(i, [float(i), 1.0]) for i in range(6)] + [(10 + i, [float(i), 1.0, 2.0]) for i in range(6)] + [(20, [1.0]), (21, []), (22, None), (23, [1.0, float("nan"), 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = cover_topk.search(df, F.col("id") % 2 == 0, k=3, scale=1.0).collect()
+    assert {r.query_id for r in got} == {10, 12, 14} and {r.vec_id for r in got} <= set(range(10, 16)) and len(got) == 9
+    near = ann_tree.search(df, F.col("id") % 2 == 0, k=2).collect()
+    assert {r.query_id for r in near} == {10, 12, 14} and {r.vec_id for r in near} <= set(range(10, 16))
+
+
+def test_written_tables_are_cleared(spark):
+    from fidelis.llm import _util
+
+    kept = _util.written(spark.range(5), "x")
+    gone = _util.written(spark.range(5), "y")
+    _util.dropped(gone)
+    assert kept.count() == 5 and not os.path.isdir(_util._MADE[-1].removeprefix("file://"))
+    assert _util.cleared(spark) >= 2 and not _util._MADE
+
+
 def test_languages(spark):
     rows, df = spoken(spark)
     model = lang_ecoc.fit(df, remainder("doc_id", 4) != 2)
