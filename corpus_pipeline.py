@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fidelis.llm import byte_bpe, lang_ecoc, secret_links, sigtree_join, soft_mix
-from fidelis.llm._util import remainder, table, written
+from fidelis.llm._util import dropped, remainder, table, written
 from fidelis.llm.queries import bpe_path
 
 #: Expected token totals of the mixture, as shares of 1.05 times the tokens that there are.
@@ -81,9 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, f"stage{i}")
+            if before is not None:
+                dropped(before)
+            before = docs
     return docs
