@@ -81,5 +81,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_kmeans_tree, op2_language_codes, op3_cover_trees, op4_suffix_tree, op5_host_paths, op6_secret_links, op7_signature_trees, op8_soft_mixing, op9_zdict_toxicity, op10_byte_bpe)}
 
 
+#: Brute force: all pairs of a query and a vector.
+OP3_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+"""
+
+#: All pairs of different sets that share a shingle, then the smallest id that links reach.
+OP7_SQL = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(l[i:i + 3], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, 1) + 1)) AS i FROM w WHERE len(l) > 0)
+), d AS (
+    SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY doc_id
+), c AS (
+    SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS rep FROM d
+), r AS (
+    SELECT s.doc_id, g, n FROM s JOIN c ON s.doc_id = c.rep AND c.doc_id = c.rep
+), o AS (
+    SELECT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv, count(*) AS k FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+    SELECT u, v FROM o WHERE 100 * k >= 85 * (nu + nv - k)
+), f AS (
+    SELECT u, v FROM e UNION ALL SELECT v, u FROM e
+), t AS (
+    SELECT rep AS u, rep AS root FROM c GROUP BY rep UNION SELECT f.v, t.root FROM t JOIN f ON f.u = t.u
+), m AS (
+    SELECT u, min(root) AS root FROM t GROUP BY u
+)
+SELECT documents.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(m.root, documents.doc_id) AS component_id FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id LEFT JOIN m ON m.u = c.rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_cover_trees": OP3_SQL, "op7_signature_trees": OP7_SQL}
