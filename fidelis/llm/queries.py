@@ -46,7 +46,11 @@ def op5_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = secret_links.scan(docs, keep_text=False)
-    n = {k: F.size(F.filter("spans", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(secret_links.BASE)}
+
+    def count(order: int) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["ord"] == order)).cast("long")
+
+    n = {k: count(i).alias(f"n_{k}") for i, k in enumerate(secret_links.BASE)}
     base = F.sha2(secret_links.as_text(secret_links.base_only(F.col("spans"))), 256).alias("base_sha256")
     return got.select("doc_id", *n.values(), base, secret_links.as_text(F.col("spans")).alias("spans"))
 
@@ -119,5 +123,30 @@ SELECT documents.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, coalesce(m.root
 """
 
 
+def op6_sql() -> str:
+    """Matches and what lies between them by kind, then weak spans that a completing part stands near."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    one = "SELECT doc_id, {o} AS ord, {k} AS kind, {r} AS role, regexp_extract_all(text, {p}, 0) AS hits, string_split_regex(text, {p}) AS gaps, {p} AS pattern FROM t"
+    kinds = " UNION ALL ".join(one.format(o=o, k=quoted(k), r=quoted(role), p=quoted(p)) for o, (k, (role, p)) in enumerate(secret_links.KINDS.items()))
+    pairs = ", ".join(f"({quoted(r)}, {quoted(o)})" for r, others in secret_links.COMPLETES.items() for o in others)
+    base, scope = len(secret_links.BASE), secret_links.SCOPE
+    counts = ", ".join(f"count(*) FILTER (ord = {i}) AS n_{k}" for i, k in enumerate(secret_links.BASE))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), k AS ({kinds}), h AS (
+    SELECT doc_id, ord, kind, role, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, generate_subscripts(hits, 1) AS i FROM k WHERE len(hits) > 0
+), m AS (
+    SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, ord ORDER BY i)::BIGINT AS b FROM h
+), p AS (
+    SELECT doc_id, ord, kind, role, b - length(hit) AS a, b, kind || ':' || (b - length(hit)) || ':' || b AS span FROM m
+    WHERE ord > 0 OR length(regexp_extract(hit, {quoted(secret_links.ASSIGN)}, 2)) >= 6
+), f AS (
+    SELECT * FROM p WHERE ord < {base} OR EXISTS (SELECT 1 FROM p q WHERE q.doc_id = p.doc_id AND (p.role, q.role) IN ({pairs}) AND q.a <= p.b + {scope} AND q.b >= p.a - {scope})
+), g AS (
+    SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY a, ord) FILTER (ord < {base}) AS base, string_agg(span, ',' ORDER BY a, ord) AS spans FROM f GROUP BY doc_id
+)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in secret_links.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_cover_trees": OP3_SQL, "op7_signature_trees": OP7_SQL}
+    return {"op3_cover_trees": OP3_SQL, "op6_secret_links": op6_sql(), "op7_signature_trees": OP7_SQL}

@@ -96,9 +96,11 @@ def test_op4(spark, docs, monkeypatch):
         assert r.score == pytest.approx(want[i])
 
 
-def test_op6(spark, docs):
-    got = {r.doc_id: r for r in RUN["op6_secret_links"](spark, SF).collect()}
-    assert set(got) == set(docs)
+@pytest.mark.skipif(not os.path.isdir(SF10), reason="no test data")
+def test_op6(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF10}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in RUN["op6_secret_links"](spark, SF10).collect()}
+    assert set(got) == set(docs) and any(r.n_access for r in got.values()) and any(r.n_assign != r.n_hex for r in got.values())
     for i, r in got.items():
         spans = base_spans(docs[i].text)
         kinds = [s.split(":")[0] for s in spans.split(",") if s]
