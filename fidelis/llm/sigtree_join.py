@@ -3,7 +3,7 @@
 A document's set holds its distinct k-word shingles (64-bit hashes). Documents of equal sets form a class;
 one member stands for it. Two sets that reach the similarity share one of their first few shingles in any
 common order, so classes meet in buckets by those (shingles that very many documents hold come last in the
-order, rarer ones by hash); buckets with the same members count once. In a bucket, cut into blocks, each
+order, rarer ones by hash); buckets with the same members (by number and 64-bit hash) count once. In a bucket, cut into blocks, each
 set is an OR-combined bitmap of its shingles; a tree over them, by size, holds each node's OR, size range
 and most collisions. Dual traversal prunes a pair of nodes whose largest possible overlap is too small.
 
@@ -330,9 +330,9 @@ class _Buckets:
         reps = written(reps, "reps")
 
         keys = reps.select("id", "n", F.xxhash64("id", "digest").alias("h"), F.explode("prefix").alias("key"))
-        buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("h").alias("x"), F.min("id").alias("least"), F.sum("n").alias("size")).where("m > 1")
+        buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor("h").alias("x"), F.sum("n").alias("size")).where("m > 1")
         blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("size") / BLOCK_SIZE)).cast("int").alias("blocks")
-        chosen = written(buckets.groupBy("m", "x", "least").agg(F.min("key").alias("key"), F.first("size").alias("size")).select("key", blocks), "buckets")
+        chosen = written(buckets.groupBy("m", "x").agg(F.min("key").alias("key"), F.first("size").alias("size")).select("key", blocks), "buckets")
         members = keys.select("id", "key").join(_sent(chosen), "key")
         members = written(members.join(reps.select("id", "n", "bits"), "id"), "members")
         block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
