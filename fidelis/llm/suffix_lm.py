@@ -130,10 +130,10 @@ def _by_part(of: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Each part that occurs and where, in order."""
     of = of.astype(np.uint16 if parts <= 1 << 16 else np.int64)
     order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(parts + 1))
-    for part in range(parts):
-        if cuts[part + 1] > cuts[part]:
-            yield part, order[cuts[part] : cuts[part + 1]]
+    dealt = of[order]
+    cuts = [*np.flatnonzero(np.r_[True, dealt[1:] != dealt[:-1]]).tolist(), len(dealt)] if len(dealt) else []
+    for a, b in itertools.pairwise(cuts):
+        yield int(dealt[a]), order[a:b]
 
 
 def part_of(numbers: list[np.ndarray], times: np.ndarray, total: int, parts: int) -> np.ndarray:
