@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from fidelis.llm._util import slices
+from fidelis.llm._util import slices, trimmed
 
 #: The split pattern of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -163,13 +163,13 @@ def _pass(df: DataFrame, column: str, added: list[T.StructField], sent, work) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = sent.value  # lives as long as the worker, and so does the coder
-        coder = state.get("coder") or state.setdefault("coder", Coder(state["model"], state["table"]))
+        coder = state.get("coder") or state.setdefault("coder", Coder(state.pop("model"), state["table"]))
         for batch in batches:
             for part in slices(batch, place) if text else (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
                 yield _with(part, work(coder, part))
 
     place, text = df.columns.index(column), df.schema[column].dataType == T.StringType()
-    return df.mapInArrow(run, _schema(df, added))
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), _schema(df, added))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", offsets: bool = False, pattern: str = PATTERN) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fidelis.llm._util import slices
+from fidelis.llm._util import slices, trimmed
 
 #: Hashed n-gram buckets, training rows of each language and of all at most (in expectation).
 BUCKETS, PER_LANG, ROWS = 1 << 13, 600, 8000
@@ -155,9 +155,9 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*sent.value)
-        for batch in batches:
-            out = [m.predict(t) for part in slices(batch, place) for t in part.column(place).to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole, place)):
+            out = [m.predict(t) for t in batch.column(place).to_pylist()]
             new = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + new, names=[f.name for f in keep] + [f.name for f in added])
 
-    return df.mapInArrow(run, T.StructType(keep + added))
+    return df.mapInArrow(lambda batches: trimmed(run(batches)), T.StructType(keep + added))

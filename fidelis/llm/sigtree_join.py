@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fidelis.llm._util import slices, written
+from fidelis.llm._util import slices, trimmed, written
 from fidelis.llm.graph import components
 
 #: Members of a block, items of a leaf, children of a node; rows of ids or keys that are sent whole to
@@ -203,7 +203,7 @@ def _surveyed(rows: DataFrame, k: int) -> DataFrame:
                 none = pa.nulls(len(keys), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(keys), pa.binary()), pa.array(keys), pa.array(n)], names=names)
 
-    return written(rows.mapInArrow(run, "id bigint, n bigint, digest binary, key bigint, often bigint"), "survey")
+    return written(rows.mapInArrow(lambda batches: trimmed(run(batches)), "id bigint, n bigint, digest binary, key bigint, often bigint"), "survey")
 
 
 def _hot(survey: DataFrame) -> np.ndarray:
@@ -235,7 +235,7 @@ def features(docs: DataFrame, hot: np.ndarray, k: int, num: int, den: int) -> Da
                     prefix.append(s[:first].view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["id", "n", "digest", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, digest binary, prefix array<bigint>, bits binary")
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), "id bigint, n bigint, digest binary, prefix array<bigint>, bits binary")
 
 
 def _sent(df: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def _walked(groups: DataFrame, num: int, den: int, best: bool) -> DataFrame:
 
     names = ["key", "i", "j", "side", "id", "n", "bits", "comp"]
     dealt = groups.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "key bigint, a bigint, b bigint")
+    return dealt.mapInArrow(lambda batches: trimmed(run(batches)), "key bigint, a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -299,10 +299,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-    whole = written(docs.join(_sent(ids), "id", "left_semi").select("id", "text").mapInArrow(sets, "id bigint, s binary"), "sets")
+    whole = written(docs.join(_sent(ids), "id", "left_semi").select("id", "text").mapInArrow(lambda batches: trimmed(sets(batches)), "id bigint, s binary"), "sets")
     one = pairs.join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(check, "u bigint, v bigint")
+    return two.select("a", "b", "sa", "sb").mapInArrow(lambda batches: trimmed(check(batches)), "u bigint, v bigint")
 
 
 class _Buckets:
