@@ -101,6 +101,12 @@ def test_all_passes(spark):
     assert not set(want) - got, set(want) - got
 
 
+def test_variables_stand_as_words():
+    """A first place inside a longer word, or inside another fact, takes no variable away."""
+    found = reading.facts("ENKEITHEIT, KEIT and KEIT, HEIT and HEIT, KEITHEIT and KEITHEIT. See https://a.org/ROA then ROA.\n")
+    assert [(f.canonical, f.start) for f in found if f.kind == "variable"] == [("VAR(KEIT)", 12), ("VAR(HEIT)", 27), ("VAR(KEITHEIT)", 42), ("VAR(ROA)", 92)]
+
+
 def test_long_text_is_linear():
     import time
 
