@@ -81,6 +81,21 @@ def test_long_numbers_and_repeated_ids(spark):
     assert sorted((r.doc_id, r.rule) for r in Check(docs, changed).violations().collect()) == [(2, "atom_changed")] * 2
 
 
+def test_nothing_that_grows_is_broadcast(spark):
+    """Sizes are estimated from files far smaller than the texts made of them: only a hint keeps joins from a broadcast."""
+    from fidelis.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plans = {n: queries.QUERIES[n](spark, sf)._jdf.queryExecution().toString() for n in ("model_lock_merge", "model_lock_gate", "verdict_bridge")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not [n for n, p in plans.items() if "BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p]
+
+
 def test_bridge(spark):
     """A level and the p-value below it state the same; each revised fact is used once, in the lock's order."""
     cases = [("在1%水平上显著。", "p<0.01。", ["equivalent"]), ("p≤0.05。", "在5%水平上显著。", ["equivalent"]), ("在1%水平上显著，又p<0.01。", "p<0.01。", ["equivalent", "missing"]), ("p<0.01，又在1%水平上显著。", "p<0.01。", ["preserved", "missing"]), ("p>0.01。", "在1%水平上显著。", ["missing"])]
