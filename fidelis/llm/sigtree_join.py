@@ -9,8 +9,10 @@ and most collisions. Dual traversal prunes a pair of nodes whose largest possibl
 
 Linking takes two rounds, and no pairs within a group of copies are made beyond need: first every set is
 verified against its likeliest partners, which joins most of each component; then the trees are walked
-again, skipping node pairs that lie in one component, and every remaining candidate is verified on the
-whole sets. So no link between components is lost, at any bucket size.
+again, skipping node pairs that lie in one component, and name the sets that have any candidate left. Those
+meet once more, with their whole sets, where every remaining candidate is verified unless links found there
+have already joined its two components. So no link between components is lost, at any bucket size, and no
+step makes more rows than the members that it is given.
 
 Defined results: null or blank texts have an empty set and are linked with nothing; a null id gets no
 component; rows that repeat an id are one vertex; extra columns stay out.
@@ -243,42 +245,107 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT_IDS else df
 
 
-def _walked(groups: DataFrame, num: int, den: int, best: bool) -> DataFrame:
-    """groups: key, i, j (blocks), side, id, n, bits, comp, dealt and sorted so that a group's rows follow
-    each other. Returns candidate pairs key, a, b."""
+def _grouped(groups: DataFrame, names: list[str], large: int, schema: str, work) -> DataFrame:
+    """work(rows of one key, i, j) -> batches: names begin with these three, and a group's rows follow each other;
+    large: place of the column of bytes. Groups of one row give nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows):
-            sides = []
-            for side in (0, 1):
-                own = [r for r in rows if r[3] == side]
-                sides.append((np.array([r[4] for r in own], np.int64), np.array([r[5] for r in own], np.int64), [r[6] for r in own], np.array([r[7] for r in own], np.int64)) if own else None)
-            if sides[0] and (rows[0][1] == rows[0][2] or sides[1]):
-                for a, b in block_pairs(sides[0], sides[1], num, den, best):
-                    for at in range(0, len(a), 50_000):
-                        x, y = a[at : at + 50_000], b[at : at + 50_000]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), rows[0][0])), pa.array(x), pa.array(y)], names=["key", "a", "b"])
-
         rows, now = [], None
         for batch in batches:
-            for row in (r for part in slices(batch, 6) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)):
+            for row in (r for part in slices(batch, large) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)):
                 if row[:3] != now:
                     if len(rows) > 1:
-                        yield from pairs(rows)
+                        yield from work(rows)
                     rows, now = [], row[:3]
                 rows.append(row)
         if len(rows) > 1:
-            yield from pairs(rows)
+            yield from work(rows)
 
-    names = ["key", "i", "j", "side", "id", "n", "bits", "comp"]
     dealt = groups.select(*names).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(lambda batches: trimmed(run(batches)), "key bigint, a bigint, b bigint")
+    return dealt.mapInArrow(lambda batches: trimmed(run(batches)), schema)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+def _sides(rows: list[tuple]) -> list[tuple | None]:
+    """The two sides of a group (key, i, j, side, id, n, bits, comp) as block_pairs takes them; none where it has no pair."""
+    sides = []
+    for side in (0, 1):
+        own = [r for r in rows if r[3] == side]
+        sides.append((np.array([r[4] for r in own], np.int64), np.array([r[5] for r in own], np.int64), [r[6] for r in own], np.array([r[7] for r in own], np.int64)) if own else None)
+    return sides if sides[0] and (rows[0][1] == rows[0][2] or sides[1]) else [None, None]
+
+
+def _walked(groups: DataFrame, num: int, den: int, best: bool) -> DataFrame:
+    """groups: key, i, j (blocks), side, id, n, bits, comp. Returns candidate pairs key, a, b."""
+
+    def pairs(rows):
+        left, right = _sides(rows)
+        for a, b in block_pairs(left, right, num, den, best) if left else ():
+            for at in range(0, len(a), 50_000):
+                x, y = a[at : at + 50_000], b[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), rows[0][0])), pa.array(x), pa.array(y)], names=["key", "a", "b"])
+
+    return _grouped(groups, ["key", "i", "j", "side", "id", "n", "bits", "comp"], 6, "key bigint, a bigint, b bigint", pairs)
+
+
+def _named(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """key, i, j, side, id, comp of those members of groups (see _walked) that have a candidate of another component."""
+
+    def members(rows):
+        left, right = _sides(rows)
+        for a, b in block_pairs(left, right, num, den, False) if left else ():
+            ids = np.unique(np.r_[a, b])
+            of = {r[4]: r for r in rows}
+            own = [of[x] for x in ids.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in own], k) for c, k in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.int64()), (7, pa.int64()))], names=["key", "i", "j", "side", "id", "comp"])
+
+    return _grouped(groups, ["key", "i", "j", "side", "id", "n", "bits", "comp"], 6, "key bigint, i int, j int, side int, id bigint, comp bigint", members)
+
+
+def reaches(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if not len(p) or not len(q):
+        return False
+    common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return den * common >= num * (len(p) + len(q) - common)
+
+
+def _joined(named: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """u, v: links that tell components of named (see _named) together, fewer in a group than it has members. Every
+    candidate of a group is verified on whole sets, save where links found in it have joined the two components."""
+
+    def links(rows):
+        held: dict[int, dict[bytes, np.ndarray]] = {}  # rows that repeat an id may have several sets
+        for r in rows:
+            held.setdefault(r[4], {})[r[6]] = np.frombuffer(r[6], np.uint64)
+        sets, comp = {x: list(s.values()) for x, s in held.items()}, {r[4]: r[5] for r in rows}
+        one_row = {r[4]: r for r in rows}
+        left, right = _sides([(*one_row[x][:5], len(s), bitmap(s).tobytes(), comp[x]) for x, own in sets.items() for s in own if len(s)])
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        found = []
+        for a, b in block_pairs(left, right, num, den, False) if left else ():
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                one, two = root(comp[x]), root(comp[y])
+                if one != two and any(reaches(p, q, num, den) for p in sets[x] for q in sets[y]):
+                    up[max(one, two)] = min(one, two)
+                    found.append((x, y))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["u", "v"])
+
+    named = written(named, "named")
+    groups = named.join(_whole(docs, named.select("id").distinct(), k), "id")
+    return _grouped(groups, ["key", "i", "j", "side", "id", "comp", "s"], 6, "u bigint, v bigint", links)
+
+
+def _whole(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Written table of id, s: whole sets."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
@@ -286,20 +353,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
                 got = pa.array([shingles(t, k, known).tobytes() for t in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), got], names=["id", "s"])
 
+    return written(docs.join(_sent(ids), "id", "left_semi").select("id", "text").mapInArrow(lambda batches: trimmed(sets(batches)), "id bigint, s binary"), "sets")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets reach the similarity."""
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if not len(p) or not len(q):
-                    ok.append(False)
-                    continue
-                common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                ok.append(den * common >= num * (len(p) + len(q) - common))
-            mask = pa.array(ok, pa.bool_())
+            both = zip(batch.column(2), batch.column(3), strict=True)
+            mask = pa.array([reaches(*(np.frombuffer(x.as_buffer(), np.uint64) for x in p), num, den) for p in both], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-    whole = written(docs.join(_sent(ids), "id", "left_semi").select("id", "text").mapInArrow(lambda batches: trimmed(sets(batches)), "id bigint, s binary"), "sets")
+    whole = _whole(docs, ids, k)
     one = pairs.join(whole.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     two = one.join(whole.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     return two.select("a", "b", "sa", "sb").mapInArrow(lambda batches: trimmed(check(batches)), "u bigint, v bigint")
@@ -361,7 +429,7 @@ def join(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_
     open_keys = likely.select("key").unionByName(chosen.where("blocks > 1").select("key")).distinct()
     known = members.join(_sent(written(open_keys, "open")), "key").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    more = _verified(_walked(b.dealt(known.join(mixed, "key")), num, den, False), docs, k, num, den)
+    more = _joined(_named(b.dealt(known.join(mixed, "key")), num, den), docs, k, num, den)
     comps = components(links.unionByName(more))
 
     named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))

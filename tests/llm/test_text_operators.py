@@ -231,6 +231,22 @@ def test_all_links(spark, monkeypatch):
     assert {(r.a, r.b) for r in pairs.collect()} == want and want
 
 
+def test_rest_of_a_group_makes_few_rows(spark):
+    """What is left between components costs a row for each member, not for each pair; rows that repeat an id keep all their sets."""
+    own, far = [" ".join(f"w{i}" for i in range(n)) for n in (40, 4)]
+    texts = [(i, f"{own} z{i}") for i in range(60)] + [(60, far), (60, f"{own} z60")]
+    rows = spark.createDataFrame(texts, "id long, text string")
+    groups = []
+    for i, t in texts:
+        s = sigtree_join.shingles(t, 4, sigtree_join._Words())
+        groups.append((7, 0, 0, 0, i, len(s), bytearray(sigtree_join.bitmap(s).tobytes()), i))
+    given = spark.createDataFrame(groups, "key long, i int, j int, side int, id long, n long, bits binary, comp long")
+    named = sigtree_join._named(given, 85, 100)
+    assert sorted(r.id for r in named.collect()) == list(range(61))
+    found = sigtree_join._joined(named, rows, 4, 85, 100)
+    assert found.count() == 60 and {r.component for r in graph.components(found).collect()} == {0}
+
+
 def test_join_of_odd_rows(spark):
     rows = spark.createDataFrame([(3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (None, "a b c d e f", "x"), (5, "a b c d e f", "x"), (7, None, "x")], "doc_id long, text string, n string")
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in sigtree_join.join(rows, 4, 85, 100).collect())
