@@ -62,6 +62,13 @@ def dropped(*tables: DataFrame, only: str = "") -> None:
                 _delete(spark, path)
 
 
+def released(spark: SparkSession) -> None:
+    """Shuffle files of plans that are done go from the executors' disks now, not when the driver next happens to
+    collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(col: str, mod: int) -> Column:
     """crc32 of the column as text, modulo mod; a null counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fidelis.llm._util import dropped, slices, written
+from fidelis.llm._util import dropped, released, slices, written
 
 #: Least count of a candidate, the discount, words of a context at most, bytes of a chunk, tokens of a row.
 LEAST, DISCOUNT, DEPTH, CHUNK, ROW = 8, 0.75, 5, 14_000_000, 1_000_000
@@ -445,6 +445,7 @@ def grown(runs: DataFrame, whole: float, depth: int = DEPTH) -> DataFrame:
         gain = gain.join(of, "p").withColumn("gain", F.col("gain") + F.greatest(F.col("total") - F.col("seen"), F.lit(0)) * F.log("back"))
         kept = written(gain.where(F.col("gain") > 0.5 * F.col("kinds") * F.log(F.greatest("total", F.lit(2)))).select("p", "home", "back"), "kept")
         mine = mine.join(kept.select("p", F.lit(True).alias("on")), "p", "left")
+        released(runs.sparkSession)
         now = written(mine.select("part", "h", "c", F.when(F.col("on"), F.col("total")).alias("total"), F.when(F.col("on"), add + F.col("back") * F.col("under")).otherwise(F.col("under")).alias("under")), "probabilities")
         under = now.select("h", "under")
         out.append(now.where("total IS NOT NULL").select("part", F.lit(level).alias("level"), "h", "c", "total", F.lit(float("nan")).alias("back")))
@@ -499,6 +500,7 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     kind = F.col("kind")
     first = written(coded(df, train, key, text, parts), "coded")
     words = written(_pass(first.where(kind == 1), "part", parts, _word_parts(parts)), "words")
+    released(df.sparkSession)
     size = words.where(kind == 5).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = size[0], size[1]
     whole = n + 0.1 * (v + 1)
@@ -506,8 +508,10 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
     # by kind, so that pairs can go as soon as they are summed
     second = written(_pass(first.where(kind == 2).unionByName(words.where(kind == 0)), "chunk", slots, _pair_chunks(parts, n, whole)), "pairs", by="kind").select(*first.columns)
     dropped(first)
+    released(df.sparkSession)
     pairs = written(_pass(second.where(kind == 1), "part", parts, _run_parts), "frequent")
     dropped(second, only="kind=1")
+    released(df.sparkSession)
     texts = second.where(kind.isin(2, 3))
     told, known = words.unionByName(pairs), pairs
     # triples first: longer runs hold frequent ones only
@@ -515,8 +519,10 @@ def score(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text",
         if depth >= lower:
             sent = _pass(texts.unionByName(known.where(kind == 0)), "chunk", slots, _long_chunks(parts, n, lower, upper))
             known = written(_pass(sent, "part", parts, _run_parts), "longer")
+            released(df.sparkSession)
             told = told.unionByName(known)
     values = _packed(grown(written(_runs(told), "grams"), whole, depth), first.schema)
+    released(df.sparkSession)
     said = _pass(told.where(kind == 0).unionByName(values), "part", parts, _valued_parts)
     last = texts.unionByName(said.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name == "part" else F.col(f.name) for f in said.schema.fields]))
     id_type = to_arrow_type(first.schema["ids"].dataType.elementType)

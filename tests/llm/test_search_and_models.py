@@ -152,6 +152,22 @@ def test_suffix_tree(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) / 2  # contexts tell most of the next words
 
 
+def test_finished_shuffles_leave_the_disk(spark, tmp_path):
+    import time
+
+    from fidelis.llm._util import released
+
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    spark.range(1000).repartition(7, "id").write.parquet(str(tmp_path / "t"))
+    before = files()
+    for _ in range(20):
+        released(spark)
+        time.sleep(0.2)
+        if files() < before:
+            break
+    assert files() < before
+
+
 def test_no_texts_to_score(spark):
     none = spark.createDataFrame([], DOCS)
     assert suffix_lm.score(none, F.lit(True)).count() == 0
