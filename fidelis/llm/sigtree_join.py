@@ -9,10 +9,11 @@ and most collisions. Dual traversal prunes a pair of nodes whose largest possibl
 
 Linking takes two rounds, and no pairs within a group of copies are made beyond need: first every set is
 verified against its likeliest partners, which joins most of each component; then the trees are walked
-again, skipping node pairs that lie in one component, and name the sets that have any candidate left. Those
-meet once more, with their whole sets, where every remaining candidate is verified unless links found there
-have already joined its two components. So no link between components is lost, at any bucket size, and no
-step makes more rows than the members that it is given.
+again, skipping node pairs that lie in one component, and name the sets that have any candidate left, each
+candidate in the first bucket that its two sets share. Those meet once more, with their whole sets, where every
+remaining candidate is verified unless links found there have already joined its two components. So no link
+between components is lost, at any bucket size, no step makes more rows than the members that it is given, and a
+whole set goes only where a candidate of its own is verified.
 
 Defined results: null or blank texts have an empty set and are linked with nothing; a null id gets no
 component; rows that repeat an id are one vertex; extra columns stay out.
@@ -38,6 +39,9 @@ BLOCK, LEAF, FAN, SENT_IDS = 1024, 32, 4, 1_000_000
 OFTEN, HOT = 30, 100_000
 #: Word hashes kept in a worker, shingles of a block at most (a larger set stands in a block with few others).
 WORDS, BLOCK_SIZE = 150_000, 8_000_000
+#: Buckets of a member, by key, that tell where its candidates are named; candidates that share none of these are named in
+#: each bucket that they share.
+FIRST = 64
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93)]
 
 
@@ -288,17 +292,20 @@ def _walked(groups: DataFrame, num: int, den: int, best: bool) -> DataFrame:
 
 
 def _named(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """key, i, j, side, id, comp of those members of groups (see _walked) that have a candidate of another component."""
+    """key, i, j, side, id, comp of those members of groups (see _walked; where they have a column first: a member's first
+    buckets) that have a candidate of another component which no bucket before this one, a first one of both, names."""
+    names = ["key", "i", "j", "side", "id", "n", "bits", "comp", *[c for c in groups.columns if c == "first"]]
 
     def members(rows):
         left, right = _sides(rows)
+        of, before = {r[4]: r for r in rows}, {r[4]: frozenset(x for own in r[8:] for x in own if x < r[0]) for r in rows}
         for a, b in block_pairs(left, right, num, den, False) if left else ():
-            ids = np.unique(np.r_[a, b])
-            of = {r[4]: r for r in rows}
-            own = [of[x] for x in ids.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in own], k) for c, k in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.int64()), (7, pa.int64()))], names=["key", "i", "j", "side", "id", "comp"])
+            ids = {x for p in zip(a.tolist(), b.tolist(), strict=True) if before[p[0]].isdisjoint(before[p[1]]) for x in p}
+            own = [of[x] for x in sorted(ids)]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in own], k) for c, k in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.int64()), (7, pa.int64()))], names=["key", "i", "j", "side", "id", "comp"])
 
-    return _grouped(groups, ["key", "i", "j", "side", "id", "n", "bits", "comp"], 6, "key bigint, i int, j int, side int, id bigint, comp bigint", members)
+    return _grouped(groups, names, 6, "key bigint, i int, j int, side int, id bigint, comp bigint", members)
 
 
 def reaches(p: np.ndarray, q: np.ndarray, num: int, den: int) -> bool:
@@ -411,7 +418,7 @@ class _Buckets:
         as the upper one."""
         known = known.withColumn("block", self.block)
         known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return known.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "n", "bits", "comp")
+        return known.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "n", "bits", "comp", *[c for c in known.columns if c == "first"])
 
 
 def join(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -429,7 +436,9 @@ def join(df: DataFrame, k: int = 5, num: int = 4, den: int = 5, key: str = "doc_
     open_keys = likely.select("key").unionByName(chosen.where("blocks > 1").select("key")).distinct()
     known = members.join(_sent(written(open_keys, "open")), "key").join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    more = _joined(_named(b.dealt(known.join(mixed, "key")), num, den), docs, k, num, den)
+    known = written(known.join(_sent(written(mixed, "mixed")), "key"), "known")
+    firsts = known.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST).alias("first"))
+    more = _joined(_named(b.dealt(known.join(firsts, "id")), num, den), docs, k, num, den)
     comps = components(links.unionByName(more))
 
     named = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))

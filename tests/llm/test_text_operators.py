@@ -247,6 +247,23 @@ def test_rest_of_a_group_makes_few_rows(spark):
     assert found.count() == 60 and {r.component for r in graph.components(found).collect()} == {0}
 
 
+def test_candidates_are_named_where_they_first_meet(spark, monkeypatch):
+    """Texts that are alike, but no links, meet in many buckets; their whole sets go once, not to each of them. Where pairs
+    share no first bucket (FIRST = 1) they are still found."""
+    both, made, write = [f"w{i}" for i in range(1500)], {}, sigtree_join.written
+    monkeypatch.setattr(sigtree_join, "written", lambda df, name, by=None: made.setdefault(name, write(df, name, by)) if name == "named" else write(df, name, by))
+    texts = [" ".join(w for j, w in enumerate(both) if j % 45 != i) for i in range(12)]
+    texts.append(f"{texts[0]} end")
+    want = brute(texts, 4, 85, 100)
+    assert {c for _, c in want.values()} == set(range(12))
+    joined = lambda: {r.doc_id: (r.n_shingles, r.component_id) for r in sigtree_join.join(docs(spark, texts), 4, 85, 100).collect()}
+    assert joined() == want
+    ids = [r.id for r in made["named"].collect()]
+    assert 12 <= len(set(ids)) and len(ids) <= 4 * len(set(ids))
+    monkeypatch.setattr(sigtree_join, "FIRST", 1)
+    assert joined() == want
+
+
 def test_join_of_odd_rows(spark):
     rows = spark.createDataFrame([(3, "a b c d e f", "x"), (3, "a b c d e f", "x"), (None, "a b c d e f", "x"), (5, "a b c d e f", "x"), (7, None, "x")], "doc_id long, text string, n string")
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in sigtree_join.join(rows, 4, 85, 100).collect())
