@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fidelis.functions import arrow, edits
 from fidelis.functions import text as tx
 from fidelis.functions.registry import HARD_RULES, THRESHOLDS
 from fidelis.operators import style
@@ -22,6 +23,27 @@ def block_distance(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda s, x: s + x) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def distances(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """rows with edit and blocks: edit_distance() and block_distance() of two columns (null: null), exact and made for many
+    rows at once."""
+
+    def work(xs: list, ys: list, ps: list, qs: list) -> list[tuple]:
+        pairs, ends = [], [0]
+        for x, y, p, q in zip(xs, ys, ps, qs, strict=True):
+            if x is not None and y is not None:
+                most = max(len(p), len(q))
+                pairs += [(x, y), *zip([*p, *[""] * (most - len(p))], [*q, *[""] * (most - len(q))], strict=True)]
+            ends.append(len(pairs))
+        got, out = edits.levenshtein(pairs), []
+        for x, y, at, end in zip(xs, ys, ends[:-1], ends[1:], strict=True):
+            size = max(len(x or ""), len(y or ""), 1)
+            out.append((got[at] / size, sum(got[at + 1 : end]) / size) if end > at else (None, None))
+        return out
+
+    split = rows.withColumns({"_p": tx.paragraphs(F.col(a)), "_q": tx.paragraphs(F.col(b))})
+    return arrow.added(split, "edit double, blocks double", [a, b, "_p", "_q"], work, each=False).drop("_p", "_q")
+
+
 def threshold(variant: Column, name: str) -> Column:
     out = F.lit(None).cast("double")
     for v, limits in THRESHOLDS.items():

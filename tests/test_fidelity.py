@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,3 +275,19 @@ def test_evaluation(spark):
     marks = evalset.scores(spark.createDataFrame([("a", 4.2, 2.5, 0.5), ("b", 1.0, 3.0, None)], "case_id string, naturalness double, academic double, style_score double")).collect()
     assert [(r.naturalness_band, r.academic_band, r.style_band) for r in marks] == [("A", "C", "C"), ("D", "B", None)]
     assert spark.range(1).select(evalset.edit_distance(F.lit("abc"), F.lit("abd"))).first()[0] == pytest.approx(1 / 3)
+
+
+def test_distances_of_many_rows(spark):
+    """Exact at all lengths of words, blocks and groups; the plan no longer fills a table of squares for each pair."""
+    rng = random.Random(1)
+    some = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = [None, "", "a", "same", "\n\n", some(1400, "abc"), some(64, "ab"), some(65, "甲乙\n😀")]
+    texts += [some(rng.randrange(1, 300), "abc\n" if i % 2 else "甲乙\n😀e") for i in range(100)]
+    cut = lambda t: t and t[: len(t) // 3] + "Q" + t[len(t) // 2 :].replace("a", "xy")
+    rows = spark.createDataFrame([(t, cut(t) if i % 3 else texts[-i]) for i, t in enumerate(texts)], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = evalset.distances(rows, "a", "b").select("edit", "blocks", evalset.edit_distance(a, b).alias("e"), evalset.block_distance(a, b).alias("k")).collect()
+    assert [(r.edit, r.blocks) for r in got] == [(r.e, r.k) for r in got] and len(got) == len(texts)
+    x = some(20_000, "abcd")
+    assert evalset.distances(spark.createDataFrame([(x, x[:9_000] + x[10_000:])], "a string, b string"), "a", "b").first().edit == 0.05
+    assert "levenshtein" not in evalset.distances(rows, "a", "b")._jdf.queryExecution().toString()
