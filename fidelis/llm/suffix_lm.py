@@ -385,8 +385,8 @@ def _long_chunks(parts: int, total: int, lower: int, upper: int):
 
 
 def _valued_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.RecordBatch]:
-    """To each chunk its runs that the tree knows, and what it says of them (b, c: counts of the run and its retained
-    context, 0 for none; d: mass left to the suffix, NaN for none)."""
+    """To each chunk its runs that the tree knows, and what it says of them (b: its count, after a retained
+    context; c, d: of a retained context its count and the mass left to the suffix; 0 and NaN for others)."""
     for level, some in itertools.groupby(rows, key=lambda r: r["level"]):
         told, held = [], []
         for r in some:
@@ -397,8 +397,8 @@ def _valued_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.Rec
         if not held:
             continue
         names, count, total, back = (np.concatenate(x) for x in zip(*held, strict=True))
-        adds, backs = np.flatnonzero(total > 0), np.flatnonzero(~np.isnan(back))
-        count, total, back = np.r_[count[adds], 0], np.r_[total[adds], 0], np.r_[back[backs], np.nan].astype(np.float32)
+        adds, backs = np.flatnonzero(count > 0), np.flatnonzero(~np.isnan(back))
+        count, total, back = np.r_[count[adds], 0], np.r_[total[backs], 0], np.r_[back[backs], np.nan].astype(np.float32)
         for r in told:
             if level == 1:
                 number = unpack(r["a"][1])
@@ -409,7 +409,7 @@ def _valued_parts(part: int, rows: Iterator[dict], out: _Out) -> Iterator[pa.Rec
             x, y = _found(names[adds], own), _found(names[backs], own)
             on = (x >= 0) | (y >= 0)
             if on.any():
-                yield out.row(kind=0, chunk=r["chunk"], level=level, a=pack_runs([v[on] for v in mine]), b=pack(count[x[on]]), c=pack(total[x[on]]), d=pack(back[y[on]]))
+                yield out.row(kind=0, chunk=r["chunk"], level=level, a=pack_runs([v[on] for v in mine]), b=pack(count[x[on]]), c=pack(total[y[on]]), d=pack(back[y[on]]))
 
 
 def _runs(told: DataFrame) -> DataFrame:
@@ -426,8 +426,8 @@ def _runs(told: DataFrame) -> DataFrame:
 
 
 def grown(runs: DataFrame, whole: float, depth: int = DEPTH) -> DataFrame:
-    """part, level, h, c, total, back: of runs after a retained context their count and the context's, and of retained
-    contexts the mass left to the suffix; null for the other."""
+    """part, level, h, c, total, back: of runs after a retained context their count, and of retained contexts their own
+    (total, which thus is sent once and not with each run) and the mass left to the suffix; 0 and NaN for the other."""
     rows = runs.where("level > 1").select("part", "level", "h", "p", "s", "w", "c")
     states = rows.groupBy("p").agg(F.sum("c").alias("seen"), F.count(F.lit(1)).alias("kinds"))
     own = runs.select(F.col("h").alias("p"), F.col("c").alias("total"), F.col("part").alias("home"), F.col("level").alias("words"))
@@ -443,14 +443,14 @@ def grown(runs: DataFrame, whole: float, depth: int = DEPTH) -> DataFrame:
         mine = written(mine.join(of.select("p", "total", "back"), "p"), "level")
         gain = mine.groupBy("p").agg(F.sum(F.col("c") * F.log((add + F.col("back") * F.col("under")) / F.col("under"))).alias("gain"))
         gain = gain.join(of, "p").withColumn("gain", F.col("gain") + F.greatest(F.col("total") - F.col("seen"), F.lit(0)) * F.log("back"))
-        kept = written(gain.where(F.col("gain") > 0.5 * F.col("kinds") * F.log(F.greatest("total", F.lit(2)))).select("p", "home", "back"), "kept")
+        kept = written(gain.where(F.col("gain") > 0.5 * F.col("kinds") * F.log(F.greatest("total", F.lit(2)))).select("p", "home", "total", "back"), "kept")
         mine = mine.join(kept.select("p", F.lit(True).alias("on")), "p", "left")
         released(runs.sparkSession)
         now = written(mine.select("part", "h", "c", F.when(F.col("on"), F.col("total")).alias("total"), F.when(F.col("on"), add + F.col("back") * F.col("under")).otherwise(F.col("under")).alias("under")), "probabilities")
         under = now.select("h", "under")
-        out.append(now.where("total IS NOT NULL").select("part", F.lit(level).alias("level"), "h", "c", "total", F.lit(float("nan")).alias("back")))
         zero = F.lit(0).cast("bigint")
-        out.append(kept.select(F.col("home").alias("part"), F.lit(level - 1).alias("level"), F.col("p").alias("h"), zero.alias("c"), zero.alias("total"), "back"))
+        out.append(now.where("total IS NOT NULL").select("part", F.lit(level).alias("level"), "h", "c", zero.alias("total"), F.lit(float("nan")).alias("back")))
+        out.append(kept.select(F.col("home").alias("part"), F.lit(level - 1).alias("level"), F.col("p").alias("h"), zero.alias("c"), "total", "back"))
     tree = out[0]
     for other in out[1:]:
         tree = tree.unionByName(other)
@@ -468,8 +468,8 @@ def _gains(a: _Chunk, whole: float, depth: int) -> np.ndarray:
     joined = lambda rows, c, kind: np.concatenate([unpack(r[c], kind) for r in rows]).astype(float) if rows else np.zeros(0)
     values = {level: (joined(rows, "b", np.int64), joined(rows, "c", np.int64), joined(rows, "d", np.float32)) for level, rows in mine.items()}
     # states of one word are its place in the dictionary; one more at the end, for -1: nothing is known
-    mass = np.full(a.m + 1, np.nan)
-    mass[columns[1][0]] = values[1][2]
+    mass, weight = np.full(a.m + 1, np.nan), np.zeros(a.m + 1)
+    mass[columns[1][0]], weight[columns[1][0]] = values[1][2], values[1][1]
     node, run = {level: c[0] for level, c in columns.items() if level > 1}, x
     for level in range(2, depth + 2):
         # nodes of this length: all told runs' starts
@@ -477,9 +477,8 @@ def _gains(a: _Chunk, whole: float, depth: int) -> np.ndarray:
         known, of = np.unique(np.concatenate(list(names.values())), return_inverse=True)
         cuts = np.cumsum([0, *map(len, names.values())])
         node = {k: of[cuts[i] : cuts[i + 1]] for i, k in enumerate(names)}
-        add, back = np.zeros(len(known) + 1), np.full(len(known) + 1, np.nan)
-        count, total, left = values[level]
-        add[node[level]], back[node[level]] = np.where(total > 0, (count - DISCOUNT) / np.maximum(total, 1), 0), left
+        times, totals, back = np.zeros(len(known) + 1), np.zeros(len(known) + 1), np.full(len(known) + 1, np.nan)
+        times[node[level]], totals[node[level]], back[node[level]] = values[level]
         at, before = a.follows(run), run
         run = np.full(len(x), -1, np.int64)
         run[at] = _found(known, before[at - 1] * a.m + x[at])
@@ -488,8 +487,9 @@ def _gains(a: _Chunk, whole: float, depth: int) -> np.ndarray:
         left = mass[state]
         on = ~np.isnan(left)
         keep[on] *= left[on]
-        own[on] = own[on] * left[on] + add[run[on]]
-        mass = back
+        seen = times[run[on]]
+        own[on] = own[on] * left[on] + np.where(seen > 0, (seen - DISCOUNT) / np.maximum(weight[state[on]], 1), 0)
+        mass, weight = back, totals
     return np.log10(keep + own / root)
 
 
