@@ -58,3 +58,14 @@ def test_a_single_result_writes_no_table(spark, name):
     made = len(durable._MADE)
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").columns[0] == "doc_id"
     assert len(durable._MADE) == made
+
+
+def test_percentages_of_documents_as_written(spark, tmp_path):
+    """A percentage ending in 0 after its point, beside the same value written shorter, and words that repeat."""
+    import duckdb
+
+    texts = ["Hosts 126.57.31.30%%% and 1.0%%% here.", "It fell by 31.3%, then 31.30% and 031.3 % or 0.50％, at 007%, of ABCDEFGH and ABCDEFGH.", "ABCDEFGH 5%", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    want = duckdb.connect().execute(queries.ORACLES["atoms_documents"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = [tuple(r) for r in queries.QUERIES["atoms_documents"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and (0, "percent", "PCT(31.30)") in got
