@@ -69,3 +69,11 @@ def test_percentages_of_documents_as_written(spark, tmp_path):
     want = duckdb.connect().execute(queries.ORACLES["atoms_documents"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
     got = [tuple(r) for r in queries.QUERIES["atoms_documents"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and (0, "percent", "PCT(31.30)") in got
+
+
+@pytest.mark.parametrize("name", ["gate"])
+def test_a_gate_is_told_of_the_texts_alone(spark, name):
+    """No table of all facts is written, and none is handed over: what leaves Python is the result."""
+    made = len(durable._MADE)
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(durable._MADE) == made and "results#" not in plan and "lock#" not in plan and "locked#" not in plan.replace("atoms_locked#", "")
