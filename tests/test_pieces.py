@@ -71,7 +71,7 @@ def test_percentages_of_documents_as_written(spark, tmp_path):
     assert sorted(got) == sorted(want) and (0, "percent", "PCT(31.30)") in got
 
 
-@pytest.mark.parametrize("name", ["gate", "model_lock_gate", "mutation_matrix"])
+@pytest.mark.parametrize("name", ["gate", "model_lock_gate", "mutation_matrix", "verdicts"])
 def test_a_gate_is_told_of_the_texts_alone(spark, name):
     """No table of all facts is written, and none is handed over: what leaves Python is the result."""
     made = len(durable._MADE)
