@@ -71,9 +71,18 @@ def test_percentages_of_documents_as_written(spark, tmp_path):
     assert sorted(got) == sorted(want) and (0, "percent", "PCT(31.30)") in got
 
 
-@pytest.mark.parametrize("name", ["gate", "model_lock_gate", "mutation_matrix", "verdicts"])
+@pytest.mark.parametrize("name", ["gate", "model_lock_gate", "mutation_matrix", "verdicts", "rule_coverage"])
 def test_a_gate_is_told_of_the_texts_alone(spark, name):
     """No table of all facts is written, and none is handed over: what leaves Python is the result."""
     made = len(durable._MADE)
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert len(durable._MADE) == made and "results#" not in plan and "lock#" not in plan and "locked#" not in plan.replace("atoms_locked#", "")
+
+
+def test_texts_that_come_back_are_kept():
+    """Pieces that occur once don't drive out those that are asked for again and again."""
+    made = []
+    kept = reading._Kept(lambda text: made.append(text) or (text,), 8)
+    for i in range(100):
+        assert kept["common"] == ("common",) and kept[f"once {i}"] == (f"once {i}",)
+    assert made.count("common") == 1
